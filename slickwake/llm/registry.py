@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slickwake.llm import decontaminate, exact_dedup, mixing, simhash
+from slickwake.llm import decontaminate, exact_dedup, mixing, pii, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        pii.op2_bootstrapped_pii,
         exact_dedup.op3_patricia_exact_dedup,
         mixing.op5_capped_water_filling,
         simhash.op7_simhash_near_duplicates,
