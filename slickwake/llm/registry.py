@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slickwake.llm import decontaminate, exact_dedup, mixing, pii, simhash
+from slickwake.llm import decontaminate, exact_dedup, mixing, pii, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        warc.op1_warc_capture_index,
         pii.op2_bootstrapped_pii,
         exact_dedup.op3_patricia_exact_dedup,
         mixing.op5_capped_water_filling,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_patricia_exact_dedup": exact_dedup.OP3_SQL, "op10_prefix_filtered_decontamination": decontaminate.OP10_SQL}
+    return {"op1_warc_capture_index": warc.OP1_SQL, "op3_patricia_exact_dedup": exact_dedup.OP3_SQL, "op10_prefix_filtered_decontamination": decontaminate.OP10_SQL}
