@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slickwake.llm import decontaminate, exact_dedup, mixing, pii, simhash, warc
+from slickwake.llm import decontaminate, exact_dedup, mixing, pii, simhash, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pii.op2_bootstrapped_pii,
         exact_dedup.op3_patricia_exact_dedup,
         mixing.op5_capped_water_filling,
+        suffix_dedup.op4_bucket_pointer_dedup,
         simhash.op7_simhash_near_duplicates,
         decontaminate.op10_prefix_filtered_decontamination,
     ]
