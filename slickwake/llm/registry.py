@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slickwake.llm import chunk_dedup, decontaminate, exact_dedup, mixing, pii, simhash, suffix_dedup, warc
+from slickwake.llm import chunk_dedup, decontaminate, exact_dedup, mixing, ngram_quality, pii, simhash, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         suffix_dedup.op4_bucket_pointer_dedup,
         simhash.op7_simhash_near_duplicates,
         chunk_dedup.op8_content_defined_chunk_dedup,
+        ngram_quality.op9_kneser_ney_quality,
         decontaminate.op10_prefix_filtered_decontamination,
     ]
     return {f.__name__: f for f in found}
