@@ -85,22 +85,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the columns of ``docs``, one row for each repetition, with ``repetition`` (from 1) and ``words``.
 
-    A document that the mix takes in part ends after the words taken.  Needs the columns of ``mix``; others are kept.
+    A document that the mix takes in part ends after the words taken.  Of rows that agree in id, source and text, each
+    is drawn for itself, and what else they hold is taken from one of them.
     """
     key = F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
-    # rows that agree in id, source and text are drawn apart, and take turns by a running number
-    turn = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy(F.lit(0)))
-    plan = mix(docs.withColumn("_key", key), **settings, extra=("_key",))
-    plan = plan.withColumn("_turn", F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy("taken"))).select("_key", F.col("doc_id").alias("_id"), "_turn", "size", "taken")
-    rows = docs.withColumn("_key", key).withColumn("_turn", turn)
-    same = (rows["_key"] == plan["_key"]) & rows["doc_id"].cast("long").eqNullSafe(plan["_id"]) & (rows["_turn"] == plan["_turn"])
-    both = rows.join(plan.where("taken > 0"), same).drop(plan["_key"], plan["_turn"], plan["_id"])
-    times = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("repetition") - 1) * F.col("size"))
-    cut = F.regexp_extract(F.col("text"), F.format_string(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){%d}+", F.col("words")), 0)
-    out = both.withColumn("repetition", F.explode(times)).withColumn("words", words.cast("long"))
-    out = out.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
-    return out.select(*docs.columns, "repetition", "words")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))
+    keyed = docs.withColumn("_key", key).withColumn("_id", name)
+    plan = mix(keyed, **settings, extra=("_key", "_id")).where("taken > 0").select("_key", "_id", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    both = keyed.dropDuplicates(["_key", "_id"]).join(plan, ["_key", "_id"])
+    times = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
+    out = both.withColumn("_times", F.explode(times)).withColumn("_words", F.least("_size", F.col("_taken") - (F.col("_times") - 1) * F.col("_size")))
+    head = F.call_function("regexp_extract", F.col("text"), F.format_string(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){%d}+", F.col("_words")), F.lit(0))
+    text = F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col("text"))
+    return out.withColumn("text", text).select(*docs.columns, F.col("_times").alias("repetition"), F.col("_words").cast("long").alias("words"))
 
 
 def op5_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slickwake.llm import chunk_dedup, decontaminate, exact_dedup, mixing, ngram_quality, pii, simhash, suffix_dedup, warc
+from slickwake.llm import chunk_dedup, decontaminate, exact_dedup, line_dedup, mixing, ngram_quality, pii, simhash, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         exact_dedup.op3_patricia_exact_dedup,
         mixing.op5_capped_water_filling,
         suffix_dedup.op4_bucket_pointer_dedup,
+        line_dedup.op6_segment_partition_line_dedup,
         simhash.op7_simhash_near_duplicates,
         chunk_dedup.op8_content_defined_chunk_dedup,
         ngram_quality.op9_kneser_ney_quality,
