@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slickwake.plans import drift_queries, reports_queries
+from slickwake.plans import drift_queries, raster_queries, reports_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**reports_queries.QUERIES, **drift_queries.QUERIES}
+    return {**reports_queries.QUERIES, **drift_queries.QUERIES, **raster_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**reports_queries.SQL, **drift_queries.SQL}
+    return {**reports_queries.SQL, **drift_queries.SQL, **raster_queries.SQL}

@@ -112,7 +112,7 @@ PATHS_SQL = f"""parts AS (
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two 64 x 64 scenes; a pixel's value is a mean price, and two masks follow from arithmetic."""
     li = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber % 2 AS scene_id", "CAST(l_orderkey % 64 AS INT) AS row", "CAST(l_partkey % 64 AS INT) AS col", "l_extendedprice AS p")
-    return li.groupBy("scene_id", "row", "col").agg(F.bround(F.avg("p"), 4).alias("value")).selectExpr(
+    return li.groupBy("scene_id", "row", "col").agg(F.avg("p").alias("value")).selectExpr(
         "scene_id", "row", "col", "value",
         "(row * 7 + col * 3 + scene_id) % 11 < 5 AS pred",
         "(row * 5 + col * 2) % 13 < 5 AS gt",
@@ -121,7 +121,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PIXELS_SQL = """px AS (
   SELECT scene_id, "row", col, value, ("row" * 7 + col * 3 + scene_id) % 11 < 5 AS pred, ("row" * 5 + col * 2) % 13 < 5 AS gt
-  FROM (SELECT l_linenumber % 2 AS scene_id, CAST(l_orderkey % 64 AS INT) AS "row", CAST(l_partkey % 64 AS INT) AS col, round_even(avg(l_extendedprice), 4) AS value FROM lineitem GROUP BY 1, 2, 3)
+  FROM (SELECT l_linenumber % 2 AS scene_id, CAST(l_orderkey % 64 AS INT) AS "row", CAST(l_partkey % 64 AS INT) AS col, avg(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2, 3)
 )"""
 
 
