@@ -35,6 +35,7 @@ from slickwake.llm.common import arrow_map, byte_column, materialize, read_table
 
 WIDTH, GRAM = 200, 64
 _CHUNK = 1 << 20
+_MASK = (1 << 64) - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -165,27 +166,57 @@ def _span_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, kinds, strict=True)], names=["k1", "k2", "start", "stop"])
 
 
-def _large_buckets(near: DataFrame, width: int, gram: int) -> DataFrame:
-    """The same for buckets of many representatives: every window is a row of its own, counted by hash."""
-    reach = width - gram
-
-    def windows(batches):
-        for batch in batches:
-            rows: list[tuple] = []
-            for g, k1, k2, at, left, body, whole in zip(*(batch.column(c).to_pylist() for c in ("g", "k1", "k2", "at", "left", "body", "whole")), strict=True):
-                for s in range(max(0, left - reach), min(left, len(body) - width) + 1):
-                    # a window may hold several pointers; it counts once for each bucket and place in it
-                    d = xxhash.xxh3_128_intdigest(body[s : s + width], (g + left - s) & ((1 << 64) - 1))
-                    rows.append(((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), k1, k2, at - left + s, whole))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 6, kinds, strict=True)], names=["w1", "w2", "k1", "k2", "start", "whole"])
-
-    each = arrow_map(near.select("g", "k1", "k2", "at", "left", "body", "whole"), windows, "w1 long, w2 long, k1 long, k2 long, start int, whole boolean")
-    often = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-    return each.where("not whole").join(often, ["w1", "w2"], "left_semi").select("k1", "k2", "start", (F.col("start") + width).alias("stop"))
+def _large_buckets(near: DataFrame, width: int, gram: int, steps: tuple[int, ...] = (16, 4, 1)) -> DataFrame:
+    """The same for buckets of many representatives, by blocks of neighbouring windows that are split in rounds.
 
+    What all windows of a block share (its core) has to be repeated for any of them to be; if what they span together
+    is repeated, all of them are.  Only cores of which the first holds, and for some block the second doesn't, are cut further.
+    """
+    reach = width - gram
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def blocks(step: int):
+        def run(batches):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4)
+            for batch in batches:
+                rows: list[tuple] = []
+                for g, k1, k2, at, left, body, ranges in zip(*(batch.column(c).to_pylist() for c in ("g", "k1", "k2", "at", "left", "body", "ranges")), strict=True):
+                    # a window is named by how far before the pointer it starts
+                    least, most = max(0, left + width - len(body)), min(left, reach)
+                    for first, last in ((r["lo"], r["hi"]) for r in ranges):
+                        for lo in range(first - first % step, last + 1, step):
+                            a, b = max(lo, least), min(lo + step - 1, most)
+                            if a > b:
+                                continue
+                            core = body[left - lo : left - (lo + step - 1) + width]
+                            seed = g * 512 + lo
+                            whole = body[left - b : left - a + width]
+                            c, w = xxhash.xxh3_128_intdigest(core, seed & _MASK), xxhash.xxh3_128_intdigest(whole, (seed ^ a << 40 ^ b << 52) & _MASK)
+                            rows.append((g, k1, k2, at, a, b, *((x & _MASK) - (1 << 63) for x in (c, c >> 64, w, w >> 64))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 10, kinds, strict=True)], names=["g", "k1", "k2", "at", "lo", "hi", "c1", "c2", "w1", "w2"])
+
+        return run
+
+    ident = ["g", "k1", "k2", "at"]
+    todo = near.withColumn("ranges", F.array(F.struct(F.lit(0).alias("lo"), F.lit(reach).alias("hi"))))
+    spans = None
+    for step in steps:
+        each = arrow_map(todo.select(*ident, "left", "body", "ranges"), blocks(step), "g long, k1 long, k2 long, at int, lo int, hi int, c1 long, c2 long, w1 long, w2 long")
+        each = materialize(each, "blocks")
+        cores = each.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        live = materialize(each.join(cores, ["c1", "c2"], "left_semi"), "live")
+        again = live.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
+        told = live.join(again, ["w1", "w2"], "left")
+        found = told.where("n IS NOT NULL").select("k1", "k2", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + width).alias("stop"))
+        spans = found if spans is None else spans.union(found)
+        if step > 1:
+            # a block that is done may still hold the partner of a window in an open block with the same core
+            undecided = told.where("n IS NULL").select("c1", "c2").distinct()
+            open_blocks = live.join(undecided, ["c1", "c2"], "left_semi").groupBy(*ident).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+            todo = near.join(open_blocks, ident)
+    return spans
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: ``doc_id, k1, k2, n_bytes, sha256``; spans: ``k1, k2, start, stop``, not merged; the keyed documents)."""
     reach = width - gram
     keyed = _keyed(docs)
@@ -213,7 +244,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: i
     return base.select("doc_id", "k1", "k2", "n_bytes", "sha256"), spans, keyed
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: int = 64, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: int = 512, with_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the bytes left), one row per row of ``docs``."""
     rows, spans, keyed = repeated_spans(docs, width, gram, few)
     per_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
