@@ -14,10 +14,13 @@ from slickwake.config import AISConfig
 from slickwake.functions.geo import FEATURE_M_PER_DEG, KM_PER_NM, epoch_s, from_epoch_s, haversine_km
 from slickwake.functions.stats import clip
 
-TRACK = Window.partitionBy("mmsi").orderBy("ts")
 SEGMENT = ["mmsi", "segment_id"]
 
 
+def _track():
+    return Window.partitionBy("mmsi").orderBy("ts")
+
+
 def _speed_kn() -> F.Column:
     """Implied speed from the previous row; null for the first and for no time in between."""
     hours = F.col("dt_s") / 3600
@@ -25,7 +28,7 @@ def _speed_kn() -> F.Column:
 
 
 def _with_steps(df: DataFrame) -> DataFrame:
-    prev = F.lag(F.struct("es", "lat", "lon")).over(TRACK)
+    prev = F.lag(F.struct("es", "lat", "lon")).over(_track())
     return (
         df.withColumn("_p", prev)
         .withColumn("dt_s", F.col("es") - F.col("_p.es"))
@@ -52,7 +55,7 @@ def segments(cleaned: DataFrame, cfg: AISConfig = AISConfig()) -> DataFrame:
     gap = F.coalesce(F.col("dt_s"), F.lit(0.0)) / 60
     df = _with_steps(cleaned).withColumn("gap_min", gap)
     boundary = (F.col("gap_min") > cfg.gap_segment_minutes) | (F.coalesce(_speed_kn(), F.lit(0.0)) > cfg.implausible_speed_kn)
-    df = df.withColumn("_b", boundary).withColumn("segment_id", F.sum(F.col("_b").cast("int")).over(TRACK.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_b", boundary).withColumn("segment_id", F.sum(F.col("_b").cast("int")).over(_track().rowsBetween(Window.unboundedPreceding, 0)))
     return df.withColumn("internal_gap_min", F.when(F.col("_b"), 0.0).otherwise(F.col("gap_min"))).drop("_b", "dt_s", "step_km")
 
 

@@ -223,9 +223,19 @@ def event_windows(spark, sf_dir):
     return rounded(df.groupBy("mmsi", "bin").agg(F.count("*").alias("n"), F.avg("sog").alias("sog"), F.max("lat").alias("lat_max")))
 
 
+def oof_model(spark, sf_dir):
+    """Motion residuals of vessels that a model hasn't seen (no SQL counterpart; held-out error in the tests)."""
+    from dataclasses import replace
+
+    from slickwake.operators import models
+
+    errors, _ = models.out_of_fold(anomaly.sequences(_feat(spark, sf_dir), AIS), replace(AIS, stage1_models=("MLP",)))
+    return rounded(errors, 3)
+
+
 QUERIES = {f.__name__: f for f in (
     ais_normalize, ais_clean, ais_segments, segment_meta, ais_resample, ais_gapfill, ais_features, tracks, sequence_targets, behaviour_jumps,
-    robust_z_oof, vessel_anomaly, gap_sessions_window, hash_subsample, event_windows)}
+    robust_z_oof, vessel_anomaly, gap_sessions_window, hash_subsample, event_windows, oof_model)}
 
 _r = lambda names, d=6: ", ".join(f"round({c}, {d}) AS {c}" for c in names.split())
 SQL = {
