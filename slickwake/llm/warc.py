@@ -46,23 +46,27 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri if ":" in uri.split("/", 1)[0] else f"file://{uri}"))
 
 
+def _escaped(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
 def url_key(url: str | None) -> str:
     """Reversed host labels, then path and query: ``com,example)/a?b=1``.  Scheme, port, www and fragment don't count."""
     if not url:
         return ""
     try:
-        parts = urlsplit(url.strip())
+        parts = urlsplit(_escaped(url))
         host = (parts.hostname or "").rstrip(".")
     except ValueError:
-        return re.sub(r"[\x00-\x20]", "", url).lower()
+        return _escaped(url).lower()
     host = host.removeprefix("www.")
     query = f"?{parts.query}" if parts.query else ""
-    return re.sub(r"[\x00-\x20]", "", f"{','.join(reversed(host.split('.')))}){parts.path or '/'}{query}")
+    return f"{','.join(reversed(host.split('.')))}){parts.path or '/'}{query}"
 
 
 def _record(page_id, url: str | None, payload: bytes, digest: bytes, refers_to, revisit: bool) -> bytes:
     name = "null" if page_id is None else page_id
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{name}"
+    target = _escaped(url) if url else f"urn:page:{name}"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines = [
@@ -86,7 +90,7 @@ def parse_record(raw: bytes) -> dict:
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[: int(fields["content-length"])]
     fields["payload"] = block.partition(b"\r\n\r\n")[2]
     return fields
