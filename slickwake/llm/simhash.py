@@ -75,11 +75,16 @@ def _keys(fp: Column, shifts: list[int], width: int, need: int) -> Column:
     return F.array(*out)
 
 
-def _finer(fp: Column, free: list[int], width: int) -> Column:
-    """Keys over the ``free`` units, each cut in two, of which half must agree."""
-    half = width // 2
-    shifts = [s for at in free for s in (at + half, at)]
-    return _keys(fp, shifts, half, len(shifts) - BITS)
+def _rest(value: Column, chosen: Column, shifts: list[int], width: int, need: int) -> Column:
+    """The units of ``value`` that the choice ``chosen`` (a set of bits) leaves, side by side."""
+    out = None
+    for units in combinations(range(len(shifts)), need):
+        rest = F.lit(0).cast("long")
+        for i in (i for i in range(len(shifts)) if i not in units):
+            rest = F.shiftleft(rest, width).bitwiseOR(_unit(value, shifts[i], width))
+        is_it = chosen == sum(1 << i for i in units)
+        out = F.when(is_it, rest) if out is None else out.when(is_it, rest)
+    return out
 
 
 def _pairs(lists: DataFrame, by: list[str]) -> DataFrame:
@@ -93,35 +98,28 @@ def fingerprint_links(prints: DataFrame, dense: int = 128) -> DataFrame:
     """Pairs ``u < v`` of distinct fingerprints (column ``fp``) that differ in at most 3 bits, each pair once."""
     fps = materialize(prints.select("fp").distinct(), "fps")
     links = None
-    lists = fps.select("fp", F.explode(_keys(F.col("fp"), [8 * i for i in range(8)], 8, 8 - BITS)).alias("k")).select("fp", "k.set", "k.key")
-    by = ["set", "key"]
-    # widths of the units in the next level, and which units of this one are free
-    for level, width in enumerate((8, 4, 2)):
+    shifts, width = [8 * i for i in range(8)], 8
+    lists = fps.select("fp", F.col("fp").alias("value"))
+    by: list[str] = []
+    for level in (1, 2, 3):
+        need = len(shifts) - BITS
+        chosen, key = f"set{level}", f"key{level}"
+        lists = lists.select(*by, "fp", *(["value"] if level > 1 else []), F.explode(_keys(F.col("value"), shifts, width, need)).alias("k"))
+        lists = lists.select(*by, "fp", *(["value"] if level > 1 else []), F.col("k.set").alias(chosen), F.col("k.key").alias(key))
+        by = [*by, chosen, key]
         sizes = lists.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
         alive = materialize(lists.join(sizes, by), "lists")
-        last = level == 2
+        last = level == 3
         found = _pairs(alive if last else alive.where(F.col("n") <= dense), by)
         links = found if links is None else links.union(found)
         crowd = alive.where(F.col("n") > dense)
         if last or crowd.isEmpty():
             break
-        finer = None
-        for row in crowd.select(*([c for c in by if c.startswith("set")])).distinct().collect():  # 56 choices, or 56 * 20
-            free = [8 * i for i in range(8)]
-            kept = row["set"]
-            free = [s for i, s in enumerate(free) if not kept >> i & 1]
-            if level == 1:
-                halves = [s for at in free for s in (at + 4, at)]
-                free = [s for i, s in enumerate(halves) if not row["set2"] >> i & 1]
-            where = F.lit(True)
-            for c in by:
-                if c.startswith("set"):
-                    where = where & (F.col(c) == row[c])
-            part = crowd.where(where).select(*by, "fp", F.explode(_finer(F.col("fp"), free, width)).alias("k"))
-            part = part.select(*by, "fp", F.col("k.set").alias(f"set{level + 2}"), F.col("k.key").alias(f"key{level + 2}"))
-            finer = part if finer is None else finer.union(part)
-        by = [*by, f"set{level + 2}", f"key{level + 2}"]
-        lists = finer
+        # what a choice leaves is cut in units of half the width
+        value = F.col("fp") if level == 1 else F.col("value")
+        lists = crowd.withColumn("value", _rest(value, F.col(chosen), shifts, width, need)).select(*by, "fp", "value")
+        width //= 2
+        shifts = [width * i for i in range(2 * BITS)]
     return links.distinct()
 
 
