@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from slickwake.llm import decontaminate, line_dedup, mixing, ngram_quality, simhash
 from slickwake.llm.common import materialize, read_table
 
-_KEYS = ["_id", "_key"]
+#: Names that no table is likely to have.
+_KEYS = ["__row_id", "__row_key"]
 
 
 def _decided(docs: DataFrame, decisions: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with the decisions of their rows; rows without one are left out.  One decision for each id and text."""
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))).withColumn("_key", F.xxhash64("text"))
-    told = decisions.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("_id"), F.col("text_key").alias("_key"), *(columns or []))
+    rows = docs.withColumn(_KEYS[0], F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))).withColumn(_KEYS[1], F.xxhash64("text"))
+    told = decisions.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias(_KEYS[0]), F.col("text_key").alias(_KEYS[1]), *(columns or []))
     return rows.join(told.dropDuplicates(_KEYS), _KEYS)
 
 
@@ -34,12 +35,12 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = line_dedup.duplicate_lines(docs)
     # of equal rows the first keeps what any of them keeps
     by = ["doc_id", "text_key"]
-    first = found.groupBy(by).agg(F.min_by(F.struct("dropped"), "rid")["dropped"].alias("_dropped"))
-    both = _decided(docs, first, ["_dropped"]).dropDuplicates(_KEYS)
-    kept = both.withColumn("text", line_dedup.without_lines(F.col("text"), F.col("_dropped")))
-    left = kept.where(F.col("_dropped").isNull() | F.col("text").rlike(r"\S"))
+    first = found.groupBy(by).agg(F.min_by(F.struct("dropped"), "rid")["dropped"].alias("__dropped"))
+    both = _decided(docs, first, ["__dropped"]).dropDuplicates(_KEYS)
+    kept = both.withColumn("text", line_dedup.without_lines(F.col("text"), F.col("__dropped")))
+    left = kept.where(F.col("__dropped").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        left = left.withColumn("n_chars", F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return left.select(docs.columns)
 
 

@@ -90,14 +90,14 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """
     key = F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))
-    keyed = docs.withColumn("_key", key).withColumn("_id", name)
-    plan = mix(keyed, **settings, extra=("_key", "_id")).where("taken > 0").select("_key", "_id", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    both = keyed.dropDuplicates(["_key", "_id"]).join(plan, ["_key", "_id"])
-    times = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
-    out = both.withColumn("_times", F.explode(times)).withColumn("_words", F.least("_size", F.col("_taken") - (F.col("_times") - 1) * F.col("_size")))
-    head = F.call_function("regexp_extract", F.col("text"), F.format_string(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){%d}+", F.col("_words")), F.lit(0))
-    text = F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*docs.columns, F.col("_times").alias("repetition"), F.col("_words").cast("long").alias("words"))
+    keyed = docs.withColumn("__mix_key", key).withColumn("__mix_id", name)
+    plan = mix(keyed, **settings, extra=("__mix_key", "__mix_id")).where("taken > 0").select("__mix_key", "__mix_id", F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
+    both = keyed.dropDuplicates(["__mix_key", "__mix_id"]).join(plan, ["__mix_key", "__mix_id"])
+    times = F.sequence(F.lit(1), F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))
+    out = both.withColumn("__mix_times", F.explode(times)).withColumn("__mix_words", F.least("__mix_size", F.col("__mix_taken") - (F.col("__mix_times") - 1) * F.col("__mix_size")))
+    head = F.call_function("regexp_extract", F.col("text"), F.format_string(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){%d}+", F.col("__mix_words")), F.lit(0))
+    text = F.when(F.col("__mix_words") < F.col("__mix_size"), head).otherwise(F.col("text"))
+    return out.withColumn("text", text).select(*(c for c in docs.columns if c not in ("repetition", "words")), F.col("__mix_times").alias("repetition"), F.col("__mix_words").cast("long").alias("words"))
 
 
 def op5_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
