@@ -145,7 +145,7 @@ def out_of_fold(seqs: DataFrame, cfg: AISConfig = AISConfig(), max_rows: int | N
     models = tuple(cfg.stage1_models)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pickle
+        from pyspark import cloudpickle
 
         t = shared.value
         for pdf in batches:
@@ -157,7 +157,7 @@ def out_of_fold(seqs: DataFrame, cfg: AISConfig = AISConfig(), max_rows: int | N
                     y = part[["y1", "y2"]].to_numpy(float)
                     sx, sy = Standard().fit(x.reshape(len(x), -1)), Standard().fit(y)
                     model = _make(name, seed).fit(sx.to(x.reshape(len(x), -1)).reshape(x.shape), sy.to(y))
-                    blob = pickle.dumps((sx, sy, model))
+                    blob = cloudpickle.dumps((sx, sy, model))
                 yield pd.DataFrame({"fold": [fold], "model": [name], "blob": [blob]})
 
     jobs = rows.select("fold").distinct().crossJoin(seqs.sparkSession.createDataFrame([(m,) for m in models], "model string"))
@@ -165,9 +165,9 @@ def out_of_fold(seqs: DataFrame, cfg: AISConfig = AISConfig(), max_rows: int | N
     known = seqs.sparkSession.sparkContext.broadcast(fitted)  # folds x models small networks
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pickle
+        from pyspark import cloudpickle
 
-        loaded = {k: pickle.loads(v) if v else None for k, v in known.value.items()}
+        loaded = {k: cloudpickle.loads(v) if v else None for k, v in known.value.items()}
         for pdf in batches:
             if pdf.empty:
                 continue

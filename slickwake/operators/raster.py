@@ -61,6 +61,7 @@ def gaussian_smooth(px: DataFrame, sigma: float = 1.5, value: str = "value", tru
         to = F.col("_i") - F.col("_k.d")
         seen = seen.withColumn("_to", to).where((F.col("_to") >= 0) & (F.col("_to") < n))
         df = seen.groupBy("scene_id", F.col("_to").alias(axis), other).agg(F.sum(F.col("_v") * F.col("_k.w")).alias("_v"))
+        df = df.join(px.select(*PIXEL), PIXEL, "left_semi")  # pixels that a scene lacks stay out of it
     return px.join(df.withColumnRenamed("_v", "smooth"), PIXEL)
 
 
