@@ -131,17 +131,14 @@ def _small_buckets(near: DataFrame, width: int, gram: int) -> DataFrame:
         bucket, held = None, []
 
         def flush():
-            out = []
+            windows = [[(left - s, body[s : s + width]) for s in range(max(0, left - reach), min(left, len(body) - width) + 1)] for _, _, _, left, body, _ in held]
             seen: dict[tuple[int, bytes], int] = {}
-            for _, _, _, left, body, _ in held:
-                for s in range(max(0, left - reach), min(left, len(body) - width) + 1):
-                    w = (left - s, body[s : s + width])
-                    seen[w] = seen.get(w, 0) + 1
-            for k1, k2, at, left, body, whole in held:
-                if whole:
-                    continue
-                spans = [(at - left + s, at - left + s + width) for s in range(max(0, left - reach), min(left, len(body) - width) + 1) if seen[(left - s, body[s : s + width])] > 1]
-                out += [(k1, k2, a, b) for a, b in merge(spans)]
+            for w in (w for one in windows for w in one):
+                seen[w] = seen.get(w, 0) + 1
+            out = []
+            for (k1, k2, at, _, _, whole), own in zip(held, windows, strict=True):
+                if not whole:
+                    out += [(k1, k2, a, b) for a, b in merge([(at - w[0], at - w[0] + width) for w in own if seen[w] > 1])]
             return out
 
         for batch in batches:
@@ -222,16 +219,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: i
     keyed = _keyed(docs)
     base = materialize(_scan(keyed, width, gram), "suffixes")
     each = base.select("k1", "k2", "n_bytes", F.explode(F.arrays_zip("g", "c", "at")).alias("p")).select("k1", "k2", "n_bytes", "p.*")
-    often = each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(each.join(often.select("g"), "g", "left_semi"), "shared")
+    # a table of its own, so that the join below can split a bucket that very many positions share
+    often = materialize(each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "often")
+    shared = materialize(each.join(often, "g", "left_semi"), "shared")
     refined = shared.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "n_bytes")).alias("first"))
     refined = materialize(refined, "refined")
     left, right = F.least("at", F.lit(reach)), F.least(F.col("n_bytes").cast("int") - gram - F.col("at"), F.lit(reach))
     start, stop = F.col("at") - left, F.col("at") + gram + right
     whole = shared.join(refined.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("k1", "k2", start.alias("start"), stop.alias("stop"))
 
-    # buckets with several refined buckets: one representative of each
-    split = refined.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    # buckets with several refined buckets, one of them of a single member: a representative of each
+    split = refined.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").drop("least")
     needed = refined.join(split, "g").select("g", "kinds", (F.col("n") > 1).alias("whole"), "first.*")
     needed = needed.withColumn("left", left).select("k1", "k2", F.struct("g", "kinds", "whole", "at", "left", start.alias("start"), (stop - start).alias("size")).alias("want"))
     wanted = needed.groupBy("k1", "k2").agg(F.collect_list("want").alias("want"))
