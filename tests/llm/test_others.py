@@ -176,7 +176,9 @@ def test_contamination(spark):
 def test_model_is_a_distribution_and_matches_plain_counts(spark):
     texts = spark.createDataFrame([("abracadabra abra",), ("cad abra brac",), ("bad cab",), ("",), (None,)], "text string")
     table = ngram_quality.alphabet(texts)
-    p = np.exp(ngram_quality.kneser_ney(ngram_quality.gram_counts(texts, table)).astype(np.float64)).reshape(-1, ngram_quality.SYMBOLS)
+    model = ngram_quality.kneser_ney(ngram_quality.gram_counts(texts.withColumn("half", F.lit(0)), table).select("code", "n"))
+    every = np.arange(ngram_quality.SYMBOLS**ngram_quality.ORDER, dtype=np.uint32)
+    p = np.exp(ngram_quality.log_probabilities(model, every).astype(np.float64)).reshape(-1, ngram_quality.SYMBOLS)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
     # the same model with dictionaries
     v, grams = ngram_quality.SYMBOLS, {}
@@ -191,9 +193,12 @@ def test_model_is_a_distribution_and_matches_plain_counts(spark):
 
     def discount(k):
         n = [sum(1 for x in counts[k].values() if x == i) for i in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0
-        r = lambda a, b: a / b if b else 0
-        return [0] + [min(i, max(0, i - (i + 1) * y * r(b, a))) for i, a, b in ((1, n[0], n[1]), (2, n[1], n[2]), (3, n[2], n[3]))]
+        if min(n) > 0:
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+            if 0 < d[0] < 1 and 0 < d[1] < 2 and 0 < d[2] < 3:
+                return [0, *d]
+        return [0, 0.5, 1.0, 1.5]
 
     def prob(k, code):
         if k == 0:
