@@ -251,7 +251,6 @@ _FUSE = (
     CASE WHEN anomaly_confidence > 0.7 THEN 'BEHAVIOURAL_ANOMALY' END, CASE WHEN digital_twin_score >= 0.5 THEN 'PHYSICS_TWIN_MATCH' END) AS evidence_flags FROM fz
 )"""
 )
-_CORNER = "greatest(0, least(i{a}, {n} - 2))"
 SQL = {
     "uv_roundtrip": f"WITH {_WINDS}, x AS (SELECT *, -speed * sin(radians(deg)) AS u, -speed * cos(radians(deg)) AS v, speed * sin(radians(deg)) AS cu, speed * cos(radians(deg)) AS cv FROM w) SELECT event_id, {_r('u v cu cv')}, round(sqrt(u * u + v * v), 6) AS speed_back, CASE WHEN speed = 0 THEN 180.0 ELSE deg END AS from_deg, round(cu * cos(radians(30)) + cv * sin(radians(30)), 6) AS ru, round(-cu * sin(radians(30)) + cv * cos(radians(30)), 6) AS rv FROM x",
     "sphere_steps": f"WITH f AS (SELECT event_id AS ord, 31.0::DOUBLE + 0.08::DOUBLE * (user_id % 50) + 0.0002::DOUBLE * ((user_id % 7) - 3) * h + 0.0005::DOUBLE * (event_id % 11) AS lat, 32.0::DOUBLE + 0.08::DOUBLE * (user_id % 40) + 0.0003::DOUBLE * ((user_id % 5) - 2) * h + 0.0005::DOUBLE * (event_id % 13) AS lon, CAST((event_id * 37) % 360 AS DOUBLE) AS cog, value / 50.0::DOUBLE AS sog FROM (SELECT *, (epoch_us(ts) - 1704067200000000) / 3.6e9::DOUBLE AS h FROM events)), g AS (SELECT *, lat + degrees(cos(radians(cog)) * (sog + 1) * 1000 / 6371008.8) AS lat2, lon + degrees(sin(radians(cog)) * (sog + 1) * 1000 / (6371008.8 * greatest(cos(radians(lat)), 1e-6))) AS lon2 FROM f) SELECT ord, round(lon2, 5) AS lon2, round(lat2, 5) AS lat2, round({hav('lat', 'lon', 'lat2', 'lon2')}, 5) AS km, round(radians(lon2 - lon) * cos(radians(lat)) * 6371.0088, 5) AS x_km, round(radians(lat2 - lat) * 6371.0088, 5) AS y_km FROM g",

@@ -177,7 +177,7 @@ def case_summary(spark, sf_dir):
 
 
 def otsu_tiled(spark, sf_dir):
-    """Dark objects of a rendered scene against its truth (no SQL counterpart; the tests hold the reference's thresholds)."""
+    """Dark objects of a rendered scene against its truth (no SQL counterpart; the tests hold thresholds)."""
     from slickwake.sources.scenes import demo_scene
 
     px = demo_scene(spark, "bench", 31.3, 32.3, 1.2, 128, 60.0, 5)

@@ -1,7 +1,6 @@
 """Recorded values of one published case: what goes into the fusion and what comes out."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from slickwake.operators import fusion
 
