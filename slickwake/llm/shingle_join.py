@@ -1,0 +1,150 @@
+"""Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: an exact prefix-filtered join.
+
+Two sets that are that similar share a shingle among the first ``n - ceil(0.8 * n) + 1`` of each, in whatever order all
+sets are sorted by; so no pair is missed.  The order is by hash, with crowded shingles (those that the prefixes of many
+documents would share) last, the most frequent ones at the very end: passages that unrelated documents have in common
+stay out of their prefixes.  Which shingles count as crowded bears on cost alone, so their number can be capped.
+
+Equal sets are one set.  Where more than ``dense`` sets share a shingle they are compared with two of them first; what
+that links needs no further comparison, and the rest is compared in blocks, so a large group of near copies costs rows
+in proportion, not pairs, and nothing is left out.  Lengths and positions rule pairs out before sets are compared.
+
+Shingles are 64-bit hashes of words with A-Z in lower case.  Fewer than five words are one shingle; null and wordless
+texts have the empty set and are equal to each other.  A component without any id has a null component id.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from slickwake.llm.common import ASCII_LOWER, arrow_map, byte_column, materialize
+from slickwake.llm.graph import components
+
+WIDTH, SEED = 5, 42
+#: The similarity, as a fraction.
+NUM, DEN = 4, 5
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    words = text.translate(ASCII_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - WIDTH + 1)
+    last = ends[WIDTH - 1 :] if len(words) >= WIDTH else ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n))
+
+
+def prefix(h: np.ndarray, crowd: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set; ``crowd``: sorted crowded shingles, and how frequent each is."""
+    keys, n = crowd
+    take = len(h) - -(-NUM * len(h) // DEN) + 1
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        h = h[np.lexsort((h, np.where(keys[at] == h, n[at], 0)))]
+    return h[:take].view(np.int64)
+
+
+def crowded(docs: DataFrame, dense: int, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of prefixes by hash alone, of those in more than ``dense`` documents."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def run(batches):
+        for b in batches:
+            keys = [prefix(shingles(t), none) for t in byte_column(b, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], names=["key"])
+
+    counts = arrow_map(docs.select("text"), run, "key long").groupBy("key").agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") > dense).orderBy(F.desc("n"), "key").limit(most).toArrow()
+    keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prints(docs: DataFrame, crowd: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``doc_id, text_key, sk, n, prefix`` for each row; ``sk`` is a digest of the set."""
+    shared = docs.sparkSession.sparkContext.broadcast(crowd)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t) for t in byte_column(b, "text")]
+            sk = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            heads = pa.array([prefix(h, shared.value) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(sk), pa.array([len(h) for h in sets], pa.int32()), heads], names=["doc_id", "text_key", "sk", "n", "prefix"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    return arrow_map(rows, run, "doc_id long, text_key long, sk long, n int, prefix array<long>")
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sk, set`` of the sets in ``wanted`` (``sk, text_key``)."""
+
+    def run(batches):
+        for b in batches:
+            sets = pa.array([shingles(t).view(np.int64) for t in byte_column(b, "text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("sk"), sets], names=["sk", "set"])
+
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key").select("sk", "text")
+    return arrow_map(texts, run, "sk long, set array<long>").groupBy("sk").agg(F.any_value("set").alias("set"))
+
+
+def _may(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles can be similar if the first that they share is at ``pos`` and ``at``."""
+    return F.least(n - pos, m - at) * (NUM + DEN) >= (n + m) * NUM
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` whose sets are similar."""
+    both = pairs.join(sets.select(F.col("sk").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("sk").alias("v"), F.col("set").alias("b")), "v")
+    return both.where(F.size(F.array_intersect("a", "b")) * (NUM + DEN) >= (F.size("a") + F.size("b")) * NUM).select("u", "v")
+
+
+def _candidates(lists: DataFrame, block: int) -> DataFrame:
+    """Pairs in lists (``key, m, sk, n, pos, label``) that no label joins yet; large lists meet in pairs of blocks."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64("sk"), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    rows = lists.withColumn("own", own).withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "own", "sk", "n", "pos", "label")
+    a = rows.toDF("key", "i", "j", "own", "u", "n", "pos", "label")
+    b = rows.toDF("key", "i", "j", "own2", "v", "m", "at", "label2")
+    met = a.join(b, ["key", "i", "j"]).where("u < v AND label <> label2 AND (own <> own2 OR i = j)")
+    return met.where(_may(F.col("n"), F.col("pos"), F.col("m"), F.col("at"))).select("u", "v").distinct()
+
+
+def similar_documents(docs: DataFrame, dense: int = 64, block: int = 512) -> DataFrame:
+    """``doc_id, text_key, sk, component_id``, one row per row of ``docs``."""
+    rows = materialize(prints(docs, crowded(docs, dense)), "prints")
+    sets = rows.groupBy("sk").agg(F.min("doc_id").alias("lo"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = materialize(sets, "sets")
+    entries = sets.select("sk", "n", F.posexplode("prefix").alias("pos", "key"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    lists = materialize(entries.join(sizes, "key"), "lists")
+    wanted = sets.select("sk", "text_key").join(lists.select("sk").distinct(), "sk", "left_semi")
+    full = materialize(_full_sets(docs, wanted), "full_sets")
+
+    links = None
+    todo = lists.withColumn("label", F.col("sk"))
+    crowd = lists.where(F.col("m") > dense)
+    if not crowd.isEmpty():
+        member, turn = F.struct("sk", "n"), F.xxhash64("key", "sk")
+        heads = crowd.groupBy("key").agg(F.array(F.min_by(member, turn), F.max_by(member, turn)).alias("heads"))
+        met = crowd.join(heads, "key").select("sk", "n", F.explode("heads").alias("h")).where(F.col("sk") != F.col("h.sk")).where(_may(F.col("n"), F.lit(0), F.col("h.n"), F.lit(0)))
+        links = materialize(_similar(met.select(F.least("sk", "h.sk").alias("u"), F.greatest("sk", "h.sk").alias("v")).distinct(), full), "stars")
+        labels = components(links).withColumnRenamed("node", "sk")
+        todo = materialize(lists.join(labels, "sk", "left").withColumn("label", F.coalesce("label", "sk")), "todo")
+        apart = todo.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        todo = todo.join(apart, "key", "left_semi")
+    found = _similar(materialize(_candidates(todo, block), "candidates"), full)
+    labels = components(found if links is None else links.union(found))
+    named = sets.select("sk", "lo").join(labels, sets["sk"] == labels["node"], "left").select("sk", "lo", F.coalesce("label", "sk").alias("label"))
+    named = materialize(named, "named")
+    least = named.groupBy("label").agg(F.min("lo").alias("component_id"))
+    return rows.select("doc_id", "text_key", "sk").join(named.join(least, "label").select("sk", "component_id"), "sk")

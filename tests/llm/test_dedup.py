@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from slickwake.llm import chunk_dedup, exact_dedup, line_dedup, simhash, suffix_dedup
+from slickwake.llm import chunk_dedup, exact_dedup, line_dedup, shingle_join, simhash, suffix_dedup
 from slickwake.llm.graph import components
 from tests.llm.helpers import SCHEMA, corpus, frame, sentence, with_clashes
 
@@ -268,6 +268,51 @@ def test_near_duplicates_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def word_shingles(text, n=5):
+    w = ascii_lower(text).split()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+@pytest.mark.parametrize("dense, block", [(64, 512), (3, 4)])
+def test_similar_documents_are_those_of_brute_force(spark, dense, block):
+    rng = random.Random(12)
+    rows = corpus(12, 40)
+    common = sentence(rng, 30)
+    for i in range(12):  # near copies: 1 to 3 words changed, so similarities from 0.6 to 1
+        base = sentence(rng, rng.randint(60, 120)).split()
+        for k in range(5):
+            w = list(base)
+            for _ in range(k and rng.randint(1, 3)):
+                w[rng.randrange(len(w))] = "changed%d" % rng.randrange(1000)
+            rows.append((3000 + 5 * i + k, " ".join(w), "en", "a", 1))
+        rows.append((4000 + i, sentence(rng, 40) + " " + common, "en", "a", 1))
+        rows.append((4100 + i, common + " " + sentence(rng, 4), "en", "a", 1))
+    sets = [word_shingles(r[1]) for r in rows]
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    kinds = set(sets)
+    assert sum(near(a, b) and 20 * len(a & b) < 19 * len(a | b) for a in kinds for b in kinds if a != b) > 20
+    comp = brute_components(kinds, near)
+    least = {}
+    for r, s in zip(rows, sets, strict=True):
+        if r[0] is not None:
+            least[comp[s]] = min(r[0], least.get(comp[s], r[0]))
+    want = sorted([(r[0], least.get(comp[s])) for r, s in zip(rows, sets, strict=True)], key=str)
+    found = shingle_join.similar_documents(with_clashes(frame(spark, rows)), dense, block).select("doc_id", "component_id")
+    assert sorted((tuple(r) for r in found.collect()), key=str) == want
+
+
+def test_pipeline_drops_near_copies_at_eight_tenths(spark):
+    import corpus_pipeline
+
+    base = sentence(random.Random(13), 104).split()
+    near, far = list(base), list(base)
+    near[30] = near[70] = "other"  # 90 of 110 shingles
+    far[20] = far[50] = far[80] = "other"  # 85 of 115
+    rows = [(i, " ".join(w), "en", "a", 1) for i, w in enumerate([base, near, far], 1)]
+    kept = corpus_pipeline.near_duplicate_removal(spark, frame(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 def test_components_of_a_long_chain(spark):
     rng = random.Random(1)
     ids = rng.sample(range(10_000), 300)
