@@ -18,6 +18,11 @@ words isn't judged by chance.  Documents above the ``quantile`` of trusted docum
 Quantiles come from counts over a grid of 1/1000 nat, exact to the grid and the same in every run.  Languages with
 fewer than ``least`` trusted documents (and the null language, if so) use the quantile of all.
 
+Fluent text can still be toxic.  A further model is trained on the texts labelled toxic (and not trusted), and each text
+is read word by word in windows of one word and the space after it: the ``heat`` of a text is the largest sum of log
+likelihood ratios, toxic against trusted, that a window has.  Texts hotter than the ``quantile`` of trusted documents,
+which neither model has seen, are rejected.  Without toxic labels there is no heat and nothing is rejected by it.
+
 Null and empty texts have no tokens, no perplexity, and are rejected.  Labels repeat without effect; contradicting
 labels don't make a document trusted unless one of them does.  Without any trusted text nothing is rejected but
 empty texts.  Repeated rows are each judged, alike.
@@ -34,6 +39,7 @@ from slickwake.llm.common import arrow_map, byte_column, materialize, read_table
 
 ORDER, SYMBOLS = 4, 64
 START, OTHER = SYMBOLS - 1, 0
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\f\v"))
 
 
 def alphabet(texts: DataFrame) -> np.ndarray:
@@ -64,11 +70,11 @@ def gram_codes(text: bytes, table: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(texts: DataFrame, table: np.ndarray) -> DataFrame:
-    """``half, code, n`` of the n-grams of the highest order; ``texts`` has ``text`` and ``half`` (0 or 1)."""
+    """``half, code, n`` of the n-grams of the highest order; ``texts`` has ``text`` and ``half`` (0 or 1, or 2 for toxic text)."""
 
     def count(batches):
-        part: list[list[np.ndarray]] = [[], []]
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        part: list[list[np.ndarray]] = [[], [], []]
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
         size = 0
 
         def fold(half: int) -> None:
@@ -84,10 +90,10 @@ def gram_counts(texts: DataFrame, table: np.ndarray) -> DataFrame:
                 part[half].append(gram_codes(t, table))
                 size += len(t)
                 if size > 4 << 20:
-                    fold(0)
-                    fold(1)
+                    for k in (0, 1, 2):
+                        fold(k)
                     size = 0
-        for half in (0, 1):
+        for half in (0, 1, 2):
             fold(half)
             for codes, n in held[half]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), half, np.int32)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["half", "code", "n"])
@@ -143,22 +149,33 @@ def log_probabilities(model: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -
     return rows[row[codes // np.uint32(SYMBOLS)], codes % np.uint32(SYMBOLS)]
 
 
-def cross_entropies(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> DataFrame:
-    """``doc_id, text_key, lang, n_tokens, nats`` for each row; ``nats`` has one sum for each model."""
-    shared = docs.sparkSession.sparkContext.broadcast((models, table))
+def word_heat(text: bytes, ratio: np.ndarray) -> float:
+    """The largest sum of ``ratio`` (a number for each byte) over a word and the space after it."""
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    starts = np.flatnonzero(np.concatenate(([True], space[:-1])))
+    return float(np.add.reduceat(ratio, starts, dtype=np.float64).max())
+
+
+def cross_entropies(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, toxic: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """``doc_id, text_key, lang, n_tokens, nats, heat`` for each row; ``nats`` has one sum and ``heat`` one number for each
+    model.  ``heat`` is null without a model of toxic text and for empty texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((models, table, toxic))
 
     def score(batches):
-        models, table = shared.value
+        models, table, toxic = shared.value
         for batch in batches:
             texts = byte_column(batch, "text")
-            nats = []
+            nats, heat = [], []
             for t in texts:
                 codes = gram_codes(t, table)
-                nats.append([-float(log_probabilities(m, codes).sum(dtype=np.float64)) for m in models])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), batch.column("lang"), pa.array([len(t) for t in texts], pa.int64()), pa.array(nats, pa.list_(pa.float64()))], names=["doc_id", "text_key", "lang", "n_tokens", "nats"])
+                logs = [log_probabilities(m, codes) for m in models]
+                nats.append([-float(x.sum(dtype=np.float64)) for x in logs])
+                hot = log_probabilities(toxic, codes) if toxic and t else None
+                heat.append(None if hot is None else [word_heat(t, hot - x) for x in logs])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), batch.column("lang"), pa.array([len(t) for t in texts], pa.int64()), pa.array(nats, pa.list_(pa.float64())), pa.array(heat, pa.list_(pa.float64()))], names=["doc_id", "text_key", "lang", "n_tokens", "nats", "heat"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("lang").cast("string"), "text")
-    return arrow_map(rows, score, "doc_id long, text_key long, lang string, n_tokens long, nats array<double>")
+    return arrow_map(rows, score, "doc_id long, text_key long, lang string, n_tokens long, nats array<double>, heat array<double>")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -166,29 +183,40 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where(good & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
 
 
+def toxic_ids(labels: DataFrame) -> DataFrame:
+    toxic = labels.where((F.col("toxic") == 1) & F.col("doc_id").isNotNull())
+    return toxic.select(F.col("doc_id").cast("long").alias("toxic_id")).distinct()
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, prior: float = 50.0, least: int = 100) -> DataFrame:
-    """``doc_id, text_key, lang, n_tokens, perplexity, threshold, kept``, one row per row of ``docs``."""
+    """``doc_id, text_key, lang, n_tokens, perplexity, threshold, heat, kept``, one row per row of ``docs``."""
     trusted = materialize(trusted_ids(labels), "trusted")
     table = alphabet(docs)
     is_trusted = F.col("doc_id") == F.col("trusted_id")
     # a merge join at every size: a broadcast while ids are few would only hide what this costs later
     half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted.hint("merge"), is_trusted, "left_semi").withColumn("half", half)
+    toxic = toxic_ids(labels).join(trusted, F.col("toxic_id") == F.col("trusted_id"), "left_anti")
+    taught = trusted.select(F.col("trusted_id").alias("taught_id"), F.lit(False).alias("is_toxic")).union(toxic.select("toxic_id", F.lit(True)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taught.hint("merge"), F.col("doc_id") == F.col("taught_id"))
+    texts = texts.select("text", F.when(F.col("is_toxic"), 2).otherwise(half).alias("half"))
     grams = materialize(gram_counts(texts, table), "grams")
     halves = [kneser_ney(grams.where(F.col("half") == h).select("code", "n")) for h in (0, 1)]
-    whole = kneser_ney(grams.groupBy("code").agg(F.sum("n").alias("n")))
-    scored = materialize(cross_entropies(docs, [whole, *halves], table), "scores")
+    whole = kneser_ney(grams.where("half < 2").groupBy("code").agg(F.sum("n").alias("n")))
+    of_toxic = grams.where("half = 2").select("code", "n")
+    hot = None if of_toxic.isEmpty() else kneser_ney(of_toxic)
+    scored = materialize(cross_entropies(docs, [whole, *halves], table, hot), "scores")
 
     # a trusted document's nats are those of the half that it isn't in
-    unseen = F.when(half == 0, F.col("nats")[2]).otherwise(F.col("nats")[1])
-    of_trusted = scored.join(trusted, is_trusted, "left_semi").where("n_tokens > 0").withColumn("nats", unseen)
-    scored = scored.withColumn("nats", F.col("nats")[0])
+    unseen = lambda c: F.when(half == 0, F.col(c)[2]).otherwise(F.col(c)[1])
+    of_trusted = scored.join(trusted, is_trusted, "left_semi").where("n_tokens > 0").withColumn("nats", unseen("nats")).withColumn("heat", unseen("heat"))
+    scored = scored.withColumn("nats", F.col("nats")[0]).withColumn("heat", F.col("heat")[0])
     mean = of_trusted.agg((F.sum("nats") / F.sum("n_tokens")).alias("m")).first()["m"] or 0.0
     entropy = (F.col("nats") + F.lit(prior * mean)) / (F.col("n_tokens") + F.lit(prior))
     language = F.coalesce("lang", F.lit("\0"))
-    grid = of_trusted.groupBy(language.alias("language"), F.floor(entropy * 1000).alias("bin")).agg(F.count("*").alias("n"))
+    binned = lambda value: of_trusted.groupBy(language.alias("language"), F.floor(value * 1000).alias("bin")).agg(F.count("*").alias("n"))
+    grid = binned(entropy)
 
-    def cut(by: list[str]) -> DataFrame:
+    def cut(by: list[str], grid: DataFrame = grid) -> DataFrame:
         """The smallest grid point with ``quantile`` of the trusted documents below it, and how many there are."""
         run = Window.partitionBy(*by).orderBy("bin")
         bins = grid.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
@@ -197,6 +225,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, prior: fl
 
     pooled = cut([]).first()
     general = float(pooled["cut"]) if pooled and pooled["cut"] is not None else float("inf")
+    hottest = cut([], binned(F.col("heat")).where("bin IS NOT NULL")).first()
+    most_heat = float(hottest["cut"]) if hottest and hottest["cut"] is not None else float("inf")
     own = cut(["language"]).where(F.col("n") >= least).select(F.col("language").alias("l"), "cut")
     limit = F.coalesce("cut", F.lit(general))
     return scored.join(own, language == F.col("l"), "left").select(
@@ -206,7 +236,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, prior: fl
         "n_tokens",
         F.when(F.col("n_tokens") > 0, F.exp(F.col("nats") / F.col("n_tokens"))).alias("perplexity"),
         F.exp(limit).alias("threshold"),
-        ((F.col("n_tokens") > 0) & (entropy <= limit)).alias("kept"),
+        "heat",
+        ((F.col("n_tokens") > 0) & (entropy <= limit) & (F.coalesce("heat", F.lit(float("-inf"))) <= most_heat)).alias("kept"),
     )
 
 

@@ -239,6 +239,16 @@ def test_held_out_quality(spark):
     assert rate[1] > 0.97 and rate[0] < 0.3
 
 
+def test_hidden_toxic_labels(spark):
+    """Fluent texts with insults go, though their labels are hidden; clean ones stay."""
+    sf, insults = "/root/testdata/sf0.01", r"(?i)\b(idiot|moron|scum|clown|trash|worthless|pathetic|loser|disgusting|stupid)\b"
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    got = ngram_quality.judge(docs, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0"), "doc_id")
+    got = got.join(docs.select("doc_id", F.col("text").rlike(insults).alias("insults")).dropDuplicates(["doc_id"]), "doc_id").where("quality = 1")
+    kept = {(r["toxic"], r["insults"]): r["k"] for r in got.groupBy("toxic", "insults").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert kept[1, True] < 0.1 and kept[0, False] > 0.97
+
+
 # ------------------------------------------------------------------ pipeline
 
 
