@@ -35,6 +35,14 @@ def from_epoch_s(seconds) -> Column:
     return F.timestamp_add("MICROSECOND", F.round(col(seconds) * 1e6).cast("long"), F.expr(_EPOCH))
 
 
+def utc_time(text) -> Column:
+    """Text to TIMESTAMP_NTZ in UTC, null if it is no time.  A zone or an offset counts; without one, the time is UTC."""
+    s = F.trim(col(text).cast("string"))
+    zoned = s.rlike(r"\d[Tt ]\d{1,2}:.*([Zz]|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)$")
+    instant = F.timestamp_add("MICROSECOND", F.unix_micros(s.try_cast("timestamp")), F.expr(_EPOCH))
+    return F.when(zoned, instant).otherwise(s.try_cast("timestamp_ntz"))
+
+
 def met_wind_to_uv(speed, from_deg) -> tuple[Column, Column]:
     a = F.radians(col(from_deg))
     return -col(speed) * F.sin(a), -col(speed) * F.cos(a)

@@ -40,13 +40,17 @@ def positions_on_grid(tracks: DataFrame, t_obs_s: float, dt_s: float, steps: int
 
 def positions_at(tracks: DataFrame, times: DataFrame, sigma_km: float = 0.2) -> DataFrame:
     """The same at any times: ``times`` has ``mmsi, q`` (epoch seconds).  Reports and times share one window per vessel."""
-    fixes = tracks.select("mmsi", epoch_s("ts").alias("es"), F.struct(epoch_s("ts").alias("es"), "lat", "lon", "sog").alias("fix"), F.lit(None).cast("double").alias("q"))
-    asked = times.select("mmsi", F.col("q").alias("es"), F.lit(None).cast(fixes.schema["fix"].dataType).alias("fix"), "q").distinct()
+    fix = F.struct("es", "lat", "lon", "sog")
+    each = tracks.withColumn("es", epoch_s("ts"))
+    # the report before each report is taken among reports alone; times asked for come in afterwards
+    each = each.withColumn("prev", F.lag(fix).over(Window.partitionBy("mmsi").orderBy("es")))
+    fixes = each.select("mmsi", "es", fix.alias("fix"), "prev", F.lit(None).cast("double").alias("q"))
+    none = F.lit(None).cast(fixes.schema["fix"].dataType)
+    asked = times.select("mmsi", F.col("q").alias("es"), none.alias("fix"), none.alias("prev"), "q").distinct()
     order = Window.partitionBy("mmsi").orderBy(F.col("es"), F.col("q").isNotNull())
-    before = F.last("fix", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(F.col("fix").isNotNull(), F.struct("fix", "prev")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    before, first_of = last["fix"], last["prev"]
     after = F.first("fix", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    previous = F.lag("fix").over(order)
-    first_of = F.last(F.when(F.col("fix").isNotNull(), previous), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     df = fixes.unionByName(asked).withColumn("_a", before).withColumn("_b", after).withColumn("_z", first_of)
     df = df.where("q IS NOT NULL AND _a IS NOT NULL")
     # a time on the last report belongs to the interval that ends there

@@ -90,7 +90,8 @@ def position_at_times(spark, sf_dir):
     """The same at times that follow no grid, by one window over reports and times."""
     t = views.transits(spark, sf_dir)
     times = t.select("mmsi").distinct().withColumn("q", F.explode(F.array(*(F.lit(T_OBS_S - 86_400.0 * d - 1234.5 * d * d) for d in range(12)))))
-    return rounded(attribution.positions_at(t, times), 6)
+    last = t.groupBy("mmsi").agg(F.max(geo.epoch_s("ts")).alias("q"))
+    return rounded(attribution.positions_at(t, times.union(last)), 6)
 
 
 def _co(spark, sf_dir):
@@ -211,14 +212,14 @@ _POS = (
 ), asked AS ({asked}), pos AS (
   SELECT iv.mmsi, asked.*, iv.lat * (1 - x) + lat1 * x AS lat, iv.lon * (1 - x) + lon1 * x AS lon, (es1 - es) / 60 AS gap_min,
     0.2 + CASE WHEN (es1 - es) / 60 > 30 THEN 0.25 * ((es1 - es) / 60 / 60) * 1.852 * greatest((coalesce(sog, 8) + coalesce(sog1, 8)) / 2, 3) ELSE 0 END AS sigma_km
-  FROM iv JOIN asked ON q >= es AND (q < es1 OR (is_last AND q <= es1)), LATERAL (SELECT (q - es) / (es1 - es) AS x) WHERE es1 IS NOT NULL
+  FROM iv JOIN asked ON {whose}q >= es AND (q < es1 OR (is_last AND q <= es1)), LATERAL (SELECT (q - es) / (es1 - es) AS x) WHERE es1 IS NOT NULL
 )"""
 )
 _GRID = f"SELECT k, {T_OBS_S} - k * {DT_S} AS q FROM (SELECT unnest(range(1, {STEPS + 1})) AS k)"
 _CO = (
     _CLOUD
     + ", "
-    + _POS.format(asked=_GRID)
+    + _POS.format(asked=_GRID, whose="")
     + f""", co AS (
   SELECT *, exp(-0.5 * z * z) AS score FROM (SELECT *, dist_km / sqrt(power(greatest(spread_km, 0), 2) + 1.0 + power(sigma_km, 2)) AS z
     FROM (SELECT p.mmsi, p.k, p.q, p.lat, p.lon, p.gap_min, p.sigma_km, c.spread_km, {hav('p.lat', 'p.lon', 'c.lat', 'c.lon')} AS dist_km FROM pos p JOIN cloud c ON p.k = c.k)))"""
@@ -262,8 +263,8 @@ SQL = {
     "trajectory_bbox": f"WITH {PATHS_SQL} SELECT round(quantile_cont(lon, 0.025) - 0.05, 6) AS lon_min, round(quantile_cont(lat, 0.025) - 0.05, 6) AS lat_min, round(quantile_cont(lon, 0.975) + 0.05, 6) AS lon_max, round(quantile_cont(lat, 0.975) + 0.05, 6) AS lat_max FROM paths",
     "cloud_at": f"WITH {_CLOUD} SELECT q, arg_min(k, abs(es - q) * 1000 + k) AS k FROM cloud, (SELECT {T_OBS_S} - i * 9001.0::DOUBLE AS q FROM (SELECT unnest(range(0, 60)) AS i)) GROUP BY q",
     "source_distance": f"WITH {PATHS_SQL}, s AS (SELECT particle % 2 AS h, avg(lon) AS lon, avg(lat) AS lat FROM paths WHERE k = 24 GROUP BY 1) SELECT round({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) AS distance_km FROM s a, s b WHERE a.h = 0 AND b.h = 1",
-    "position_at": f"WITH {_POS.format(asked=_GRID)} SELECT mmsi, k, {_r('lat lon gap_min sigma_km')} FROM pos",
-    "position_at_times": f"WITH {_POS.format(asked=f'SELECT {T_OBS_S} - 86400.0 * d - 1234.5 * d * d AS q FROM (SELECT unnest(range(0, 12)) AS d)')} SELECT mmsi, {_r('q lat lon gap_min sigma_km')} FROM pos",
+    "position_at": f"WITH {_POS.format(asked=_GRID, whose="")} SELECT mmsi, k, {_r('lat lon gap_min sigma_km')} FROM pos",
+    "position_at_times": f"WITH {_POS.format(asked=f'SELECT {T_OBS_S} - 86400.0 * d - 1234.5 * d * d AS q, NULL::BIGINT AS who FROM (SELECT unnest(range(0, 12)) AS d) UNION ALL SELECT max(es), mmsi FROM fixes GROUP BY mmsi', whose='(who IS NULL OR who = iv.mmsi) AND ')} SELECT mmsi, {_r('q lat lon gap_min sigma_km')} FROM pos",
     "colocation_score": f"WITH {_CO} SELECT mmsi, k, {_r('dist_km z score')} FROM co",
     "rank_vessels": f"WITH {_RANK} SELECT mmsi, vessel_name, n_fixes, temporal, spatial, ais_quality, passes_all, dark_gap_flag, {_r('attribution_score min_z min_dist_km est_release_time est_release_lat est_release_lon release_window_start release_window_end max_ais_gap_min_near_release anomaly_confidence')} FROM funnel",
     "funnel_counts": f"WITH {_RANK} SELECT count(*) AS vessels, count(*) FILTER (WHERE temporal) AS n_temporal, count(*) FILTER (WHERE spatial) AS n_spatial, count(*) FILTER (WHERE ais_quality) AS n_ais_quality, count(*) FILTER (WHERE passes_all) AS n_passes_all FROM funnel",

@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slickwake.functions.geo import KM_PER_DEG, local_km, pixel_to_lonlat
+from slickwake.functions.geo import KM_PER_DEG, local_km, pixel_to_lonlat, utc_time
 
 # fixed values: tags that may hold an acquisition time, in order of preference
-TIME_TAGS = ("acquisition_start_time", "acquisition_time", "sensing_time", "sensing_start", "product_start_time", "tifftag_datetime", "start_time", "datetime")
+TIME_TAGS = ("ACQUISITION_START_TIME", "ACQUISITION_TIME", "SENSING_TIME", "SENSING_START", "PRODUCT_START_TIME", "TIFFTAG_DATETIME", "start_time", "acquisition_time", "datetime")
 # fixed values: words in a path that mark a mask
 MASK_WORDS = ("mask", "label", "/gt", "annot", "ground")
 # fixed values: the four demonstration cases (case, date, centre latitude, centre longitude, km2); the pass is assumed at 03:52
@@ -45,8 +45,8 @@ def labelled_pairs(spark: SparkSession, root: str, limit: int = 30) -> DataFrame
     """Pairs below a folder; of test and validation folders if there are any."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path").where(F.lower("path").rlike(r"\.(png|jpe?g|tiff?)$"))
     pairs = pair_by_stem(files.withColumn("ord", F.col("path")))
-    best = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return pairs.withColumn("_any", F.max("preferred").over(best)).where("preferred OR NOT _any").drop("_any").orderBy("image_path").limit(limit)
+    some = pairs.agg(F.max("preferred").alias("_any"))
+    return pairs.crossJoin(F.broadcast(some)).where("preferred OR NOT _any").drop("_any").orderBy("image_path").limit(limit)  # one row
 
 
 def acquisition_time(override: str, tags: str) -> tuple[Column, Column]:
@@ -54,8 +54,9 @@ def acquisition_time(override: str, tags: str) -> tuple[Column, Column]:
     low = F.transform_keys(F.col(tags), lambda k, v: F.lower(k))
     # 2019:04:05 03:52:00 is how cameras write dates
     plain = lambda v: F.regexp_replace(v, r"^(\d{4}):(\d\d):", "$1-$2-")
-    parsed = lambda v: F.try_to_timestamp(plain(v)).cast("timestamp_ntz")
-    found = F.coalesce(*(F.when(parsed(F.element_at(low, t)).isNotNull(), F.struct(parsed(F.element_at(low, t)).alias("t"), F.lit(f"raster_tag:{t}").alias("s"))) for t in TIME_TAGS))
+    parsed = lambda v: utc_time(plain(v))
+    tag = lambda t: F.element_at(low, t.lower())
+    found = F.coalesce(*(F.when(parsed(tag(t)).isNotNull(), F.struct(parsed(tag(t)).alias("t"), F.lit(f"raster_tag:{t.lower()}").alias("s"))) for t in TIME_TAGS))
     given = F.when(F.col(override).isNotNull(), F.struct(parsed(F.col(override)).alias("t"), F.lit("user_supplied").alias("s")))
     both = F.coalesce(given, found)
     return both["t"], both["s"]

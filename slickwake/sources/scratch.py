@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where none is set."""
+    """``spark.checkpoint.dir`` of the session.  Where none is set, a local session (one machine) gets a folder of its own;
+    on a cluster that is an error, since executors don't share local folders."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slickwake-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")

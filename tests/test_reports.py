@@ -30,8 +30,9 @@ def test_gap_of_exactly_the_limit_stays(spark):
 
 
 def test_interpolation_limit_and_circular_mean(spark):
-    cfg = AISConfig(history_steps=0, gap_segment_minutes=600.0)
-    rows = [(1, 0, 31.0, 32.0, 5.0, 350.0), (1, 1, 31.0, 32.0, 5.0, 10.0), (1, 36, 31.6, 32.0, 5.0, 90.0), (1, 37, 31.6, 32.0, 5.0, 90.0)]
+    # bins of ten minutes: 0.6 degrees in 59 minutes are 37 knots, below the limit of 50
+    cfg = AISConfig(history_steps=0, gap_segment_minutes=600.0, resample_minutes=10)
+    rows = [(1, 0, 31.0, 32.0, 5.0, 350.0), (1, 1, 31.0, 32.0, 5.0, 10.0), (1, 60, 31.6, 32.0, 5.0, 90.0), (1, 61, 31.6, 32.0, 5.0, 90.0)]
     out = ais.fill_gaps(ais.resample(ais.segments(ais.clean(frame(spark, rows)), cfg), cfg), cfg).orderBy("es").collect()
     assert [round(r["lat"], 6) for r in out] == [31.0, 31.1, 31.2, 31.3, 31.6]  # three bins, then nothing, then the next report
     assert min(out[0]["cog"], 360 - out[0]["cog"]) < 1e-9
@@ -54,6 +55,28 @@ def test_position_on_and_between_reports(spark):
     assert free == got
 
 
+def test_position_on_the_last_report_after_other_times(spark):
+    """Times between two reports don't change the interval that ends at the last one."""
+    t = frame(spark, [(1, 0, 31.0, 32.0, 5.0, 0.0), (1, 60, 31.6, 32.6, 5.0, 0.0), (1, 120, 32.2, 33.2, 5.0, 0.0)])
+    q = lambda m: (T0 + dt.timedelta(minutes=m) - dt.datetime(1970, 1, 1)).total_seconds()
+    both = attribution.positions_at(t, spark.createDataFrame([(1, q(90)), (1, q(105)), (1, q(120))], "mmsi long, q double"))
+    alone = attribution.positions_at(t, spark.createDataFrame([(1, q(120))], "mmsi long, q double"))
+    assert both.where(F.col("q") == q(120)).collect() == alone.collect()
+    assert alone.first()["gap_min"] == 60.0 and round(alone.first()["sigma_km"], 3) == 2.515
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    from slickwake.functions.geo import utc_time
+
+    rows = [("2019-03-31 02:30:00",), ("2019-03-31T02:30:00Z",), ("2019-03-31T04:30:00+02:00",), ("oops",), (None,), ("2019-03-31",)]
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = [r["t"] for r in spark.createDataFrame(rows, "s string").select(utc_time("s").alias("t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [dt.datetime(2019, 3, 31, 2, 30)] * 3 + [None, None, dt.datetime(2019, 3, 31)]
+
+
 def test_sequences_exclude_their_bin(spark):
     cfg = AISConfig(history_steps=4)
     rows = [(1, 6 * i, 31.0 + 0.001 * i * i, 32.0, 5.0, 0.0) for i in range(12)]
