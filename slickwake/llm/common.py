@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,9 +16,13 @@ ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; one of our own only where none is set."""
+    """The folder that the cluster shares for checkpoints.  Where none is set, a local session (one machine) gets a folder
+    of its own; on a cluster that is an error, since executors don't share local folders."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         root = tempfile.mkdtemp(prefix="slickwake-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -35,6 +40,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """``df`` dealt over tasks of ``each`` rows, for steps that make many rows of one; small tables lie in too few files."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

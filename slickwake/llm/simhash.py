@@ -1,18 +1,29 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A fingerprint has 64 bits: bit k is set if it is set in more than half of the XXH64 values of the text's three-word
-shingles.  Two fingerprints within 3 bits differ in at most 3 of their 8 bytes, so the guaranteed minimum number of
-shared positional bytes is 5.  Posting lists of single bytes would hold a 256th of all fingerprints each, and the
-tally over their pairs would be quadratic; so the index is keyed by what the count filter asks for, every choice of 5
-positions with their bytes.  Only pairs that meet in a list are tallied and verified bit by bit.
-
-Only distinct fingerprints are indexed: copies never meet.  A list with more than ``dense`` fingerprints is not
-paired; its members agree in 40 bits and are indexed again by the 24 others, as 6 units of 4 bits of which 3 must
-agree, and if that is still dense by the last 12 bits, as 6 units of 2 bits of which 3 must agree.  After that 6 bits
-are free, a list cannot have more than 64 distinct members, and pairs are bounded by that.  No link is lost.
-
-Null and wordless texts have fingerprint 0 and are linked like any other.  Fewer than three words are one shingle.
-Repeated rows share fingerprint and component.  A component without any id has a null component id.
+shingles.  Two fingerprints within 3 bits differ in at most 3 of their 8 bytes, so they share 5 positional bytes at
+least, and one of any 4 positions: the posting lists of the first 4 positions are a sufficient index.  A list of single
+bytes holds a 256th of all fingerprints, so lists are refined where they are long: members of a list with more than
+``dense`` fingerprints go to longer lists, by one more of the first 5 positions (2 must be shared among those), then 6,
+7 and 8.  Every pair meets in the list of its first shared positions, at the level where that is short.  Pairs that
+meet are tallied over all 8 positions, those with the guaranteed 5 are kept, and their bits are compared.
+
+Lists whose members agree in 5 bytes and are still long go on with the 24 bits that are left, as 6 units of 4 bits of
+which 3 must agree, and then with 12 bits as 6 units of 2.  After that 6 bits are free, a list cannot have more than 64
+distinct members, and pairs are bounded by that.  Only distinct fingerprints are indexed: copies never meet.  No link
+is lost.
+
+``similar_documents`` is the same index for a similarity of word shingles (0.8 by default).  At 0.8 about 10 of the 64
+SimHash bits differ, so two texts may share no byte at all and no minimum is guaranteed.  Its fingerprint therefore has
+64 positional bytes that agree each with a chance equal to the similarity (the smallest hash in each of 64 ranges, an
+empty range borrowing from another); lists are kept by 4 neighbouring positions, shared bytes are tallied per pair, and
+what has half of them is verified by the exact sets of shingles.  A pair at exactly 0.8 is missed with a chance of
+2 in 10,000, the more similar the less.  Long lists are compared with two of their members first; what that links needs
+no further comparison, and the rest is compared in blocks, so a large group of near copies costs rows in proportion.
+
+Null and wordless texts have fingerprint 0 (or the empty set) and are linked like any other.  Texts with fewer words
+than a shingle are one shingle.  Repeated rows share fingerprint and component.  A component without any id has a null
+component id; an empty table has none.
 """
 
 from __future__ import annotations
@@ -25,28 +36,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slickwake.llm.common import ASCII_LOWER, arrow_map, byte_column, materialize, read_table
+from slickwake.llm.common import ASCII_LOWER, arrow_map, byte_column, materialize, read_table, spread
 from slickwake.llm.graph import components
 
 BITS, SHINGLE, SEED = 3, 3, 42
+#: A positional index of single bytes starts where its lists have about so many members.
+_SHORT = 32
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of the words of a text; 0 if it has none."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, repeats included; of the whole sequence if it is shorter; nothing without words."""
     words = text.translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of the words of a text; 0 if it has none."""
+    h = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -60,18 +78,44 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text"), run, "doc_id long, text_key long, fp long")
 
 
+# ------------------------------------------------------------------ the index of single bytes
+
+
 def _unit(fp: Column, at: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _keys(fp: Column, shifts: list[int], width: int, need: int) -> Column:
-    """All choices of ``need`` units of ``fp`` at ``shifts``, as an array of (units not chosen, key)."""
+def _byte(fp: Column, position: int) -> Column:
+    return _unit(fp, 8 * position, 8)
+
+
+def _postings(fp: Column, level: int) -> Column:
+    """The lists of a fingerprint at a level: every choice of ``level`` of the first ``level + 3`` positions, as a set of
+    positions (8 bits, above) and their bytes (40 bits)."""
+    out = []
+    for chosen in combinations(range(level + BITS), level):
+        key = F.lit(0).cast("long")
+        for p in chosen:
+            key = F.shiftleft(key, 8).bitwiseOR(_byte(fp, p))
+        out.append(key.bitwiseOR(F.lit(sum(1 << p for p in chosen) << 40)))
+    return F.array(*out)
+
+
+def _longer(posting: Column, fp: Column, level: int) -> Column:
+    """The lists of level ``level + 1`` that go on from a list of ``level``, by one position behind its last."""
+    chosen, key = F.shiftrightunsigned(posting, 40), posting.bitwiseAND(F.lit((1 << 40) - 1))
+    more = [F.when(chosen < (1 << p), F.shiftleft(chosen.bitwiseOR(F.lit(1 << p)), 40).bitwiseOR(F.shiftleft(key, 8).bitwiseOR(_byte(fp, p)))) for p in range(level + BITS + 1)]
+    return F.array_compact(F.array(*more))
+
+
+def _unit_lists(value: Column, shifts: list[int], width: int, need: int) -> Column:
+    """All choices of ``need`` units of ``value`` at ``shifts``, as an array of (units chosen, key)."""
     out = []
     for chosen in combinations(range(len(shifts)), need):
         key = F.lit(0).cast("long")
         for i in chosen:
-            key = F.shiftleft(key, width).bitwiseOR(_unit(fp, shifts[i], width))
-        out.append(F.struct(F.lit(sum(1 << i for i in chosen)).cast("int").alias("set"), key.alias("key")))
+            key = F.shiftleft(key, width).bitwiseOR(_unit(value, shifts[i], width))
+        out.append(F.struct(F.lit(sum(1 << i for i in chosen)).cast("long").alias("units"), key.alias("key")))
     return F.array(*out)
 
 
@@ -87,39 +131,55 @@ def _rest(value: Column, chosen: Column, shifts: list[int], width: int, need: in
     return out
 
 
+def _sized(lists: DataFrame, by: list[str]) -> DataFrame:
+    """The lists of two members or more, with their size ``n``."""
+    return materialize(lists.join(lists.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), by), "lists")
+
+
 def _pairs(lists: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs that meet in a list, share the guaranteed number of positional bytes and differ in few bits."""
     a, b = lists.select(*by, F.col("fp").alias("u")), lists.select(*by, F.col("fp").alias("v"))
+    shared = sum(((_byte(F.col("u"), p) == _byte(F.col("v"), p)).cast("int") for p in range(8)), F.lit(0))
     differ = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    shared = sum(((_unit(F.col("u"), 8 * i, 8) == _unit(F.col("v"), 8 * i, 8)).cast("int") for i in range(8)), F.lit(0))
     return a.join(b, by).where("u < v").where(shared >= 8 - BITS).where(differ <= BITS).select("u", "v")
 
 
-def fingerprint_links(prints: DataFrame, dense: int = 128) -> DataFrame:
-    """Pairs ``u < v`` of distinct fingerprints (column ``fp``) that differ in at most 3 bits, each pair once."""
+def fingerprint_links(prints: DataFrame, dense: int = 128, level: int | None = None) -> DataFrame:
+    """Pairs ``u < v`` of distinct fingerprints (column ``fp``) that differ in at most 3 bits, each pair once.
+
+    ``level`` is the number of positions that the index begins with; it bears on cost, not on results.
+    """
     fps = materialize(prints.select("fp").distinct(), "fps")
-    links = None
-    shifts, width = [8 * i for i in range(8)], 8
-    lists = fps.select("fp", F.col("fp").alias("value"))
-    by: list[str] = []
-    for level in (1, 2, 3):
-        need = len(shifts) - BITS
-        chosen, key = f"set{level}", f"key{level}"
-        lists = lists.select(*by, "fp", *(["value"] if level > 1 else []), F.explode(_keys(F.col("value"), shifts, width, need)).alias("k"))
-        lists = lists.select(*by, "fp", *(["value"] if level > 1 else []), F.col("k.set").alias(chosen), F.col("k.key").alias(key))
-        by = [*by, chosen, key]
-        sizes = lists.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
-        alive = materialize(lists.join(sizes, by), "lists")
-        last = level == 3
-        found = _pairs(alive if last else alive.where(F.col("n") <= dense), by)
+    n = fps.count()
+    if level is None:
+        level = next((k for k in range(1, 5) if n <= _SHORT << 8 * k), 5)
+    lists = spread(fps, n, 50_000).select("fp", F.explode(_postings(F.col("fp"), level)).alias("list"))
+    links, by = None, ["list"]
+    while True:
+        alive = _sized(lists, by)
+        found = _pairs(alive.where(F.col("n") <= dense), by)
         links = found if links is None else links.union(found)
         crowd = alive.where(F.col("n") > dense)
-        if last or crowd.isEmpty():
+        if (m := crowd.count()) == 0:
+            return links.distinct()
+        if level == 5:
             break
-        # what a choice leaves is cut in units of half the width
-        value = F.col("fp") if level == 1 else F.col("value")
-        lists = crowd.withColumn("value", _rest(value, F.col(chosen), shifts, width, need)).select(*by, "fp", "value")
-        width //= 2
-        shifts = [width * i for i in range(2 * BITS)]
+        lists = spread(crowd, m, 50_000).select("fp", F.explode(_longer(F.col("list"), F.col("fp"), level)).alias("list"))
+        level += 1
+    # five bytes agree: units of the 24 bits that are left, and of the 12 that those leave
+    lists, shifts, width = crowd.withColumn("value", _rest(F.col("fp"), F.shiftrightunsigned("list", 40), [8 * i for i in range(8)], 8, 5)), [4 * i for i in range(6)], 4
+    for units in ("units1", "units2"):
+        key = units.replace("units", "key")
+        each = lists.select(*by, "fp", "value", F.explode(_unit_lists(F.col("value"), shifts, width, BITS)).alias("k"))
+        by = [*by, units, key]
+        alive = _sized(each.withColumn(units, F.col("k.units")).withColumn(key, F.col("k.key")).drop("k"), by)
+        last = units == "units2"
+        links = links.union(_pairs(alive if last else alive.where(F.col("n") <= dense), by))
+        crowd = alive.where(F.col("n") > dense).drop("n")
+        if last or crowd.isEmpty():
+            return links.distinct()
+        lists = crowd.withColumn("value", _rest(F.col("value"), F.col(units), shifts, width, BITS))
+        shifts, width = [2 * i for i in range(6)], 2
     return links.distinct()
 
 
@@ -135,6 +195,128 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, dense: int = 128) -
     return prints.join(per_print, "fp")
 
 
+# ------------------------------------------------------------------ the index of 64 bytes
+
+
+PLACES, BAND = 64, 4
+#: Where an empty range looks for a hash.
+_BORROW = np.random.Generator(np.random.PCG64(5)).integers(0, PLACES, (PLACES, 256))
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def smallest_hashes(h: np.ndarray) -> np.ndarray:
+    """Of sorted hashes, the smallest in each of 64 ranges; a range without any borrows from one that has some."""
+    first = np.searchsorted(h >> np.uint64(58), np.arange(PLACES, dtype=np.uint64))
+    own = first < np.append(first[1:], len(h))
+    low = h[np.minimum(first, len(h) - 1)]
+    if not own.all():
+        bare = np.flatnonzero(~own)
+        hit = own[_BORROW[bare]]
+        # with very few hashes no choice may hit; then it is the next range that has some
+        source = np.where(hit.any(axis=1), _BORROW[bare, hit.argmax(axis=1)], 0)
+        nothing = ~hit.any(axis=1)
+        if nothing.any():
+            has = np.flatnonzero(own)
+            source[nothing] = has[np.searchsorted(has, bare[nothing]) % len(has)]
+        low[bare] = low[source]
+    return low
+
+
+def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, text_key, sk, n, places, lists`` for each row: a digest and the size of the set of shingles, its 64
+    positional bytes, and its lists of 4 places."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in byte_column(b, "text")]
+            sk = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            low = np.array([smallest_hashes(h) if len(h) else np.zeros(PLACES, np.uint64) for h in sets], np.uint64).reshape(-1, PLACES)
+            with np.errstate(over="ignore"):
+                key = np.arange(PLACES // BAND, dtype=np.uint64)[None, :] * _MIX[1]
+                for k in range(BAND):
+                    key = (key ^ (key >> np.uint64(29))) * _MIX[0] + low[:, k::BAND] * _MIX[1]
+                key ^= key >> np.uint64(32)
+            lists = [row if len(h) else row[:0] for row, h in zip(key.view(np.int64), sets, strict=True)]
+            places = [row.tobytes() for row in (low & np.uint64(255)).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("text_key"), pa.array(sk), pa.array([len(h) for h in sets], pa.int32()), pa.array(places, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "sk", "n", "places", "lists"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    return arrow_map(rows, run, "doc_id long, text_key long, sk long, n int, places binary, lists array<long>")
+
+
+def _tallied(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Pairs ``u, v`` of sets that share ``least`` of the 64 positional bytes."""
+
+    def run(batches):
+        for b in batches:
+            rows = b.num_rows
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(rows, PLACES) for c in ("x", "y"))
+            yield b.select(["u", "v"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    both = pairs.join(sets.select(F.col("sk").alias("u"), F.col("places").alias("x")), "u").join(sets.select(F.col("sk").alias("v"), F.col("places").alias("y")), "v")
+    return arrow_map(both.select("u", "v", "x", "y"), run, "u long, v long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """The pairs ``u, v`` whose exact sets have a similarity of ``num / den`` or more."""
+
+    def cut(batches):
+        for b in batches:
+            found = pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in byte_column(b, "text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("sk"), found], names=["sk", "set"])
+
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("sk")).distinct()
+    wanted = sets.join(ends, "sk", "left_semi").select("sk", "text_key")
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key").dropDuplicates(["text_key"])
+    full = materialize(arrow_map(texts.select("sk", "text"), cut, "sk long, set array<long>"), "full_sets")
+    both = pairs.join(full.select(F.col("sk").alias("u"), F.col("set").alias("a")), "u").join(full.select(F.col("sk").alias("v"), F.col("set").alias("b")), "v")
+    return both.where(F.size(F.array_intersect("a", "b")) * (num + den) >= (F.size("a") + F.size("b")) * num).select("u", "v")
+
+
+def _blocks(lists: DataFrame, block: int) -> DataFrame:
+    """Pairs in lists (``list, m, sk, n, label``) that no label joins yet; large lists meet in pairs of blocks."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64("sk"), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    rows = lists.withColumn("own", own).withColumn("cell", F.explode(cells)).select("list", "cell.i", "cell.j", "own", "sk", "n", "label")
+    a, b = rows.toDF("list", "i", "j", "own", "u", "n", "label"), rows.toDF("list", "i", "j", "own2", "v", "m", "label2")
+    return a.join(b, ["list", "i", "j"]).where("u < v AND label <> label2 AND (own <> own2 OR i = j)")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5), least_shared: int = PLACES // 2, dense: int = 64, block: int = 512) -> DataFrame:
+    """``doc_id, text_key, sk, component_id``, one row per row of ``docs``; ``similarity`` is a fraction."""
+    num, den = similarity
+    rows = materialize(wide_prints(docs, shingle), "wide_prints")
+    sets = rows.groupBy("sk").agg(F.min("doc_id").alias("lo"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("places").alias("places"), F.first("lists").alias("lists"))
+    sets = materialize(sets, "sets")
+    entries = sets.select("sk", "n", F.explode("lists").alias("list"))
+    lists = materialize(entries.join(entries.groupBy("list").agg(F.count("*").alias("m")).where("m > 1"), "list"), "lists")
+    near_size = F.least("n", "m") * den >= F.greatest("n", "m") * num
+
+    links, todo = None, lists.withColumn("label", F.col("sk"))
+    crowd = lists.where(F.col("m") > dense)
+    if not crowd.isEmpty():
+        member, turn = F.struct("sk", "n"), F.xxhash64("list", "sk")
+        heads = crowd.groupBy("list").agg(F.array(F.min_by(member, turn), F.max_by(member, turn)).alias("heads"))
+        met = crowd.select("list", "sk", "n").join(heads, "list").select("sk", "n", F.explode("heads").alias("h")).select("sk", "n", F.col("h.sk").alias("o"), F.col("h.n").alias("m"))
+        stars = met.where("sk <> o").where(near_size).select(F.least("sk", "o").alias("u"), F.greatest("sk", "o").alias("v")).distinct()
+        links = materialize(_verified(materialize(_tallied(stars, sets, least_shared), "stars"), docs, sets, shingle, num, den), "star_links")
+        labels = components(links).withColumnRenamed("node", "sk")
+        todo = materialize(lists.join(labels, "sk", "left").withColumn("label", F.coalesce("label", "sk")), "todo")
+        apart = todo.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("list")
+        todo = todo.join(apart, "list", "left_semi")
+    met = _blocks(todo, block).where(near_size).select("u", "v").distinct()
+    found = _verified(materialize(_tallied(met, sets, least_shared), "candidates"), docs, sets, shingle, num, den)
+    labels = components(found if links is None else links.union(found))
+    named = sets.select("sk", "lo").join(labels, sets["sk"] == labels["node"], "left").select("sk", "lo", F.coalesce("label", "sk").alias("label"))
+    named = materialize(named, "named")
+    least = named.groupBy("label").agg(F.min("lo").alias("component_id"))
+    return rows.select("doc_id", "text_key", "sk").join(named.join(least, "label").select("sk", "component_id"), "sk")
+
+
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from slickwake.llm import chunk_dedup, exact_dedup, line_dedup, shingle_join, simhash, suffix_dedup
+from slickwake.llm import chunk_dedup, exact_dedup, line_dedup, simhash, suffix_dedup
 from slickwake.llm.graph import components
 from tests.llm.helpers import SCHEMA, corpus, frame, sentence, with_clashes
 
@@ -247,8 +247,8 @@ def test_near_duplicates(spark):
     assert sorted((tuple(r) for r in found.collect()), key=str) == want
 
 
-@pytest.mark.parametrize("dense", [128, 2])
-def test_links_of_crowded_lists(spark, dense):
+@pytest.mark.parametrize("dense, level", [(128, None), (2, 1), (2, 3), (5, 5), (128, 2)])
+def test_links_of_crowded_lists(spark, dense, level):
     rng = random.Random(4)
     centre = rng.getrandbits(64)
     fps = {centre}
@@ -259,7 +259,7 @@ def test_links_of_crowded_lists(spark, dense):
         fps.add(x)
     fps |= {rng.getrandbits(64) for _ in range(40)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {(r["u"], r["v"]) for r in simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), dense).collect()}
+    got = {(r["u"], r["v"]) for r in simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), dense, level).collect()}
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
     assert got == want
 
@@ -297,7 +297,7 @@ def test_similar_documents_are_those_of_brute_force(spark, dense, block):
         if r[0] is not None:
             least[comp[s]] = min(r[0], least.get(comp[s], r[0]))
     want = sorted([(r[0], least.get(comp[s])) for r, s in zip(rows, sets, strict=True)], key=str)
-    found = shingle_join.similar_documents(with_clashes(frame(spark, rows)), dense, block).select("doc_id", "component_id")
+    found = simhash.similar_documents(with_clashes(frame(spark, rows)), dense=dense, block=block).select("doc_id", "component_id")
     assert sorted((tuple(r) for r in found.collect()), key=str) == want
 
 
