@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slickwake.llm import decontaminate, line_dedup, mixing, ngram_quality, shingle_join
+from slickwake.llm import decontaminate, line_dedup, mixing, ngram_quality, simhash
 from slickwake.llm.common import materialize, read_table
 
 #: Names that no table is likely to have.
@@ -46,7 +46,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 of five-word shingles one document stays: the one with the smallest id."""
-    found = shingle_join.similar_documents(docs)
+    found = simhash.similar_documents(docs)
     found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # rows that repeat the id of a group's document: the smallest text key stays, and one row of it
     best = found.groupBy("component_id").agg(F.min(F.struct("text_key", "doc_id")).alias("b")).select("b.doc_id", "b.text_key")
