@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,37 @@ def spread(df: DataFrame, rows: int, each: int) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
 
 
+def file_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """For tasks that read or write files of their own in the shared folder: its file system, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri if ":" in uri.split("/", 1)[0] else f"file://{uri}"))
+
+
+#: The most bits of a Bloom filter: 16 MB are sent to each executor, however many keys there are.
+BLOOM_BITS = 1 << 27
+
+
+def bloom(keys: DataFrame, n: int, most_bits: int = BLOOM_BITS) -> tuple[dict[int, np.ndarray], int]:
+    """A bit map over the hashes ``h`` of each ``kind``, and its bits: some 16 for each of the ``n`` keys, up to ``most_bits``.
+
+    Tasks set the bits, which meet word by word; at most ``most_bits / 64`` words of a kind reach the driver.
+    """
+    bits = min(most_bits, 1 << max(10, (16 * n).bit_length()))
+    at = keys.select("kind", F.pmod("h", F.lit(bits)).alias("at"))
+    words = at.groupBy("kind", F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS INT))")).alias("bits")).toArrow()
+    kind, word, found = (words[c].to_numpy() for c in ("kind", "word", "bits"))
+    maps = {}
+    for k in np.unique(kind).tolist():
+        full = np.zeros(-(-bits // 64), "<i8")
+        full[word[kind == k]] = found[kind == k]
+        maps[k] = full.view(np.uint8)
+    return maps, bits
+
+
+def in_bloom(bit_map: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    at = h % bits
+    return (bit_map[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

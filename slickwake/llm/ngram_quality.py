@@ -1,17 +1,22 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model.
 
-The model is trained on all trusted texts (``quality = 1`` and not toxic).  Its tokens are bytes, mapped to a closed
-alphabet: the most frequent bytes of the corpus, one symbol for all others and one for the start of a text.  So the
-number of n-grams is bounded by ``SYMBOLS ** ORDER`` (2^24) however large the corpus is, and the finished model is a
-broadcast of a proven size: a row of log probabilities for each context that occurs, and for each shorter one that
-stands in for those that don't; a few MB as a rule, 70 MB at most.
+The model is trained on all trusted texts (``quality = 1`` and not toxic).  Its tokens are bytes of UTF-8, all of them:
+no alphabet is chosen and nothing is pruned.  A text begins after start symbols (0xFF, which UTF-8 doesn't use).
 
 Counting is sharded: tasks count the n-grams of their texts, counts meet by n-gram, lower orders count distinct left
-extensions, and each n-gram is joined with the totals of its context (count, and how many followers occur once, twice,
-or more) to get its discounted share.  What is gathered grows with the trusted text.
+extensions, each n-gram is joined with the totals of its context (count, and how many followers occur once, twice, or
+more) to get its discounted share, and with the probability of its suffix, from the lowest order up.  Probabilities and
+what contexts leave to lower orders become one table of keys, sorted over range partitions in the folder that the
+cluster shares.  It never passes through the driver.
+
+Scoring is a join with that table by distinct n-gram.  A task reads its texts in stretches, makes the sorted distinct
+n-grams of a stretch (and their contexts and suffixes), and merges them with the sorted shards, one batch of rows at a
+time.  What it holds is bounded by the stretch, not by the model.  Moving n-grams to the shards instead would shuffle
+a row for almost every byte of text, since a document repeats few of its n-grams.
 
 Thresholds are set by documents that a model hasn't seen: trusted documents are dealt into two halves by a hash of
-their id, each half is scored by a model of the other, and everything is judged by the model of both.
+their id, each half is scored by a model of the other, and everything is judged by the model of both.  All models are
+columns of the same tables.
 
 A document's cross-entropy is shrunk towards that of all trusted text by ``prior`` pseudo-tokens, so a sentence of three
 words isn't judged by chance.  Documents above the ``quantile`` of trusted documents of their language are rejected.
@@ -25,159 +30,215 @@ which neither model has seen, are rejected.  Without toxic labels there is no he
 
 Null and empty texts have no tokens, no perplexity, and are rejected.  Labels repeat without effect; contradicting
 labels don't make a document trusted unless one of them does.  Without any trusted text nothing is rejected but
-empty texts.  Repeated rows are each judged, alike.
+empty texts.  A text exactly at a threshold is kept.  Repeated rows are each judged, alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slickwake.llm.common import arrow_map, byte_column, materialize, read_table
+from slickwake.llm.common import arrow_map, bloom, byte_column, file_store, in_bloom, materialize, read_table, scratch
 
-ORDER, SYMBOLS = 4, 64
-START, OTHER = SYMBOLS - 1, 0
+ORDER, SYMBOLS = 5, 256
+START = b"\xff" * (ORDER - 1)
+#: Columns of the tables: the model of all trusted text, of either half, and of toxic text.
+MODELS = ("w", "a", "b", "t")
+#: Bytes of text that are scored together.
+STRETCH = 4 << 20
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\f\v"))
 
 
-def alphabet(texts: DataFrame) -> np.ndarray:
-    """Byte to symbol: the most frequent bytes of ``texts`` (column ``text``) get their own."""
-
-    def count(batches):
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for t in byte_column(batch, "text"):
-                total += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total, pa.int64())], names=["byte", "n"])
-
-    rows = arrow_map(texts.select("text"), count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0").collect()  # 256 at most
-    table = np.full(256, OTHER, np.uint32)
-    for symbol, row in enumerate(sorted(rows, key=lambda r: (-r["n"], r["byte"]))[: SYMBOLS - 2], 1):
-        table[row["byte"]] = symbol
-    return table
+# ------------------------------------------------------------------ counting
 
 
-def gram_codes(text: bytes, table: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte, as base-64 digits; the text is preceded by start symbols."""
-    s = np.concatenate((np.full(ORDER - 1, START, np.uint32), table[np.frombuffer(text, np.uint8)]))
-    code = s[: len(s) - ORDER + 1].copy()
+def gram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each byte of the texts, as a number in base 256, and where each text's n-grams end."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    s = np.frombuffer(b"".join(x for t in texts for x in (START, t)), np.uint8).astype(np.int64)
+    n = max(0, len(s) - ORDER + 1)
+    code = s[:n].copy()
     for k in range(1, ORDER):
-        code *= np.uint32(SYMBOLS)
-        code += s[k : k + len(code)]
-    return code
+        code <<= 8
+        code |= s[k : k + n]
+    # n-grams that end in the start symbols of the next text are left out
+    ends = np.cumsum(sizes)
+    gaps = (ends + (ORDER - 1) * np.arange(len(sizes)))[:-1]
+    inside = np.ones(n, bool)
+    inside[(gaps[:, None] + np.arange(ORDER - 1)).ravel()] = False
+    return code[inside], ends
 
 
-def gram_counts(texts: DataFrame, table: np.ndarray) -> DataFrame:
-    """``half, code, n`` of the n-grams of the highest order; ``texts`` has ``text`` and ``half`` (0 or 1, or 2 for toxic text)."""
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """``code`` and its counts in each model, of n-grams of the highest order; ``texts`` has ``text`` and ``part`` (0 and 1
+    for the halves of trusted text, 2 for toxic text)."""
 
     def count(batches):
-        part: list[list[np.ndarray]] = [[], [], []]
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
+        part: list[list[bytes]] = [[], [], []]
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 3
         size = 0
 
-        def fold(half: int) -> None:
-            if part[half]:
-                held[half].append(np.unique(np.concatenate(part[half]), return_counts=True))
-                part[half] = []
-            if len(held[half]) > 1:
-                codes, at = np.unique(np.concatenate([c for c, _ in held[half]]), return_inverse=True)
-                held[half] = [(codes, np.bincount(at, np.concatenate([n for _, n in held[half]])).astype(np.int64))]
+        def fold() -> None:
+            for k in range(3):
+                if part[k]:
+                    codes, n = np.unique(gram_codes(part[k])[0], return_counts=True)
+                    codes, at = np.unique(np.concatenate((held[k][0], codes)), return_inverse=True)
+                    held[k] = codes, np.bincount(at, np.concatenate((held[k][1], n))).astype(np.int64)
+                    part[k] = []
 
         for batch in batches:
-            for t, half in zip(byte_column(batch, "text"), batch.column("half").to_pylist(), strict=True):
-                part[half].append(gram_codes(t, table))
+            for t, k in zip(byte_column(batch, "text"), batch.column("part").to_pylist(), strict=True):
+                part[k].append(t)
                 size += len(t)
-                if size > 4 << 20:
-                    for k in (0, 1, 2):
-                        fold(k)
+                if size > STRETCH:
+                    fold()
                     size = 0
-        for half in (0, 1, 2):
-            fold(half)
-            for codes, n in held[half]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), half, np.int32)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["half", "code", "n"])
+        fold()
+        for k, (codes, n) in enumerate(held):
+            for at in range(0, len(codes), 1 << 16):
+                c = codes[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k, np.int32)), pa.array(c), pa.array(n[at : at + (1 << 16)])], names=["part", "code", "n"])
 
-    return arrow_map(texts.select("half", "text"), count, "half int, code long, n long").groupBy("half", "code").agg(F.sum("n").alias("n"))
+    found = arrow_map(texts.select("part", "text"), count, "part int, code long, n long")
+    of = lambda *parts: F.sum(F.when(F.col("part").isin(*parts), F.col("n")).otherwise(0))
+    return found.groupBy("code").agg(of(0, 1).alias("w"), of(0).alias("a"), of(1).alias("b"), of(2).alias("t"))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
+def _discounts(counts: DataFrame) -> dict[str, list[float]]:
     """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more; fixed ones where counts are too few to tell."""
-    r = counts.agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-    n = [r[f"n{k}"] for k in (1, 2, 3, 4)]
-    if min(n) > 0:
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
-        if all(0 < x < k for k, x in enumerate(d, 1)):
-            return d
-    return [0.5, 1.0, 1.5]
-
-
-def kneser_ney(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of natural log probabilities of the next symbol, the row of each context)."""
-    counts, terms, contexts = grams, None, None
+    r = counts.agg(*(F.count_if(F.col(m) == k).alias(f"{m}{k}") for m in MODELS for k in (1, 2, 3, 4))).first()
+    out = {}
+    for m in MODELS:
+        n, out[m] = [r[f"{m}{k}"] for k in (1, 2, 3, 4)], [0.5, 1.0, 1.5]
+        if min(n) > 0:
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+            if all(0 < x < k for k, x in enumerate(d, 1)):
+                out[m] = d
+    return out
+
+
+def _key(order: int, code: Column, context: bool = False) -> Column:
+    """Keys of the model's table: n-grams by order, and contexts by the order that they are contexts of."""
+    return code.bitwiseOR(F.lit((order + 8 * context) << 48))
+
+
+def kneser_ney(grams: DataFrame, path: str) -> str:
+    """Write the table of a model to ``path``: ``key`` and a number for each of ``MODELS``, sorted by key in each file.
+
+    For n-grams that is the interpolated probability of the last byte, for contexts the share that they leave to the
+    next lower order.
+    """
+    orders, counts = {}, materialize(grams, "grams")
     for order in range(ORDER, 0, -1):
-        counts = materialize(counts, f"grams{order}")
-        d1, d2, d3 = _discounts(counts)
-        of = F.floor(F.col("code") / SYMBOLS)
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        totals = counts.groupBy(of.alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("free"))
-        shares = counts.join(totals, of == F.col("context")).select(F.lit(order).alias("order"), "code", ((F.col("n") - off) / F.col("total")).alias("share"))
-        rest = totals.select(F.lit(order).alias("order"), "context", (F.col("free") / F.col("total")).alias("rest"))
-        terms, contexts = (shares, rest) if terms is None else (terms.union(shares), contexts.union(rest))
-        counts = counts.groupBy((F.col("code") % SYMBOLS ** (order - 1)).alias("code")).agg(F.count("*").alias("n"))
-    # at most SYMBOLS ** ORDER rows, and as a rule a few ten thousand
-    terms, contexts = terms.toPandas(), contexts.toPandas()
-    # the highest order is made for contexts that occur only: the driver never holds SYMBOLS ** ORDER numbers
-    p = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
+        d = _discounts(counts)
+        off = {m: F.when(F.col(m) == 0, 0.0).when(F.col(m) == 1, d[m][0]).when(F.col(m) == 2, d[m][1]).otherwise(d[m][2]) for m in MODELS}
+        totals = counts.groupBy(F.shiftright("code", 8).alias("context")).agg(*(F.sum(m).alias(f"total_{m}") for m in MODELS), *(F.sum(off[m]).alias(f"free_{m}") for m in MODELS))
+        share = [F.coalesce(F.try_divide(F.col(m) - off[m], F.col(f"total_{m}")), F.lit(0.0)).alias(f"share_{m}") for m in MODELS]
+        rest = [F.coalesce(F.try_divide(F.col(f"free_{m}"), F.col(f"total_{m}")), F.lit(1.0)).alias(f"rest_{m}") for m in MODELS]
+        shares = counts.join(totals, F.shiftright("code", 8) == F.col("context")).select("code", *share, *rest)
+        contexts = totals.select(_key(order, F.col("context"), True).alias("key"), *(r.alias(m) for r, m in zip(rest, MODELS, strict=True)))
+        orders[order] = shares, contexts
+        lower = F.col("code").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
+        if order > 1:
+            counts = materialize(counts.groupBy(lower.alias("code")).agg(*(F.count_if(F.col(m) > 0).alias(m) for m in MODELS)), "grams")
+    table, below = None, None
     for order in range(1, ORDER + 1):
-        t, c = terms[terms["order"] == order], contexts[contexts["order"] == order]
-        code, context = t["code"].to_numpy(np.int64), c["context"].to_numpy(np.int64)
-        at = np.sort(context) if order == ORDER else np.arange(SYMBOLS ** (order - 1))
-        rest, share = np.ones(len(at), np.float32), np.zeros((len(at), SYMBOLS), np.float32)
-        rest[np.searchsorted(at, context)] = c["rest"].to_numpy(np.float32)
-        share[np.searchsorted(at, code // SYMBOLS), code % SYMBOLS] = t["share"].to_numpy(np.float32)
-        # a context's lower order drops its first symbol
-        lower, p = p, share + rest[:, None] * p[at % len(p)]
-    row = (np.arange(SYMBOLS ** (ORDER - 1)) % len(lower)).astype(np.int32)
-    row[at] = len(lower) + np.arange(len(at))
-    return np.log(np.concatenate((lower, p))), row
-
-
-def log_probabilities(model: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
-    rows, row = model
-    return rows[row[codes // np.uint32(SYMBOLS)], codes % np.uint32(SYMBOLS)]
-
-
-def word_heat(text: bytes, ratio: np.ndarray) -> float:
-    """The largest sum of ``ratio`` (a number for each byte) over a word and the space after it."""
-    space = _SPACE[np.frombuffer(text, np.uint8)]
-    starts = np.flatnonzero(np.concatenate(([True], space[:-1])))
-    return float(np.add.reduceat(ratio, starts, dtype=np.float64).max())
-
-
-def cross_entropies(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, toxic: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """``doc_id, text_key, lang, n_tokens, nats, heat`` for each row; ``nats`` has one sum and ``heat`` one number for each
-    model.  ``heat`` is null without a model of toxic text and for empty texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((models, table, toxic))
+        shares, contexts = orders[order]
+        if below is None:
+            known = shares.select("code", *((F.col(f"share_{m}") + F.col(f"rest_{m}") / SYMBOLS).alias(m) for m in MODELS))
+        else:
+            suffix = shares["code"].bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
+            known = shares.join(below.withColumnRenamed("code", "suffix"), suffix == F.col("suffix")).select("code", *((F.col(f"share_{m}") + F.col(f"rest_{m}") * F.col(m)).alias(m) for m in MODELS))
+        below = materialize(known, "known")
+        part = below.select(_key(order, F.col("code")).alias("key"), *MODELS).union(contexts)
+        table = part if table is None else table.union(part)
+    table.repartitionByRange("key").sortWithinPartitions("key").write.parquet(path)
+    return path
+
+
+# ------------------------------------------------------------------ scoring
+
+
+def fetch(path: str, keys: np.ndarray) -> np.ndarray:
+    """The model's rows at sorted distinct ``keys``, NaN where it has none, by a merge with its sorted files."""
+    store, base = file_store(path)
+    out = np.full((len(keys), len(MODELS)), np.nan, np.float32)
+    for info in store.get_file_info(fs.FileSelector(base)):
+        if len(keys) and info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as src:
+                for batch in pq.ParquetFile(src).iter_batches(1 << 18):
+                    own = batch.column("key").to_numpy()
+                    a, b = np.searchsorted(keys, own[0]), np.searchsorted(keys, own[-1], "right")
+                    at = np.searchsorted(own, keys[a:b])
+                    hit = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == keys[a:b])
+                    out[a + hit] = np.stack([batch.column(m).to_numpy() for m in MODELS], axis=1)[at[hit]]
+    return out
+
+
+def log_probabilities(path: str, codes: np.ndarray) -> np.ndarray:
+    """Natural logs of the probabilities of sorted distinct n-grams in each model."""
+    grams, places = [codes], []
+    for order in range(ORDER - 1, 0, -1):
+        suffixes, at = np.unique(grams[-1] & ((1 << 8 * order) - 1), return_inverse=True)
+        grams.append(suffixes)
+        places.append(at)
+    grams.reverse()
+    places.reverse()
+    contexts = [np.unique(g >> 8, return_inverse=True) for g in grams]
+    keys = [g | (k << 48) for k, g in enumerate(grams, 1)] + [c | (k + 8 << 48) for k, (c, _) in enumerate(contexts, 1)]
+    values = np.split(fetch(path, np.concatenate(keys)), np.cumsum([len(k) for k in keys])[:-1])
+    p = np.full((1, len(MODELS)), 1 / SYMBOLS, np.float32)
+    for k, g in enumerate(grams):
+        below = p[places[k - 1]] if k else np.broadcast_to(p, (len(g), len(MODELS)))
+        known, rest = values[k], values[ORDER + k][contexts[k][1]]
+        p = np.where(np.isnan(known), np.where(np.isnan(rest), 1, rest) * below, known)
+    return np.log(p)
+
+
+def cross_entropies(docs: DataFrame, path: str, with_heat: bool) -> DataFrame:
+    """``doc_id, text_key, lang, n_tokens, nats, heat`` for each row; ``nats`` has a sum for the model of all trusted text and
+    of either half, ``heat`` the ratios to each of them (null for empty texts and without a model of toxic text)."""
 
     def score(batches):
-        models, table, toxic = shared.value
         for batch in batches:
             texts = byte_column(batch, "text")
-            nats, heat = [], []
-            for t in texts:
-                codes = gram_codes(t, table)
-                logs = [log_probabilities(m, codes) for m in models]
-                nats.append([-float(x.sum(dtype=np.float64)) for x in logs])
-                hot = log_probabilities(toxic, codes) if toxic and t else None
-                heat.append(None if hot is None else [word_heat(t, hot - x) for x in logs])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), batch.column("lang"), pa.array([len(t) for t in texts], pa.int64()), pa.array(nats, pa.list_(pa.float64())), pa.array(heat, pa.list_(pa.float64()))], names=["doc_id", "text_key", "lang", "n_tokens", "nats", "heat"])
+            nats, heat = np.zeros((len(texts), 3)), np.full((len(texts), 3), np.nan)
+            at = 0
+            while at < len(texts):
+                first, size = at, 0
+                while at < len(texts) and (at == first or size + len(texts[at]) <= STRETCH):
+                    size, at = size + len(texts[at]), at + 1
+                codes, ends = gram_codes(texts[first:at])
+                if not len(codes):
+                    continue
+                codes, place = np.unique(codes, return_inverse=True)
+                logs = log_probabilities(path, codes)
+                ratio = logs[:, 3:] - logs[:, :3]
+                has = np.flatnonzero(np.diff(ends, prepend=0))
+                starts = np.concatenate(([0], ends[:-1]))[has]
+                words = np.unique(np.concatenate((starts, 1 + np.flatnonzero(_SPACE[codes[place[:-1]] & 255]))))
+                of_word = np.searchsorted(words, starts)
+                for m in range(3):
+                    nats[first + has, m] = -np.add.reduceat(logs[place, m], starts, dtype=np.float64)
+                    heat[first + has, m] = np.maximum.reduceat(np.add.reduceat(ratio[place, m], words, dtype=np.float64), of_word)
+            hot = [None if not with_heat or np.isnan(h[0]) else h for h in heat]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("doc_id", "text_key", "lang")] + [pa.array([len(t) for t in texts], pa.int64()), pa.array(list(nats), pa.list_(pa.float64())), pa.array(hot, pa.list_(pa.float64()))],
+                names=["doc_id", "text_key", "lang", "n_tokens", "nats", "heat"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("lang").cast("string"), "text")
     return arrow_map(rows, score, "doc_id long, text_key long, lang string, n_tokens long, nats array<double>, heat array<double>")
 
 
+# ------------------------------------------------------------------ judging
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     return labels.where(good & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
@@ -188,25 +249,37 @@ def toxic_ids(labels: DataFrame) -> DataFrame:
     return toxic.select(F.col("doc_id").cast("long").alias("toxic_id")).distinct()
 
 
+def _taught_texts(docs: DataFrame, taught: DataFrame) -> DataFrame:
+    """Texts of ``docs`` with the columns of ``taught`` (by ``taught_id``).
+
+    A Bloom filter of the ids (of bounded size) leaves most other texts where they are; the join decides.  It is a merge
+    join at every size: a broadcast while ids are few would only hide what this costs later.
+    """
+    n = taught.count()
+    maps, bits = bloom(taught.select(F.lit(0).alias("kind"), F.xxhash64("taught_id").alias("h")), n)
+    shared = docs.sparkSession.sparkContext.broadcast(maps.get(0))
+
+    def keep(batches):
+        for b in batches:
+            yield b.select(["doc_id", "text"]).filter(pa.array(in_bloom(shared.value, bits, b.column("h").to_numpy())))
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+    near = arrow_map(rows, keep, "doc_id long, text string") if n else rows.select("doc_id", "text").where("false")
+    return near.join(taught.hint("merge"), F.col("doc_id") == F.col("taught_id"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, prior: float = 50.0, least: int = 100) -> DataFrame:
     """``doc_id, text_key, lang, n_tokens, perplexity, threshold, heat, kept``, one row per row of ``docs``."""
     trusted = materialize(trusted_ids(labels), "trusted")
-    table = alphabet(docs)
-    is_trusted = F.col("doc_id") == F.col("trusted_id")
-    # a merge join at every size: a broadcast while ids are few would only hide what this costs later
     half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int")
     toxic = toxic_ids(labels).join(trusted, F.col("toxic_id") == F.col("trusted_id"), "left_anti")
-    taught = trusted.select(F.col("trusted_id").alias("taught_id"), F.lit(False).alias("is_toxic")).union(toxic.select("toxic_id", F.lit(True)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taught.hint("merge"), F.col("doc_id") == F.col("taught_id"))
-    texts = texts.select("text", F.when(F.col("is_toxic"), 2).otherwise(half).alias("half"))
-    grams = materialize(gram_counts(texts, table), "grams")
-    halves = [kneser_ney(grams.where(F.col("half") == h).select("code", "n")) for h in (0, 1)]
-    whole = kneser_ney(grams.where("half < 2").groupBy("code").agg(F.sum("n").alias("n")))
-    of_toxic = grams.where("half = 2").select("code", "n")
-    hot = None if of_toxic.isEmpty() else kneser_ney(of_toxic)
-    scored = materialize(cross_entropies(docs, [whole, *halves], table, hot), "scores")
+    taught = materialize(trusted.select(F.col("trusted_id").alias("taught_id"), F.lit(False).alias("is_toxic")).union(toxic.select("toxic_id", F.lit(True))), "taught")
+    texts = _taught_texts(docs, taught).select("text", F.when(F.col("is_toxic"), 2).otherwise(half).alias("part"))
+    model = kneser_ney(gram_counts(texts), scratch(docs.sparkSession, "model"))
+    scored = materialize(cross_entropies(docs, model, not taught.where("is_toxic").isEmpty()), "scores")
 
     # a trusted document's nats are those of the half that it isn't in
+    is_trusted = F.col("doc_id") == F.col("trusted_id")
     unseen = lambda c: F.when(half == 0, F.col(c)[2]).otherwise(F.col(c)[1])
     of_trusted = scored.join(trusted, is_trusted, "left_semi").where("n_tokens > 0").withColumn("nats", unseen("nats")).withColumn("heat", unseen("heat"))
     scored = scored.withColumn("nats", F.col("nats")[0]).withColumn("heat", F.col("heat")[0])
