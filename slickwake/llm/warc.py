@@ -15,7 +15,8 @@ Records are then read back by range.
 Archives, shards and directories are real files in the folder that the cluster shares.  Only the list of shards, one
 line for each index partition, is broadcast.
 
-Null html is an empty payload, a null url has the empty key and the target ``urn:page:<id>``; rows that repeat id and
+Null html is an empty payload, a null or empty url has the empty key, the target ``urn:page:<id>`` and a header that says
+so; rows that repeat id and
 payload are each a record (all responses if the id is the largest).  Payloads below ``min_payload`` bytes are never
 revisits.  Control characters and spaces in a url are percent-encoded in the header.  An empty table makes no files.
 """
@@ -32,18 +33,17 @@ from bisect import bisect_left, bisect_right
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slickwake.llm.common import arrow_map, byte_column, materialize, read_table, scratch
+from slickwake.llm.common import arrow_map, byte_column, file_store, materialize, read_table, scratch
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "key string, page_id long, file string, offset long, length long"
-
-
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri if ":" in uri.split("/", 1)[0] else f"file://{uri}"))
+#: A header of records whose page had no url, so that no url can be taken for none.
+NO_URL = "X-Page-Without-Url"
+#: A stretch of so many bytes of an archive is read by one task.
+STRETCH = 4 << 20
 
 
 def _escaped(url: str) -> str:
@@ -79,6 +79,8 @@ def _record(page_id, url: str | None, payload: bytes, digest: bytes, refers_to,
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
+    if not url:
+        lines.append(f"{NO_URL}: true")
     if revisit:
         lines[2:2] = [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{'null' if refers_to is None else refers_to}>"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -109,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, max_byte
     dealt = rows.join(owners, "digest").select("page_id", "url", "html", "digest", "owner")
 
     def write(batches):
-        store, base = _store(folder)
+        store, base = file_store(folder)
         out, at, n, file = None, 0, 0, ""
         done: list[tuple] = []
         for batch in batches:
@@ -136,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, max_byte
 
 
 def _make(folder: str) -> None:
-    store, base = _store(folder)
+    store, base = file_store(folder)
     store.create_dir(base, recursive=True)
 
 
@@ -144,7 +146,7 @@ def scan_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """One capture for each record: its key, id, file, offset and length."""
 
     def scan(batches):
-        store, base = _store(folder)
+        store, base = file_store(folder)
         for batch in batches:
             for file in batch.column("file").to_pylist():
                 rows: list[tuple] = []
@@ -159,8 +161,8 @@ def scan_archives(manifest: DataFrame, folder: str) -> DataFrame:
                             at += len(data) - len(member.unused_data)
                             data = member.unused_data
                         fields = parse_record(b"".join(body))
-                        target = fields["warc-target-uri"]
-                        rows.append((url_key("" if target.startswith("urn:page:") else target), _page(fields["warc-record-id"]), file, start, at - start))
+                        target = "" if NO_URL.lower() in fields else fields["warc-target-uri"]
+                        rows.append((url_key(target), _page(fields["warc-record-id"]), file, start, at - start))
                 yield _captures(rows)
 
     n = max(1, min(4096, manifest.count()))
@@ -176,7 +178,7 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = 1024) -> Da
     """Write shards and directories to ``folder``; one row per shard: ``shard, first_key, last_key, blocks``."""
 
     def shard(batches):
-        store, base = _store(folder)
+        store, base = file_store(folder)
         name, out, lines, directory, at, first, last = uuid.uuid4().hex, None, [], [], 0, None, None
 
         def block() -> None:
@@ -217,7 +219,7 @@ def look_up(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
     top = spark.sparkContext.broadcast(sorted((r["first_key"], r["last_key"], r["shard"]) for r in shards.collect()))
 
     def point(batches):
-        store, base = _store(folder)
+        store, base = file_store(folder)
         firsts, held = [x[0] for x in top.value], {}
 
         def directory(shard: str) -> tuple[list, list]:
@@ -243,7 +245,7 @@ def look_up(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, kinds, strict=True)], names=["key", "shard", "offset", "length"])
 
     def search(batches):
-        store, base = _store(folder)
+        store, base = file_store(folder)
         open_shard, src, spot, keys_in, lines = None, None, None, [], []
         for batch in batches:
             rows: list[tuple] = []
@@ -266,14 +268,15 @@ def look_up(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
     return arrow_map(dealt, search, CAPTURE)
 
 
-def read_records(captures: DataFrame, folder: str) -> DataFrame:
+def read_records(captures: DataFrame, folder: str, tasks: int | None = None) -> DataFrame:
     """Range-read each capture's record: ``page_id, record_type, payload_digest, payload_bytes, refers_to``.
 
-    The digest of a response is computed from the payload that was read and must agree with its header.
+    The digest of a response is computed from the payload that was read and must agree with its header.  ``tasks`` should
+    follow the bytes of the archives, which are many more than those of ``captures``.
     """
 
     def read(batches):
-        store, base = _store(folder)
+        store, base = file_store(folder)
         name, src = None, None
         for batch in batches:
             rows: list[tuple] = []
@@ -290,9 +293,9 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 5, kinds, strict=True)], names=["page_id", "record_type", "payload_digest", "payload_bytes", "refers_to"])
 
-    # a stretch of 8 MB of a file is read by one task
-    stretch = F.floor(F.col("offset") / (8 << 20))
-    dealt = captures.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    stretch = F.floor(F.col("offset") / STRETCH)
+    rows = captures.select("file", "offset", "length")
+    dealt = rows.repartition(*([tasks] if tasks else []), "file", stretch).sortWithinPartitions("file", "offset")
     return arrow_map(dealt, read, "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long")
 
 
@@ -312,7 +315,9 @@ def round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     captures = materialize(scan_archives(manifest, folder), "warc-captures")
     shards = build_index(captures, index)
     found = look_up(materialize(url_keys(pages), "warc-keys"), shards, index)
-    records = materialize(read_records(found, folder), "warc-records")
+    size = manifest.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    # stretches meet by hash: some three for each task keep tasks even
+    records = materialize(read_records(found, folder, -(-size // (3 * STRETCH)) + spark.sparkContext.defaultParallelism), "warc-records")
     # a revisit's payload is that of the response it refers to
     sizes = records.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("n"))
     revisits = records.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, F.col("payload_digest") == F.col("d")).withColumnRenamed("n", "payload_bytes")
