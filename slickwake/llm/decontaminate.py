@@ -7,8 +7,9 @@ the shortest necessary prefix under a rarity order is one shingle: the window's
 documents.  Documents are joined on that shingle alone; positional and length bounds then place the window in the
 document, and its words are compared one by one with those that stand there.
 
-What a document sends to the join is filtered first by a Bloom filter of the benchmark's shingles.  It has a fixed
-number of bits however large the benchmark is; a false positive is a row that the join drops, nothing else.
+What a document sends to the join is filtered first by a Bloom filter of the benchmark's shingles.  Its bits follow the
+number of shingles, up to a bound (16 MB for each shingle size) that keeps the broadcast small however large the
+benchmark is; a false positive is a row that the join drops, nothing else.
 
 Null and wordless texts and items have no words and no windows.  Equal windows of several items count for each of
 them; repeated items count by their ids.  Repeated document rows are judged each on its own.
@@ -23,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slickwake.llm.common import arrow_map, byte_column, materialize, read_table
+from slickwake.llm.common import BLOOM_BITS, arrow_map, bloom, byte_column, in_bloom, materialize, read_table
 
-WINDOW, SHINGLE, BLOOM_BITS = 10, 3, 1 << 24
+WINDOW, SHINGLE = 10, 3
 #: Anything but word bytes becomes a space, A-Z becomes a-z: then split() gives the words.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -64,25 +65,7 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
     return arrow_map(items.select(F.col("item_id").cast("string"), "text"), cut, "item_id string, words string, shingles array<long>, size int")
 
 
-def _bloom(windows: DataFrame, bits: int) -> tuple[dict[int, np.ndarray], list[int]]:
-    """For each shingle size that occurs, a bit map of ``bits`` bits over the hashes, made by tasks and met bit by bit."""
-    spots = F.explode("shingles").alias("h")
-    rows = (
-        windows.select("size", spots)
-        .select("size", F.pmod(F.col("h"), F.lit(bits)).alias("at"))
-        .select("size", (F.floor(F.col("at") / 8)).cast("int").alias("byte"), F.expr("shiftleft(1, cast(pmod(at, 8) AS INT))").alias("bit"))
-        .groupBy("size", "byte")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()  # at most SHINGLE * bits / 8 rows
-    )
-    maps = {}
-    for size, part in rows.groupby("size"):
-        maps[int(size)] = np.zeros(bits // 8, np.uint8)
-        maps[int(size)][part["byte"].to_numpy()] = part["bits"].to_numpy()
-    return maps, sorted(maps)
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, bloom_bits: int = BLOOM_BITS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """``rid, doc_id, text_key, n_words, spans, item_ids``: one row per row of ``docs``.
 
     ``spans`` are the document's windows that occur in the benchmark, as (first word, number of words), and
@@ -90,7 +73,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, bloom
     """
     spark = docs.sparkSession
     windows = materialize(benchmark_windows(items, window), "windows")
-    maps, sizes = _bloom(windows, bloom_bits)
+    n_shingles = windows.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
+    maps, bloom_bits = bloom(windows.select(F.col("size").alias("kind"), F.explode("shingles").alias("h")), n_shingles, most_bloom_bits)
+    sizes = sorted(maps)
     shared = spark.sparkContext.broadcast(maps)
     reach = window - 1
 
@@ -105,8 +90,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, bloom
                 found = []
                 for size in sizes:
                     h = shingle_hashes(words, size)
-                    at = (h.view(np.int64) % bloom_bits).astype(np.int64)
-                    for k in np.flatnonzero(maps[size][at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                    for k in np.flatnonzero(in_bloom(maps[size], bloom_bits, h.view(np.int64))).tolist():
                         first = max(0, k - reach)
                         near = b" ".join(words[first : k + window]).decode("utf-8", "replace")
                         found.append({"size": size, "h": int(h[k].view(np.int64)), "at": k, "first": first, "near": near})
@@ -143,8 +127,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, bloom
         .select("rid", "words", start.alias("start"), length.alias("length"))
     )
     spans = materialize(spans, "spans")
-    of = windows.select("words", "item_id").distinct()
-    owners = spans.select("rid", "words").distinct().join(of, "words").groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    # a window carries the list of its items, so what many items share is one row per document
+    of = windows.groupBy("words").agg(F.collect_set("item_id").alias("items"))
+    owners = spans.select("rid", "words").distinct().join(of, "words").groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
     runs = spans.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
     return base.drop("hits").join(runs, "rid", "left").join(owners, "rid", "left")
 
