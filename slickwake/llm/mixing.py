@@ -1,15 +1,16 @@
 """Mixing sources to target weights by capped water-filling.
 
 Sizes are words.  Sources are ordered by code point (null last) and weighed by a repeating list; together they share
-``share`` times the words there are.  A source may be repeated at most ``max_epochs`` times: targets that would be
-above that are clamped and their excess is dealt out again by weight.  The fixed point of that redistribution is
-``min(cap, level * weight)`` with one water level for all, found from running sums over sources in the order in
-which they fill up.
+``share`` times the words there are.  A source may be repeated at most ``max_epochs`` times.  Redistribution goes in
+rounds: sources whose share is above their cap are clamped to it, and what they leave is dealt out to the others by
+weight, until no share is above its cap.  A round is one aggregation over sources, and only its totals reach the driver;
+the rank of a source comes from a range sort, so no task holds all sources.
 
 A source's target is met in whole repetitions of all its documents and one fractional repetition of a seeded
 selection: documents are ordered by a hash, and taken up to the number of words still missing; the last of them is
-taken in part.  The running sum is made in two steps, over hash buckets of a source and then inside each bucket, so a
-source that holds a third of all rows is spread over ``buckets`` groups.
+taken in part.  The running sum is made in two steps, over hash buckets of a source and then inside each bucket; the
+number of buckets follows the number of rows, so a source that holds a third of all rows is spread over as many groups as
+it needs.
 
 Null texts have size 0 and take nothing; a null source is a source of its own; repeated rows are documents of their
 own; an empty table gives an empty mix.
@@ -30,30 +31,40 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``rank`` (from 0) by code point of ``source``, null last: a range sort, then places in each range."""
+    order = F.col("source").asc_nulls_last()
+    ranges = materialize(sources.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    before = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order))
+    return ranges.withColumn("place", place).join(before, "range").select(*sources.columns, (F.col("before") + F.col("place") - 1).alias("rank"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
     """From rows of (source, size): source, source_size, weight, target.  One row per source."""
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    s = totals.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(max_epochs))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # sources in the order in which they fill up as the level rises
-    filling = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    s = (
-        s.withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
-        .withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("full")) / F.col("open"))
-    )
-    # the first source that its level does not fill sets the level of all
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("full", "level"))).over(everything)["level"]
-    target = F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap")))
+    totals = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    s = materialize(totals.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(max_epochs)).drop("rank"), "sources")
+    total = float(s.agg(F.sum("source_size").alias("n")).first()["n"] or 0) * share
+    level, clamped = 0.0, -1
+    while True:
+        full = F.col("cap") < F.col("weight") * level
+        now = s.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("cap"))).alias("used"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if now["n"] == clamped or not now["open"]:
+            break
+        clamped, level = now["n"], (total - (now["used"] or 0.0)) / now["open"]
+    # without open sources all are clamped
+    target = F.least(F.col("cap"), F.col("weight") * level) if now["open"] else F.col("cap")
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = 20240, buckets: int = 512, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` (and the columns named in ``extra``), one row per document."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = 20240, bucket_rows: int = 2000, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` (and the columns named in ``extra``), one row per document.
+
+    ``bucket_rows`` is about the number of rows of a source that are ordered in one group.
+    """
     thin = materialize(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -61,9 +72,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
             word_count(F.col("text")).alias("size"),
             F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text")).alias("draw"),
             *extra,
-        ).withColumn("bucket", F.pmod(F.shiftright("draw", 40), F.lit(buckets)).cast("int")),
+        ),
         "mix",
     )
+    buckets = max(1, -(-thin.count() // bucket_rows))
+    # the highest 24 bits make the order of buckets, so the order of draws goes on inside each
+    thin = thin.withColumn("bucket", F.floor(F.shiftrightunsigned("draw", 40) * F.lit(buckets) / F.lit(1 << 24)).cast("int"))
     targets = source_targets(thin, weights, share, max_epochs)
     per_bucket = thin.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     plan = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(
         starts["source"].alias("s"), F.col("bucket").alias("b"), "ahead", "source_size", "target"
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy(F.shiftrightunsigned("draw", 40), "draw", "size").rowsBetween(Window.unboundedPreceding, -1)
     drawn = thin.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     whole = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
     rest = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
@@ -86,7 +100,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the columns of ``docs``, one row for each repetition, with ``repetition`` (from 1) and ``words``.
 
     A document that the mix takes in part ends after the words taken.  Of rows that agree in id, source and text, each
-    is drawn for itself, and what else they hold is taken from one of them.
+    is drawn for itself, and what else they hold is taken from one of them.  Where ``docs`` has a column of one of the
+    two new names, that column stays and the new one is called ``mix_repetition`` or ``mix_words``.
     """
     key = F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))
@@ -97,7 +112,9 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     out = both.withColumn("__mix_times", F.explode(times)).withColumn("__mix_words", F.least("__mix_size", F.col("__mix_taken") - (F.col("__mix_times") - 1) * F.col("__mix_size")))
     head = F.call_function("regexp_extract", F.col("text"), F.format_string(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){%d}+", F.col("__mix_words")), F.lit(0))
     text = F.when(F.col("__mix_words") < F.col("__mix_size"), head).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*(c for c in docs.columns if c not in ("repetition", "words")), F.col("__mix_times").alias("repetition"), F.col("__mix_words").cast("long").alias("words"))
+    new = {"repetition": F.col("__mix_times"), "words": F.col("__mix_words").cast("long")}
+    taken = {c.lower() for c in docs.columns}
+    return out.withColumn("text", text).select(*docs.columns, *(c.alias(f"mix_{n}" if n in taken else n) for n, c in new.items()))
 
 
 def op5_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
