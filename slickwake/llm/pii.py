@@ -1,11 +1,14 @@
 """Personal data in text: fixed shapes, and bootstrapped contextual extraction of what they miss.
 
-Base spans have a fixed shape (e-mail, IPv4, payment card, phone).  They are the seeds: the words around them make
-lexical patterns (last word, last two words, last and next word), and looser candidates (numbers without a plus sign or
-with a wrong check digit, spelled-out e-mail addresses) stand in patterns of the same kind.  Patterns and instances form
-a graph that is scored in rounds: a pattern's confidence for a kind is the mean score of its distinct instances, a
-candidate's score is the chance that not all of its patterns are wrong.  Patterns with enough distinct seeds and
-enough confidence add the candidates they stand around as spans of their kind; base spans always stay.
+Base spans have a fixed shape (e-mail, IPv4, payment card, phone).  They are the first seeds: the words around them make
+lexical patterns (last word, last two words, last and next word), and looser candidates stand in patterns of the same
+kind: numbers of 7 to 19 digits without a plus sign or with a wrong check digit (7 to 15 can be a phone, 12 to 19 a
+card), spelled-out e-mail addresses and spelled-out IPv4 addresses.  Patterns and instances form a graph that is scored
+in rounds.  A pattern's confidence for a kind is the sum of the scores of its known instances over the number of all its
+distinct instances; a candidate's score is the chance that not all of its patterns are wrong.  Candidates with enough
+score that stand in a pattern with enough known instances and enough confidence become known themselves, and so seeds of
+further patterns.  Knowledge only grows, and rounds go on until one adds nothing.  Known candidates inside sure patterns
+are added as spans of their kind; base spans always stay.  Words of a pattern are compared whole, however long.
 
 DataFrame functions only.  Match positions come from the pieces between matches: ``split`` and ``regexp_extract_all``
 see the same matches, and running sums over their lengths give code point offsets.  Expressions are written with
@@ -30,23 +33,40 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Candidates: numbers of 7 digits or more with inner separators, and e-mail addresses with a spelled-out sign.
+#: Candidates: numbers with inner separators, and e-mail and IPv4 addresses with spelled-out or bracketed signs.
 LOOSE = {
     "number": r"(?<![A-Za-z0-9.+-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![A-Za-z0-9])",
-    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]{1,64}){1,8}",
+    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)++",
+    "dotted": r"(?<![0-9.])[0-9]{1,3}(?:\x20?[(\[](?:\.|dot)[)\]]\x20?[0-9]{1,3}){3}(?![0-9])",
 }
 _NEED = {"email": "@", "address": "at", "phone": "+"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
+MATCH = "array<struct<kind:string,before:int,w1:string,w2:string,body:string,after:string>>"
+
+
+def _word(text: Column) -> Column:
+    """A word of a pattern: lower case, digits alike; very long ones by their digest."""
+    w = F.regexp_replace(F.lower(text), "[0-9]", "0")
+    return F.when(F.char_length(w) > 64, F.sha1(w.cast("binary"))).otherwise(w)
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """Array of (kind, at, before, left, body, right) over the matches of a pattern, in order."""
+    """Array over the matches of a pattern, in order: kind, characters before it (since the last match), the last word and
+    the one before that, the match, and the word after it."""
     pieces, bodies = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    first = F.zip_with(pieces, bodies, lambda p, b: F.struct(F.char_length(p).alias("before"), F.right(p, F.lit(48)).alias("left"), b.alias("body")))
-    both = F.zip_with(first, F.slice(pieces, 2, 1 << 30), lambda x, nxt: F.struct(F.lit(kind).alias("kind"), x["before"].alias("before"), x["left"].alias("left"), x["body"].alias("body"), F.left(nxt, F.lit(48)).alias("right")))
-    found = F.filter(both, lambda x: x["body"].isNotNull())
+    # words are looked for from the end, so a long piece is read once
+    back = lambda p, k: F.reverse(F.regexp_extract(F.reverse(p), r"^\s*+(\S++)(?:\s++(\S++))?", k))
+    first = F.zip_with(
+        pieces, bodies, lambda p, b: F.when(b.isNotNull(), F.struct(F.char_length(p).alias("before"), _word(back(p, 1)).alias("w1"), _word(back(p, 2)).alias("w2"), b.alias("body")))
+    )
+    both = F.zip_with(
+        first, F.slice(pieces, 2, 1 << 30),
+        lambda x, nxt: F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), x["before"].alias("before"), x["w1"].alias("w1"), x["w2"].alias("w2"), x["body"].alias("body"), _word(F.regexp_extract(nxt, r"^\s*+(\S++)", 1)).alias("after"))),
+    )
     some = text.contains(_NEED[kind]) if kind in _NEED else text.rlike("[0-9]")
-    return F.when(some, found).otherwise(F.array().cast("array<struct<kind:string,before:int,left:string,body:string,right:string>>"))
+    return F.when(some, F.array_compact(both)).otherwise(F.array().cast(MATCH))
 
 
 def _valid(kind: Column, body: Column) -> Column:
@@ -59,11 +79,12 @@ def _valid(kind: Column, body: Column) -> Column:
         | ((kind == "phone") & n.between(9, 15))
         | ((kind == "number") & n.between(7, 19))
         | (kind == "address")
+        | ((kind == "dotted") & F.regexp_replace(body, "[^0-9]+", ".").rlike(rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"))
     )
 
 
 def text_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: ``rid, doc_id``; spans: ``rid, kind, start, end, body, left, right``) of all valid matches."""
+    """(rows: ``rid, doc_id``; spans: ``rid, kind, start, end, body`` and words around)) of all valid matches."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = F.concat(*(_matches(text, k, p) for k, p in (BASE | LOOSE).items()))
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), found.alias("found")), "matches")
@@ -78,14 +99,10 @@ def text_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _contexts(spans: DataFrame) -> DataFrame:
     """``contexts``: the lexical patterns around a span; ``instance``: what it says, without separators."""
-    left = F.regexp_replace(F.lower("left"), "[0-9]", "0")
-    right = F.regexp_replace(F.lower("right"), "[0-9]", "0")
-    one = F.regexp_extract(left, r"(\S{1,24})\s*$", 1)
-    two = F.regexp_extract(left, r"(\S{1,24}\s+\S{1,24})\s*$", 1)
-    after = F.regexp_extract(right, r"^\s*(\S{1,24})", 1)
+    one, two, after = F.col("w1"), F.col("w2"), F.col("after")
     patterns = F.array(
         F.when(one != "", F.concat(F.lit("1 "), one)),
-        F.when(two != "", F.concat(F.lit("2 "), F.regexp_replace(two, r"\s+", " "))),
+        F.when(two != "", F.concat(F.lit("2 "), two, F.lit(" "), one)),
         F.when((one != "") & (after != ""), F.concat(F.lit("r "), one, F.lit(" _ "), after)),
     )
     said = F.lower(F.regexp_replace("body", r"[^A-Za-z0-9@]", ""))
@@ -96,12 +113,40 @@ def _fits(kind: Column, shape: Column, n: Column) -> Column:
     """Whether a candidate of a shape and a number of digits can be of a kind."""
     return (
         ((kind == "email") & (shape == "address"))
+        | ((kind == "ip") & (shape == "dotted"))
         | ((kind == "card") & (shape == "number") & n.between(12, 19))
         | ((kind == "phone") & (shape == "number") & n.between(7, 15))
     )
 
 
-def bootstrap(spans: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.7, min_score: float = 0.7) -> DataFrame:
+def learn(edges: DataFrame, min_seeds: int = 3, min_confidence: float = 0.7, min_score: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """The fixed point of the pattern graph: (known: ``instance, kind, score``; sure: ``pattern, kind, confidence``).
+
+    ``edges`` has ``pattern, instance, shape, n`` (digits), each pair once.
+    """
+    base = F.col("shape").isin(*KINDS)
+    degree = materialize(edges.groupBy("pattern").agg(F.count("*").alias("degree")).where(F.col("degree") >= min_seeds), "degrees")
+    loose = materialize(edges.where(~base), "loose")
+    seeds = materialize(edges.where(base).select("instance", F.col("shape").alias("kind"), F.lit(1.0).alias("score")).distinct(), "seeds")
+    known, before = seeds, None
+    while True:
+        seeded = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"), F.sum("score").alias("weight"))
+        able = seeded.where(F.col("seeds") >= min_seeds).join(degree, "pattern").select("pattern", "kind", (F.col("weight") / F.col("degree")).alias("confidence"))
+        able = materialize(able, "patterns")
+        votes = loose.join(able, "pattern").where(_fits(F.col("kind"), F.col("shape"), F.col("n")))
+        doubt = F.exp(F.sum(F.log(1.0 - F.least(F.col("confidence"), F.lit(0.999)))))
+        found = votes.groupBy("instance", "kind").agg((1.0 - doubt).alias("score"), F.max("confidence").alias("best"))
+        found = materialize(found.where((F.col("score") >= min_score) & (F.col("best") >= min_confidence)).drop("best"), "found")
+        # what is known stays known and scores only grow, so an equal count is an equal set
+        sure = able.where(F.col("confidence") >= min_confidence)
+        now = found.count(), sure.count()
+        known = seeds.union(found)
+        if now == before or now[0] == 0:
+            return known, sure
+        before = now
+
+
+def bootstrap(spans: DataFrame, **settings) -> DataFrame:
     """Spans that patterns learned from the base spans add: ``rid, kind, start, end``."""
     base = F.col("kind").isin(*KINDS)
     # candidates that touch a base span are part of it
@@ -111,28 +156,11 @@ def bootstrap(spans: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confide
     free = (F.coalesce(reach, F.lit(-1)) <= F.col("start")) & (F.coalesce(next_base, F.col("end")) >= F.col("end"))
     seen = spans.withColumn("free", free).where(base | F.col("free"))
     seen = materialize(_contexts(seen).select("rid", "kind", "start", "end", "instance", "contexts"), "contexts")
-
     digits = F.char_length(F.regexp_replace("instance", "[^0-9]", ""))
     edges = materialize(seen.select(F.explode("contexts").alias("pattern"), "instance", F.col("kind").alias("shape"), digits.alias("n")).distinct(), "edges")
-    degree = edges.groupBy("pattern").agg(F.count("*").alias("degree"))
-    # only patterns around enough seeds of a kind can become confident
-    seeded = edges.where(F.col("shape").isin(*KINDS)).groupBy("pattern", F.col("shape").alias("kind")).agg(F.count("*").alias("seeds"))
-    able = materialize(seeded.where(F.col("seeds") >= min_seeds).join(degree, "pattern"), "patterns")
-    loose = materialize(edges.where(~F.col("shape").isin(*KINDS)).join(able.select("pattern").distinct(), "pattern", "left_semi"), "loose")
-    confident = able.select("pattern", "kind", (F.col("seeds") / F.col("degree")).alias("confidence"))
-    scores = None
-    for _ in range(rounds):
-        votes = loose.join(confident, "pattern").where(_fits(F.col("kind"), F.col("shape"), F.col("n")))
-        doubt = F.exp(F.sum(F.log(1.0 - F.least(F.col("confidence"), F.lit(0.999)))))
-        scores = materialize(votes.groupBy("instance", "kind").agg((1.0 - doubt).alias("score")), "scores")
-        gained = loose.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
-        confident = able.join(gained, ["pattern", "kind"], "left").select(
-            "pattern", "kind", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("degree")).alias("confidence")
-        )
-        confident = materialize(confident, "confident")
-    sure = confident.where(F.col("confidence") >= min_confidence)
+    known, sure = learn(edges, **settings)
     standing = seen.where(~base).select("rid", "start", "end", "instance", F.explode("contexts").alias("pattern"))
-    named = standing.join(sure, "pattern").join(scores.where(F.col("score") >= min_score), ["instance", "kind"])
+    named = standing.join(sure, "pattern").join(known, ["instance", "kind"])
     best = F.max(F.struct("confidence", "score", "kind"))["kind"]
     return named.groupBy("rid", "start", "end").agg(best.alias("kind")).select("rid", "kind", "start", "end")
 
