@@ -1,7 +1,9 @@
-"""Connected components of a link table."""
+"""Links from lists of members that may be alike, and connected components of links."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while before != (now := _state(edges)):
         before = now
+        if not now[0]:
+            break
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(low, both["u"] == low["w"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -32,3 +36,36 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small.union(floor.select("w", "m")).distinct(), "links")
     roots = edges.select("v").distinct()
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").union(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
+
+
+def _blocks(lists: DataFrame, block: int) -> DataFrame:
+    """Pairs in lists (``list, m, id, label``) that no label joins yet; large lists meet in pairs of blocks."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    rows = lists.withColumn("own", own).withColumn("cell", F.explode(cells)).select("list", "cell.i", "cell.j", "own", "id", "label")
+    a, b = rows.toDF("list", "i", "j", "own", "u", "label"), rows.toDF("list", "i", "j", "own2", "v", "label2")
+    return a.join(b, ["list", "i", "j"]).where("u < v AND label <> label2 AND (own <> own2 OR i = j)").select("u", "v").distinct()
+
+
+def links_of_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], dense: int = 64, block: int = 512) -> DataFrame:
+    """Links ``u, v`` that give all members of each list (``list``, ``id``) that are alike the same component.
+
+    ``verify`` keeps the pairs (``u, v``) that are alike.  Lists of more than ``dense`` members are compared with two of
+    them first; what that links needs no further comparison.  The others are compared pair by pair, in blocks, so
+    nothing is left out, and a large group of near copies costs rows in proportion.
+    """
+    lists = materialize(lists.join(lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1"), "list"), "lists")
+    links, todo = None, lists.withColumn("label", F.col("id"))
+    crowd = lists.where(F.col("m") > dense)
+    if not crowd.isEmpty():
+        turn = F.xxhash64("list", "id")
+        heads = crowd.groupBy("list").agg(F.array(F.min_by("id", turn), F.max_by("id", turn)).alias("heads"))
+        met = crowd.select("list", "id").join(heads, "list").select("id", F.explode("heads").alias("o")).where("id <> o")
+        links = materialize(verify(met.select(F.least("id", "o").alias("u"), F.greatest("id", "o").alias("v")).distinct()), "star_links")
+        labels = components(links).withColumnRenamed("node", "id")
+        todo = materialize(lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "todo")
+        apart = todo.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("list")
+        todo = todo.join(apart, "list", "left_semi")
+    found = verify(_blocks(todo, block))
+    return found if links is None else links.union(found)

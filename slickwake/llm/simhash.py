@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slickwake.llm.common import ASCII_LOWER, arrow_map, byte_column, materialize, read_table, spread
-from slickwake.llm.graph import components
+from slickwake.llm.graph import components, links_of_lists
 
 BITS, SHINGLE, SEED = 3, 3, 42
 #: A positional index of single bytes starts where its lists have about so many members.
@@ -247,8 +247,8 @@ def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, text_key long, sk long, n int, places binary, lists array<long>")
 
 
-def _tallied(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Pairs ``u, v`` of sets that share ``least`` of the 64 positional bytes."""
+def _tallied(pairs: DataFrame, sets: DataFrame, near_size: Column, least: int) -> DataFrame:
+    """Pairs ``u, v`` of sets of near sizes that share ``least`` of the 64 positional bytes."""
 
     def run(batches):
         for b in batches:
@@ -256,8 +256,8 @@ def _tallied(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(rows, PLACES) for c in ("x", "y"))
             yield b.select(["u", "v"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
-    both = pairs.join(sets.select(F.col("sk").alias("u"), F.col("places").alias("x")), "u").join(sets.select(F.col("sk").alias("v"), F.col("places").alias("y")), "v")
-    return arrow_map(both.select("u", "v", "x", "y"), run, "u long, v long")
+    both = pairs.join(sets.select(F.col("sk").alias("u"), "n", F.col("places").alias("x")), "u").join(sets.select(F.col("sk").alias("v"), F.col("n").alias("m"), F.col("places").alias("y")), "v")
+    return arrow_map(both.where(near_size).select("u", "v", "x", "y"), run, "u long, v long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -276,41 +276,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     return both.where(F.size(F.array_intersect("a", "b")) * (num + den) >= (F.size("a") + F.size("b")) * num).select("u", "v")
 
 
-def _blocks(lists: DataFrame, block: int) -> DataFrame:
-    """Pairs in lists (``list, m, sk, n, label``) that no label joins yet; large lists meet in pairs of blocks."""
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("sk"), blocks).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    rows = lists.withColumn("own", own).withColumn("cell", F.explode(cells)).select("list", "cell.i", "cell.j", "own", "sk", "n", "label")
-    a, b = rows.toDF("list", "i", "j", "own", "u", "n", "label"), rows.toDF("list", "i", "j", "own2", "v", "m", "label2")
-    return a.join(b, ["list", "i", "j"]).where("u < v AND label <> label2 AND (own <> own2 OR i = j)")
-
-
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5), least_shared: int = PLACES // 2, dense: int = 64, block: int = 512) -> DataFrame:
     """``doc_id, text_key, sk, component_id``, one row per row of ``docs``; ``similarity`` is a fraction."""
     num, den = similarity
     rows = materialize(wide_prints(docs, shingle), "wide_prints")
     sets = rows.groupBy("sk").agg(F.min("doc_id").alias("lo"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("places").alias("places"), F.first("lists").alias("lists"))
     sets = materialize(sets, "sets")
-    entries = sets.select("sk", "n", F.explode("lists").alias("list"))
-    lists = materialize(entries.join(entries.groupBy("list").agg(F.count("*").alias("m")).where("m > 1"), "list"), "lists")
     near_size = F.least("n", "m") * den >= F.greatest("n", "m") * num
 
-    links, todo = None, lists.withColumn("label", F.col("sk"))
-    crowd = lists.where(F.col("m") > dense)
-    if not crowd.isEmpty():
-        member, turn = F.struct("sk", "n"), F.xxhash64("list", "sk")
-        heads = crowd.groupBy("list").agg(F.array(F.min_by(member, turn), F.max_by(member, turn)).alias("heads"))
-        met = crowd.select("list", "sk", "n").join(heads, "list").select("sk", "n", F.explode("heads").alias("h")).select("sk", "n", F.col("h.sk").alias("o"), F.col("h.n").alias("m"))
-        stars = met.where("sk <> o").where(near_size).select(F.least("sk", "o").alias("u"), F.greatest("sk", "o").alias("v")).distinct()
-        links = materialize(_verified(materialize(_tallied(stars, sets, least_shared), "stars"), docs, sets, shingle, num, den), "star_links")
-        labels = components(links).withColumnRenamed("node", "sk")
-        todo = materialize(lists.join(labels, "sk", "left").withColumn("label", F.coalesce("label", "sk")), "todo")
-        apart = todo.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("list")
-        todo = todo.join(apart, "list", "left_semi")
-    met = _blocks(todo, block).where(near_size).select("u", "v").distinct()
-    found = _verified(materialize(_tallied(met, sets, least_shared), "candidates"), docs, sets, shingle, num, den)
-    labels = components(found if links is None else links.union(found))
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _verified(materialize(_tallied(pairs, sets, near_size, least_shared), "candidates"), docs, sets, shingle, num, den)
+
+    labels = components(links_of_lists(sets.select(F.col("sk").alias("id"), F.explode("lists").alias("list")), verify, dense, block))
     named = sets.select("sk", "lo").join(labels, sets["sk"] == labels["node"], "left").select("sk", "lo", F.coalesce("label", "sk").alias("label"))
     named = materialize(named, "named")
     least = named.groupBy("label").agg(F.min("lo").alias("component_id"))
