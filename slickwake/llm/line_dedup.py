@@ -1,20 +1,22 @@
-"""Line deduplication up to one edit, as a segment-partition join.
-
-Two lines are linked if one edit (a character put in, left out or changed) makes them equal.  With one edit allowed, a
-line is cut in two segments: an edit leaves one of them as it was.  The index of a length class ``c`` holds the
-segments of its lines of length ``c``, and is probed by lines of that length and by lines one shorter, whose segments
-are aligned from the start or from the end.
-
-Lines that share a segment are not paired.  A bucket of the index is refined instead: the segment that may hold the
-edit is cut in 16 pieces, and lines meet again if all but one piece agrees; inside that piece, a few characters as a
-rule, they meet if one left-out character makes them equal.  Each step is an aggregation by hash in which a line has a
-bounded number of rows, so a template that very many lines share costs rows in proportion, not pairs.  Lines that meet
-in the end are linked to one representative, and that link is verified by a banded bit-parallel automaton: one bit for
-each diagonal within reach, one word for each number of edits.
-
-Links and equality make classes (connected components).  Of each class the first line (smallest document id, then
-position; null ids first) stays and all others go.  Lines are compared without surrounding spaces and carriage
-returns; lines shorter than ``least_chars`` are never removed.  DataFrame functions only.
+"""Line deduplication up to a few edits, as a segment-partition join.
+
+Two lines are linked if ``edits`` edits (a character put in, left out or changed) make them equal.  A line is cut in
+``edits + 1`` segments: edits leave one of them as it was.  The index of a length class ``c`` holds the segments of its
+lines of length ``c``, and is probed by lines of that length and by lines whose length differs by the edits allowed, at
+the places where the segment can stand.  Links are verified by a banded bit-parallel automaton: one bit for each
+diagonal within reach, one word for each number of edits.
+
+One edit (the default) needs no pairs at all.  A bucket of the index is refined instead: the segment that may hold the
+edit is cut in 16 pieces, and lines meet again if all but one piece agrees; a piece of more than 64 characters is cut
+again, and inside a short one lines meet if one left-out character makes them equal.  Each step is an aggregation by
+hash in which a line has a bounded number of rows, so a template that very many lines share costs rows in proportion.
+Lines that meet in the end are linked to one representative.  For more edits the lines of a bucket are compared:
+buckets of many lines with two of them first, and what that doesn't link in blocks of pairs (``graph.links_of_lists``).
+
+Links and equality make classes (connected components), so a line may be further from the line that stays than
+``edits``, by way of others.  Of each class the first line (smallest document id, then position; null ids first) stays
+and all others go.  Lines are compared without surrounding spaces and carriage returns.  Lines of ``least_chars`` and
+more are linked by edits; shorter ones go only if they are equal, and empty ones never.  DataFrame functions only.
 
 Null texts have no lines, empty texts one empty line.  Documents keep their row even if all their lines go.  Repeated
 rows are told apart by a row number, and one of them keeps the lines.
@@ -26,9 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slickwake.llm.common import materialize, read_table
-from slickwake.llm.graph import components
+from slickwake.llm.graph import components, links_of_lists
 
-PIECES = 16
+PIECES, SHORT = 16, 64
 
 
 def _trimmed(line: Column) -> Column:
@@ -84,9 +86,20 @@ def _alive(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(full, key, "left_semi")
 
 
-def line_links(lines: DataFrame) -> DataFrame:
-    """Links ``u, v`` between the names of distinct lines (``name``, ``line``) one edit apart; classes keep their links
-    to one member each, which is enough for connected components."""
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Rows ``name, key, longer, size, rest`` cut in 16 pieces: once for each piece that may hold the edit, with a key of all
+    others and the piece as ``hole``.  ``size`` is the length of the class's longer lines."""
+    edge = lambda i: F.floor(F.col("size") * i / PIECES).cast("int")
+    piece = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    piece = piece.withColumn("a", edge(F.col("i"))).withColumn("tail", F.col("size") - edge(F.col("i") + 1)).where("a + tail < size")
+    hole = F.substring("rest", F.col("a") + 1, F.char_length("rest") - F.col("a") - F.col("tail"))
+    # zero characters from the right are none
+    after = F.when(F.col("tail") > 0, F.right("rest", F.col("tail"))).otherwise(F.lit(""))
+    key = F.xxhash64("key", "i", F.left("rest", F.col("a")), after)
+    return materialize(_alive(piece.select("name", "longer", (F.col("size") - F.col("a") - F.col("tail")).alias("size"), key.alias("key"), hole.alias("hole")), "key"), "pieces")
+
+
+def _one_edit_links(lines: DataFrame) -> DataFrame:
     entries = lines.select("name", F.explode(_segments(F.col("line"))).alias("s")).select("name", "s.*")
     entries = _alive(entries, "key")
     met = materialize(entries.join(lines, "name"), "segments")
@@ -94,14 +107,14 @@ def line_links(lines: DataFrame) -> DataFrame:
     half = F.floor(F.col("c") / 2).cast("int")
     nominal = F.when(F.col("side") == 0, F.col("c") - half).otherwise(half)
     rest = F.when(F.col("side") == 0, F.substring("line", half + 1, F.char_length("line"))).otherwise(F.left("line", F.char_length("line") - (F.col("c") - half)))
-    edge = lambda i: F.floor(F.col("size") * i / PIECES).cast("int")
-    piece = met.select("name", "key", "longer", nominal.alias("size"), rest.alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("i"))
-    piece = piece.withColumn("a", edge(F.col("i"))).withColumn("tail", F.col("size") - edge(F.col("i") + 1)).where("a + tail < size")
-    hole = F.substring("rest", F.col("a") + 1, F.char_length("rest") - F.col("a") - F.col("tail"))
-    # zero characters from the right are none
-    after = F.when(F.col("tail") > 0, F.right("rest", F.col("tail"))).otherwise(F.lit(""))
-    piece = piece.select("name", "longer", F.xxhash64("key", "i", F.left("rest", F.col("a")), after).alias("key"), hole.alias("hole"))
-    piece = materialize(_alive(piece, "key"), "pieces")
+    rows, piece = met.select("name", "key", "longer", nominal.alias("size"), rest.alias("rest")), None
+    while True:
+        cut = _pieces(rows)
+        part = cut.where(F.col("size") <= SHORT)
+        piece = part if piece is None else piece.union(part)
+        rows = cut.where(F.col("size") > SHORT).withColumnRenamed("hole", "rest")
+        if rows.isEmpty():
+            break
 
     n = F.char_length("hole")
     spots = F.when(F.col("longer") & (n > 0), F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
@@ -117,9 +130,41 @@ def line_links(lines: DataFrame) -> DataFrame:
     return linked.where(within_edits(F.col("hole"), F.col("other_hole"), 1)).select(F.col("name").alias("u"), F.col("other").alias("v")).distinct()
 
 
-def duplicate_lines(docs: DataFrame, least_chars: int = 20) -> DataFrame:
+def _probes(line: Column, edits: int) -> Column:
+    """Keys of a line: the segments of its own length class, and what may be a segment of a line up to ``edits`` shorter."""
+    n, keys = F.char_length(line), []
+    for less in range(edits + 1):
+        c = n - less
+        for i in range(edits + 1):
+            a, b = F.floor(c * i / (edits + 1)).cast("int"), F.floor(c * (i + 1) / (edits + 1)).cast("int")
+            # edits before the segment move it by no more than i, those behind it by no more than the rest of them
+            for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                at = a + move
+                key = F.xxhash64(F.lit(i), c, F.substring(line, at + 1, b - a))
+                keys.append(F.when((c >= 0) & (at >= 0) & (at + b - a <= n), key))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
+def line_links(lines: DataFrame, edits: int = 1, dense: int = 64, block: int = 512) -> DataFrame:
+    """Links ``u, v`` between the names of distinct lines (``name``, ``line``) at most ``edits`` apart; classes keep enough of
+    their links for connected components."""
+    if edits == 1:
+        return _one_edit_links(lines)
+    if edits == 0:
+        return lines.select(F.col("name").alias("u"), F.col("name").alias("v")).where("false")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(lines.toDF("u", "a"), "u").join(lines.toDF("v", "b"), "v")
+        return both.where(within_edits(F.col("a"), F.col("b"), edits)).select("u", "v")
+
+    lines = lines.select("name", "line")
+    return links_of_lists(lines.select(F.col("name").alias("id"), F.explode(_probes(F.col("line"), edits)).alias("list")), verify, dense, block)
+
+
+def duplicate_lines(docs: DataFrame, edits: int = 1, least_chars: int = 20) -> DataFrame:
     """``rid, doc_id, text_key, n_lines, dropped``: the positions (from 0) of lines that go, one row per row of ``docs``."""
-    named = lambda line: F.when(F.char_length(line) >= least_chars, F.concat(F.lower(F.hex(F.xxhash64(line))), F.lit("-"), F.lower(F.hex(F.xxhash64(F.lit(7), line)))))
+    digits = lambda h: F.lpad(F.hex(h), 16, "0")
+    named = lambda line: F.when(line != "", F.unhex(F.concat(digits(F.xxhash64(line)), digits(F.xxhash64(F.lit(7), line)))))
     split = F.split(F.col("text"), "\n", -1)
     base = docs.select(
         F.monotonically_increasing_id().alias("rid"),
@@ -131,7 +176,7 @@ def duplicate_lines(docs: DataFrame, least_chars: int = 20) -> DataFrame:
     lines = docs.select(F.explode(split).alias("line")).select(_trimmed(F.col("line")).alias("line"))
     lines = lines.where(F.char_length("line") >= least_chars).withColumn("name", named(F.col("line")))
     distinct = lines.groupBy("name").agg(F.any_value("line").alias("line"))
-    classes = components(line_links(distinct)).withColumnRenamed("node", "name")
+    classes = components(line_links(distinct, edits)).withColumnRenamed("node", "name")
     classes = materialize(classes, "classes")
 
     each = base.select("rid", "doc_id", F.posexplode("names").alias("at", "name")).where("name IS NOT NULL")
