@@ -1,13 +1,15 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash rolls over the bytes: ``h = 2 * h + gear[byte]`` modulo 2^32, so it depends on the last 32 bytes only.
+A gear hash rolls over the bytes: ``h = 2 * h + gear[byte]`` modulo 2^16, so it depends on the last 16 bytes only.
 Positions where its top bits are zero are boundary candidates; one that has no other candidate in the ``least`` bytes
 before it ends a chunk.  Both rules look at a bounded stretch of content, so an insertion moves boundaries around
 itself and nowhere else.  Stretches without a boundary are cut every ``most`` bytes.
 
 Chunks are deduplicated by a 128-bit digest.  Of the chunks with one digest the first (smallest id, then position) is
 the owner.  A run of neighbouring chunks that all occur more than once is a repeated passage if it has ``least_run``
-bytes; in such runs every chunk but owners is removed.
+bytes and can be part of a repeated string of ``least_passage`` bytes: what is repeated may reach into the two chunks
+around the run, but not past them.  So no repeated string of that length whose whole chunks have ``least_run`` bytes is
+left out, and common phrases and short notices stay.  In such runs every chunk but owners is removed.
 
 Null texts are empty and have no chunks.  Null ids come first.  Rows that repeat id and text are told apart by a row
 number; one of them owns.  Offsets are in bytes of UTF-8.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from slickwake.llm.common import arrow_map, byte_column, materialize, read_table
 
-_GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, 256, dtype=np.uint32)
+_GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
 def boundaries(data: np.ndarray, bits: int = 5, least: int = 24, most: int = 512) -> np.ndarray:
@@ -33,11 +35,11 @@ def boundaries(data: np.ndarray, bits: int = 5, least: int = 24, most: int = 512
     if not n:
         return np.zeros(0, np.int64)
     h, step = _GEAR[data], 1
-    while step < 32:  # sums over the last 2, 4, ... 32 bytes
+    while step < 16:  # sums over the last 2, 4, 8, 16 bytes
         h = h.copy()
-        h[step:] += h[:-step] << np.uint32(step)
+        h[step:] += h[:-step] << np.uint16(step)
         step *= 2
-    spots = np.flatnonzero(h >> np.uint32(32 - bits) == 0) + 1
+    spots = np.flatnonzero(h >> np.uint16(16 - bits) == 0) + 1
     ends = spots[np.diff(spots, prepend=-least) >= least]
     ends = np.unique(np.append(ends, n))
     starts = np.concatenate(([0], ends[:-1]))
@@ -68,37 +70,33 @@ def chunks(docs: DataFrame, bits: int = 5, least: int = 24, most: int = 512) ->
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "rid long, doc_id long, n_bytes long, stop array<int>, d1 array<long>, d2 array<long>")
 
 
-def repeated_passages(docs: DataFrame, bits: int = 5, least: int = 24, most: int = 512, least_run: int = 48) -> tuple[DataFrame, DataFrame]:
-    """(rows: ``rid, doc_id, n_bytes, n_chunks``; passages: ``rid, start, stop, removed`` with ``removed`` pieces)."""
+def repeated_passages(docs: DataFrame, bits: int = 5, least: int = 24, most: int = 512, least_run: int = 48, least_passage: int = 240) -> tuple[DataFrame, DataFrame]:
+    """(rows: ``rid, doc_id, n_bytes, n_chunks``; passages: ``rid, run, start, stop, removed`` with ``removed`` pieces)."""
     base = materialize(chunks(docs, bits, least, most), "chunks")
-    each = base.select("rid", "doc_id", F.posexplode(F.arrays_zip("stop", "d1", "d2")).alias("at", "c")).select("rid", "doc_id", "at", "c.*")
+    each = base.select("rid", "doc_id", "stop", F.posexplode(F.arrays_zip("stop", "d1", "d2")).alias("at", "c"))
+    end = lambda k: F.get("stop", F.col("at") + k)
+    # a chunk goes from start to stop; its neighbours go from lo and up to hi
+    start = F.coalesce(end(-1), F.lit(0))
+    each = each.select("rid", "doc_id", "at", F.coalesce(end(-2), F.lit(0)).alias("lo"), start.alias("start"), F.col("c.stop").alias("stop"), F.coalesce(end(1), F.col("c.stop")).alias("hi"), "c.d1", "c.d2")
     seen = each.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "at")).alias("owner")).where("n > 1").drop("n")
-    again = each.join(seen, ["d1", "d2"]).select("rid", "at", "stop", (F.col("owner.rid").eqNullSafe(F.col("rid")) & (F.col("owner.at") == F.col("at"))).alias("owns"))
-    again = materialize(again, "again")
-    # starts come with the row's list of stops
-    stops = base.select("rid", "stop").join(again.select("rid").distinct(), "rid", "left_semi").withColumnRenamed("stop", "stops")
-    placed = again.join(stops, "rid").withColumn("start", F.when(F.col("at") == 0, F.lit(0)).otherwise(F.expr("stops[at - 1]"))).drop("stops")
-    order = Window.partitionBy("rid").orderBy("at")
-    run = F.col("at") - F.row_number().over(order)
-    runs = placed.withColumn("run", run).groupBy("rid", "run").agg(
-        F.min("start").alias("start"),
-        F.max("stop").alias("stop"),
-        F.array_sort(F.collect_list(F.when(~F.col("owns"), F.struct("start", "stop")))).alias("removed"),
-    )
-    return base.select("rid", "doc_id", "n_bytes", F.size("stop").alias("n_chunks")), runs.where(F.col("stop") - F.col("start") >= least_run).drop("run")
+    owns = F.col("owner.rid").eqNullSafe(F.col("rid")) & (F.col("owner.at") == F.col("at"))
+    again = materialize(each.join(seen, ["d1", "d2"]).select("rid", "at", "lo", "start", "stop", "hi", owns.alias("owns")), "again")
+    order, row = Window.partitionBy("rid").orderBy("at"), F.row_number()
+    # neighbouring chunks keep the distance between their place and their number; so do neighbouring chunks that go
+    runs = again.withColumn("run", F.col("at") - row.over(order))
+    runs = runs.withColumn("piece", F.when(~F.col("owns"), F.col("at") - F.sum((~F.col("owns")).cast("int")).over(order)))
+    whole = lambda pieces: F.array_sort(F.filter(pieces, lambda p: p["start"].isNotNull()))
+    by_piece = runs.groupBy("rid", "run", "piece").agg(F.min("lo").alias("lo"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("hi").alias("hi"))
+    gone = F.when(F.col("piece").isNotNull(), F.struct("start", "stop"))
+    passages = by_piece.groupBy("rid", "run").agg(F.min("lo").alias("lo"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("hi").alias("hi"), whole(F.collect_list(gone)).alias("removed"))
+    passages = passages.where((F.col("stop") - F.col("start") >= least_run) & (F.col("hi") - F.col("lo") >= least_passage))
+    return base.select("rid", "doc_id", "n_bytes", F.size("stop").alias("n_chunks")), passages.drop("lo", "hi")
 
 
 def chunk_dedup(docs: DataFrame, **settings) -> DataFrame:
     """``rid, doc_id, n_bytes, n_chunks, passages, removed``; passages and removed are sorted arrays of (start, stop)."""
     rows, runs = repeated_passages(docs, **settings)
-    join = lambda pieces: F.aggregate(  # noqa: E731  neighbouring removed chunks are one piece
-        pieces,
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda acc, p: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] == p["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), p["stop"].alias("stop"))))).otherwise(F.concat(acc, F.array(p))),
-    )
-    per_row = runs.withColumn("removed", join(F.col("removed"))).groupBy("rid").agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("passages"), F.array_sort(F.flatten(F.collect_list("removed"))).alias("removed")
-    )
+    per_row = runs.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("passages"), F.array_sort(F.flatten(F.collect_list("removed"))).alias("removed"))
     return rows.join(per_row, "rid", "left")
 
 
