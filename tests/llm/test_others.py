@@ -1,6 +1,10 @@
 import base64
+import bisect
+import collections
 import gzip
 import hashlib
+import math
+import random
 import re
 
 import numpy as np
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from slickwake.llm import decontaminate, mixing, ngram_quality, pii, warc
 from slickwake.llm.common import scratch
-from tests.llm.helpers import SCHEMA, corpus, frame, with_clashes
+from tests.llm.helpers import SCHEMA, corpus, frame, sentence, with_clashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_archives(spark):
-    pages = [(i, f"http://www.h{i % 3}.example.com/p/{i % 7}?q=1#x", f"<html>{i % 5}é</html>") for i in range(40)] + [(100, None, None), (101, "http://[bad", ""), (102, "https://a.b/ x", "<p>1</p>"), (103, "https://a.b/ x", "<p>1</p>"), (103, "https://a.b/ x", "<p>1</p>"), (None, "http://n.n/", "<i/>")]
+    pages = [(i, f"http://www.h{i % 3}.example.com/p/{i % 7}?q=1#x", f"<html>{i % 5}é</html>") for i in range(40)] + [(100, None, None), (101, "http://[bad", ""), (102, "https://a.b/ x", "<p>1</p>"), (104, "urn:page:9", "<p>2</p>"), (105, "urn:page:105", "z" * 3_000_000), (106, "", "<p>3</p>"), (107, "not a url", "<p>4</p>"), (108, "http://a.b/%00\x00\n", "<p>5</p>"), (103, "https://a.b/ x", "<p>1</p>"), (103, "https://a.b/ x", "<p>1</p>"), (None, "http://n.n/", "<i/>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).withColumn("key", F.lit("k")).withColumn("file", F.lit("f"))
     owner = {}
     for i, _, h in pages:
@@ -85,8 +89,6 @@ def plain_spans(text):
 
 
 def test_base_spans(spark):
-    import random
-
     rng = random.Random(1)
     rows = [(i, "".join(rng.choice("a1.@-_+ 9(é𝄞%04") for _ in range(rng.randint(0, 90)))) for i in range(1500)]
     rows += [(9001, None), (9002, ""), (9003, "a" * 200_000), (9004, "1." * 40_000), (9005, "1 " * 40_000), (9006, "a@b." + "c." * 30_000 + "d_e@f.g"), (9007, "+1" + "(" * 30_000), (9008, "a.b@c.d_e@f.g%h@i.j"), (9009, "ip 000255.1.1.1 256.1.1.1 4111 1111-1111 1111 +44 (20) 7946-0958.")]
@@ -104,10 +106,73 @@ def test_learned_context(spark):
     assert all(found[i]["s"] == found[i]["b"] != "" for i in range(8)) and found[20]["s"] == ""
 
 
+def test_second_generation(spark):
+    """Numbers found by a pattern induce the next pattern, and so on until nothing is added."""
+    said = lambda k: f"555 01{k:02d} 7{k % 10}"
+    rows = [(i, f"intro words then call me at +1 (4{i:02d}) 555-01{i:02d} please") for i in range(40)]
+    rows += [(100 + k, f"again call me at {said(k)} thanks") for k in range(14)] + [(200 + k, f"our fax desk number {said(k)} is new") for k in range(14)]
+    rows += [(500 + k, f"his fax desk number {said(50 + k)} is it") for k in range(4)] + [(400 + k, f"and third line {said(50 + k)} too") for k in range(4)] + [(301, f"a lot size {said(50)} of nails")]
+    found = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"] or []] for r in pii.find_pii(frame(spark, rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    marked = {i for i, t in text.items() if i >= 100 and any(k == "phone" and t[a:b].startswith("555 01") for k, a, b in found[i])}
+    assert marked == {i for i in text if i >= 100 and i != 301}
+    assert found[301] == []
+
+
+def plain_learning(edges, min_seeds=3, min_confidence=0.7, min_score=0.7):
+    of = collections.defaultdict(set)
+    shape = {}
+    for p, i, sh, n in edges:
+        of[p].add(i)
+        shape[i] = sh, n
+    fits = lambda k, i: (k, shape[i][0]) in {("email", "address"), ("ip", "dotted")} or (shape[i][0] == "number" and ((k == "card" and 12 <= shape[i][1] <= 19) or (k == "phone" and 7 <= shape[i][1] <= 15)))
+    known, before = {(i, s): 1.0 for i, (s, _) in shape.items() if s in pii.KINDS}, None
+    while True:
+        conf = {}
+        for p, inst in of.items():
+            for k in pii.KINDS:
+                scores = [known[i, k] for i in inst if (i, k) in known]
+                if len(scores) >= min_seeds:
+                    conf[p, k] = sum(scores) / len(inst)
+        found = {}
+        for i in (i for i in shape if shape[i][0] not in pii.KINDS):
+            for k in pii.KINDS:
+                c = [v for (p, kk), v in conf.items() if kk == k and i in of[p]] if fits(k, i) else []
+                score = 1 - math.prod(1 - min(x, 0.999) for x in c)
+                if c and score >= min_score and max(c) >= min_confidence:
+                    found[i, k] = score
+        known = {(i, s): 1.0 for i, (s, _) in shape.items() if s in pii.KINDS} | found
+        sure = {x for x, v in conf.items() if v >= min_confidence}
+        if (now := (len(found), len(sure))) == before or not found:
+            return set(known), sure
+        before = now
+
+
+def test_pattern_graph_is_that_of_plain_python(spark):
+    rng = random.Random(3)
+    shapes = [(f"i{k}", *rng.choice([("phone", 11), ("card", 16), ("email", 0), ("ip", 8), ("number", 8), ("number", 13), ("number", 17), ("address", 0), ("dotted", 6)])) for k in range(300)]
+    edges = {(f"p{int(s[0][1:]) * 7 % 40 + rng.randint(0, 2) * rng.randint(0, 1)}", *s) for s in shapes for _ in range(rng.randint(1, 4))}
+    edges |= {(f"kind {s[1]} {int(s[0][1:]) % 2}", *s) for s in shapes if s[1] in ("phone", "card", "email")} | {(f"kind phone {int(s[0][1:]) % 2}", *s) for s in shapes if s[1] == "number" and int(s[0][1:]) % 5 == 0}
+    edges |= {(f"next {int(s[0][1:]) % 3}", *s) for s in shapes if s[1] == "number" and int(s[0][1:]) % 5 == 0} | {("next 1", *s) for s in shapes if s[1] == "number" and int(s[0][1:]) % 7 == 0}
+    known, sure = pii.learn(spark.createDataFrame(sorted(edges), "pattern string, instance string, shape string, n int"), 3, 0.6, 0.6)
+    want = plain_learning(edges, 3, 0.6, 0.6)
+    assert {(r["instance"], r["kind"]) for r in known.collect()} == want[0] and {(r["pattern"], r["kind"]) for r in sure.collect()} == want[1]
+    assert len(want[0]) > sum(s[1] in pii.KINDS for s in shapes if any(e[1] == s[0] for e in edges))
+
+
+def test_no_word_of_a_context_is_cut(spark):
+    word = "w" * 5000
+    rows = [(i, f"{word}a +1 (41{i}) 555-010{i} x") for i in range(4)] + [(10, f"{word}a 555 0100 77 y"), (11, f"{word}b 555 0100 77 y"), (12, "ip 10[.]0 [dot] 0[.]1 z")] + [(20 + i, f"ip 10.0.0.{i} z") for i in range(4)]
+    rows += [(30, "mail " + "a" * 300 + " [at] " + "b" * 100 + " [dot] org now")] + [(40 + i, f"mail a{i}@b.org now") for i in range(4)]
+    found = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"] or []] for r in pii.find_pii(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert found[10] == [("phone", 5002, 5013)] and found[11] == [] and found[12] == [("ip", 3, 21)] and found[30] == [("email", 5, len(rows[-5][1]) - 4)]
+
+
 # ------------------------------------------------------------------ mixing
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("bucket_rows", [2000, 3])
+def test_mix(spark, bucket_rows):
     rows = [r for r in corpus(11, 200)]
     sizes, docs = {}, with_clashes(frame(spark, rows))
     for r in rows:
@@ -122,17 +187,19 @@ def test_mix(spark):
             target[s] = 2.0 * sizes[s] if over else level * weight[s]
             todo.discard(s)
             left -= target[s] if over else 0
-    got = mixing.mix(docs).collect()
+    got = mixing.mix(docs, bucket_rows=bucket_rows).collect()
     assert len(got) == len(rows)
     for s in order:
         part = [r for r in got if r["source"] == s]
         assert all(r["target"] == pytest.approx(target[s]) and r["source_size"] == sizes[s] and r["taken"] <= 2 * r["size"] for r in part)
         assert abs(sum(r["taken"] for r in part) - target[s]) <= 1
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=str)
-    out = mixing.mixed_documents(docs.drop("words"))
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5), bucket_rows=bucket_rows).collect()), key=str)
+    # the table has a column ``words`` of its own, which stays
+    out = mixing.mixed_documents(docs.withColumn("words", F.lit("own")))
+    assert out.columns == [*docs.columns, "repetition", "mix_words"]
     for r in out.collect():
-        assert len(r["text"].encode().split()) == r["words"]
-    assert out.agg(F.sum("words")).first()[0] == sum(r["taken"] for r in got)
+        assert len(r["text"].encode().split()) == r["mix_words"] and r["words"] == "own"
+    assert out.agg(F.sum("mix_words")).first()[0] == sum(r["taken"] for r in got)
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
@@ -160,8 +227,8 @@ def test_contamination(spark):
                     hit |= set(range(k, k + n))
                     found.add(str(i))
         want.append((r[0], len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
-    for bits in (1 << 20, 64):
-        f = decontaminate.contamination(with_clashes(frame(spark, rows)), bench, bloom_bits=bits)
+    for bits in (1 << 27, 64):
+        f = decontaminate.contamination(with_clashes(frame(spark, rows)), bench, most_bloom_bits=bits)
         ids = F.coalesce("item_ids", F.array().cast("array<string>"))
         got = f.select("doc_id", "n_words", F.coalesce(decontaminate.covered(F.col("spans")), F.lit(0)), F.size(ids), F.sha2(F.concat_ws(",", ids), 256)).collect()
         assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
@@ -173,46 +240,113 @@ def test_contamination(spark):
 # ------------------------------------------------------------------ quality
 
 
-def test_model_is_a_distribution_and_matches_plain_counts(spark):
-    texts = spark.createDataFrame([("abracadabra abra",), ("cad abra brac",), ("bad cab",), ("",), (None,)], "text string")
-    table = ngram_quality.alphabet(texts)
-    model = ngram_quality.kneser_ney(ngram_quality.gram_counts(texts.withColumn("half", F.lit(0)), table).select("code", "n"))
-    every = np.arange(ngram_quality.SYMBOLS**ngram_quality.ORDER, dtype=np.uint32)
-    p = np.exp(ngram_quality.log_probabilities(model, every).astype(np.float64)).reshape(-1, ngram_quality.SYMBOLS)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    # the same model with dictionaries
-    v, grams = ngram_quality.SYMBOLS, {}
-    for t in ("abracadabra abra", "cad abra brac", "bad cab"):
-        for code in ngram_quality.gram_codes(t.encode(), table).tolist():
-            grams[code] = grams.get(code, 0) + 1
-    counts = {4: grams}
-    for k in (3, 2, 1):
-        counts[k] = {}
-        for c in counts[k + 1]:
-            counts[k][c % v**k] = counts[k].get(c % v**k, 0) + 1
-
-    def discount(k):
-        n = [sum(1 for x in counts[k].values() if x == i) for i in (1, 2, 3, 4)]
-        if min(n) > 0:
-            y = n[0] / (n[0] + 2 * n[1])
-            d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
-            if 0 < d[0] < 1 and 0 < d[1] < 2 and 0 < d[2] < 3:
-                return [0, *d]
-        return [0, 0.5, 1.0, 1.5]
-
-    def prob(k, code):
+def plain_grams(text, order=5):
+    s = b"\xff" * (order - 1) + text
+    return [s[k : k + order] for k in range(len(text))]
+
+
+class PlainModel:
+    """The same model with dictionaries."""
+
+    def __init__(self, texts, order=5):
+        self.order, self.counts = order, {order: collections.Counter(g for t in texts for g in plain_grams(t, order))}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = collections.Counter(g[1:] for g in self.counts[k + 1])
+        self.discounts, self.followers = {}, {}
+        for k, c in self.counts.items():
+            n = [sum(1 for x in c.values() if x == i) for i in (1, 2, 3, 4)]
+            d = [0.5, 1.0, 1.5]
+            if min(n) > 0:
+                y = n[0] / (n[0] + 2 * n[1])
+                e = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+                d = e if 0 < e[0] < 1 and 0 < e[1] < 2 and 0 < e[2] < 3 else d
+            self.discounts[k] = [0, *d]
+            for g, x in c.items():
+                self.followers.setdefault((k, g[:-1]), []).append(x)
+
+    def prob(self, gram):
+        k = len(gram)
         if k == 0:
-            return 1 / v
-        d, h = discount(k), code // v
-        peers = [x for c, x in counts[k].items() if c // v == h]
+            return 1 / 256
+        peers, d = self.followers.get((k, gram[:-1])), self.discounts[k]
         if not peers:
-            return prob(k - 1, code % v ** max(k - 1, 1))
-        c = counts[k].get(code, 0)
-        return max(c - d[min(c, 3)], 0) / sum(peers) + sum(d[min(x, 3)] for x in peers) / sum(peers) * prob(k - 1, code % v ** max(k - 1, 1))
+            return self.prob(gram[1:])
+        c = self.counts[k].get(gram, 0)
+        return max(c - d[min(c, 3)], 0) / sum(peers) + sum(d[min(x, 3)] for x in peers) / sum(peers) * self.prob(gram[1:])
 
-    flat = p.reshape(-1)
-    for code in [*grams, 5, 70000, 123456]:
-        assert flat[code] == pytest.approx(prob(4, code), rel=1e-4)
+
+def test_model_is_a_distribution_and_matches_plain_counts(spark):
+    texts = [b"abracadabra abra", "cad \u00e9abra brac".encode(), b"bad cab", b""]
+    parts = [0, 1, 2, 0]
+    df = spark.createDataFrame([(t.decode(), p) for t, p in zip(texts, parts, strict=True)] + [(None, 1)], "text string, part int")
+    path = ngram_quality.kneser_ney(ngram_quality.gram_counts(df), scratch(spark, "model"))
+    number = lambda g: int.from_bytes(g, "big")
+    for m, own in enumerate(({0, 1}, {0}, {1}, {2})):
+        plain = PlainModel([t for t, p in zip(texts, parts, strict=True) if p in own])
+        grams = sorted({g for t in texts for g in plain_grams(t)} | {b"zzzzz", b"abrzz", b"\xff\xff\xff\xffz"})
+        got = ngram_quality.log_probabilities(path, np.array([number(g) for g in grams]))[:, m]
+        assert np.allclose(np.exp(got), [plain.prob(g) for g in grams], rtol=1e-4)
+        for context in (b"abra", b"zzzz", b"\xff\xff\xff\xff"):
+            every = np.array([number(context + bytes([x])) for x in range(256)])
+            assert abs(np.exp(ngram_quality.log_probabilities(path, every)[:, m].astype(float)).sum() - 1) < 1e-3
+
+
+@pytest.mark.parametrize("stretch", [4 << 20, 700])
+def test_judge_is_that_of_plain_python(spark, stretch, monkeypatch):
+    """Perplexity, heat, thresholds and verdicts of the query's operator, with ties at the threshold and a language of its own."""
+    monkeypatch.setattr(ngram_quality, "STRETCH", stretch)
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, rng.randint(3, 40)), rng.choice(["en", "en", "de", None]), "a", 1) for i in range(90)]
+    rows += [(200 + i, "%x" % rng.getrandbits(400), "en", "a", 1) for i in range(6)] + [(300 + i, f"you {w} of the sea", "en", "a", 1) for i, w in enumerate(["idiotic", "idiotic", "trashy", "trashy", "idiotic"])]
+    rows += [(400, None, "en", "a", 1), (401, "", "en", "a", 1), (402, rows[3][1], "en", "a", 1), (None, rows[4][1], "de", "a", 1), (5, rows[5][1], rows[5][2], "a", 1)]
+    labels = [(i, 1, 0) for i in range(70)] + [(i, 1, 1) for i in range(300, 304)] + [(3, 1, 0), (None, 1, 1), (85, 0, 1), (300, 1, 0), (86, None, None)]
+    quantile, prior, least = 0.9, 50.0, 20
+    docs, lab = with_clashes(frame(spark, rows)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {(r["doc_id"], r["text_key"]): r for r in ngram_quality.judge(docs, lab, quantile, prior, least).collect()}
+    assert sum(1 for _ in rows) == ngram_quality.judge(docs, lab, quantile, prior, least).count()
+
+    key = {(r["doc_id"], r["text"]): (r["h"], r["k"]) for r in frame(spark, rows).select("doc_id", "text", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).alias("h"), F.xxhash64("text").alias("k")).collect()}
+    trusted = {d for d, q, t in labels if q == 1 and not t and d is not None}
+    toxic = {d for d, q, t in labels if t == 1 and d is not None} - trusted
+    body = lambda r: (r[1] or "").encode()
+    half = {r[0]: key[r[0], r[1]][0] for r in rows}
+    of = lambda ids: PlainModel([body(r) for r in rows if r[0] in ids])
+    models = [of(trusted), of({d for d in trusted if d in half and half[d] == 0}), of({d for d in trusted if d in half and half[d] == 1}), of(toxic)]
+
+    def score(r, m):
+        logs = [[math.log(x.prob(g)) for g in plain_grams(body(r))] for x in (models[m], models[3])]
+        words = re.findall(rb"[^ \t\n\r\f\v]*[ \t\n\r\f\v]|[^ \t\n\r\f\v]+", body(r))
+        at, heat = 0, []
+        for w in words:
+            heat.append(sum(logs[1][at : at + len(w)]) - sum(logs[0][at : at + len(w)]))
+            at += len(w)
+        return -sum(logs[0]), max(heat)
+
+    unseen = {id(r): score(r, 2 if half[r[0]] == 0 else 1) for r in rows if r[0] in trusted and r[1]}
+    mean = sum(unseen[id(r)][0] for r in rows if id(r) in unseen) / sum(len(body(r)) for r in rows if id(r) in unseen)
+    entropy = lambda nats, r: (nats + prior * mean) / (len(body(r)) + prior)
+
+    def cut(values):
+        bins = sorted(math.floor(v * 1000) for v in values)
+        return (next(b for k, b in enumerate(bins) if bisect.bisect_right(bins, b) >= len(bins) * quantile) + 1) / 1000
+
+    used = [r for r in rows if id(r) in unseen]
+    general, hottest = cut([entropy(unseen[id(r)][0], r) for r in used]), cut([unseen[id(r)][1] for r in used])
+    own = {lang: [entropy(unseen[id(r)][0], r) for r in used if r[2] == lang] for lang in ("en", "de", None)}
+    verdicts = set()
+    for r in rows:
+        g = got[r[0], key[r[0], r[1]][1]]
+        limit = cut(own[r[2]]) if len(own[r[2]]) >= least else general
+        assert g["threshold"] == pytest.approx(math.exp(limit), rel=1e-3) and g["n_tokens"] == len(body(r))
+        if not r[1]:
+            assert not g["kept"] and g["perplexity"] is None and g["heat"] is None
+            continue
+        nats, heat = score(r, 0)
+        assert g["perplexity"] == pytest.approx(math.exp(nats / len(body(r))), rel=1e-3) and g["heat"] == pytest.approx(heat, abs=1e-2)
+        if abs(entropy(nats, r) - limit) > 2e-3 and abs(heat - hottest) > 2e-2:
+            assert g["kept"] == (entropy(nats, r) <= limit and heat <= hottest)
+            verdicts.add((g["kept"], entropy(nats, r) <= limit))
+    assert verdicts == {(True, True), (False, True), (False, False)}
 
 
 def test_junk_goes_and_clean_text_stays(spark):
