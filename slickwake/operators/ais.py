@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slickwake.config import AISConfig
 from slickwake.functions.geo import FEATURE_M_PER_DEG, KM_PER_NM, epoch_s, from_epoch_s, haversine_km
 from slickwake.functions.stats import clip
 
@@ -37,7 +36,7 @@ def _with_steps(df: DataFrame) -> DataFrame:
     )
 
 
-def clean(raw: DataFrame, cfg: AISConfig = AISConfig()) -> DataFrame:
+def clean(raw: DataFrame, *, teleport_kn: float = 200.0) -> DataFrame:
     """Valid positions, first report of a time, clipped speed, course in [0, 360), no teleports.
 
     A teleport is judged against the previous deduplicated row, so the row that returns from one goes too.
@@ -46,15 +45,15 @@ def clean(raw: DataFrame, cfg: AISConfig = AISConfig()) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("mmsi", "ts").orderBy("ord"))
     df = raw.where(ok).withColumn("_rn", first).where("_rn = 1").drop("_rn")
     df = df.withColumn("sog", clip("sog", 0, 40)).withColumn("cog", F.pmod("cog", F.lit(360.0))).withColumn("es", epoch_s("ts"))
-    df = _with_steps(df).where(F.coalesce(_speed_kn(), F.lit(0.0)) <= cfg.implausible_speed_kn * 4)
+    df = _with_steps(df).where(F.coalesce(_speed_kn(), F.lit(0.0)) <= teleport_kn)
     return df.drop("dt_s", "step_km")
 
 
-def segments(cleaned: DataFrame, cfg: AISConfig = AISConfig()) -> DataFrame:
+def segments(cleaned: DataFrame, *, longest_gap_min: float = 60.0, top_speed_kn: float = 50.0) -> DataFrame:
     """Adds ``gap_min, segment_id, internal_gap_min``: a new segment after a long gap or an implausible step."""
     gap = F.coalesce(F.col("dt_s"), F.lit(0.0)) / 60
     df = _with_steps(cleaned).withColumn("gap_min", gap)
-    boundary = (F.col("gap_min") > cfg.gap_segment_minutes) | (F.coalesce(_speed_kn(), F.lit(0.0)) > cfg.implausible_speed_kn)
+    boundary = (F.col("gap_min") > longest_gap_min) | (F.coalesce(_speed_kn(), F.lit(0.0)) > top_speed_kn)
     df = df.withColumn("_b", boundary).withColumn("segment_id", F.sum(F.col("_b").cast("int")).over(_track().rowsBetween(Window.unboundedPreceding, 0)))
     return df.withColumn("internal_gap_min", F.when(F.col("_b"), 0.0).otherwise(F.col("gap_min"))).drop("_b", "dt_s", "step_km")
 
@@ -63,11 +62,11 @@ def segment_meta(seg: DataFrame) -> DataFrame:
     return seg.groupBy(*SEGMENT).agg(F.count("*").alias("n_raw"))
 
 
-def resample(seg: DataFrame, cfg: AISConfig = AISConfig()) -> DataFrame:
+def resample(seg: DataFrame, *, every_min: int = 6, fewest_fixes: int = 4) -> DataFrame:
     """Bins of segments with enough fixes: ``bin_no`` counts steps from midnight of the segment's first day (``day0``)."""
-    step = cfg.resample_minutes * 60
+    step = every_min * 60
     whole = Window.partitionBy(*SEGMENT)
-    df = seg.withColumn("_n", F.count("*").over(whole)).where(F.col("_n") >= cfg.min_raw_fixes)
+    df = seg.withColumn("_n", F.count("*").over(whole)).where(F.col("_n") >= fewest_fixes)
     df = df.withColumn("day0", F.floor(F.min("es").over(whole) / 86400) * 86400)
     df = df.withColumn("bin_no", F.floor((F.col("es") - F.col("day0")) / step))
     a = F.radians("cog")
@@ -82,27 +81,36 @@ def resample(seg: DataFrame, cfg: AISConfig = AISConfig()) -> DataFrame:
     )
 
 
-def _interpolated(name: str, limit: int) -> F.Column:
-    """Linear between known bins, for at most ``limit`` bins after one; after the last, its value for as many."""
-    order = Window.partitionBy(*SEGMENT).orderBy("bin_no")
-    known = F.when(F.col(name).isNotNull(), F.struct(F.col("bin_no").alias("i"), F.col(name).alias("x")))
-    back = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    since = F.col("bin_no") - back["i"]
+def _interpolated(name: str, reach: int) -> F.Column:
+    """At bin ``at``: linear between known bins, for at most ``reach`` bins after one; after the last, its value for as many."""
+    back, ahead = F.col(f"_back_{name}"), F.col(f"_ahead_{name}")
+    since = F.col("at") - back["i"]
     line = back["x"] + (ahead["x"] - back["x"]) * since / (ahead["i"] - back["i"])
-    return F.when(F.col(name).isNotNull(), F.col(name)).when(back.isNull() | (since > limit), None).when(ahead.isNull(), back["x"]).otherwise(line)
+    own = F.when(F.col("at") == F.col("bin_no"), F.col(name))
+    return F.when(own.isNotNull(), own).when(back.isNull() | (since > reach), None).when(ahead.isNull(), back["x"]).otherwise(line)
+
 
+def fill_gaps(bins: DataFrame, *, every_min: int = 6, reach: int = 3, fewest_bins: int = 15, speedless: bool = False) -> DataFrame:
+    """Every bin between a segment's first and last, interpolated over ``reach`` bins; segments of too few bins go.
 
-def fill_gaps(bins: DataFrame, cfg: AISConfig = AISConfig()) -> DataFrame:
-    """Every bin between a segment's first and last, interpolated as far as the limit goes; short segments go."""
-    spans = bins.groupBy(*SEGMENT, "day0").agg(F.min("bin_no").alias("lo"), F.max("bin_no").alias("hi"), F.min("head").alias("first"))
-    grid = spans.select(*SEGMENT, "day0", "first", F.explode(F.sequence("lo", "hi")).alias("bin_no"))
-    df = grid.join(bins.drop("day0", "head"), [*SEGMENT, "bin_no"], "left")
-    df = df.select(*SEGMENT, "day0", "bin_no", "first", "cog", "internal_gap_min", *(_interpolated(c, cfg.interpolate_limit).alias(c) for c in ("lat", "lon", "sog")))
+    Bins without a speed go too, and so all of a segment that has none, unless ``speedless`` keeps them.  Each bin makes
+    the missing ones behind it, so all is done in the partitions that segments already have.
+    """
+    order, whole = Window.partitionBy(*SEGMENT).orderBy("bin_no"), Window.partitionBy(*SEGMENT)
+    df = bins.withColumn("first", F.min("head").over(whole)).withColumn("_next", F.lead("bin_no").over(order))
+    for c in ("lat", "lon", "sog"):
+        known = F.when(F.col(c).isNotNull(), F.struct(F.col("bin_no").alias("i"), F.col(c).alias("x")))
+        df = df.withColumn(f"_back_{c}", F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        df = df.withColumn(f"_ahead_{c}", F.first(known, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    # places are known in every bin, so no bin beyond the reach would stay
+    end = F.least(F.coalesce(F.col("_next") - 1, F.col("bin_no")), F.col("bin_no") + reach)
+    df = df.withColumn("at", F.explode(F.sequence("bin_no", end)))
+    own = lambda c: F.when(F.col("at") == F.col("bin_no"), F.col(c)).alias(c)
+    df = df.select(*SEGMENT, "day0", F.col("at").alias("bin_no"), "first", own("cog"), own("internal_gap_min"), *(_interpolated(c, reach).alias(c) for c in ("lat", "lon", "sog")))
     df = df.where("lat IS NOT NULL AND lon IS NOT NULL")
-    if cfg.require_speed:
+    if not speedless:
         df = df.where("sog IS NOT NULL")
-    df = df.withColumn("_n", F.count("*").over(Window.partitionBy(*SEGMENT))).where(F.col("_n") >= cfg.history_steps + 3)
+    df = df.withColumn("_n", F.count("*").over(Window.partitionBy(*SEGMENT))).where(F.col("_n") >= fewest_bins)
     order = Window.partitionBy(*SEGMENT).orderBy("bin_no")
     cog = F.coalesce(
         F.last("cog", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
@@ -110,7 +118,7 @@ def fill_gaps(bins: DataFrame, cfg: AISConfig = AISConfig()) -> DataFrame:
     )
     return df.select(
         *SEGMENT,
-        (F.col("day0") + F.col("bin_no") * cfg.resample_minutes * 60).alias("es"),
+        (F.col("day0") + F.col("bin_no") * every_min * 60).alias("es"),
         "lat",
         "lon",
         "sog",
@@ -139,13 +147,13 @@ def features(filled: DataFrame) -> DataFrame:
     ).withColumn("ts", from_epoch_s("es"))
 
 
-def preprocess(raw: DataFrame, cfg: AISConfig = AISConfig()) -> tuple[DataFrame, DataFrame]:
-    """(features on the regular grid, segment sizes)."""
-    seg = segments(clean(raw, cfg), cfg)
-    return features(fill_gaps(resample(seg, cfg), cfg)), segment_meta(seg)
+def regular(seg: DataFrame, *, every_min: int = 6, fewest_fixes: int = 4, reach: int = 3, fewest_bins: int = 15, speedless: bool = False) -> DataFrame:
+    """Segments on a regular grid: bins, their gaps filled, and features."""
+    bins = resample(seg, every_min=every_min, fewest_fixes=fewest_fixes)
+    return features(fill_gaps(bins, every_min=every_min, reach=reach, fewest_bins=fewest_bins, speedless=speedless))
 
 
-def tracks(raw: DataFrame, cfg: AISConfig = AISConfig(), cleaned: DataFrame | None = None) -> DataFrame:
+def tracks(cleaned: DataFrame) -> DataFrame:
     """Cleaned reports of vessels with two or more."""
-    df = (clean(raw, cfg) if cleaned is None else cleaned).withColumn("n_fixes", F.count("*").over(Window.partitionBy("mmsi")))
+    df = cleaned.withColumn("n_fixes", F.count("*").over(Window.partitionBy("mmsi")))
     return df.where("n_fixes >= 2")

@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slickwake.config import AISConfig
 from slickwake.functions.stats import angle_between, sigmoid
+from slickwake.operators.quantiles import exact_percentiles
 from slickwake.sources.scratch import stored
 
 SEGMENT = ["mmsi", "segment_id"]
 FEATURES = ("east_m", "north_m", "sog", "cog_sin", "cog_cos", "hod_sin", "hod_cos")
 
 
-def sequences(feat: DataFrame, cfg: AISConfig = AISConfig()) -> DataFrame:
-    """``x``: features of the ``history_steps`` bins before a bin; ``y1, y2``: how far its next step is from the last one.
+def sequences(feat: DataFrame, history: int = 12) -> DataFrame:
+    """``x``: features of the ``history`` bins before a bin; ``y1, y2``: how far its next step is from the last one.
 
     The history excludes the bin itself.  Bins without a full history or a next bin have no sequence.
     """
     order = Window.partitionBy(*SEGMENT).orderBy("es")
-    h = cfg.history_steps
-    past = F.collect_list(F.array(*(F.col(c).cast("float") for c in FEATURES))).over(order.rowsBetween(-h, -1))
+    past = F.collect_list(F.array(*(F.col(c).cast("float") for c in FEATURES))).over(order.rowsBetween(-history, -1))
     df = feat.select(
         *SEGMENT,
         "es",
@@ -28,7 +27,7 @@ def sequences(feat: DataFrame, cfg: AISConfig = AISConfig()) -> DataFrame:
         (F.row_number().over(order) - 1).alias("t"),
         *((F.lead(c).over(order) - 2 * F.col(c) + F.lag(c).over(order)).alias(f"y{i}") for i, c in enumerate(("east_m", "north_m"), 1)),
     )
-    return df.where((F.col("t") >= h) & F.col("y1").isNotNull()).withColumn("cv_error_m", F.hypot("y1", "y2"))
+    return df.where((F.col("t") >= history) & F.col("y1").isNotNull()).withColumn("cv_error_m", F.hypot("y1", "y2"))
 
 
 def jumps(feat: DataFrame) -> DataFrame:
@@ -65,23 +64,29 @@ def robust_z(df: DataFrame, columns: list[str], n_folds: int, seed: int = 5) ->
     rows = df.join(vessel_folds(df, n_folds, seed), "mmsi")
     # each row trains the folds it isn't in: at most n_folds - 1 copies of a few numbers
     others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col("fold")))
-    train = rows.select(others.alias("for_fold"), *columns)
-    medians = train.groupBy("for_fold").agg(*(F.percentile(c, 0.5).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns))
-    spread = train.join(F.broadcast(medians), "for_fold").groupBy("for_fold").agg(*(F.percentile(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5).alias(f"d_{c}") for c in columns))
-    stats = medians.join(spread, "for_fold").withColumnRenamed("for_fold", "fold")
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns)))
+    train = rows.select(others.alias("for_fold"), *columns).select("for_fold", pairs.alias("v")).select("for_fold", "v.*")
+    # copies of rows meet as partial sums and sketches; only values near the medians are shuffled
+    spreads = train.groupBy("for_fold", "name").agg(F.stddev_pop("x").alias("s"))
+    medians = stored(exact_percentiles(train, ["for_fold", "name"], F.col("x"), (0.5,)).select("for_fold", "name", F.col("p")[0].alias("m")), "medians")
+    off = F.abs(F.col("x") - F.col("m"))
+    deviations = exact_percentiles(train.join(medians, ["for_fold", "name"]), ["for_fold", "name"], off, (0.5,)).select("for_fold", "name", F.col("p")[0].alias("d"))
+    each = medians.join(deviations, ["for_fold", "name"]).join(spreads, ["for_fold", "name"])
+    of = lambda c, k: F.max(F.when(F.col("name") == c, F.col(k))).alias(f"{k}_{c}")
+    stats = each.groupBy(F.col("for_fold").alias("fold")).agg(*(of(c, k) for c in columns for k in "msd"))
     scale = lambda c: F.when(F.col(f"d_{c}") > 1e-9, F.col(f"d_{c}") * 1.4826).when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
     out = rows.join(F.broadcast(stats), "fold", "left")  # n_folds rows
     return out.select(*df.columns, "fold", *(((F.col(c) - F.col(f"m_{c}")) / scale(c)).alias(f"z_{c}") for c in columns))
 
 
-def point_scores(feat: DataFrame, pred_error: DataFrame | None, cfg: AISConfig = AISConfig(), behaviour: float = 0.7) -> DataFrame:
+def point_scores(feat: DataFrame, pred_error: DataFrame | None, n_folds: int = 4, behaviour: float = 0.7) -> DataFrame:
     """Anomaly of each bin: weighted positive parts of the behaviour and the report-quality scores."""
     df = jumps(feat)
     if pred_error is None:
         df = df.withColumn("pred_error_m", F.lit(0.0))
     else:
         df = df.join(pred_error.select(*SEGMENT, "es", "pred_error_m"), [*SEGMENT, "es"], "left").withColumn("pred_error_m", F.coalesce("pred_error_m", F.lit(0.0)))
-    df = robust_z(df, ["internal_gap_min", "speed_jump", "course_jump", "pred_error_m"], cfg.n_folds)
+    df = robust_z(df, ["internal_gap_min", "speed_jump", "course_jump", "pred_error_m"], n_folds)
     zero = F.lit(0.0)
     quality = F.greatest(F.col("z_internal_gap_min"), zero)
     moved = F.greatest(0.4 * F.col("z_speed_jump") + 0.3 * F.col("z_course_jump") + 0.3 * F.col("z_pred_error_m"), zero)

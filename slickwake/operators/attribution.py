@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slickwake.config import AttributionConfig
 from slickwake.functions.geo import epoch_s, from_epoch_s, haversine_km
 from slickwake.functions.stats import gaussian_score, position_sigma_km
 
@@ -66,26 +65,31 @@ def positions_at(tracks: DataFrame, times: DataFrame, sigma_km: float = 0.2) ->
     )
 
 
-def colocate(positions: DataFrame, stats: DataFrame, cfg: AttributionConfig = AttributionConfig()) -> DataFrame:
+def colocate(positions: DataFrame, stats: DataFrame, *, least_sigma_km: float = 1.0) -> DataFrame:
     """Distance to the cloud's centre in its own and the position's uncertainty, at each step."""
     cloud = stats.select("k", F.col("es").alias("q"), F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"), "spread_km")
-    df = positions.join(F.broadcast(cloud), "k")  # one row per step of the run
+    df = positions.join(cloud, "k")
     d = haversine_km("lat", "lon", "c_lat", "c_lon")
-    var = F.pow(F.greatest("spread_km", F.lit(0.0)), 2) + cfg.sigma_min_km**2 + F.pow("sigma_km", 2)
+    var = F.pow(F.greatest("spread_km", F.lit(0.0)), 2) + least_sigma_km**2 + F.pow("sigma_km", 2)
     df = df.withColumn("dist_km", d).withColumn("z", d / F.sqrt(var))
     return df.withColumn("score", gaussian_score("z"))
 
 
-def rank_vessels(tracks: DataFrame, stats: DataFrame, t_obs_s: float, dt_s: float, steps: int, anomaly: DataFrame | None = None, cfg: AttributionConfig = AttributionConfig()) -> DataFrame:
-    """The funnel: one row per vessel.  Vessels that the run's time doesn't cover have nulls from ``min_z`` on."""
+def rank_vessels(tracks: DataFrame, stats: DataFrame, t_obs_s: float, dt_s: float, steps: int, anomaly: DataFrame | None = None, *, gate_z: float = 3.0, plausible_z: float = 2.0, least_sigma_km: float = 1.0,
+                 fix_sigma_km: float = 0.2, near_release_s: float = 7200.0, dark_gap_min: float = 60.0, fewest_fixes: int = 3, window_by_step: bool = False) -> DataFrame:
+    """The funnel: one row per vessel.  Vessels that the run's time doesn't cover have nulls from ``min_z`` on.
+
+    Backward runs count steps from the observation, so the first plausible step is the latest time; the window's ends are
+    in order of time, or by step with ``window_by_step``.
+    """
     vessels = tracks.groupBy("mmsi").agg(
         F.min_by("vessel_name", "ts").alias("vessel_name"),
         F.min_by("vessel_type", "ts").alias("vessel_type"),
         F.count("*").alias("n_fixes"),
         F.count_if(epoch_s("ts").between(t_obs_s - steps * dt_s, t_obs_s - dt_s)).alias("n_in_window"),
     )
-    co = colocate(positions_on_grid(tracks, t_obs_s, dt_s, steps, cfg.sigma_ais_km), stats, cfg)
-    plausible = F.col("z") <= cfg.plausible_z
+    co = colocate(positions_on_grid(tracks, t_obs_s, dt_s, steps, fix_sigma_km), stats, least_sigma_km=least_sigma_km)
+    plausible = F.col("z") <= plausible_z
     best = F.max_by(F.struct("k", "q", "lat", "lon", "score"), F.struct("score", -F.col("k")))
     per = co.groupBy("mmsi").agg(
         best.alias("b"), F.min("z").alias("min_z"), F.min("dist_km").alias("min_dist_km"),
@@ -95,20 +99,20 @@ def rank_vessels(tracks: DataFrame, stats: DataFrame, t_obs_s: float, dt_s: floa
     first = co.where("k = 1").select("mmsi", F.struct("k", "q", "lat", "lon", "score").alias("f"))
     none = F.struct(F.lit(1).alias("k"), F.lit(t_obs_s - dt_s).alias("q"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit(0.0).alias("score"))
     per = per.join(first, "mmsi", "left").withColumn("b", F.when(F.col("b.score") > 0, F.col("b")).otherwise(F.coalesce("f", none))).drop("f")
-    gaps = co.join(per.select("mmsi", F.col("b.q").alias("bq")), "mmsi").where(F.abs(F.col("q") - F.col("bq")) <= cfg.near_release_s).groupBy("mmsi").agg(F.max("gap_min").alias("gap"))
+    gaps = co.join(per.select("mmsi", F.col("b.q").alias("bq")), "mmsi").where(F.abs(F.col("q") - F.col("bq")) <= near_release_s).groupBy("mmsi").agg(F.max("gap_min").alias("gap"))
     df = vessels.join(per, "mmsi", "left").join(gaps, "mmsi", "left")
     covered = F.col("b").isNotNull()
     gap = F.when(covered, F.coalesce("gap", F.lit(0.0)))
     at = lambda k: from_epoch_s(F.lit(t_obs_s) - F.coalesce(k, F.col("b.k")) * dt_s)
-    start, end = (F.col("k_first"), F.col("k_last")) if cfg.window_by_step else (F.col("k_last"), F.col("k_first"))
-    spatial = F.coalesce(F.col("min_z") <= cfg.z_gate, F.lit(False))
-    quality = covered & ((F.col("n_in_window") >= cfg.min_fixes_in_window) | F.coalesce(gap >= cfg.dark_gap_min, F.lit(False)))
+    start, end = (F.col("k_first"), F.col("k_last")) if window_by_step else (F.col("k_last"), F.col("k_first"))
+    spatial = F.coalesce(F.col("min_z") <= gate_z, F.lit(False))
+    quality = covered & ((F.col("n_in_window") >= fewest_fixes) | F.coalesce(gap >= dark_gap_min, F.lit(False)))
     df = df.select(
         "mmsi", "vessel_name", "vessel_type", "n_fixes", covered.alias("temporal"), spatial.alias("spatial"), quality.alias("ais_quality"),
         (covered & spatial & quality).alias("passes_all"), F.coalesce("b.score", F.lit(0.0)).alias("attribution_score"), "min_z", "min_dist_km",
         F.when(covered, from_epoch_s(F.col("b.q"))).alias("est_release_time"), F.col("b.lat").alias("est_release_lat"), F.col("b.lon").alias("est_release_lon"),
         F.when(covered, at(start)).alias("release_window_start"), F.when(covered, at(end)).alias("release_window_end"),
-        gap.alias("max_ais_gap_min_near_release"), (gap >= cfg.dark_gap_min).alias("dark_gap_flag"),
+        gap.alias("max_ais_gap_min_near_release"), (gap >= dark_gap_min).alias("dark_gap_flag"),
     )
     if anomaly is None:
         return df.withColumn("anomaly_confidence", F.when(F.col("temporal"), 0.0))
@@ -120,7 +124,7 @@ def funnel_order() -> list:
     return [F.col("passes_all").desc(), F.col("attribution_score").desc(), F.col("mmsi")]
 
 
-def top_candidates(funnel: DataFrame, n: int) -> DataFrame:
+def top_candidates(funnel: DataFrame, n: int = 8) -> DataFrame:
     """The first ``n`` survivors in funnel order."""
     return funnel.where("passes_all").orderBy(*funnel_order()).limit(n)
 

@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slickwake.config import PhysicsConfig
 from slickwake.functions.geo import EARTH_RADIUS_M, col, current_to_uv, haversine_km, met_wind_to_uv, rotate_uv
 from slickwake.functions.stats import cloud_spread_km
+from slickwake.operators.quantiles import exact_percentiles
 
+#: Uniform wind (speed in m/s, direction it comes from) and current (speed, direction it goes to).
+WIND, CURRENT = (5.0, 315.0), (0.15, 70.0)
 PATH = "run_id string, particle long, k int, es double, lon double, lat double"
 
 
@@ -34,12 +36,12 @@ def n_steps(hours: float, dt_min: float) -> int:
     return ceil(hours * 3600 / (dt_min * 60))
 
 
-def uniform_paths(particles: DataFrame, phys: PhysicsConfig, t_start_s: float, hours: float, direction: int = -1) -> DataFrame:
-    """Paths of ``particle, lon0, lat0, windage`` in the uniform field of ``phys``, without diffusion."""
-    steps, dt = n_steps(hours, phys.dt_min), direction * phys.dt_min * 60
-    wind = tuple(F.lit(0.0) + x for x in met_wind_to_uv(F.lit(phys.wind[0]), F.lit(phys.wind[1])))
-    current = tuple(F.lit(0.0) + x for x in current_to_uv(F.lit(phys.current[0]), F.lit(phys.current[1])))
-    u, v = oil_velocity(wind, current, "windage")
+def uniform_paths(particles: DataFrame, t_start_s: float, hours: float, direction: int = -1, *, dt_min: float = 15.0, wind: tuple[float, float] = WIND, current: tuple[float, float] = CURRENT) -> DataFrame:
+    """Paths of ``particle, lon0, lat0, windage`` in a uniform field, without diffusion."""
+    steps, dt = n_steps(hours, dt_min), direction * dt_min * 60
+    wind_uv = tuple(F.lit(0.0) + x for x in met_wind_to_uv(*map(F.lit, wind)))
+    current_uv = tuple(F.lit(0.0) + x for x in current_to_uv(*map(F.lit, current)))
+    u, v = oil_velocity(wind_uv, current_uv, "windage")
     df = particles.withColumn("_u", u).withColumn("_v", v).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     df = df.withColumn("lat", F.col("lat0") + F.col("k") * F.degrees(F.col("_v") * dt / EARTH_RADIUS_M))
     # each step east is taken on the parallel where it starts
@@ -59,42 +61,44 @@ class UniformField:
         return np.full(len(lat), self.u), np.full(len(lat), self.v)
 
 
-def uniform_fields(phys: PhysicsConfig) -> tuple[UniformField, UniformField]:
-    wind, cur = np.deg2rad(phys.wind[1]), np.deg2rad(phys.current[1])
-    return UniformField(-phys.wind[0] * np.sin(wind), -phys.wind[0] * np.cos(wind)), UniformField(phys.current[0] * np.sin(cur), phys.current[0] * np.cos(cur))
+def uniform_fields(wind: tuple[float, float] = WIND, current: tuple[float, float] = CURRENT) -> tuple[UniformField, UniformField]:
+    (s, a), (c, b) = wind, current
+    a, b = np.deg2rad(a), np.deg2rad(b)
+    return UniformField(-s * np.sin(a), -s * np.cos(a)), UniformField(c * np.sin(b), c * np.cos(b))
 
 
 def _advect(lon, lat, u, v, dt):
     return lon + np.rad2deg(u * dt / (EARTH_RADIUS_M * np.maximum(np.cos(np.deg2rad(lat)), 1e-6))), lat + np.rad2deg(v * dt / EARTH_RADIUS_M)
 
 
-def ensemble(spark: SparkSession, phys: PhysicsConfig, n: int, seed: int) -> DataFrame:
-    """Persistent perturbations of each particle: windage, and scales and turns of wind and current.
+def ensemble(spark: SparkSession, n: int, seed: int, *, windage: tuple[float, float] = (0.01, 0.04), wind_sigma: tuple[float, float] = (0.15, 15.0), current_sigma: tuple[float, float] = (0.20, 15.0)) -> DataFrame:
+    """Persistent perturbations of each particle: windage, and scales and turns of wind and current (deviations: of the
+    speed, relative, and of the direction in degrees).
 
     Drawn from hashes of (seed, particle), so members don't depend on how particles are dealt to tasks.
     """
     uniform = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "particle"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     normal = lambda k: F.sqrt(-2 * F.log(uniform(k))) * F.cos(2 * np.pi * uniform(k + 100))
-    lo, hi = phys.windage_range
+    lo, hi = windage
     return spark.range(n).select(F.col("id").alias("particle")).select(
         "particle",
         (lo + (hi - lo) * uniform(1)).alias("windage"),
-        F.greatest(F.lit(0.2), 1 + phys.wind_speed_rel_sigma * normal(2)).alias("wind_scale"),
-        (phys.wind_dir_sigma_deg * normal(3)).alias("wind_rot"),
-        F.greatest(F.lit(0.2), 1 + phys.current_speed_rel_sigma * normal(4)).alias("cur_scale"),
-        (phys.current_dir_sigma_deg * normal(5)).alias("cur_rot"),
+        F.greatest(F.lit(0.2), 1 + wind_sigma[0] * normal(2)).alias("wind_scale"),
+        (wind_sigma[1] * normal(3)).alias("wind_rot"),
+        F.greatest(F.lit(0.2), 1 + current_sigma[0] * normal(4)).alias("cur_scale"),
+        (current_sigma[1] * normal(5)).alias("cur_rot"),
     )
 
 
-def simulate(members: DataFrame, wind, current, phys: PhysicsConfig, seed: int, direction: int = -1) -> DataFrame:
+def simulate(members: DataFrame, wind, current, seed: int, direction: int = -1, *, dt_min: float = 15.0, diffusivity: float = 10.0) -> DataFrame:
     """Heun steps with a random walk, for rows of ``run_id, particle, lon0, lat0, es0, steps`` and the ensemble columns.
 
     ``wind`` and ``current`` have ``uv(lat, lon, es)``; gridded ones are broadcast within a checked size (see
     ``operators.field.GridField``).  The random walk of a particle depends on the seed and its number alone: candidates
     that are compared get the same random numbers.  Rows of one batch advance together, whatever run they belong to.
     """
-    dt = direction * phys.dt_min * 60
-    sigma = float(np.sqrt(2 * max(phys.diffusivity_m2s, 0) * abs(dt)))
+    dt = direction * dt_min * 60
+    sigma = float(np.sqrt(2 * max(diffusivity, 0) * abs(dt)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -103,8 +107,9 @@ def simulate(members: DataFrame, wind, current, phys: PhysicsConfig, seed: int,
             lon, lat, es = (pdf[c].to_numpy(float).copy() for c in ("lon0", "lat0", "es0"))
             steps, number = pdf["steps"].to_numpy(int), pdf["particle"].to_numpy(np.int64)
             p = {c: pdf[c].to_numpy(float) for c in ("windage", "wind_scale", "wind_rot", "cur_scale", "cur_rot")}
-            noise = {i: np.random.default_rng([seed, int(i)]) for i in np.unique(number)}
-            walks = {i: g.normal(0, sigma, (int(steps.max()), 2)) for i, g in noise.items()} if sigma else {}
+            if sigma:  # one random walk for each particle number
+                numbers, which = np.unique(number, return_inverse=True)
+                walks = np.stack([np.random.default_rng([seed, int(i)]).normal(0, sigma, (int(steps.max()), 2)) for i in numbers])
 
             def turn(u, v, deg):
                 a = np.deg2rad(deg)
@@ -128,7 +133,7 @@ def simulate(members: DataFrame, wind, current, phys: PhysicsConfig, seed: int,
                 u2, v2 = velocity(lo1, la1, es[on] + dt, q)
                 lon[on], lat[on] = _advect(lon[on], lat[on], (u1 + u2) / 2, (v1 + v2) / 2, dt)
                 if sigma:
-                    step = np.array([walks[i][k - 1] for i in number[on]])
+                    step = walks[which[on], k - 1]
                     lon[on], lat[on] = _advect(lon[on], lat[on], step[:, 0], step[:, 1], 1.0)
                 es[on] += dt
                 yield rows(k, on)
@@ -152,8 +157,8 @@ def mean_path(paths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def cloud_bbox(paths: DataFrame, pct: float = 2.5, pad_deg: float = 0.05) -> DataFrame:
     """One row: percentiles over all particles and times, padded."""
-    p = lambda c: F.percentile(c, F.array(F.lit(pct / 100), F.lit(1 - pct / 100)))
-    b = paths.agg(p("lon").alias("x"), p("lat").alias("y"))
+    p = lambda c, name: exact_percentiles(paths, [], F.col(c), (pct / 100, 1 - pct / 100)).withColumnRenamed("p", name)
+    b = p("lon", "x").crossJoin(p("lat", "y"))  # one row each
     return b.select((F.col("x")[0] - pad_deg).alias("lon_min"), (F.col("y")[0] - pad_deg).alias("lat_min"), (F.col("x")[1] + pad_deg).alias("lon_max"), (F.col("y")[1] + pad_deg).alias("lat_max"))
 
 

@@ -118,6 +118,13 @@ def assert_coverage(field: DataFrame, bbox: tuple[float, float, float, float], t
     return r.asDict()
 
 
+def points_outside(paths: DataFrame, f: GridField) -> int:
+    """How many points of ``lon, lat`` lie outside a field's box, where its values go on as at the edge."""
+    _, lat, lon = f.axes
+    inside = F.col("lat").between(float(lat[0]), float(lat[-1])) & F.col("lon").between(float(lon[0]), float(lon[-1]))
+    return paths.where(~inside).count()
+
+
 class GridField:
     """A cube as arrays, for the particle loop.  Its size is checked before it is gathered."""
 

@@ -2,44 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slickwake.config import AttributionConfig
 from slickwake.functions.stats import clip
+from slickwake.operators.quantiles import ranked
 
 TEXT = "A ranking of leads for further investigation by weight of evidence, not a probability of guilt; to be confirmed by other evidence."
 NO_CANDIDATE = "No vessel was at the place and time of the backtracked slick."
 
 
-def fuse(funnel: DataFrame, twin: DataFrame, cfg: AttributionConfig = AttributionConfig()) -> DataFrame:
-    """Survivors of the funnel with twin evidence (none: 0), ``confidence, rank, evidence_flags``; ties by ``mmsi``."""
+def fuse(funnel: DataFrame, twin: DataFrame, weights: tuple[float, float, float] = (0.20, 0.45, 0.35)) -> DataFrame:
+    """``weights``: of behaviour, place and time, and forward runs.  Survivors of the funnel with twin evidence (none: 0), ``confidence, rank, evidence_flags``; ties by ``mmsi``."""
     df = funnel.where("passes_all").join(twin, "mmsi", "left").withColumn("digital_twin_score", F.coalesce("digital_twin_score", F.lit(0.0)))
-    confidence = cfg.weight_anomaly * F.col("anomaly_confidence") + cfg.weight_attribution * clip("attribution_score", 0, 1) + cfg.weight_twin * F.col("digital_twin_score")
+    scores = F.col("anomaly_confidence"), clip("attribution_score", 0, 1), F.col("digital_twin_score")
+    confidence = weights[0] * scores[0] + weights[1] * scores[1] + weights[2] * scores[2]
     flags = F.concat_ws(
         ";",
         F.when(F.col("dark_gap_flag"), F.concat(F.lit("AIS_GAP_"), F.col("max_ais_gap_min_near_release").cast("int").cast("string"), F.lit("min_NEAR_RELEASE"))),
         F.when(F.col("anomaly_confidence") > 0.7, F.lit("BEHAVIOURAL_ANOMALY")),
         F.when(F.col("digital_twin_score") >= 0.5, F.lit("PHYSICS_TWIN_MATCH")),
     )
-    # survivors of one case: a few of its vessels
-    rank = F.row_number().over(Window.orderBy(F.col("confidence").desc(), "mmsi"))
-    return df.withColumn("confidence", confidence).withColumn("rank", rank).withColumn("evidence_flags", flags)
+    return ranked(df.withColumn("confidence", confidence).withColumn("evidence_flags", flags), [F.col("confidence").desc(), F.col("mmsi")])
 
 
-def conclude(fused: DataFrame, cfg: AttributionConfig = AttributionConfig()) -> DataFrame:
+def conclude(fused: DataFrame, *, strong: float = 0.70, clear_margin: float = 0.15, moderate: float = 0.50, ambiguous: float = 0.05) -> DataFrame:
     """One row: level of the lead, its margin, and the shortlist of those within the ambiguity margin."""
     top = fused.agg(F.max("confidence").alias("top"), F.max_by("mmsi", -F.col("rank")).alias("top_mmsi"), F.max_by("vessel_name", -F.col("rank")).alias("top_name"),
                     F.max(F.when(F.col("rank") == 2, F.col("confidence"))).alias("second"), F.count("*").alias("n_candidates"))
-    close = fused.crossJoin(F.broadcast(top.select("top"))).where(F.col("confidence") >= F.col("top") - cfg.ambiguity_margin)  # one row
+    close = fused.crossJoin(F.broadcast(top.select("top"))).where(F.col("confidence") >= F.col("top") - ambiguous)  # one row
     near = close.agg(F.count("*").alias("n_close"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "mmsi"))), lambda s: s["mmsi"]).alias("shortlist"))
     df = top.crossJoin(near)
     margin = F.col("top") - F.coalesce("second", F.lit(0.0))
     level = (
         F.when(F.col("n_candidates") == 0, "NO_CANDIDATE")
-        .when((F.col("top") >= cfg.strong_score) & (margin >= cfg.strong_margin), "STRONG_LEAD")
-        .when((F.col("top") >= cfg.moderate_score) & (F.col("n_close") > 1), "AMBIGUOUS_SHORTLIST")
-        .when(F.col("top") >= cfg.moderate_score, "MODERATE_LEAD")
+        .when((F.col("top") >= strong) & (margin >= clear_margin), "STRONG_LEAD")
+        .when((F.col("top") >= moderate) & (F.col("n_close") > 1), "AMBIGUOUS_SHORTLIST")
+        .when(F.col("top") >= moderate, "MODERATE_LEAD")
         .otherwise("WEAK_INCONCLUSIVE")
     )
     return df.select(

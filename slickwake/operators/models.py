@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slickwake.config import AISConfig
 from slickwake.operators.anomaly import vessel_folds
 from slickwake.sources.scratch import stored
 
@@ -129,20 +128,18 @@ def _make(name: str, seed: int):
     return {"MLP": lambda: Dense(seed=seed), "RNN": lambda: Recurrent(seed=seed), "MLP+RNN": lambda: Recurrent(head="mlp", seed=seed)}[name]()
 
 
-def out_of_fold(seqs: DataFrame, cfg: AISConfig = AISConfig(), max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def out_of_fold(seqs: DataFrame, *, n_folds: int = 4, models: tuple[str, ...] = ("MLP", "RNN", "MLP+RNN"), max_rows: int = 6000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(``mmsi, segment_id, es, pred_error_m, oof_model``; mean error of each model) for sequences ``x, y1, y2``.
 
     A fold with fewer than 20 training rows predicts 0, which is the constant-velocity step.  The model with the
     smallest mean error is used; ``CV`` is constant velocity itself.
     """
-    bound, seed, h = max_rows or cfg.stage1_max_sequences, cfg.seed, cfg.history_steps
     seqs = stored(seqs, "sequences")
-    rows = stored(seqs.join(vessel_folds(seqs, cfg.n_folds, seed), "mmsi"), "folded")
+    rows = stored(seqs.join(vessel_folds(seqs, n_folds, seed), "mmsi"), "folded")
     draw = F.pmod(F.col("es").cast("long") * 31 + F.col("mmsi") * 17, F.lit(1_000_003))
-    sample = rows.withColumn("_d", draw).orderBy("_d", "mmsi", "es").limit(bound).select("fold", "x", "y1", "y2")
+    sample = rows.withColumn("_d", draw).orderBy("_d", "mmsi", "es").limit(max_rows).select("fold", "x", "y1", "y2")
     train = sample.toPandas()  # at most max_rows rows
     shared = seqs.sparkSession.sparkContext.broadcast(train)
-    models = tuple(cfg.stage1_models)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import cloudpickle
@@ -161,7 +158,7 @@ def out_of_fold(seqs: DataFrame, cfg: AISConfig = AISConfig(), max_rows: int | N
                 yield pd.DataFrame({"fold": [fold], "model": [name], "blob": [blob]})
 
     jobs = rows.select("fold").distinct().crossJoin(seqs.sparkSession.createDataFrame([(m,) for m in models], "model string"))
-    fitted = {(r["fold"], r["model"]): r["blob"] for r in jobs.repartition(len(models) * cfg.n_folds, "fold", "model").mapInPandas(fit, "fold int, model string, blob binary").collect()}
+    fitted = {(r["fold"], r["model"]): r["blob"] for r in jobs.repartition(len(models) * n_folds, "fold", "model").mapInPandas(fit, "fold int, model string, blob binary").collect()}
     known = seqs.sparkSession.sparkContext.broadcast(fitted)  # folds x models small networks
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +168,7 @@ def out_of_fold(seqs: DataFrame, cfg: AISConfig = AISConfig(), max_rows: int | N
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = np.stack([np.stack(v) for v in pdf["x"]]).astype(float).reshape(len(pdf), h, -1)
+            x = np.stack([np.stack(v) for v in pdf["x"]]).astype(float)
             y = pdf[["y1", "y2"]].to_numpy(float)
             out = pdf[["mmsi", "segment_id", "es"]].copy()
             out["CV"] = np.hypot(y[:, 0], y[:, 1])

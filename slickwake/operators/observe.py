@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slickwake.config import DetectionConfig
 from slickwake.functions.geo import EARTH_RADIUS_M, pixel_to_lonlat
 from slickwake.operators import raster
 from slickwake.sources.scratch import stored
@@ -18,14 +18,14 @@ def pixel_sides_km(pixel_deg: float, lat: float) -> tuple[float, float]:
     return k * cos(radians(lat)), k
 
 
-def observe(px: DataFrame, grid: dict, cfg: DetectionConfig = DetectionConfig(), probability: str | None = None) -> tuple[dict | None, DataFrame, DataFrame]:
+def observe(px: DataFrame, grid: dict, probability: str | None = None, **evidence) -> tuple[dict | None, DataFrame, DataFrame]:
     """(the slick of one scene, its components, its pixels) of ``scene_id, row, col, db, mask``; None without a component that counts.
 
-    ``grid``: ``west, north, pixel_deg, height, width`` of the scene.
+    ``grid``: ``west, north, pixel_deg, height, width`` of the scene; ``evidence``: settings of ``raster.component_evidence``.
     """
     dx, dy = pixel_sides_km(grid["pixel_deg"], grid["north"] - grid["height"] / 2 * grid["pixel_deg"])
     labelled = stored(raster.components(px.select(*raster.PIXEL, "mask")), "labelled")
-    found = stored(raster.component_evidence(px, labelled, dx * dy, cfg, probability), "evidence")
+    found = stored(raster.component_evidence(px, labelled, dx * dy, probability, **evidence), "evidence")
     lon, lat = pixel_to_lonlat("row", "col", grid["west"], grid["north"], grid["pixel_deg"])
     kept = found.where("kept").select("scene_id", "label")
     pixels = stored(labelled.join(kept, ["scene_id", "label"], "left_semi").withColumn("lon", lon).withColumn("lat", lat), "slick")
@@ -36,27 +36,77 @@ def observe(px: DataFrame, grid: dict, cfg: DetectionConfig = DetectionConfig(),
     return obs, found, pixels
 
 
+def outline(pixels: DataFrame, grid: dict) -> DataFrame:
+    """The slick's largest component as rings of corners: ``scene_id, label, ring, n, lon, lat``; ring 0 is the outer one.
+
+    Sides that two pixels share cancel by aggregation; what is left is as long as the outline, and is chained in one group.
+    """
+    size = pixels.groupBy("scene_id", "label").agg(F.count("*").alias("size"))
+    big = size.groupBy("scene_id").agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("label"))
+    r, c = F.col("row"), F.col("col")
+    side = lambda r0, c0, r1, c1: F.struct(r0.alias("r0"), c0.alias("c0"), r1.alias("r1"), c1.alias("c1"))
+    sides = F.explode(F.array(side(r, c, r, c + 1), side(r, c + 1, r + 1, c + 1), side(r + 1, c + 1, r + 1, c), side(r + 1, c, r, c)))
+    each = pixels.join(big, ["scene_id", "label"], "left_semi").select("scene_id", "label", sides.alias("s")).select("scene_id", "label", "s.*")
+    place = lambda x, y: F.struct(F.col(x).alias("r"), F.col(y).alias("c"))
+    lone = each.groupBy("scene_id", "label", F.least(place("r0", "c0"), place("r1", "c1")).alias("a"), F.greatest(place("r0", "c0"), place("r1", "c1")).alias("b")).agg(
+        F.count("*").alias("k"), *(F.first(x).alias(x) for x in ("r0", "c0", "r1", "c1")))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        onward: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r0, c0, r1, c1 in pdf[["r0", "c0", "r1", "c1"]].sort_values(["r0", "c0", "r1", "c1"]).itertuples(index=False):
+            onward.setdefault((r0, c0), []).append((r1, c1))
+        rings = []
+        while onward:
+            at = next(iter(onward))
+            ring = []
+            while at in onward:
+                ring.append(at)
+                ends = onward[at]
+                nxt = ends.pop()
+                if not ends:
+                    del onward[at]
+                at = nxt
+            # corners only
+            turn = [p for p, before, after in zip(ring, ring[-1:] + ring[:-1], ring[1:] + ring[:1], strict=True) if (p[0] - before[0], p[1] - before[1]) != (after[0] - p[0], after[1] - p[1])]
+            area = abs(sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(turn, turn[1:] + turn[:1], strict=True)))
+            rings.append((area, turn))
+        rings.sort(key=lambda x: -x[0])
+        rows = [(k, n, *p) for k, (_, ring) in enumerate(rings) for n, p in enumerate(ring)]
+        return pd.DataFrame(rows, columns=["ring", "n", "row", "col"]).assign(scene_id=pdf["scene_id"].iloc[0], label=pdf["label"].iloc[0])
+
+    kind = pixels.schema["scene_id"].dataType.simpleString()
+    rings = lone.where("k = 1").groupBy("scene_id", "label").applyInPandas(chain, f"ring int, n int, row int, col int, scene_id {kind}, label long")
+    lon, lat = pixel_to_lonlat(F.col("row") - 0.5, F.col("col") - 0.5, grid["west"], grid["north"], grid["pixel_deg"])
+    return rings.select("scene_id", "label", "ring", "n", lon.alias("lon"), lat.alias("lat"))
+
+
 def sample_particles(pixels: DataFrame, n: int, grid: dict, seed: int, weight: str | None = None) -> DataFrame:
     """``particle, lon0, lat0``: ``n`` draws with replacement by weight, each moved inside its pixel.
 
-    A draw falls on the pixel whose stretch of the running sum of weights holds it; draws and stretches meet in one
-    ordered pass over the scene's slick.
+    A draw falls on the pixel whose stretch of the running sum of weights holds it.  Draws meet the stretches of whole
+    rows first (a scene has some thousands), and then those of pixels inside their row, so no task orders the slick.
     """
     spark = pixels.sparkSession
     w = F.greatest(F.col(weight), F.lit(1e-6)) if weight else F.lit(1.0)
-    order = Window.orderBy("row", "col")  # the slick of one scene
-    total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = pixels.select("row", "col", w.alias("w")).withColumn("at", (F.sum("w").over(order) - F.col("w")) / F.sum("w").over(total))
+    weights = pixels.select("row", "col", w.alias("w"))
+    sums = weights.groupBy("row").agg(F.sum("w").alias("row_w"))
+    above = F.sum("row_w").over(Window.orderBy("row")) - F.col("row_w")  # one row for each row of the scene
+    sums = sums.withColumn("above", above).withColumn("all", F.sum("row_w").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     unit = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(1 << 40)) / float(1 << 40)
-    draws = spark.range(n).select(F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), unit(1).alias("at"), F.col("id").alias("particle"), unit(2).alias("dr"), unit(3).alias("dc"))
-    both = starts.select("row", "col", "at").unionByName(draws, allowMissingColumns=True)
-    last = Window.orderBy("at", F.col("particle").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    hit = both.withColumn("r", F.last("row", ignorenulls=True).over(last)).withColumn("c", F.last("col", ignorenulls=True).over(last)).where("particle IS NOT NULL")
-    lon, lat = pixel_to_lonlat(F.col("r") + F.col("dr") - 0.5, F.col("c") + F.col("dc") - 0.5, grid["west"], grid["north"], grid["pixel_deg"])
+    draws = spark.range(n).select(unit(1).alias("at"), F.col("id").alias("particle"), unit(2).alias("dr"), unit(3).alias("dc"))
+    behind = lambda *by: Window.partitionBy(*by).orderBy("at", F.col("particle").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    # rows and draws: as many as a scene is high, and n
+    rows = sums.select((F.col("above") / F.col("all")).alias("at"), "row").unionByName(draws, allowMissingColumns=True)
+    rows = rows.withColumn("row", F.last("row", ignorenulls=True).over(behind())).where("particle IS NOT NULL")
+    left = F.sum("w").over(Window.partitionBy("row").orderBy("col")) - F.col("w")
+    stretches = weights.withColumn("left", left).join(sums, "row").select("row", "col", ((F.col("above") + F.col("left")) / F.col("all")).alias("at"))
+    both = stretches.unionByName(rows, allowMissingColumns=True)
+    hit = both.withColumn("c", F.coalesce(F.last("col", ignorenulls=True).over(behind("row")), F.first("col", ignorenulls=True).over(behind("row")))).where("particle IS NOT NULL")
+    lon, lat = pixel_to_lonlat(F.col("row") + F.col("dr") - 0.5, F.col("c") + F.col("dc") - 0.5, grid["west"], grid["north"], grid["pixel_deg"])
     return hit.select("particle", lon.alias("lon0"), lat.alias("lat0"))
 
 
-def detect_in_order(px: DataFrame, detectors: dict, selected: str, grid: dict, cfg: DetectionConfig = DetectionConfig()) -> tuple[dict | None, dict]:
+def detect_in_order(px: DataFrame, detectors: dict, selected: str, grid: dict, **evidence) -> tuple[dict | None, dict]:
     """Run the selected detector and then the others; the first that yields a slick counts, all report their masks.
 
     A detector is a function from pixels to pixels with ``mask``.  The second value has what was used, whether another
@@ -66,7 +116,7 @@ def detect_in_order(px: DataFrame, detectors: dict, selected: str, grid: dict, c
     masks = {name: stored(detectors[name](px), "mask") for name in order}
     used = obs = found = pixels = None
     for name in order:
-        obs, found, pixels = observe(masks[name], grid, cfg)
+        obs, found, pixels = observe(masks[name], grid, **evidence)
         if obs is not None:
             used = name
             break

@@ -10,12 +10,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slickwake.config import DetectionConfig
 from slickwake.functions.geo import EARTH_RADIUS_M, local_km
 from slickwake.functions.stats import decibel
+from slickwake.operators.quantiles import exact_percentiles
 from slickwake.sources.scratch import stored
 
 PIXEL = ["scene_id", "row", "col"]
@@ -25,15 +25,15 @@ def clean_pixels(px: DataFrame) -> DataFrame:
     """Missing and -inf to 0, +inf to the scene's largest finite value (1 if there is none)."""
     v = F.col("value")
     finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    top = F.coalesce(F.max(finite).over(Window.partitionBy("scene_id")), F.lit(1.0))
-    return px.withColumn("value", F.when(v.isNull() | F.isnan(v) | (v == float("-inf")), 0.0).when(v == float("inf"), top).otherwise(v))
+    top = px.groupBy("scene_id").agg(F.coalesce(F.max(finite), F.lit(1.0)).alias("_top"))
+    clean = F.when(v.isNull() | F.isnan(v) | (v == float("-inf")), 0.0).when(v == float("inf"), F.col("_top")).otherwise(v)
+    return px.join(top, "scene_id").withColumn("value", clean).select(px.columns)
 
 
 def stretch(px: DataFrame, units: str = "linear", low: float = 0.01, high: float = 0.995) -> DataFrame:
     """``scaled``: 0..255 between two percentiles of the scene's decibels; missing pixels get the low end."""
     db = px.withColumn("db", decibel("value", F.lit(units)))
-    known = db.where(F.col("db").isNotNull() & ~F.isnan("db"))
-    ends = known.groupBy("scene_id").agg(F.percentile("db", F.array(F.lit(low), F.lit(high))).alias("p"))
+    ends = exact_percentiles(db, ["scene_id"], F.col("db"), (low, high))
     df = db.join(ends, "scene_id", "left")
     lo, hi = F.col("p")[0], F.col("p")[1]
     x = (F.coalesce(F.when(~F.isnan("db"), F.col("db")), lo) - lo) / F.greatest(hi - lo, F.lit(1e-6)) * 255
@@ -46,23 +46,110 @@ def flatten_columns(px: DataFrame, axis: str = "col") -> DataFrame:
     return px.join(med, ["scene_id", axis]).withColumn("flat", F.col("value") - F.col("_m")).drop("_m")
 
 
+def sizes(px: DataFrame) -> DataFrame:
+    """``scene_id, height, width``: one row per scene."""
+    return px.groupBy("scene_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+
+
+def by_blocks(px: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], halo: int, value: str, name: str, block: int = 256) -> DataFrame:
+    """``px`` with ``name``: what ``kernel`` makes of blocks of a scene, as arrays with a halo.
+
+    ``kernel`` gets the values (0 where pixels are missing) and which pixels there are, both with ``halo`` pixels around a
+    block, mirrored at the scene's edges (the edge pixel repeated).  A pixel goes to its block and to those that it is in
+    the halo of, so some 5 % are sent twice; a group is one block.
+    """
+    near = lambda axis: F.explode(F.sequence(F.greatest(F.floor((F.col(axis) - halo) / block), F.lit(0)).cast("int"), F.floor((F.col(axis) + halo) / block).cast("int")))
+    df = px.select(*PIXEL, F.col(value).cast("double").alias("_v")).join(sizes(px), "scene_id").withColumn("_y", near("row")).withColumn("_x", near("col"))
+    df = df.where((F.col("_y") * block < F.col("height")) & (F.col("_x") * block < F.col("width")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x, h, w = (int(pdf[c].iloc[0]) for c in ("_y", "_x", "height", "width"))
+        y0, x0 = max(0, y * block - halo), max(0, x * block - halo)
+        y1, x1 = min(h, (y + 1) * block + halo), min(w, (x + 1) * block + halo)
+        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        img, there = np.zeros((y1 - y0, x1 - x0)), np.zeros((y1 - y0, x1 - x0), bool)
+        img[r - y0, c - x0] = pdf["_v"].to_numpy(float)
+        there[r - y0, c - x0] = True
+        # the halo that lies outside the scene
+        pad = [(halo - (y * block - y0), halo - (y1 - min(h, (y + 1) * block))), (halo - (x * block - x0), halo - (x1 - min(w, (x + 1) * block)))]
+        out = kernel(np.pad(img, pad, "symmetric"), np.pad(there, pad, "symmetric"))
+        own = (r // block == y) & (c // block == x)
+        at = r[own] - y * block, c[own] - x * block
+        return pd.DataFrame({"scene_id": pdf["scene_id"].to_numpy()[own], "row": r[own], "col": c[own], "_out": out[halo:-halo, halo:-halo][at] if halo else out[at]})
+
+    kind = px.schema["scene_id"].dataType.simpleString()
+    found = df.groupBy("scene_id", "_y", "_x").applyInPandas(run, f"scene_id {kind}, row int, col int, _out double")
+    return px.join(found.withColumnRenamed("_out", name), PIXEL)
+
+
 def gaussian_smooth(px: DataFrame, sigma: float = 1.5, value: str = "value", truncate: float = 4.0) -> DataFrame:
     """``smooth``: separable Gaussian with mirrored edges (edge pixel repeated), rows first, then columns."""
     radius = int(truncate * sigma + 0.5)
     w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    kernel = F.array(*(F.struct(F.lit(int(d)).alias("d"), F.lit(float(x)).alias("w")) for d, x in zip(range(-radius, radius + 1), w / w.sum(), strict=True)))
-    df = px.select(*PIXEL, F.col(value).alias("_v"))
-    for axis, other in (("row", "col"), ("col", "row")):
-        top = F.max(axis).over(Window.partitionBy("scene_id")) + 1
-        df = df.withColumn("_n", top)
-        # a source at i gives weight to i - d, and to where the mirror shows it
-        n = F.col("_n")
-        seen = df.withColumn("_i", F.explode(F.array(F.col(axis), -F.col(axis) - 1, 2 * n - 1 - F.col(axis)))).withColumn("_k", F.explode(kernel))
-        to = F.col("_i") - F.col("_k.d")
-        seen = seen.withColumn("_to", to).where((F.col("_to") >= 0) & (F.col("_to") < n))
-        df = seen.groupBy("scene_id", F.col("_to").alias(axis), other).agg(F.sum(F.col("_v") * F.col("_k.w")).alias("_v"))
-        df = df.join(px.select(*PIXEL), PIXEL, "left_semi")  # pixels that a scene lacks stay out of it
-    return px.join(df.withColumnRenamed("_v", "smooth"), PIXEL)
+    w /= w.sum()
+
+    def kernel(img: np.ndarray, there: np.ndarray) -> np.ndarray:
+        for axis in (0, 1):
+            # what a missing pixel would be is not passed on
+            img = np.apply_along_axis(np.convolve, axis, np.where(there, img, 0), w, "same")
+        return img
+
+    return by_blocks(px, kernel, 2 * radius, value, "smooth")
+
+
+def _window_sums(a: np.ndarray, size: int) -> np.ndarray:
+    """Sums over windows of ``size`` squared around each place; nothing beyond the array."""
+    h = size // 2
+    c = np.pad(np.pad(a, h).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    return c[size:, size:] - c[:-size, size:] - c[size:, :-size] + c[:-size, :-size]
+
+
+def despeckle(px: DataFrame, kind: str = "median", size: int = 5, value: str = "value", damping: float = 2.0) -> DataFrame:
+    """``despeckled``: a speckle filter over windows of ``size`` squared pixels (odd), the edge pixel repeated.
+
+    ``median``; ``lee``: the window's mean, plus as much of the pixel's difference from it as the window's variance has of
+    that and the scene's; ``frost``: between the pixel and a Gaussian by how rough the window is, relative to the
+    roughest of the scene.  The scene's figures are aggregations made before blocks are.
+    """
+    if kind == "median":
+        def median(img, there):
+            views = np.lib.stride_tricks.sliding_window_view(np.pad(img, size // 2, "edge"), (size, size))
+            return np.median(views, axis=(2, 3))
+
+        return by_blocks(px, median, size // 2, value, "despeckled")
+
+    def moments(img):
+        n = _window_sums(np.ones_like(img), size)
+        mean = _window_sums(img, size) / n
+        return mean, np.maximum(_window_sums(img * img, size) / n - mean * mean, 0)
+
+    if kind == "lee":
+        mean = by_blocks(px, lambda img, there: moments(img)[0], size // 2, value, "_mean")
+        both = stored(by_blocks(mean, lambda img, there: moments(img)[1], size // 2, value, "_var"), "speckle")
+        whole = px.groupBy("scene_id").agg(F.var_pop(value).alias("_all"))
+        k = F.col("_var") / (F.col("_var") + F.col("_all") + 1e-8)
+        out = both.join(whole, "scene_id").withColumn("despeckled", F.col("_mean") + k * (F.col(value) - F.col("_mean")))
+        return out.select(*px.columns, "despeckled")
+    if kind == "frost":
+        def rough(img, there):
+            mean, var = moments(img)
+            return damping * var / (mean * mean + 1e-8)
+
+        half = size // 2
+        w = np.exp(-0.5 * (np.arange(-half, half + 1) / max(1.0, size / 2)) ** 2)
+        w /= w.sum()
+        blur = lambda img, there: np.apply_along_axis(np.convolve, 1, np.apply_along_axis(np.convolve, 0, img, w, "same"), w, "same")
+        both = stored(by_blocks(by_blocks(px, rough, half, value, "_rough"), blur, size, value, "_blur"), "speckle")
+        most = both.groupBy("scene_id").agg(F.max("_rough").alias("_most"))
+        blend = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_rough") / (F.col("_most") + 1e-8)))
+        out = both.join(most, "scene_id").withColumn("despeckled", blend * F.col(value) + (1 - blend) * F.col("_blur"))
+        return out.select(*px.columns, "despeckled")
+    raise ValueError(f"no speckle filter {kind!r}; there are median, lee and frost")
+
+
+def normalised(px: DataFrame, mean: float = 64.0, deviation: float = 32.0, value: str = "value") -> DataFrame:
+    """``value`` as a predictor's input: cleaned, less the mean, over the deviation that it was trained with."""
+    return clean_pixels(px.withColumn("value", F.col(value).cast("double"))).withColumn("value", (F.col("value") - mean) / deviation)
 
 
 def otsu(px: DataFrame, by: list[str], value: str = "value", bins: int = 256) -> DataFrame:
@@ -84,15 +171,30 @@ def otsu(px: DataFrame, by: list[str], value: str = "value", bins: int = 256) ->
     return df.groupBy(*by).agg(F.max_by("centre", F.struct(F.col("var"), -F.col("bin"))).alias("threshold"))
 
 
+def _corners(n: Column, tile: Column, stride: Column) -> Column:
+    """Where tiles begin along an axis of length ``n``; the last one ends at the edge."""
+    steps = F.sequence(F.lit(0), F.greatest(n - tile, F.lit(0)), stride)
+    return F.when(F.element_at(steps, -1) + tile < n, F.concat(steps, F.array(n - tile))).otherwise(steps)
+
+
 def tile_grid(scenes: DataFrame, tile: int, overlap: int) -> DataFrame:
     """Upper left corners of overlapping tiles of ``scene_id, height, width``; the last ones end at the edge."""
-    def along(n: str) -> Column:
-        stride, last = tile - overlap, F.greatest(F.col(n) - tile, F.lit(0))
-        steps = F.sequence(F.lit(0), last, F.lit(stride))
-        more = F.element_at(steps, -1) + tile < F.col(n)
-        return F.when(more, F.concat(steps, F.array(F.col(n) - tile))).otherwise(steps)
+    along = lambda n: F.explode(_corners(F.col(n), F.lit(tile), F.lit(tile - overlap)))
+    return scenes.withColumn("y", along("height")).withColumn("x", along("width")).select("scene_id", "y", "x")
 
-    return scenes.withColumn("y", F.explode(along("height"))).withColumn("x", F.explode(along("width"))).select("scene_id", "y", "x")
+
+def _corners_over(at: Column, n: Column, tile: Column, stride: Column) -> Column:
+    """Of ``_corners``, those of the tiles that hold a place: by arithmetic, so a pixel meets its own tiles only."""
+    last = F.floor(F.greatest(n - tile, F.lit(0)) / stride).cast("int")
+    low = F.greatest(F.ceil((at - tile + 1) / stride).cast("int"), F.lit(0))
+    high = F.least(F.floor(at / stride).cast("int"), last)
+    some = F.when(low <= high, F.transform(F.sequence(low, high), lambda k: (k * stride).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when((last * stride + tile < n) & (at >= n - tile), F.concat(some, F.array((n - tile).cast("int")))).otherwise(some)
+
+
+def in_tiles(px: DataFrame, tile: Column, stride: Column) -> DataFrame:
+    """``px`` (with ``height, width``) once for each tile that a pixel lies in, with the tile's corner ``y, x``."""
+    return px.withColumn("y", F.explode(_corners_over(F.col("row"), F.col("height"), tile, stride))).withColumn("x", F.explode(_corners_over(F.col("col"), F.col("width"), tile, stride)))
 
 
 def merge_tiles(tiles: DataFrame) -> DataFrame:
@@ -105,10 +207,7 @@ def predict_tiles(px: DataFrame, predict: Callable[[np.ndarray], np.ndarray], ti
 
     A group is one tile, ``tile`` squared pixels at most.
     """
-    size = px.groupBy("scene_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
-    grid = tile_grid(size, tile, overlap)
-    # a pixel lies in the tiles whose corner is within a tile's length: stated per scene, by its corners
-    near = px.join(grid, "scene_id").where((F.col("row") >= F.col("y")) & (F.col("row") < F.col("y") + tile) & (F.col("col") >= F.col("x")) & (F.col("col") < F.col("x") + tile))
+    near = in_tiles(px.select(*PIXEL, "value").join(sizes(px), "scene_id"), F.lit(tile), F.lit(tile - overlap)).drop("height", "width")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = int(pdf["y"].iloc[0]), int(pdf["x"].iloc[0])
@@ -118,13 +217,31 @@ def predict_tiles(px: DataFrame, predict: Callable[[np.ndarray], np.ndarray], ti
         h, w = img.shape
         pad = [(0, tile - h), (0, tile - w)]
         full = np.pad(img, pad, "reflect" if min(h, w) > 1 and max(tile - h, tile - w) < min(h, w) else "symmetric" if min(h, w) > 1 else "edge") if (h, w) != (tile, tile) else img
-        p = np.asarray(predict(full), np.float64)[:h, :w]
+        p = np.asarray(predict(full), np.float64)
+        if p.shape != full.shape or not np.isfinite(p).all():
+            raise ValueError(f"the predictor made {p.shape} of {full.shape}, or numbers that are not finite")
+        p = p[:h, :w]
         return pd.DataFrame({"scene_id": pdf["scene_id"], "row": pdf["row"], "col": pdf["col"], "p": p[r, c]})
 
     kind = px.schema["scene_id"].dataType.simpleString()
     return merge_tiles(near.groupBy("scene_id", "y", "x").applyInPandas(run, f"scene_id {kind}, row int, col int, p double"))
 
 
+def validate_predictor(spark: SparkSession, predict: Callable[[np.ndarray], np.ndarray], tile: int, overlap: int) -> DataFrame:
+    """One row per kind of scene (smaller than a tile, not square, exactly a tile, several tiles; with and without missing
+    values): ``scene, ok``, whether each pixel got a probability from 0 to 1."""
+    shapes = {"smaller": (max(1, tile // 2), max(1, tile // 2 + 3)), "not_square": (tile + 7, 2 * tile + 5), "exact": (tile, tile), "several": (2 * tile + 1, 2 * tile + 1)}
+    px = None
+    for name, (h, w) in shapes.items():
+        noise = F.pmod(F.xxhash64("id", F.lit(name)), F.lit(1000)) / 10
+        at = spark.range(h * w).select((F.col("id") / w).cast("int").alias("row"), (F.col("id") % w).cast("int").alias("col"), noise.alias("value"))
+        holes = F.when(~F.col("row").between(5, 8) | ~F.col("col").between(5, 8), F.col("value"))
+        both = at.select(F.lit(name).alias("scene_id"), "row", "col", "value").union(at.select(F.lit(f"{name}_with_holes"), "row", "col", holes))
+        px = both if px is None else px.union(both)
+    got = px.join(predict_tiles(px, predict, tile, overlap), PIXEL, "left")
+    return got.groupBy(F.col("scene_id").alias("scene")).agg(F.min(F.coalesce(F.col("p").between(0, 1), F.lit(False))).alias("ok"))
+
+
 def _neighbours(px: DataFrame, flag: str) -> DataFrame:
     """For each pixel how many of the 9 in its 3x3 neighbourhood are set; outside the scene is background."""
     shift = F.explode(F.array(*(F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (-1, 0, 1) for c in (-1, 0, 1))))
@@ -175,6 +292,8 @@ def components(px: DataFrame, flag: str = "mask", connectivity: int = 8, max_rou
         labels = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"labels still change after {max_rounds} rounds")
     return on.join(runs.select("scene_id", "row", "_run", "id"), ["scene_id", "row", "_run"]).join(labels, ["scene_id", "id"]).select(*PIXEL, "label")
 
 
@@ -205,18 +324,18 @@ def pixel_area_km2(center_lat: Column, pixel_deg: float) -> Column:
     return F.pow(F.lit(pixel_deg * k), 2) * F.cos(F.radians(center_lat))
 
 
-def component_evidence(px: DataFrame, labelled: DataFrame, pixel_km2: float, cfg: DetectionConfig = DetectionConfig(), probability: str | None = None) -> DataFrame:
+def component_evidence(px: DataFrame, labelled: DataFrame, pixel_km2: float, probability: str | None = None, *, least_km2: float = 0.05, keep_ratio: float = 0.4) -> DataFrame:
     """``scene_id, label, n_pixels, area_km2, evidence, oil_score, kept`` of components with enough area.
 
     Evidence is the mean probability, or how many times 6 dB a component is darker than the sea around (``px``: ``db``
     and ``mask``); components with ``keep_ratio`` of the best score are kept.
     """
-    sea = px.groupBy("scene_id").agg(F.percentile(F.when(~F.col("mask"), F.col("db")), 0.5).alias("sea"))
+    sea = exact_percentiles(px, ["scene_id"], F.when(~F.col("mask"), F.col("db")), (0.5,)).select("scene_id", F.col("p")[0].alias("sea"))
     value = F.avg(probability) if probability else F.greatest(F.max("sea") - F.avg("db"), F.lit(0.0)) / 6
-    c = labelled.join(px, PIXEL).join(sea, "scene_id").groupBy("scene_id", "label").agg(F.count("*").alias("n_pixels"), value.alias("evidence"))
-    c = c.withColumn("area_km2", F.col("n_pixels") * pixel_km2).where(F.col("area_km2") >= cfg.min_area_km2)
+    c = labelled.join(px, PIXEL).join(sea, "scene_id", "left").groupBy("scene_id", "label").agg(F.count("*").alias("n_pixels"), value.alias("evidence"))
+    c = c.withColumn("area_km2", F.col("n_pixels") * pixel_km2).where(F.col("area_km2") >= least_km2)
     c = c.withColumn("oil_score", F.col("area_km2") * F.col("evidence"))
-    return c.withColumn("kept", F.col("oil_score") >= cfg.keep_ratio * F.max("oil_score").over(Window.partitionBy("scene_id")))
+    return c.withColumn("kept", F.col("oil_score") >= keep_ratio * F.max("oil_score").over(Window.partitionBy("scene_id")))
 
 
 def slick_axes(pixels: DataFrame) -> DataFrame:
@@ -235,55 +354,49 @@ def slick_axes(pixels: DataFrame) -> DataFrame:
     return m.select("scene_id", "n_pixels", "center_lon", "center_lat", axis(half + root).alias("major_km"), axis(half - root).alias("minor_km"), F.when(enough, bearing).alias("orientation_deg"))
 
 
-def detect_dark(px: DataFrame, cfg: DetectionConfig = DetectionConfig(), mode: str = "tiled") -> DataFrame:
+def detect_dark(px: DataFrame, mode: str = "tiled", *, window: int = 96, gate_db: float = 3.0, smooth_px: float = 1.5, least_pixels: int = 30) -> DataFrame:
     """``mask``: dark objects by Otsu thresholds, in sliding windows that are truly bimodal or (``global``) in the scene.
 
     ``px`` has ``value`` in decibels.  Missing pixels count as the scene's median and are never dark.
     """
-    med = px.groupBy("scene_id").agg(F.percentile("value", 0.5).alias("_m"))
+    med = exact_percentiles(px, ["scene_id"], F.col("value"), (0.5,)).select("scene_id", F.col("p")[0].alias("_m"))
     known = px.join(med, "scene_id").withColumn("valid", F.col("value").isNotNull()).withColumn("value", F.coalesce("value", "_m")).drop("_m")
     flat = flatten_columns(known).drop("value").withColumnRenamed("flat", "value")
-    sm = stored(gaussian_smooth(flat, cfg.smooth_px), "smooth")
+    sm = stored(gaussian_smooth(flat, smooth_px), "smooth")
     if mode == "global":
         thr = otsu(sm.where("valid"), ["scene_id"], "smooth")
         dark = sm.join(thr, "scene_id").withColumn("mask", (F.col("smooth") < F.col("threshold")) & F.col("valid"))
     else:
-        size = sm.groupBy("scene_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
-        w = cfg.window
-        one = size.withColumn("w", F.least(F.lit(w), "height", "width"))
-        def corners(n: str) -> Column:
-            steps = F.sequence(F.lit(0), F.col(n) - F.col("w"), F.greatest(F.floor(F.col("w") / 2).cast("int"), F.lit(1)))
-            return F.when(F.element_at(steps, -1) + F.col("w") < F.col(n), F.concat(steps, F.array(F.col(n) - F.col("w")))).otherwise(steps)
-        grid = one.withColumn("y", F.explode(corners("height"))).withColumn("x", F.explode(corners("width"))).select("scene_id", "w", "y", "x")
-        win = sm.join(grid, "scene_id").where((F.col("row") >= F.col("y")) & (F.col("row") < F.col("y") + F.col("w")) & (F.col("col") >= F.col("x")) & (F.col("col") < F.col("x") + F.col("w")))
+        one = sizes(sm).withColumn("w", F.least(F.lit(window), "height", "width"))
+        win = in_tiles(sm.join(one, "scene_id"), F.col("w"), F.greatest(F.floor(F.col("w") / 2).cast("int"), F.lit(1))).drop("height", "width", "w")
         by = ["scene_id", "y", "x"]
         thr = otsu(win, by, "smooth")
         low = F.col("smooth") < F.col("threshold")
         ok = win.join(thr, by).groupBy(*by, "threshold").agg(
             F.avg(low.cast("double")).alias("frac"), (F.avg(F.when(~low, F.col("smooth"))) - F.avg(F.when(low, F.col("smooth")))).alias("contrast"), (F.max("smooth") - F.min("smooth")).alias("ptp"))
-        ok = ok.where((F.col("ptp") >= 1e-6) & F.col("frac").between(0.01, 0.6) & (F.col("contrast") >= cfg.gate_db))
+        ok = ok.where((F.col("ptp") >= 1e-6) & F.col("frac").between(0.01, 0.6) & (F.col("contrast") >= gate_db))
         hits = win.join(ok, by).where(low).select(*PIXEL).distinct().withColumn("_h", F.lit(True))
         dark = sm.join(hits, PIXEL, "left").withColumn("mask", F.coalesce("_h", F.lit(False)) & F.col("valid")).drop("_h")
     dark = stored(open_close(dark.select(*PIXEL, "mask")), "dark")
     lab = components(dark, connectivity=4)
-    big = lab.groupBy("scene_id", "label").agg(F.count("*").alias("n")).where(F.col("n") >= cfg.min_pixels)
+    big = lab.groupBy("scene_id", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least_pixels)
     kept = lab.join(big, ["scene_id", "label"], "left_semi").select(*PIXEL).withColumn("_k", F.lit(True))
     return px.join(kept, PIXEL, "left").withColumn("mask", F.coalesce("_k", F.lit(False))).drop("_k")
 
 
-def select_detector(summary: DataFrame, cfg: DetectionConfig = DetectionConfig(), network_available: bool = True) -> DataFrame:
+def select_detector(summary: DataFrame, mode: str = "auto", network_available: bool = True, *, margin: float = 0.02, when_tied: str = "deeplab") -> DataFrame:
     """One row ``detector, reason`` from mean Dice values of ``otsu`` and ``deeplab`` (``summary``: ``detector, dice``)."""
     dice = lambda name: F.max(F.when(F.col("detector") == name, F.col("dice")))
     d = summary.agg(dice("deeplab").alias("n"), dice("otsu").alias("o"))
-    if cfg.mode in ("otsu", "deeplab"):
-        name = cfg.mode if cfg.mode == "otsu" or network_available else "otsu"
-        return d.select(F.lit(name).alias("detector"), F.lit("forced" if name == cfg.mode else "forced_but_unavailable").alias("reason"))
+    if mode in ("otsu", "deeplab"):
+        name = mode if mode == "otsu" or network_available else "otsu"
+        return d.select(F.lit(name).alias("detector"), F.lit("forced" if name == mode else "forced_but_unavailable").alias("reason"))
     if not network_available:
         return d.select(F.lit("otsu").alias("detector"), F.lit("network_unavailable").alias("reason"))
     gap = F.col("n") - F.col("o")
     pick = F.when(F.col("n").isNull(), F.struct(F.lit("deeplab").alias("d"), F.lit("not_benchmarked").alias("r")))
     pick = pick.when(F.col("o").isNull(), F.struct(F.lit("deeplab").alias("d"), F.lit("otsu_not_benchmarked").alias("r")))
-    pick = pick.when(gap > cfg.selection_margin, F.struct(F.lit("deeplab").alias("d"), F.lit("better").alias("r")))
-    pick = pick.when(-gap > cfg.selection_margin, F.struct(F.lit("otsu").alias("d"), F.lit("better").alias("r")))
-    pick = pick.otherwise(F.struct(F.lit(cfg.prefer_when_tied).alias("d"), F.lit("within_margin").alias("r")))
+    pick = pick.when(gap > margin, F.struct(F.lit("deeplab").alias("d"), F.lit("better").alias("r")))
+    pick = pick.when(-gap > margin, F.struct(F.lit("otsu").alias("d"), F.lit("better").alias("r")))
+    pick = pick.otherwise(F.struct(F.lit(when_tied).alias("d"), F.lit("within_margin").alias("r")))
     return d.select(pick.alias("p")).select(F.col("p.d").alias("detector"), F.col("p.r").alias("reason"))

@@ -8,23 +8,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slickwake.config import AttributionConfig, PhysicsConfig
 from slickwake.functions.geo import KM_PER_DEG, epoch_s, haversine_km
 from slickwake.functions.stats import cloud_spread_km, gaussian_score
 from slickwake.operators.drift import simulate
 
 
-def position_evidence(clouds: DataFrame, obs: dict, drift_km: F.Column | None = None, cfg: AttributionConfig = AttributionConfig(), by: str = "mmsi") -> DataFrame:
+def position_evidence(clouds: DataFrame, obs: dict, drift_km: F.Column | None = None, by: str = "mmsi", *, model_error: float = 0.10, least_sigma_km: float = 1.0) -> DataFrame:
     """Distance of each cloud's centre from the slick, in ensemble, slick and model uncertainty."""
     sigma = F.when(F.count("*") > 2, cloud_spread_km("lon", "lat", KM_PER_DEG) / F.sqrt(F.lit(2.0))).otherwise(0.0)
     df = clouds.groupBy(by).agg(F.avg("lon").alias("c_lon"), F.avg("lat").alias("c_lat"), sigma.alias("ensemble_sigma_km"), *([F.max(drift_km).alias("drift_km")] if drift_km is not None else []))
     if drift_km is None:
         df = df.withColumn("drift_km", F.lit(0.0))
     d = haversine_km("c_lat", "c_lon", F.lit(obs["center_lat"]), F.lit(obs["center_lon"]))
-    model = cfg.twin_model_error * F.greatest("drift_km", F.lit(0.0))
+    model = model_error * F.greatest("drift_km", F.lit(0.0))
     slick = max(obs["minor_km"], obs["major_km"]) / 4
     df = df.withColumn("centroid_km", d).withColumn("model_sigma_km", model)
-    total = F.greatest(F.sqrt(F.pow("ensemble_sigma_km", 2) + slick**2 + F.pow("model_sigma_km", 2)), F.lit(cfg.sigma_min_km))
+    total = F.greatest(F.sqrt(F.pow("ensemble_sigma_km", 2) + slick**2 + F.pow("model_sigma_km", 2)), F.lit(least_sigma_km))
     df = df.withColumn("position_z", F.col("centroid_km") / total)
     return df.withColumn("position_score", gaussian_score("position_z"))
 
@@ -66,27 +65,31 @@ def footprint(lon: np.ndarray, lat: np.ndarray, grid: dict, trim_pct: float = 80
     return fill_hull(hull(np.round(pts).astype(int)), shape) if len(pts) >= 3 else np.zeros(shape, bool)
 
 
-def shape_evidence(clouds: DataFrame, obs: dict, grid: dict, slick_pixels: list[tuple[int, int]], by: str = "mmsi", pixel_km2: float = 0.01) -> DataFrame:
-    """Overlap of each candidate's footprint, moved onto the slick's centre, with the slick's pixels.
+def shape_evidence(clouds: DataFrame, obs: dict, grid: dict, slick: DataFrame, by: str = "mmsi", pixel_km2: float = 0.01) -> DataFrame:
+    """Overlap of each candidate's footprint, moved onto the slick's centre, with the slick's pixels (``row, col``).
 
-    A group is one candidate's particles (some hundreds); ``slick_pixels`` are those of one scene.
+    A group is one candidate's particles (some hundreds), or the pixels of its footprint.  Footprints and slick meet by
+    rows of pixels, so the slick is neither gathered nor sent.
     """
-    seen = np.zeros((grid["height"], grid["width"]), bool)
-    for r, c in slick_pixels:
-        seen[r, c] = True
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lon, lat = pdf["lon"].to_numpy(float), pdf["lat"].to_numpy(float)
         m = footprint(lon + obs["center_lon"] - lon.mean(), lat + obs["center_lat"] - lat.mean(), grid)
-        union = int((m | seen).sum())
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "iou_aligned": [float((m & seen).sum() / union) if union else 0.0], "pred_area_km2": [float(m.sum() * pixel_km2)]})
+        r, c = np.nonzero(m)
+        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(r), "row": r, "col": c})
 
     kind = clouds.schema[by].dataType.simpleString()
-    return clouds.groupBy(by).applyInPandas(run, f"{by} {kind}, iou_aligned double, pred_area_km2 double")
+    marks = clouds.groupBy(by).applyInPandas(run, f"{by} {kind}, row int, col int")
+    seen = slick.select("row", "col", F.lit(1).alias("seen")).distinct()
+    hit = marks.join(seen, ["row", "col"], "left").groupBy(by).agg(F.count("*").alias("n"), F.count("seen").alias("both"))
+    n_seen = seen.agg(F.count("*").alias("n_seen"))
+    each = clouds.select(by).distinct().join(hit, by, "left").na.fill(0, ["n", "both"]).crossJoin(n_seen)  # one row
+    union = F.col("n") + F.col("n_seen") - F.col("both")
+    return each.select(by, F.coalesce(F.try_divide("both", union), F.lit(0.0)).alias("iou_aligned"), (F.col("n") * pixel_km2).alias("pred_area_km2"))
 
 
-def digital_twin(candidates: DataFrame, members: DataFrame, wind, current, phys: PhysicsConfig, obs: dict, grid: dict, slick_pixels: list[tuple[int, int]],
-                 t_obs_s: float, seed: int, cfg: AttributionConfig = AttributionConfig(), init_sigma_m: float = 150.0) -> DataFrame:
+def digital_twin(candidates: DataFrame, members: DataFrame, wind, current, obs: dict, grid: dict, slick: DataFrame, t_obs_s: float, seed: int, *,
+                 dt_min: float = 15.0, diffusivity: float = 10.0, shares: tuple[float, float] = (0.7, 0.3), init_sigma_m: float = 150.0) -> DataFrame:
     """All candidates' forward runs as one job; the same random numbers for each of them.
 
     A release that isn't before the observation scores 0 with a note.
@@ -94,22 +97,22 @@ def digital_twin(candidates: DataFrame, members: DataFrame, wind, current, phys:
     c = candidates.select("mmsi", epoch_s("est_release_time").alias("es0"), F.col("est_release_lon").alias("lon0"), F.col("est_release_lat").alias("lat0"))
     c = c.withColumn("hours_drift", (F.lit(t_obs_s) - F.col("es0")) / 3600)
     late = c.where("hours_drift <= 0 OR lon0 IS NULL").select("mmsi", "hours_drift", F.lit(0.0).alias("digital_twin_score"), F.lit("release not before observation").alias("note"))
-    todo = c.where("hours_drift > 0 AND lon0 IS NOT NULL").withColumn("steps", F.ceil(F.col("hours_drift") * 60 / phys.dt_min).cast("int"))
+    todo = c.where("hours_drift > 0 AND lon0 IS NOT NULL").withColumn("steps", F.ceil(F.col("hours_drift") * 60 / dt_min).cast("int"))
     # top_n candidates times a fixed number of particles
-    start = todo.select("mmsi", F.col("mmsi").cast("string").alias("run_id"), "es0", "lon0", "lat0", "steps", "hours_drift").crossJoin(F.broadcast(members))
+    start = todo.select("mmsi", F.col("mmsi").cast("string").alias("run_id"), "es0", "lon0", "lat0", "steps", "hours_drift").crossJoin(members)
     spread = lambda k: init_sigma_m * F.sqrt(-2 * F.log((F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "particle"), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
     turn = 2 * np.pi * (F.pmod(F.xxhash64(F.lit(seed), F.lit(9), "particle"), F.lit(1 << 40)) / float(1 << 40))
     east = F.degrees(spread(8) * F.cos(turn) / (6_371_008.8 * F.cos(F.radians("lat0"))))
     north = F.degrees(spread(8) * F.sin(turn) / 6_371_008.8)
     start = start.withColumn("lon0", F.col("lon0") + east).withColumn("lat0", F.col("lat0") + north)
-    paths = simulate(start.drop("mmsi", "hours_drift"), wind, current, phys, seed, direction=1)
-    ends = paths.withColumn("mmsi", F.col("run_id").cast("long")).join(F.broadcast(todo.select("mmsi", "steps", F.col("lon0").alias("r_lon"), F.col("lat0").alias("r_lat"))), "mmsi").where("k = steps")
+    paths = simulate(start.drop("mmsi", "hours_drift"), wind, current, seed, 1, dt_min=dt_min, diffusivity=diffusivity)
+    ends = paths.withColumn("mmsi", F.col("run_id").cast("long")).join(todo.select("mmsi", "steps", F.col("lon0").alias("r_lon"), F.col("lat0").alias("r_lat")), "mmsi").where("k = steps")
     mean = ends.groupBy("mmsi").agg(F.avg("lon").alias("m_lon"), F.avg("lat").alias("m_lat"), F.first("r_lon").alias("r_lon"), F.first("r_lat").alias("r_lat"))
     moved = mean.select("mmsi", haversine_km("r_lat", "r_lon", "m_lat", "m_lon").alias("moved_km"))
-    pos = position_evidence(ends.join(F.broadcast(moved), "mmsi"), obs, F.col("moved_km"), cfg)
-    shape = shape_evidence(ends.select("mmsi", "lon", "lat"), obs, grid, slick_pixels, pixel_km2=obs["pixel_km2"])
+    pos = position_evidence(ends.join(moved, "mmsi"), obs, F.col("moved_km"))
+    shape = shape_evidence(ends.select("mmsi", "lon", "lat"), obs, grid, slick, pixel_km2=obs["pixel_km2"])
     out = pos.join(shape, "mmsi").join(todo.select("mmsi", "hours_drift"), "mmsi")
     out = out.withColumn("obs_area_km2", F.lit(float(obs["area_km2"]))).withColumn("area_ratio", F.col("pred_area_km2") / F.greatest("obs_area_km2", F.lit(1e-9)))
-    out = out.withColumn("digital_twin_score", cfg.twin_centroid * F.col("position_score") + cfg.twin_iou * F.col("iou_aligned")).withColumn("note", F.lit(None).cast("string"))
+    out = out.withColumn("digital_twin_score", shares[0] * F.col("position_score") + shares[1] * F.col("iou_aligned")).withColumn("note", F.lit(None).cast("string"))
     keep = ["mmsi", "hours_drift", "iou_aligned", "centroid_km", "position_z", "position_score", "ensemble_sigma_km", "model_sigma_km", "pred_area_km2", "obs_area_km2", "area_ratio", "digital_twin_score", "note"]
     return out.select(keep).unionByName(late, allowMissingColumns=True)

@@ -9,11 +9,11 @@ from slickwake.functions import geo
 from slickwake.operators import attribution, drift, field, fusion, twin
 from slickwake.plans import views
 from slickwake.plans.reports_queries import _r, hav, rounded
-from slickwake.plans.views import ATTR, DT_S, FIELD_SQL, HOURS, OBS, PATHS_SQL, PHYS, STEPS, T_OBS_S, TRANSITS_SQL
+from slickwake.plans.views import DT_S, FIELD_SQL, HOURS, OBS, PATHS_SQL, STEPS, T_OBS_S, TOP_N, TRANSITS_SQL
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.uniform_paths(views.particles(spark, sf_dir), PHYS, T_OBS_S, HOURS)
+    return drift.uniform_paths(views.particles(spark, sf_dir), T_OBS_S, HOURS, dt_min=DT_S / 60)
 
 
 def _winds(spark, sf_dir):
@@ -96,7 +96,7 @@ def position_at_times(spark, sf_dir):
 
 def _co(spark, sf_dir):
     stats = drift.cloud_stats(_paths(spark, sf_dir))
-    return attribution.colocate(attribution.positions_on_grid(views.transits(spark, sf_dir), T_OBS_S, DT_S, STEPS), stats, ATTR)
+    return attribution.colocate(attribution.positions_on_grid(views.transits(spark, sf_dir), T_OBS_S, DT_S, STEPS), stats)
 
 
 def colocation_score(spark, sf_dir):
@@ -109,7 +109,7 @@ def _anomaly(df: DataFrame) -> DataFrame:
 
 def _funnel(spark, sf_dir):
     t = views.transits(spark, sf_dir)
-    return attribution.rank_vessels(t, drift.cloud_stats(_paths(spark, sf_dir)), T_OBS_S, DT_S, STEPS, _anomaly(t), ATTR)
+    return attribution.rank_vessels(t, drift.cloud_stats(_paths(spark, sf_dir)), T_OBS_S, DT_S, STEPS, _anomaly(t))
 
 
 def rank_vessels(spark, sf_dir):
@@ -123,7 +123,7 @@ def funnel_counts(spark, sf_dir):
 
 
 def topn_candidates(spark, sf_dir):
-    return rounded(attribution.top_candidates(_funnel(spark, sf_dir), ATTR.top_n).select("mmsi", "attribution_score", "min_z"))
+    return rounded(attribution.top_candidates(_funnel(spark, sf_dir), TOP_N).select("mmsi", "attribution_score", "min_z"))
 
 
 def _twin_rows(top: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def _twin_rows(top: DataFrame) -> DataFrame:
 
 def _fused(spark, sf_dir):
     f = _funnel(spark, sf_dir)
-    return fusion.fuse(f, _twin_rows(attribution.top_candidates(f, ATTR.top_n)), ATTR)
+    return fusion.fuse(f, _twin_rows(attribution.top_candidates(f, TOP_N)))
 
 
 def fuse(spark, sf_dir):
@@ -141,32 +141,30 @@ def fuse(spark, sf_dir):
 
 
 def conclusion(spark, sf_dir):
-    c = fusion.conclude(_fused(spark, sf_dir), ATTR)
+    c = fusion.conclude(_fused(spark, sf_dir))
     return c.select("level", "top_mmsi", "top_name", F.round("top_confidence", 2).alias("top_confidence"), "n_candidates", "n_within_ambiguity_margin", F.concat_ws(",", F.transform("shortlist", lambda m: m.cast("string"))).alias("shortlist"))
 
 
 def twin_position(spark, sf_dir):
     """Position evidence of clouds that stand for candidates: particles in seven groups at step 12."""
     clouds = _paths(spark, sf_dir).where("k = 12").withColumn("mmsi", F.col("particle") % 7)
-    return rounded(twin.position_evidence(clouds, OBS, F.lit(30.0), ATTR).select("mmsi", "centroid_km", "ensemble_sigma_km", "model_sigma_km", "position_z", "position_score"))
+    return rounded(twin.position_evidence(clouds, OBS, F.lit(30.0)).select("mmsi", "centroid_km", "ensemble_sigma_km", "model_sigma_km", "position_z", "position_score"))
 
 
 def footprint_iou(spark, sf_dir):
     """Shape evidence of the same groups (no SQL counterpart; held against plain Python in the tests)."""
     clouds = _paths(spark, sf_dir).where("k = 12").withColumn("mmsi", F.col("particle") % 7)
     grid = {"west": 32.4, "north": 31.8, "pixel_deg": 0.002, "height": 160, "width": 200}
-    slick = [(r, c) for r in range(80, 100) for c in range(90, 130)]
+    slick = spark.range(800).selectExpr("CAST(80 + id DIV 40 AS INT) AS row", "CAST(90 + id % 40 AS INT) AS col")
     return rounded(twin.shape_evidence(clouds.select("mmsi", "lon", "lat"), OBS, grid, slick, pixel_km2=0.04))
 
 
 def drift_ensemble(spark, sf_dir):
     """Perturbed backward run by Heun steps with a random walk, to its mean path."""
-    members = drift.ensemble(spark, PHYS, N_MEMBERS, 7).join(views.particles(spark, sf_dir).select("particle", "lon0", "lat0"), "particle")
+    members = drift.ensemble(spark, N_MEMBERS, 7).join(views.particles(spark, sf_dir).select("particle", "lon0", "lat0"), "particle")
     start = members.withColumn("run_id", F.lit("demo")).withColumn("es0", F.lit(T_OBS_S)).withColumn("steps", F.lit(STEPS))
-    wind, current = drift.uniform_fields(PHYS)
-    from dataclasses import replace
-
-    return rounded(drift.mean_path(drift.simulate(start.repartition(8, "particle"), wind, current, replace(PHYS, diffusivity_m2s=10.0), 7), ("run_id",)))
+    paths = drift.simulate(start.repartition(8, "particle"), *drift.uniform_fields(), 7, dt_min=DT_S / 60)
+    return rounded(drift.mean_path(paths, ("run_id",)))
 
 
 N_MEMBERS = 200
@@ -243,7 +241,7 @@ _RANK = (
 )
 _FUSE = (
     _RANK
-    + f""", topn AS (SELECT mmsi FROM funnel WHERE passes_all ORDER BY attribution_score DESC, mmsi LIMIT {ATTR.top_n}
+    + f""", topn AS (SELECT mmsi FROM funnel WHERE passes_all ORDER BY attribution_score DESC, mmsi LIMIT {TOP_N}
 ), fz AS (
   SELECT *, 0.2 * anomaly_confidence + 0.45 * least(1, greatest(0, attribution_score)) + 0.35 * digital_twin_score AS confidence
   FROM (SELECT f.*, CASE WHEN t.mmsi IS NULL THEN 0 ELSE f.mmsi * 53 % 1000 / 1000.0::DOUBLE END AS digital_twin_score FROM funnel f LEFT JOIN topn t ON f.mmsi = t.mmsi WHERE passes_all)
@@ -268,7 +266,7 @@ SQL = {
     "colocation_score": f"WITH {_CO} SELECT mmsi, k, {_r('dist_km z score')} FROM co",
     "rank_vessels": f"WITH {_RANK} SELECT mmsi, vessel_name, n_fixes, temporal, spatial, ais_quality, passes_all, dark_gap_flag, {_r('attribution_score min_z min_dist_km est_release_time est_release_lat est_release_lon release_window_start release_window_end max_ais_gap_min_near_release anomaly_confidence')} FROM funnel",
     "funnel_counts": f"WITH {_RANK} SELECT count(*) AS vessels, count(*) FILTER (WHERE temporal) AS n_temporal, count(*) FILTER (WHERE spatial) AS n_spatial, count(*) FILTER (WHERE ais_quality) AS n_ais_quality, count(*) FILTER (WHERE passes_all) AS n_passes_all FROM funnel",
-    "topn_candidates": f"WITH {_RANK} SELECT mmsi, round(attribution_score, 6) AS attribution_score, round(min_z, 6) AS min_z FROM funnel WHERE passes_all ORDER BY funnel.attribution_score DESC, mmsi LIMIT {ATTR.top_n}",
+    "topn_candidates": f"WITH {_RANK} SELECT mmsi, round(attribution_score, 6) AS attribution_score, round(min_z, 6) AS min_z FROM funnel WHERE passes_all ORDER BY funnel.attribution_score DESC, mmsi LIMIT {TOP_N}",
     "fuse": f"WITH {_FUSE} SELECT rank, mmsi, evidence_flags, {_r('attribution_score anomaly_confidence digital_twin_score confidence')} FROM fu",
     "conclusion": f"""WITH {_FUSE}, t AS (SELECT max(confidence) AS top, arg_min(mmsi, rank) AS top_mmsi, arg_min(vessel_name, rank) AS top_name, coalesce(max(CASE WHEN rank = 2 THEN confidence END), 0) AS second, count(*) AS n FROM fu),
       c AS (SELECT count(*) AS n_close, string_agg(CAST(mmsi AS VARCHAR), ',' ORDER BY rank) AS shortlist FROM fu, t WHERE confidence >= top - 0.05)

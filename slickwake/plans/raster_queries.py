@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slickwake.config import DetectionConfig
 from slickwake.functions import geo
 from slickwake.operators import raster
 from slickwake.plans import views
@@ -15,7 +12,6 @@ from slickwake.plans.reports_queries import _r, rounded
 from slickwake.plans.views import BLOBS_SQL, PIXELS_SQL
 
 PX = raster.PIXEL
-DET = DetectionConfig(min_area_km2=0.02)
 
 
 def column_flatten(spark, sf_dir):
@@ -33,8 +29,7 @@ def clean_pixels(spark, sf_dir):
 
 
 def gaussian_smooth(spark, sf_dir):
-    px = views.pixels(spark, sf_dir).where("row < 24 AND col < 24").groupBy("row", "col").agg(F.avg("value").alias("value")).withColumn("scene_id", F.lit(0))
-    return rounded(raster.gaussian_smooth(px, 1.5).select("row", "col", "smooth"), 6)
+    return rounded(raster.gaussian_smooth(views.pixels(spark, sf_dir), 1.5).select(*PX, "smooth"), 6)
 
 
 def otsu_threshold(spark, sf_dir):
@@ -42,15 +37,14 @@ def otsu_threshold(spark, sf_dir):
 
 
 def tile_grid(spark, sf_dir):
-    s = views.table(spark, sf_dir, "part").where("p_partkey < 50").selectExpr("p_partkey AS scene_id", "CAST(20 + p_partkey * 13 AS INT) AS height", "CAST(30 + p_partkey * 29 AS INT) AS width")
+    s = views.table(spark, sf_dir, "part").selectExpr("p_partkey AS scene_id", "CAST(20 + p_partkey * 13 % 640 AS INT) AS height", "CAST(30 + p_partkey * 29 % 1450 AS INT) AS width")
     return raster.tile_grid(s, 256, 32)
 
 
 def tile_merge(spark, sf_dir):
     """Predictions of overlapping 32-pixel tiles (a tile's prediction is an arithmetic of pixel and corner)."""
     px = views.pixels(spark, sf_dir).select(*PX)
-    grid = raster.tile_grid(px.groupBy("scene_id").agg(F.lit(64).alias("height"), F.lit(64).alias("width")), 32, 8)
-    t = px.join(grid, "scene_id").where("row >= y AND row < y + 32 AND col >= x AND col < x + 32")
+    t = raster.in_tiles(px.withColumns({"height": F.lit(64), "width": F.lit(64)}), F.lit(32), F.lit(24))
     return rounded(raster.merge_tiles(t.withColumn("p", F.expr("((row * 3 + col * 5 + y + x) % 101) / 101D"))))
 
 
@@ -77,7 +71,7 @@ def connected_components_4(spark, sf_dir):
 def component_evidence(spark, sf_dir):
     px = views.blobs(spark, sf_dir).withColumn("db", 10 * F.log10("value"))
     lab = raster.components(px.select(*PX, "mask"))
-    return rounded(raster.component_evidence(px, lab, 0.004, DET))
+    return rounded(raster.component_evidence(px, lab, 0.004, least_km2=0.02))
 
 
 def slick_axes(spark, sf_dir):
@@ -119,7 +113,7 @@ def mask_set_operations(spark, sf_dir):
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of detectors on scenes: a stand-in from documents, by source and language."""
-    d = views.table(spark, sf_dir, "documents").where("doc_id % 2 = 0 OR doc_id % 3 = 0")
+    d = views.table(spark, sf_dir, "documents")
     return d.groupBy(F.col("source").alias("scene"), F.col("lang").alias("detector")).agg(
         (F.avg("n_chars") / 10_000).alias("dice"), F.count("*").alias("n"), F.min("n_chars").alias("low"))
 
@@ -150,7 +144,7 @@ def acquisition_times(spark, sf_dir):
     """Acquisition time of scenes from their tags: an override, then tags in order, else none."""
     from slickwake.sources.scenes import acquisition_time
 
-    e = views.table(spark, sf_dir, "events").where("event_id < 500").selectExpr(
+    e = views.table(spark, sf_dir, "events").selectExpr(
         "event_id", "CASE WHEN event_id % 7 = 0 THEN '2024-05-01 10:00:00' END AS override",
         "CASE WHEN event_id % 3 = 0 THEN map('SENSING_TIME', date_format(ts, 'yyyy-MM-dd HH:mm:ss')) WHEN event_id % 3 = 1 THEN map('tifftag_datetime', date_format(ts, 'yyyy:MM:dd HH:mm:ss'), 'other', 'x') ELSE map('other', 'x') END AS tags")
     t, src = acquisition_time("override", "tags")
@@ -170,7 +164,7 @@ def case_summary(spark, sf_dir):
     """One row per case, with cases without a slick by name only."""
     from slickwake.plans.case import summary
 
-    s = views.table(spark, sf_dir, "supplier").where("s_suppkey <= 40")
+    s = views.table(spark, sf_dir, "supplier")
     found = s.where("s_suppkey % 4 <> 0").selectExpr("concat('case_', s_suppkey) AS case_id", "'OK' AS status", "s_acctbal / 1000 AS area_km2", "s_nationkey AS n_candidates")
     none = s.where("s_suppkey % 4 = 0").selectExpr("concat('case_', s_suppkey) AS case_id", "'NO_OIL_DETECTED' AS status")
     return rounded(summary([found, none]).select("case_id", "status", "area_km2", "n_candidates"))
@@ -181,7 +175,7 @@ def otsu_tiled(spark, sf_dir):
     from slickwake.sources.scenes import demo_scene
 
     px = demo_scene(spark, "bench", 31.3, 32.3, 1.2, 128, 60.0, 5)
-    found = raster.detect_dark(px, replace(DET, window=64))
+    found = raster.detect_dark(px, window=64)
     return rounded(raster.seg_metrics(found.withColumnRenamed("mask", "pred")), 3)
 
 
@@ -202,13 +196,13 @@ def _cc(rows: str, reach8: bool) -> str:
 
 
 _CORNERS = "(SELECT unnest([0, 24, 32]) AS {c})"
-_GAUSS = """WITH {px}, base AS (SELECT "row", col, avg(value) AS v FROM px WHERE "row" < 24 AND col < 24 GROUP BY 1, 2),
+_GAUSS = """WITH {px}, base AS (SELECT scene_id, "row", col, value AS v FROM px),
   k0 AS (SELECT d, exp(-0.5 * (d / 1.5) ** 2) AS w FROM (SELECT unnest(range(-6, 7)) AS d)), k AS (SELECT d, w / sum(w) OVER () AS w FROM k0),
-  nr AS (SELECT max("row") + 1 AS n FROM base), nc AS (SELECT max(col) + 1 AS n FROM base),
-  a AS (SELECT b."row", b.col, k.w, CASE WHEN b."row" + d < 0 THEN -(b."row" + d) - 1 WHEN b."row" + d >= n THEN 2 * n - 1 - (b."row" + d) ELSE b."row" + d END AS src FROM base b, k, nr),
-  h AS (SELECT a."row", a.col, sum(a.w * b.v) AS v FROM a JOIN base b ON b."row" = a.src AND b.col = a.col GROUP BY 1, 2),
-  c AS (SELECT b."row", b.col, k.w, CASE WHEN b.col + d < 0 THEN -(b.col + d) - 1 WHEN b.col + d >= n THEN 2 * n - 1 - (b.col + d) ELSE b.col + d END AS src FROM base b, k, nc)
-  SELECT c."row", c.col, round(sum(c.w * h.v), 6) AS smooth FROM c JOIN h ON h.col = c.src AND h."row" = c."row" GROUP BY 1, 2"""
+  nr AS (SELECT scene_id, max("row") + 1 AS n FROM base GROUP BY 1), nc AS (SELECT scene_id, max(col) + 1 AS n FROM base GROUP BY 1),
+  a AS (SELECT b.scene_id, b."row", b.col, k.w, CASE WHEN b."row" + d < 0 THEN -(b."row" + d) - 1 WHEN b."row" + d >= n THEN 2 * n - 1 - (b."row" + d) ELSE b."row" + d END AS src FROM base b JOIN nr USING (scene_id), k),
+  h AS (SELECT a.scene_id, a."row", a.col, sum(a.w * b.v) AS v FROM a JOIN base b ON b.scene_id = a.scene_id AND b."row" = a.src AND b.col = a.col GROUP BY 1, 2, 3),
+  c AS (SELECT b.scene_id, b."row", b.col, k.w, CASE WHEN b.col + d < 0 THEN -(b.col + d) - 1 WHEN b.col + d >= n THEN 2 * n - 1 - (b.col + d) ELSE b.col + d END AS src FROM base b JOIN nc USING (scene_id), k)
+  SELECT c.scene_id, c."row", c.col, round(sum(c.w * h.v), 6) AS smooth FROM c JOIN h ON h.scene_id = c.scene_id AND h.col = c.src AND h."row" = c."row" GROUP BY 1, 2, 3"""
 _MORPH = "SELECT scene_id, \"row\", col, {f} FROM (SELECT x.scene_id, x.\"row\", x.col, count(y.m) FILTER (WHERE y.m) AS n FROM {t} x LEFT JOIN {t} y ON x.scene_id = y.scene_id AND abs(x.\"row\" - y.\"row\") <= 1 AND abs(x.col - y.col) <= 1 GROUP BY 1, 2, 3)"
 _ER, _DI = "n = 9 AS m", "n > 0 AS m"
 SQL = {
@@ -222,7 +216,7 @@ SQL = {
       h AS (SELECT px.scene_id, lo, w, least(CAST(floor((value - lo) / w) AS INT), 255) AS b, count(*) AS n FROM px JOIN e ON px.scene_id = e.scene_id GROUP BY ALL),
       c AS (SELECT scene_id, b, lo + (b + 0.5) * w AS x, sum(n) OVER u AS w1, sum(n * (lo + (b + 0.5) * w)) OVER u AS s1, sum(n) OVER (PARTITION BY scene_id) AS wt, sum(n * (lo + (b + 0.5) * w)) OVER (PARTITION BY scene_id) AS st FROM h WINDOW u AS (PARTITION BY scene_id ORDER BY b ROWS UNBOUNDED PRECEDING))
       SELECT scene_id, round(arg_max(x, w1 * (wt - w1) * (s1 / w1 - (st - s1) / (wt - w1)) ** 2), 4) AS threshold FROM c WHERE wt > w1 GROUP BY 1""",
-    "tile_grid": """WITH s AS (SELECT p_partkey AS scene_id, 20 + p_partkey * 13 AS h, 30 + p_partkey * 29 AS w FROM part WHERE p_partkey < 50),
+    "tile_grid": """WITH s AS (SELECT p_partkey AS scene_id, 20 + p_partkey * 13 % 640 AS h, 30 + p_partkey * 29 % 1450 AS w FROM part),
       ys AS (SELECT scene_id, unnest(list_distinct(list_append(range(0, greatest(h - 256, 0) + 1, 224), greatest(h - 256, 0)))) AS y FROM s), xs AS (SELECT scene_id, unnest(list_distinct(list_append(range(0, greatest(w - 256, 0) + 1, 224), greatest(w - 256, 0)))) AS x FROM s)
       SELECT ys.scene_id, y, x FROM ys JOIN xs ON ys.scene_id = xs.scene_id""",
     "tile_merge": f"""WITH {PIXELS_SQL} SELECT scene_id, "row", col, round(avg((("row" * 3 + col * 5 + y + x) % 101) / 101.0::DOUBLE), 6) AS p, count(*) AS n_tiles FROM px, {_CORNERS.format(c='y')}, {_CORNERS.format(c='x')}
@@ -247,13 +241,13 @@ SQL = {
       SELECT scene_id, count(*) FILTER (WHERE NOT hit) AS false_alarm_objects FROM o GROUP BY 1""",
     "mask_agreement": f"WITH {PIXELS_SQL} SELECT scene_id, count(*) FILTER (WHERE pred AND gt) AS n_both, count(*) FILTER (WHERE pred OR gt) AS n_either, round(count(*) FILTER (WHERE pred AND gt) / greatest(count(*) FILTER (WHERE pred OR gt), 1), 6) AS iou FROM px GROUP BY 1",
     "mask_set_operations": f"WITH {PIXELS_SQL} SELECT scene_id, count(*) FILTER (WHERE pred AND gt) AS n, 'and' AS op FROM px GROUP BY 1 UNION ALL SELECT scene_id, count(*) FILTER (WHERE pred OR gt), 'or' FROM px GROUP BY 1 UNION ALL SELECT scene_id, count(*) FILTER (WHERE pred AND NOT gt), 'minus' FROM px GROUP BY 1",
-    "detector_benchmark": "WITH b AS (SELECT source, lang AS detector, avg(n_chars) / 10000 AS dice, min(n_chars) AS low FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY 1, 2) SELECT detector, round(avg(dice), 6) AS dice, round(avg(low), 6) AS low, count(*) AS scenes FROM b GROUP BY 1",
+    "detector_benchmark": "WITH b AS (SELECT source, lang AS detector, avg(n_chars) / 10000 AS dice, min(n_chars) AS low FROM documents GROUP BY 1, 2) SELECT detector, round(avg(dice), 6) AS dice, round(avg(low), 6) AS low, count(*) AS scenes FROM b GROUP BY 1",
     "detector_select": """SELECT * FROM (VALUES (0, 'deeplab', 'better'), (1, 'otsu', 'better'), (2, 'deeplab', 'within_margin'), (3, 'deeplab', 'within_margin'), (4, 'deeplab', 'not_benchmarked'), (5, 'deeplab', 'otsu_not_benchmarked'),
       (6, CASE WHEN 0.82::DOUBLE - 0.80::DOUBLE > 0.02 THEN 'deeplab' ELSE 'deeplab' END, CASE WHEN 0.82::DOUBLE - 0.80::DOUBLE > 0.02::DOUBLE THEN 'better' ELSE 'within_margin' END), (7, 'otsu', 'better'), (8, 'deeplab', 'within_margin'), (9, 'deeplab', 'better')) t(case_no, detector, reason)""",
     "image_mask_pairs": """WITH p AS (SELECT page_id AS ord, '/data/' || CASE WHEN page_id % 3 = 0 THEN 'masks' WHEN page_id % 5 = 0 THEN 'Test' ELSE 'img' END || '/s' || (page_id % 40) || CASE WHEN page_id % 2 = 0 THEN '.png' ELSE '.tif' END AS path FROM pages),
       k AS (SELECT *, regexp_extract(path, '([^/]+)\\.[^.]+$', 1) AS stem, path LIKE '%mask%' AS is_mask FROM p), m AS (SELECT stem, arg_max(path, ord) AS mask_path FROM k WHERE is_mask GROUP BY 1)
       SELECT k.stem, k.path AS image_path, m.mask_path, k.path LIKE '%Test%' AS preferred FROM k JOIN m ON k.stem = m.stem WHERE NOT is_mask""",
-    "acquisition_times": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 1714557600.0 WHEN event_id % 3 < 2 THEN floor(epoch_us(ts) / 1000000) END AS es, CASE WHEN event_id % 7 = 0 THEN 'user_supplied' WHEN event_id % 3 = 0 THEN 'raster_tag:sensing_time' WHEN event_id % 3 = 1 THEN 'raster_tag:tifftag_datetime' END AS time_source FROM events WHERE event_id < 500",
+    "acquisition_times": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 1714557600.0 WHEN event_id % 3 < 2 THEN floor(epoch_us(ts) / 1000000) END AS es, CASE WHEN event_id % 7 = 0 THEN 'user_supplied' WHEN event_id % 3 = 0 THEN 'raster_tag:sensing_time' WHEN event_id % 3 = 1 THEN 'raster_tag:tifftag_datetime' END AS time_source FROM events",
     "scene_units": "SELECT * FROM (VALUES (0, 'uint8'), (1, 'linear'), (2, 'db'), (3, 'linear')) t(scene_id, units)",
-    "case_summary": "SELECT 'case_' || s_suppkey AS case_id, CASE WHEN s_suppkey % 4 = 0 THEN 'NO_OIL_DETECTED' ELSE 'OK' END AS status, CASE WHEN s_suppkey % 4 <> 0 THEN round(s_acctbal / 1000, 6) END AS area_km2, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS n_candidates FROM supplier WHERE s_suppkey <= 40",
+    "case_summary": "SELECT 'case_' || s_suppkey AS case_id, CASE WHEN s_suppkey % 4 = 0 THEN 'NO_OIL_DETECTED' ELSE 'OK' END AS status, CASE WHEN s_suppkey % 4 <> 0 THEN round(s_acctbal / 1000, 6) END AS area_km2, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS n_candidates FROM supplier",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slickwake.functions.geo import epoch_s
 from slickwake.operators import ais, anomaly
 from slickwake.plans import views
-from slickwake.plans.views import AIS, DIRTY_SQL
+from slickwake.plans.views import DIRTY_SQL, EVERY_MIN, FEWEST_FIXES, FOLDS, HISTORY, LONGEST_GAP_MIN, REACH, TOP_SPEED_KN
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -41,14 +41,14 @@ SEG_SQL = (
   SELECT *, coalesce(es - pes, 0) / 60 AS gap_min, {_SPEED} AS kn FROM (SELECT *, {_LAG} FROM cl WINDOW w AS (PARTITION BY mmsi ORDER BY ts))
 ), sg AS (
   SELECT * EXCLUDE (b), sum(b) OVER (PARTITION BY mmsi ORDER BY ts ROWS UNBOUNDED PRECEDING) AS segment_id, CASE WHEN b = 1 THEN 0 ELSE gap_min END AS internal_gap_min
-  FROM (SELECT *, CASE WHEN gap_min > {AIS.gap_segment_minutes} OR kn > {AIS.implausible_speed_kn} THEN 1 ELSE 0 END AS b FROM s1)
+  FROM (SELECT *, CASE WHEN gap_min > {LONGEST_GAP_MIN} OR kn > {TOP_SPEED_KN} THEN 1 ELSE 0 END AS b FROM s1)
 )"""
 )
-_STEP = AIS.resample_minutes * 60
+_STEP = EVERY_MIN * 60
 BINS_SQL = (
     SEG_SQL
     + f""", s2 AS (
-  SELECT *, floor(min(es) OVER (PARTITION BY mmsi, segment_id) / 86400) * 86400 AS day0 FROM sg QUALIFY count(*) OVER (PARTITION BY mmsi, segment_id) >= {AIS.min_raw_fixes}
+  SELECT *, floor(min(es) OVER (PARTITION BY mmsi, segment_id) / 86400) * 86400 AS day0 FROM sg QUALIFY count(*) OVER (PARTITION BY mmsi, segment_id) >= {FEWEST_FIXES}
 ), bins AS (
   SELECT mmsi, segment_id, day0, CAST(floor((es - day0) / {_STEP}) AS BIGINT) AS bin_no, avg(lat) AS lat, avg(lon) AS lon, avg(sog) AS sog,
     ((degrees(atan2(avg(sin(radians(cog))), avg(cos(radians(cog))))) % 360) + 360) % 360 AS cog, max(internal_gap_min) AS internal_gap_min, count(*) AS n_fixes,
@@ -60,7 +60,7 @@ BINS_SQL = (
 
 def _interp(c: str) -> str:
     """Independent of window frames: the neighbours are looked up by their numbers."""
-    return f"""CASE WHEN g.{c} IS NOT NULL THEN g.{c} WHEN p_{c}.bin_no IS NULL OR g.bin_no - p_{c}.bin_no > {AIS.interpolate_limit} THEN NULL
+    return f"""CASE WHEN g.{c} IS NOT NULL THEN g.{c} WHEN p_{c}.bin_no IS NULL OR g.bin_no - p_{c}.bin_no > {REACH} THEN NULL
       WHEN n_{c}.bin_no IS NULL THEN p_{c}.{c} ELSE p_{c}.{c} + (n_{c}.{c} - p_{c}.{c}) * (g.bin_no - p_{c}.bin_no) / (n_{c}.bin_no - p_{c}.bin_no) END AS {c}"""
 
 
@@ -79,7 +79,7 @@ FILL_SQL = (
   SELECT g.mmsi, g.segment_id, g.day0, g.vessel_name, g.vessel_type, g.bin_no, g.cog, g.internal_gap_min, {_interp('lat')}, {_interp('lon')}, {_interp('sog')}
   FROM grid g {_NEAR}
 ), alive AS (
-  SELECT * FROM ip WHERE lat IS NOT NULL AND lon IS NOT NULL AND sog IS NOT NULL QUALIFY count(*) OVER (PARTITION BY mmsi, segment_id) >= {AIS.history_steps + 3}
+  SELECT * FROM ip WHERE lat IS NOT NULL AND lon IS NOT NULL AND sog IS NOT NULL QUALIFY count(*) OVER (PARTITION BY mmsi, segment_id) >= {HISTORY + 3}
 ), filled AS (
   SELECT mmsi, segment_id, day0 + bin_no * {_STEP} AS es, lat, lon, sog,
     coalesce(last_value(cog IGNORE NULLS) OVER (PARTITION BY mmsi, segment_id ORDER BY bin_no ROWS UNBOUNDED PRECEDING),
@@ -99,8 +99,8 @@ SEQ_SQL = (
     FEAT_SQL
     + f""", seqs AS (
   SELECT * FROM (SELECT *, row_number() OVER w - 1 AS t, lead(east_m) OVER w - 2 * east_m + lag(east_m) OVER w AS y1, lead(north_m) OVER w - 2 * north_m + lag(north_m) OVER w AS y2,
-    sum(east_m) OVER (PARTITION BY mmsi, segment_id ORDER BY es ROWS BETWEEN {AIS.history_steps} PRECEDING AND 1 PRECEDING) AS x_sum FROM feat WINDOW w AS (PARTITION BY mmsi, segment_id ORDER BY es))
-  WHERE t >= {AIS.history_steps} AND y1 IS NOT NULL
+    sum(east_m) OVER (PARTITION BY mmsi, segment_id ORDER BY es ROWS BETWEEN {HISTORY} PRECEDING AND 1 PRECEDING) AS x_sum FROM feat WINDOW w AS (PARTITION BY mmsi, segment_id ORDER BY es))
+  WHERE t >= {HISTORY} AND y1 IS NOT NULL
 )"""
 )
 JUMP_SQL = (
@@ -115,10 +115,10 @@ ROBUST_SQL = (
     JUMP_SQL
     + f""", er AS (
   SELECT j.*, coalesce(sqrt(s.y1 * s.y1 + s.y2 * s.y2), 0) AS pred_error_m
-  FROM jp j LEFT JOIN (SELECT mmsi, segment_id, es, y1, y2 FROM (SELECT *, row_number() OVER w - 1 AS t, lead(east_m) OVER w - 2 * east_m + lag(east_m) OVER w AS y1, lead(north_m) OVER w - 2 * north_m + lag(north_m) OVER w AS y2 FROM feat WINDOW w AS (PARTITION BY mmsi, segment_id ORDER BY es)) WHERE t >= {AIS.history_steps} AND y1 IS NOT NULL) s
+  FROM jp j LEFT JOIN (SELECT mmsi, segment_id, es, y1, y2 FROM (SELECT *, row_number() OVER w - 1 AS t, lead(east_m) OVER w - 2 * east_m + lag(east_m) OVER w AS y1, lead(north_m) OVER w - 2 * north_m + lag(north_m) OVER w AS y2 FROM feat WINDOW w AS (PARTITION BY mmsi, segment_id ORDER BY es)) WHERE t >= {HISTORY} AND y1 IS NOT NULL) s
   ON j.mmsi = s.mmsi AND j.segment_id = s.segment_id AND j.es = s.es
 ), vs AS (SELECT mmsi, row_number() OVER (ORDER BY ((mmsi % 1000003) * 7919 + 523645) % 1000003, mmsi) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT mmsi FROM er)
-), fo AS (SELECT mmsi, CAST(r % greatest(2, least({AIS.n_folds}, n)) AS INT) AS fold FROM vs
+), fo AS (SELECT mmsi, CAST(r % greatest(2, least({FOLDS}, n)) AS INT) AS fold FROM vs
 ), fr AS (SELECT er.*, fo.fold FROM er JOIN fo USING (mmsi)
 ), tr AS (SELECT f.fold AS ff, fr.* FROM (SELECT DISTINCT fold FROM fo) f JOIN fr ON fr.fold <> f.fold
 ), md AS (SELECT ff, {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _Z)} FROM tr GROUP BY ff
@@ -139,11 +139,23 @@ POINT_SQL = (
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ais.clean(views.dirty_reports(spark, sf_dir), AIS)
+    return ais.clean(views.dirty_reports(spark, sf_dir))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ais.segments(_clean(spark, sf_dir), longest_gap_min=LONGEST_GAP_MIN)
+
+
+def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ais.resample(_segments(spark, sf_dir), every_min=EVERY_MIN)
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ais.fill_gaps(_bins(spark, sf_dir), every_min=EVERY_MIN, fewest_bins=HISTORY + 3)
 
 
 def _feat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ais.features(ais.fill_gaps(ais.resample(ais.segments(_clean(spark, sf_dir), AIS), AIS), AIS))
+    return ais.features(_filled(spark, sf_dir))
 
 
 def ais_normalize(spark, sf_dir):
@@ -158,19 +170,19 @@ def ais_clean(spark, sf_dir):
 
 
 def ais_segments(spark, sf_dir):
-    return rounded(ais.segments(_clean(spark, sf_dir), AIS).select("mmsi", "es", "segment_id", "gap_min", "internal_gap_min"))
+    return rounded(_segments(spark, sf_dir).select("mmsi", "es", "segment_id", "gap_min", "internal_gap_min"))
 
 
 def segment_meta(spark, sf_dir):
-    return ais.segment_meta(ais.segments(_clean(spark, sf_dir), AIS)).select("mmsi", "segment_id", "n_raw")
+    return ais.segment_meta(_segments(spark, sf_dir)).select("mmsi", "segment_id", "n_raw")
 
 
 def ais_resample(spark, sf_dir):
-    return rounded(ais.resample(ais.segments(_clean(spark, sf_dir), AIS), AIS).select("mmsi", "segment_id", "bin_no", "lat", "lon", "sog", "cog", "internal_gap_min", "n_fixes"))
+    return rounded(_bins(spark, sf_dir).select("mmsi", "segment_id", "bin_no", "lat", "lon", "sog", "cog", "internal_gap_min", "n_fixes"))
 
 
 def ais_gapfill(spark, sf_dir):
-    return rounded(ais.fill_gaps(ais.resample(ais.segments(_clean(spark, sf_dir), AIS), AIS), AIS).select("mmsi", "segment_id", "es", "lat", "lon", "sog", "cog", "internal_gap_min", "vessel_name", "vessel_type"), 9)
+    return rounded(_filled(spark, sf_dir).select("mmsi", "segment_id", "es", "lat", "lon", "sog", "cog", "internal_gap_min", "vessel_name", "vessel_type"), 9)
 
 
 def ais_features(spark, sf_dir):
@@ -178,11 +190,11 @@ def ais_features(spark, sf_dir):
 
 
 def tracks(spark, sf_dir):
-    return ais.tracks(views.dirty_reports(spark, sf_dir), AIS).groupBy("mmsi").agg(F.max("n_fixes").alias("n_fixes"), F.count("*").alias("n_rows"))
+    return ais.tracks(_clean(spark, sf_dir)).groupBy("mmsi").agg(F.max("n_fixes").alias("n_fixes"), F.count("*").alias("n_rows"))
 
 
 def sequence_targets(spark, sf_dir):
-    s = anomaly.sequences(_feat(spark, sf_dir), AIS)
+    s = anomaly.sequences(_feat(spark, sf_dir), HISTORY)
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v[0])
     return rounded(s.select("mmsi", "segment_id", "es", "t", "y1", "y2", "cv_error_m", F.size("x").cast("long").alias("n_history"), F.round(total / 1000, 2).alias("x_sum_km")), 4)
 
@@ -193,7 +205,7 @@ def behaviour_jumps(spark, sf_dir):
 
 def _points(spark, sf_dir):
     f = _feat(spark, sf_dir)
-    return anomaly.point_scores(f, anomaly.sequences(f, AIS).withColumnRenamed("cv_error_m", "pred_error_m"), AIS)
+    return anomaly.point_scores(f, anomaly.sequences(f, HISTORY).withColumnRenamed("cv_error_m", "pred_error_m"), FOLDS)
 
 
 def robust_z_oof(spark, sf_dir):
@@ -214,7 +226,7 @@ def gap_sessions_window(spark, sf_dir):
 def hash_subsample(spark, sf_dir):
     """A fixed number of training rows without replacement: the smallest values of an arithmetic hash."""
     key = F.pmod(F.col("es").cast("long") * 31 + F.col("mmsi") * 17, F.lit(1_000_003))
-    return anomaly.sequences(_feat(spark, sf_dir), AIS).select("mmsi", "segment_id", "es", key.alias("draw")).orderBy("draw", "mmsi", "es").limit(200)
+    return anomaly.sequences(_feat(spark, sf_dir), HISTORY).select("mmsi", "segment_id", "es", key.alias("draw")).orderBy("draw", "mmsi", "es").limit(200)
 
 
 def event_windows(spark, sf_dir):
@@ -225,11 +237,9 @@ def event_windows(spark, sf_dir):
 
 def oof_model(spark, sf_dir):
     """Motion residuals of vessels that a model hasn't seen (no SQL counterpart; held-out error in the tests)."""
-    from dataclasses import replace
-
     from slickwake.operators import models
 
-    errors, _ = models.out_of_fold(anomaly.sequences(_feat(spark, sf_dir), AIS), replace(AIS, stage1_models=("MLP",)))
+    errors, _ = models.out_of_fold(anomaly.sequences(_feat(spark, sf_dir), HISTORY), models=("MLP",))
     return rounded(errors, 3)
 
 
@@ -247,7 +257,7 @@ SQL = {
     "ais_gapfill": f"WITH {FILL_SQL} SELECT mmsi, segment_id, vessel_name, vessel_type, {_r('es lat lon sog cog internal_gap_min', 9)} FROM filled",
     "ais_features": f"WITH {FEAT_SQL} SELECT mmsi, segment_id, {_r('es east_m north_m cog_sin cog_cos hod_sin hod_cos', 5)} FROM feat",
     "tracks": f"WITH {CLEAN_SQL} SELECT mmsi, count(*) AS n_fixes, count(*) AS n_rows FROM cl GROUP BY 1 HAVING count(*) >= 2",
-    "sequence_targets": f"WITH {SEQ_SQL} SELECT mmsi, segment_id, t, {_r('es y1 y2', 4)}, round(sqrt(y1 * y1 + y2 * y2), 4) AS cv_error_m, CAST({AIS.history_steps} AS BIGINT) AS n_history, round(x_sum / 1000, 2) AS x_sum_km FROM seqs",
+    "sequence_targets": f"WITH {SEQ_SQL} SELECT mmsi, segment_id, t, {_r('es y1 y2', 4)}, round(sqrt(y1 * y1 + y2 * y2), 4) AS cv_error_m, CAST({HISTORY} AS BIGINT) AS n_history, round(x_sum / 1000, 2) AS x_sum_km FROM seqs",
     "behaviour_jumps": f"WITH {JUMP_SQL} SELECT mmsi, segment_id, {_r('es speed_jump course_jump')} FROM jp",
     "robust_z_oof": f"WITH {ROBUST_SQL} SELECT mmsi, segment_id, fold, {_r('es ' + ' '.join(f'z_{c}' for c in _Z), 5)} FROM zz",
     "vessel_anomaly": f"WITH {POINT_SQL}, vv AS (SELECT mmsi, greatest(quantile_cont(final_point_score, 0.5), quantile_cont(final_point_score, 0.95)) AS raw_score, count(*) AS n_points FROM ps GROUP BY 1) SELECT mmsi, round(raw_score, 5) AS anomaly_raw, round(1 / (1 + exp(-(raw_score - 3))), 5) AS anomaly_confidence, n_points FROM vv",

@@ -8,16 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slickwake.config import AISConfig, AttributionConfig, PhysicsConfig
-
 #: Thresholds for reports that are hours apart.
-AIS = AISConfig(resample_minutes=360, gap_segment_minutes=1440.0, history_steps=4)
-PHYS = PhysicsConfig(dt_min=180.0, diffusivity_m2s=0.0)
-ATTR = AttributionConfig()
+LONGEST_GAP_MIN, TOP_SPEED_KN, EVERY_MIN, FEWEST_FIXES, REACH, HISTORY, FOLDS, TOP_N = 1440.0, 50.0, 360, 4, 3, 4, 4, 8
 HOURS = 144.0
 STEPS, DT_S = 48, 10_800.0
 T_OBS_S = 1_705_708_800.0  # 2024-01-20 00:00
-N_PARTICLES = 200
 OBS = {"center_lon": 32.62, "center_lat": 31.62, "major_km": 6.0, "minor_km": 2.0, "area_km2": 9.0, "pixel_km2": 0.0225}
 
 
@@ -85,7 +80,7 @@ TRANSITS_SQL = """fixes AS (
 
 
 def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey").where(F.col("p_partkey") < N_PARTICLES).selectExpr(
+    return table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS particle",
         "32.6D + 0.002D * (p_partkey % 25) AS lon0",
         "31.6D + 0.002D * (p_partkey % 19) AS lat0",
@@ -97,7 +92,7 @@ _R = "6371008.8::DOUBLE"
 #: Closed form of the uniform drift: latitude is linear in k, longitude a running sum.
 PATHS_SQL = f"""parts AS (
   SELECT p_partkey AS particle, 32.6::DOUBLE + 0.002::DOUBLE * (p_partkey % 25) AS lon0, 31.6::DOUBLE + 0.002::DOUBLE * (p_partkey % 19) AS lat0,
-    0.01::DOUBLE + 0.03::DOUBLE * ((p_partkey * 7919) % 1000) / 1000 AS windage FROM part WHERE p_partkey < {N_PARTICLES}
+    0.01::DOUBLE + 0.03::DOUBLE * ((p_partkey * 7919) % 1000) / 1000 AS windage FROM part
 ), vel AS (
   SELECT *, 0.15::DOUBLE * sin(radians(70)) + windage * (-5.0::DOUBLE * sin(radians(315))) AS u, 0.15::DOUBLE * cos(radians(70)) + windage * (-5.0::DOUBLE * cos(radians(315))) AS v FROM parts
 ), lats AS (

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slickwake.config import PhysicsConfig
-from slickwake.functions.geo import epoch_s, normalise_lon
-from slickwake.operators.drift import uniform_fields
+from slickwake.functions.geo import epoch_s, normalise_lon, utc_time
+from slickwake.operators.drift import CURRENT, WIND, uniform_fields
 from slickwake.operators.field import ForcingCoverageError, GridField
 
 NEEDED = ("date", "time_utc", "latitude", "longitude", "water_u_mps", "water_v_mps")
@@ -26,7 +25,7 @@ def read_current_csv(spark: SparkSession, path: str, pattern: str = "Day_*.csv",
         raise KeyError(f"{one} lacks {missing}")
     number = lambda c: F.expr(f"try_cast({c} AS DOUBLE)")
     df = raw.select(
-        F.expr("CAST(try_to_timestamp(concat(date, ' ', time_utc)) AS TIMESTAMP_NTZ)").alias("ts"), number("latitude").alias("lat"), normalise_lon(number("longitude")).alias("lon"),
+        utc_time(F.concat_ws(" ", "date", "time_utc")).alias("ts"), number("latitude").alias("lat"), normalise_lon(number("longitude")).alias("lon"),
         number("water_u_mps").alias("u"), number("water_v_mps").alias("v"), F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("ord"),
     ).na.drop(subset=["ts", "lat", "lon"])
     if bbox:
@@ -38,14 +37,14 @@ def read_current_csv(spark: SparkSession, path: str, pattern: str = "Day_*.csv",
     return df
 
 
-def build_forcing(spark: SparkSession, source: str, phys: PhysicsConfig = PhysicsConfig(), wind: DataFrame | None = None, current: DataFrame | None = None):
-    """(wind, current) fields for a simulation: ``uniform`` from the settings, or ``tables`` of (t, lat, lon, u, v)."""
+def build_forcing(spark: SparkSession, source: str, wind: DataFrame | None = None, current: DataFrame | None = None, *, steady_wind: tuple[float, float] = WIND, steady_current: tuple[float, float] = CURRENT):
+    """(wind, current) fields for a simulation: ``uniform``, or ``tables`` of (t, lat, lon, u, v); a table that is lacking is uniform."""
     if source == "uniform":
-        return uniform_fields(phys)
+        return uniform_fields(steady_wind, steady_current)
     if source == "tables":
         if wind is None and current is None:
             raise ValueError("tables of wind or current are needed")
-        w, c = uniform_fields(phys)
+        w, c = uniform_fields(steady_wind, steady_current)
         return GridField.of(wind) if wind is not None else w, GridField.of(current) if current is not None else c
     raise ValueError(f"unknown source of forcing: {source}")
 

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slickwake.operators.quantiles import exact_percentiles
 from slickwake.functions.geo import KM_PER_DEG, local_km, pixel_to_lonlat, utc_time
 
 # fixed values: tags that may hold an acquisition time, in order of preference
@@ -62,9 +63,16 @@ def acquisition_time(override: str, tags: str) -> tuple[Column, Column]:
     return both["t"], both["s"]
 
 
+def sidecar_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """``stem, tags`` of the JSON documents beside products: a flat object's members as text."""
+    files = spark.read.text(f"{folder.rstrip('/')}/*.json", wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
+    return files.select(F.regexp_replace("name", r"\.json$", "").alias("stem"), F.from_json("value", "map<string,string>").alias("tags"))
+
+
 def infer_units(px: DataFrame) -> DataFrame:
     """``scene_id, units`` of ``scene_id, dtype, value``: 8-bit by type, linear if small and not negative, dB if negative."""
-    s = px.groupBy("scene_id").agg(F.first("dtype").alias("dtype"), F.percentile("value", 0.99).alias("p99"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    p99 = exact_percentiles(px, ["scene_id"], F.col("value"), (0.99,)).select("scene_id", F.col("p")[0].alias("p99"))
+    s = px.groupBy("scene_id").agg(F.first("dtype").alias("dtype"), F.min("value").alias("lo"), F.max("value").alias("hi")).join(p99, "scene_id", "left")
     units = F.when(F.col("dtype") == "uint8", "uint8").when((F.col("p99") <= 5) & (F.col("lo") >= 0), "linear").when((F.col("hi") <= 10) & (F.col("lo") < 0), "db").otherwise("linear")
     return s.select("scene_id", units.alias("units"))
 

@@ -1,12 +1,18 @@
-from slickwake.config import AISConfig, Config, DetectionConfig, PhysicsConfig
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from slickwake.operators.field import ForcingCoverageError
 from slickwake.plans import case
+from slickwake.sources.scenes import demo_scene
 
-CFG = Config(physics=PhysicsConfig(backtrack_hours=24.0, n_particles=120, dt_min=30.0), ais=AISConfig(n_folds=3), detection=DetectionConfig(window=64))
+OPTIONS = {"hours": 24.0, "dt_min": 30.0, "n_particles": 120, "settings": {"detect": {"window": 64}}}
 T_OBS = 1554436320.0
 
 
 def test_planted_culprit_comes_first(spark, tmp_path):
-    r, truth = case.demo_case(spark, "case_A", 31.295, 32.283, 2.0, T_OBS, CFG, size=128, n_vessels=12)
+    r, truth = case.demo_case(spark, "case_A", 31.295, 32.283, 2.0, T_OBS, size=128, n_vessels=12, **OPTIONS)
     assert r.status == "OK"
     check = case.self_check(r, truth, T_OBS, 1800.0)
     assert check["rank"] == 1 and check["source_in_90"] and check["release_error_min"] <= 60 and check["release_error_km"] < 3
@@ -17,3 +23,52 @@ def test_planted_culprit_comes_first(spark, tmp_path):
     case.save_case(r, str(tmp_path), "r1")
     assert spark.read.parquet(str(tmp_path / "summary")).count() == 1
     assert spark.read.json(str(tmp_path / "report" / "case_id=case_A")).first()["case_id"] == "case_A"
+    told = json.loads(spark.read.text(str(tmp_path / "metadata" / "case_id=case_A")).first()[0])
+    assert told["run"]["n_particles"] == 120 and told["settings"] == {"detect": {"window": 64}}
+    ring = r.tables["outline"].where("ring = 0").orderBy("n").select("lon", "lat").collect()
+    km2 = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2 * 111.195**2 * 0.8545
+    assert abs(km2 / r.observation["area_km2"] - 1) < 0.1
+
+
+def files(spark, folder, hours=range(-30, 2, 6)):
+    """A slick, two vessels and currents in files, as a case has them."""
+    grid = {"west": 32.3 - 48 * 0.0009, "north": 31.3 + 48 * 0.0009, "pixel_deg": 0.0009, "height": 96, "width": 96}
+    scene = demo_scene(spark, "s", 31.3, 32.3, 1.0, 96, lookalike=False).drop("gt")
+    stamp = "%Y-%m-%d %H:%M:%S"
+    import datetime as dt
+
+    at = lambda h: dt.datetime(1970, 1, 1) + dt.timedelta(seconds=T_OBS + 3600 * h)
+    rows = ["MMSI,# Timestamp,Latitude,Longitude,SOG,COG"]
+    rows += [f"{m},{at(-h / 10).strftime(stamp)},{31.3 + la * h / 240:.5f},{32.3 - 0.002 * h:.5f},9,90" for m, la in ((111, 0.0), (222, 1.0)) for h in range(0, 240)]
+    (folder / "reports.csv").write_text("\n".join(rows))
+    lines = ["date,time_utc,latitude,longitude,water_u_mps,water_v_mps"]
+    lines += [f"{at(h):%Y-%m-%d},{at(h):%H:%M:%S},{29 + 0.5 * i},{30 + 0.5 * j},0.1,0.0" for h in hours for i in range(10) for j in range(10)]
+    (folder / "Day_1.csv").write_text("\n".join(lines))
+    return scene, grid, str(folder / "reports.csv"), str(folder)
+
+
+def test_case_from_files(spark, tmp_path):
+    scene, grid, reports, currents = files(spark, tmp_path)
+    small = {"hours": 12.0, "dt_min": 60.0, "n_particles": 40, "n_twin": 20, "fit_models": False, "settings": {"detect": {"window": 64}}}
+    out = tmp_path / "out"
+    run = lambda t, folder=currents: case.run_files(spark, "c", scene, grid, t, reports, folder, **small)
+    status = case.run_cases({"good": lambda: run(T_OBS), "late": lambda: run(T_OBS + 48 * 3600), "timeless": lambda: run(None)}, str(out), "r")
+    assert status["good"] == "OK" and "does not cover" in status["late"] and "no acquisition time" in status["timeless"]
+    suspects = spark.read.parquet(str(out / "suspects")).collect()
+    assert [r["mmsi"] for r in suspects] == [111]
+    told = json.loads(spark.read.text(str(out / "metadata" / "case_id=c")).first()[0])
+    assert told["coverage"]["current"]["missing_fraction"] == 0.0
+    with pytest.raises(ForcingCoverageError):
+        run(T_OBS + 48 * 3600)
+
+
+def test_detector_benchmark_files(spark, tmp_path):
+    px = demo_scene(spark, "a", 31.3, 32.3, 1.0, 48, lookalike=False).union(demo_scene(spark, "b", 31.3, 32.3, 0.5, 48, seed=2, lookalike=False))
+    truth = px.select("scene_id", "row", "col", F.col("gt").alias("mask"))
+    perfect = lambda p: p.join(truth, ["scene_id", "row", "col"])
+    corner = lambda p: p.withColumn("mask", F.expr("row < 3 AND col < 3"))
+    per_scene, means = case.benchmark_detectors(px, {"perfect": perfect, "corner": corner})
+    case.save_benchmark(per_scene, means, str(tmp_path))
+    back = {r["detector"]: r for r in spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "detector_benchmark_summary")).collect()}
+    assert back["perfect"]["dice"] > 0.999 and back["perfect"]["false_alarm_objects"] == 0 and back["corner"]["dice"] == 0 and back["corner"]["false_alarm_objects"] == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "detector_benchmark_per_scene")).count() == 4

@@ -1,15 +1,12 @@
-from dataclasses import replace
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slickwake.config import PhysicsConfig
 from slickwake.functions import geo
 from slickwake.operators import drift, field
 from slickwake.sources import currents
 
-STILL = PhysicsConfig(wind=(0.0, 0.0), current=(0.2, 90.0), diffusivity_m2s=0.0, dt_min=15.0)
+STILL = {"wind": (0.0, 0.0), "current": (0.2, 90.0)}
 
 
 def start(spark, n=5, lon=32.0, lat=31.5, windage=0.0):
@@ -26,31 +23,29 @@ def test_directions(spark):
 
 
 def test_forward_distance(spark):
-    p = drift.uniform_paths(start(spark), STILL, 0.0, 24.0, 1)
+    p = drift.uniform_paths(start(spark), 0.0, 24.0, 1, **STILL)
     end = p.where("k = 96").select(geo.haversine_km(F.lit(31.5), F.lit(32.0), "lat", "lon").alias("km")).first()
     assert abs(end["km"] - 17.28) < 0.05
 
 
 def test_native_and_simulated_paths_agree(spark):
-    phys = PhysicsConfig(diffusivity_m2s=0.0, dt_min=60.0)
     p = start(spark, 7, windage=0.03).withColumn("lon0", F.col("lon0") + F.col("particle") * 0.01)
-    native = drift.uniform_paths(p, phys, 1e6, 30.0)
+    native = drift.uniform_paths(p, 1e6, 30.0, dt_min=60.0)
     m = p.select("*", F.lit("r").alias("run_id"), F.lit(1e6).alias("es0"), F.lit(30).alias("steps"), F.lit(1.0).alias("wind_scale"), F.lit(0.0).alias("wind_rot"), F.lit(1.0).alias("cur_scale"), F.lit(0.0).alias("cur_rot"))
-    sim = drift.simulate(m, *drift.uniform_fields(phys), phys, 1)
+    sim = drift.simulate(m, *drift.uniform_fields(), 1, dt_min=60.0, diffusivity=0.0)
     d = native.alias("a").join(sim.alias("b"), ["particle", "k"]).select(F.max(F.abs(F.col("a.lon") - F.col("b.lon"))), F.max(F.abs(F.col("a.lat") - F.col("b.lat"))), F.count("*")).first()
     assert d[0] < 1e-9 and d[1] < 1e-9 and d[2] == 7 * 31
 
 
 def test_backward_undoes_forward(spark):
-    fwd = drift.uniform_paths(start(spark, 1, windage=0.03), replace(STILL, wind=(5.0, 315.0)), 0.0, 12.0, 1).where("k = 48").first()
-    back = drift.uniform_paths(start(spark, 1, fwd["lon"], fwd["lat"], 0.03), replace(STILL, wind=(5.0, 315.0)), 0.0, 12.0, -1).where("k = 48")
+    fwd = drift.uniform_paths(start(spark, 1, windage=0.03), 0.0, 12.0, 1, current=(0.2, 90.0)).where("k = 48").first()
+    back = drift.uniform_paths(start(spark, 1, fwd["lon"], fwd["lat"], 0.03), 0.0, 12.0, -1, current=(0.2, 90.0)).where("k = 48")
     assert back.select(geo.haversine_km("lat", "lon", F.lit(31.5), F.lit(32.0)).alias("km")).first()["km"] < 0.01
 
 
 def test_partitioning_does_not_matter(spark):
-    phys = PhysicsConfig(n_particles=20, dt_min=60.0)
-    m = drift.ensemble(spark, phys, 20, 3).select("*", F.lit("r").alias("run_id"), F.lit(0.0).alias("es0"), F.lit(5).alias("steps"), F.lit(32.0).alias("lon0"), F.lit(31.0).alias("lat0"))
-    a, b = (sorted(map(tuple, drift.simulate(m.repartition(n), *drift.uniform_fields(phys), phys, 3).collect())) for n in (1, 5))
+    m = drift.ensemble(spark, 20, 3).select("*", F.lit("r").alias("run_id"), F.lit(0.0).alias("es0"), F.lit(5).alias("steps"), F.lit(32.0).alias("lon0"), F.lit(31.0).alias("lat0"))
+    a, b = (sorted(map(tuple, drift.simulate(m.repartition(n), *drift.uniform_fields(), 3, dt_min=60.0).collect())) for n in (1, 5))
     assert a == b
 
 

@@ -2,8 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slickwake.config import DetectionConfig
-from slickwake.operators import observe, raster, twin
+from slickwake.operators import observe, quantiles, raster, twin
 from slickwake.sources.scenes import case_specs, demo_scene, pixel_table
 
 
@@ -70,8 +69,8 @@ def test_tiles(spark, shape):
 
 def test_dark_objects(spark):
     px = demo_scene(spark, "x", 31.3, 32.3, 1.5, 128, 60.0, 5)
-    tiled = raster.seg_metrics(raster.detect_dark(px, DetectionConfig(window=64)), "mask").first()
-    whole = raster.seg_metrics(raster.detect_dark(px, DetectionConfig(window=64), "global"), "mask").first()
+    tiled = raster.seg_metrics(raster.detect_dark(px, window=64), "mask").first()
+    whole = raster.seg_metrics(raster.detect_dark(px, "global", window=64), "mask").first()
     assert tiled["dice"] > 0.85 and whole["dice"] < 0.5
 
 
@@ -101,3 +100,91 @@ def test_hull_covers_its_edges():
 
 def test_cases(spark):
     assert case_specs(spark).count() == 4
+
+
+@pytest.mark.parametrize("kind", ["median", "lee", "frost"])
+def test_speckle_filters_are_those_of_whole_arrays(spark, kind):
+    a = np.random.default_rng(4).gamma(4, 20, (70, 45))
+    p = np.pad(a, 2, "symmetric")
+    win = np.lib.stride_tricks.sliding_window_view(p, (5, 5))
+    mean, var = win.mean(axis=(2, 3)), win.var(axis=(2, 3))
+    if kind == "median":
+        want = np.median(win, axis=(2, 3))
+    elif kind == "lee":
+        m2 = np.lib.stride_tricks.sliding_window_view(p, (5, 5))
+        want = m2.mean(axis=(2, 3)) + var / (var + a.var() + 1e-8) * (a - mean)
+    else:
+        w = np.exp(-0.5 * (np.arange(-2, 3) / 2.5) ** 2)
+        w /= w.sum()
+        rough = 2.0 * var / (mean**2 + 1e-8)
+        blend = np.clip(rough / (rough.max() + 1e-8), 0, 1)
+        want = blend * a + (1 - blend) * (win * np.outer(w, w)).sum(axis=(2, 3))
+    got = np.zeros_like(a)
+    for r in raster.despeckle(pixel_table(spark, [("s", a)]), kind).collect():
+        got[r["row"], r["col"]] = r["despeckled"]
+    assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_blocks_do_not_matter(spark):
+    a = np.random.default_rng(6).random((50, 41))
+    px = pixel_table(spark, [("s", a)])
+    mean = lambda img, there: np.pad(np.lib.stride_tricks.sliding_window_view(img, (3, 3)).mean(axis=(2, 3)), 1)
+    x, y = ({(r["row"], r["col"]): r["m"] for r in raster.by_blocks(px, mean, 1, "value", "m", block=b).collect()} for b in (256, 7))
+    assert len(x) == a.size and all(abs(x[k] - y[k]) < 1e-12 for k in x)
+
+
+def test_predictors_are_validated(spark):
+    good = {r["scene"]: r["ok"] for r in raster.validate_predictor(spark, lambda t: np.clip(t / 200, 0, 1), 16, 4).collect()}
+    bad = {r["scene"]: r["ok"] for r in raster.validate_predictor(spark, lambda t: t * 0 + 2.0, 16, 4).collect()}
+    assert len(good) == 8 and all(good.values()) and not any(bad.values())
+    out = raster.normalised(pixel_table(spark, [("s", np.array([[64.0, 96.0], [np.nan, 32.0]]))])).orderBy("row", "col").collect()
+    assert [r["value"] for r in out] == [0.0, 1.0, -2.0, -1.0]
+
+
+def test_outline_of_a_ring(spark):
+    m = np.zeros((9, 9), bool)
+    m[1:8, 2:7] = True
+    m[3:5, 4] = False
+    px = pixel_table(spark, [("s", m.astype(float))]).where("value > 0").withColumn("label", F.lit(5).cast("long"))
+    rows = observe.outline(px, {"west": 0.0, "north": 0.0, "pixel_deg": 1.0}).orderBy("ring", "n").collect()
+    assert {(r["lon"], r["lat"]) for r in rows if r["ring"] == 0} == {(2.0, -1.0), (7.0, -1.0), (7.0, -8.0), (2.0, -8.0)}
+    assert {(r["lon"], r["lat"]) for r in rows if r["ring"] == 1} == {(4.0, -3.0), (5.0, -3.0), (5.0, -5.0), (4.0, -5.0)} and max(r["ring"] for r in rows) == 1
+
+
+def test_footprints_against_plain_python(spark):
+    """The overlap of moved hulls with a slick, one candidate at a time."""
+    rng = np.random.default_rng(8)
+    grid = {"west": 32.0, "north": 31.5, "pixel_deg": 0.01, "height": 60, "width": 60}
+    obs = {"center_lon": 32.3, "center_lat": 31.2}
+    clouds = {m: (32.4 + 0.05 * rng.standard_normal(80), 31.1 + 0.03 * rng.standard_normal(80)) for m in (1, 2)} | {3: (np.array([32.0]), np.array([31.0]))}
+    slick = {(r, c) for r in range(25, 36) for c in range(22, 38)}
+    df = spark.createDataFrame([(m, float(x), float(y)) for m, (lo, la) in clouds.items() for x, y in zip(lo, la, strict=True)], "mmsi long, lon double, lat double")
+    got = {r["mmsi"]: r for r in twin.shape_evidence(df, obs, grid, spark.createDataFrame(sorted(slick), "row int, col int"), pixel_km2=2.0).collect()}
+    for m, (lo, la) in clouds.items():
+        x, y = lo + obs["center_lon"] - lo.mean(), la + obs["center_lat"] - la.mean()
+        p = np.column_stack([(x - 32.0) / 0.01 - 0.5, (31.5 - y) / 0.01 - 0.5])
+        d = np.linalg.norm(p - np.median(p, axis=0), axis=1)
+        p = np.round(p[d <= np.percentile(d, 80)]).astype(int)
+        # inside the hull: on the same side of every pair of points that has all others on one side
+        own = set()
+        if len(np.unique(p, axis=0)) >= 3:
+            cross = lambda a, b, q: (b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0])
+            edges = [(a, b) for a in p for b in p if tuple(a) != tuple(b) and all(cross(a, b, q) >= 0 for q in p)]
+            own = {(r, c) for r in range(60) for c in range(60) if all(cross(a, b, (c, r)) >= 0 for a, b in edges)}
+        assert got[m]["pred_area_km2"] == 2.0 * len(own) and got[m]["iou_aligned"] == pytest.approx(len(own & slick) / len(own | slick))
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_exact_percentiles(spark, accuracy):
+    rng = np.random.default_rng(9)
+    rows = [(g, float(x)) for g, n in (("a", 1), ("b", 2), ("c", 1500), ("d", 999)) for x in (rng.standard_normal(n) if g != "d" else rng.integers(0, 4, n))] + [("a", None), ("e", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    fractions = (0.0, 0.01, 0.5, 0.995, 1.0)
+    got = {r["g"]: r["p"] for r in quantiles.exact_percentiles(df, ["g"], F.col("x"), fractions, accuracy).collect()}
+    assert set(got) == {"a", "b", "c", "d"}
+    for g, p in got.items():
+        assert p == pytest.approx(list(np.quantile([x for k, x in rows if k == g and x is not None], fractions)), abs=1e-12)
+    every = [x for _, x in rows if x is not None and x == x]
+    assert quantiles.exact_percentiles(df, [], F.col("x"), (0.5,), accuracy).first()["p"][0] == pytest.approx(float(np.median(every)))
+    places = [(r["x"], r["k"]) for r in quantiles.ranked(df.where("g = 'c'"), [F.col("x").desc()], "k").collect()]
+    assert [k for _, k in sorted(places, reverse=True)] == list(range(1, 1501))

@@ -3,7 +3,6 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from slickwake.config import AISConfig
 from slickwake.operators import ais, anomaly, attribution
 from slickwake.sources import reports
 
@@ -31,17 +30,16 @@ def test_gap_of_exactly_the_limit_stays(spark):
 
 def test_interpolation_limit_and_circular_mean(spark):
     # bins of ten minutes: 0.6 degrees in 59 minutes are 37 knots, below the limit of 50
-    cfg = AISConfig(history_steps=0, gap_segment_minutes=600.0, resample_minutes=10)
     rows = [(1, 0, 31.0, 32.0, 5.0, 350.0), (1, 1, 31.0, 32.0, 5.0, 10.0), (1, 60, 31.6, 32.0, 5.0, 90.0), (1, 61, 31.6, 32.0, 5.0, 90.0)]
-    out = ais.fill_gaps(ais.resample(ais.segments(ais.clean(frame(spark, rows)), cfg), cfg), cfg).orderBy("es").collect()
+    out = ais.fill_gaps(ais.resample(ais.segments(ais.clean(frame(spark, rows)), longest_gap_min=600.0), every_min=10), every_min=10, fewest_bins=3).orderBy("es").collect()
     assert [round(r["lat"], 6) for r in out] == [31.0, 31.1, 31.2, 31.3, 31.6]  # three bins, then nothing, then the next report
     assert min(out[0]["cog"], 360 - out[0]["cog"]) < 1e-9
 
 
 def test_missing_speed(spark):
     rows = [(1, 6 * i, 31.0 + i / 100, 32.0, None, 5.0) for i in range(20)]
-    strict = ais.preprocess(frame(spark, rows), AISConfig(history_steps=4))[0]
-    loose = ais.preprocess(frame(spark, rows), AISConfig(history_steps=4, require_speed=False))[0]
+    strict = ais.regular(ais.segments(ais.clean(frame(spark, rows))), fewest_bins=7)
+    loose = ais.regular(ais.segments(ais.clean(frame(spark, rows))), fewest_bins=7, speedless=True)
     assert strict.count() == 0 and loose.count() == 20
 
 
@@ -78,10 +76,9 @@ def test_times_do_not_depend_on_the_session_zone(spark):
 
 
 def test_sequences_exclude_their_bin(spark):
-    cfg = AISConfig(history_steps=4)
     rows = [(1, 6 * i, 31.0 + 0.001 * i * i, 32.0, 5.0, 0.0) for i in range(12)]
-    feat = ais.preprocess(frame(spark, rows), cfg)[0]
-    s = anomaly.sequences(feat, cfg).orderBy("es").collect()
+    feat = ais.regular(ais.segments(ais.clean(frame(spark, rows))), fewest_bins=7)
+    s = anomaly.sequences(feat, 4).orderBy("es").collect()
     assert [r["t"] for r in s] == list(range(4, 11)) and all(len(r["x"]) == 4 for r in s)
     assert s[0]["y2"] == pytest.approx(0.002 * 111_320, rel=1e-6)
 
@@ -99,5 +96,5 @@ def test_csv_with_other_names(spark, tmp_path):
 def test_planted_vessels(spark):
     df, truth = reports.planted_vessels(spark, 32.0, 31.0, 1.55e9)
     assert {r["mmsi"] for r in df.select("mmsi").distinct().collect()} == {truth["culprit"], *truth["decoys"], truth["dark_gap"]}
-    gaps = ais.segments(ais.clean(df), AISConfig(gap_segment_minutes=1e9)).groupBy("mmsi").agg(F.max("gap_min").alias("g"))
+    gaps = ais.segments(ais.clean(df), longest_gap_min=1e9).groupBy("mmsi").agg(F.max("gap_min").alias("g"))
     assert {r["mmsi"]: round(r["g"]) for r in gaps.collect()}[truth["dark_gap"]] == 180
