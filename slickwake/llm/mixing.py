@@ -65,19 +65,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
     ``bucket_rows`` is about the number of rows of a source that are ordered in one group.
     """
+    said = lambda c, null: F.coalesce(F.col(c).cast("string"), F.lit(null))
+    draw = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), said("doc_id", "~"), said("source", "~"), said("text", "")).cast("binary"))
     thin = materialize(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
-            F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text")).alias("draw"),
+            draw.alias("draw"),
             *extra,
         ),
         "mix",
     )
     buckets = max(1, -(-thin.count() // bucket_rows))
-    # the highest 24 bits make the order of buckets, so the order of draws goes on inside each
-    thin = thin.withColumn("bucket", F.floor(F.shiftrightunsigned("draw", 40) * F.lit(buckets) / F.lit(1 << 24)).cast("int"))
+    # the first 24 bits make the order of buckets, so the order of draws goes on inside each
+    thin = thin.withColumn("bucket", F.floor(F.conv(F.left("draw", F.lit(6)), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 24)).cast("int"))
     targets = source_targets(thin, weights, share, max_epochs)
     per_bucket = thin.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     plan = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(
         starts["source"].alias("s"), F.col("bucket").alias("b"), "ahead", "source_size", "target"
     )
-    inside = Window.partitionBy("source", "bucket").orderBy(F.shiftrightunsigned("draw", 40), "draw", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
     drawn = thin.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     whole = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
     rest = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
@@ -119,3 +121,30 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
 def op5_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('20240' || chr(31) || coalesce(CAST(doc_id AS VARCHAR), '~') || chr(31) || coalesce(source, '~') || chr(31) || coalesce(text, '')) AS draw
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s
+), f AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total, coalesce(sum(cap) OVER up, 0) AS used, sum(weight) OVER () - coalesce(sum(weight) OVER up, 0) AS left_over
+  FROM w WINDOW up AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT arg_min((total - used) / left_over, used) AS level FROM f WHERE (total - used) / left_over * weight <= cap
+), t AS (
+  SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM w, l
+), r AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, source,
+  CAST(whole * size + greatest(0, least(size, CAST(round(target - whole * source_size) AS BIGINT) - ahead)) AS BIGINT) AS taken
+FROM r
+"""

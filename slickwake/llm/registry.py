@@ -26,4 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_capture_index": warc.OP1_SQL, "op3_patricia_exact_dedup": exact_dedup.OP3_SQL, "op10_prefix_filtered_decontamination": decontaminate.OP10_SQL}
+    return {
+        "op1_warc_capture_index": warc.OP1_SQL,
+        "op3_patricia_exact_dedup": exact_dedup.OP3_SQL,
+        "op4_bucket_pointer_dedup": suffix_dedup.OP4_SQL,
+        "op5_capped_water_filling": mixing.OP5_SQL,
+        "op6_segment_partition_line_dedup": line_dedup.OP6_SQL,
+        "op10_prefix_filtered_decontamination": decontaminate.OP10_SQL,
+    }

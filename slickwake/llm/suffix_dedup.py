@@ -267,3 +267,21 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, few: i
 
 def op4_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+#: Windows by digest; strings of bytes as pairs of hex digits.
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS hx, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT rid, i, md5(substr(hx, 2 * i + 1, 400)) AS x FROM (SELECT rid, hx, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+often AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1),
+hit AS (SELECT w.rid, w.i FROM w JOIN often USING (x)),
+cut AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM hit),
+grp AS (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY i) AS g FROM cut),
+run AS (SELECT rid, g, min(i) AS a, max(i) + 200 AS b FROM grp GROUP BY rid, g),
+gap AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM run),
+kept AS (
+  SELECT gap.rid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(hx), 2 * max(b) + 1) AS rest
+  FROM gap JOIN d USING (rid) GROUP BY gap.rid
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, hx))) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
