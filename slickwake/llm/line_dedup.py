@@ -214,7 +214,7 @@ def op6_segment_partition_line_dedup(spark: SparkSession, sf_dir: str) -> DataFr
 #: Lines that share one of two halves of a length class are compared; classes by a recursive query.
 OP6_SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS parts FROM documents),
-occ AS (SELECT rid, doc_id, unnest(range(0, len(parts))) AS at, trim(unnest(parts), chr(32) || chr(13) || chr(9)) AS line FROM d WHERE parts IS NOT NULL),
+occ AS (SELECT rid, doc_id, unnest(range(0, len(parts))) AS place, trim(unnest(parts), chr(32) || chr(13) || chr(9)) AS line FROM d WHERE parts IS NOT NULL),
 l AS (SELECT line, length(line) AS n FROM (SELECT DISTINCT line FROM occ WHERE length(line) >= 20)),
 e AS (
   SELECT line, n, n + x AS c, s AS side, CASE s WHEN 0 THEN left(line, CAST((n + x) // 2 AS BIGINT)) ELSE right(line, CAST(n + x - (n + x) // 2 AS BIGINT)) END AS half
@@ -224,8 +224,8 @@ near AS (SELECT DISTINCT a.line AS u, b.line AS v FROM e a JOIN e b ON a.c = b.c
 pair AS (SELECT u, v FROM near UNION ALL SELECT v, u FROM near),
 reach(line, label) AS (SELECT u, u FROM pair UNION SELECT pair.v, reach.label FROM reach JOIN pair ON pair.u = reach.line),
 class AS (SELECT line, min(label) AS label FROM reach GROUP BY line),
-named AS (SELECT rid, doc_id, at, coalesce(label, occ.line) AS label FROM occ LEFT JOIN class USING (line) WHERE occ.line <> ''),
-gone AS (SELECT rid, at FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id NULLS FIRST, rid, at) AS k FROM named) WHERE k > 1),
-per AS (SELECT rid, count(*) AS n_removed, string_agg(CAST(at AS VARCHAR), ',' ORDER BY at) AS removed_lines FROM gone GROUP BY rid)
+named AS (SELECT rid, doc_id, place, coalesce(label, occ.line) AS label FROM occ LEFT JOIN class USING (line) WHERE occ.line <> ''),
+gone AS (SELECT rid, place FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id NULLS FIRST, rid, place) AS k FROM named) WHERE k > 1),
+per AS (SELECT rid, count(*) AS n_removed, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS removed_lines FROM gone GROUP BY rid)
 SELECT doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines FROM d LEFT JOIN per USING (rid)
 """

@@ -272,7 +272,8 @@ def op4_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Windows by digest; strings of bytes as pairs of hex digits.
 OP4_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS hx, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
-w AS (SELECT rid, i, md5(substr(hx, 2 * i + 1, 400)) AS x FROM (SELECT rid, hx, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+p AS (SELECT rid, n, at_byte, substr(hx, 2 * at_byte + 1, 2398) AS piece FROM (SELECT rid, n, hx, unnest(range(0, n - 199, 1000)) AS at_byte FROM d WHERE n >= 200)),
+w AS (SELECT rid, at_byte + j AS i, md5(substr(piece, 2 * j + 1, 400)) AS x FROM (SELECT rid, at_byte, piece, unnest(range(0, least(1000, n - 199 - at_byte))) AS j FROM p)),
 often AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1),
 hit AS (SELECT w.rid, w.i FROM w JOIN often USING (x)),
 cut AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM hit),
