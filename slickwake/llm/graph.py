@@ -40,32 +40,40 @@ def components(links: DataFrame) -> DataFrame:
 
 def _blocks(lists: DataFrame, block: int) -> DataFrame:
     """Pairs in lists (``list, m, id, label``) that no label joins yet; large lists meet in pairs of blocks."""
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    rows = lists.withColumn("own", own).withColumn("cell", F.explode(cells)).select("list", "cell.i", "cell.j", "own", "id", "label")
+    rows = cells(lists, block).select("list", "i", "j", "own", "id", "label")
     a, b = rows.toDF("list", "i", "j", "own", "u", "label"), rows.toDF("list", "i", "j", "own2", "v", "label2")
     return a.join(b, ["list", "i", "j"]).where("u < v AND label <> label2 AND (own <> own2 OR i = j)").select("u", "v").distinct()
 
 
-def links_of_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], dense: int = 64, block: int = 512) -> DataFrame:
+def cells(lists: DataFrame, block: int) -> DataFrame:
+    """Lists (``list, m, id``) as pairs of blocks: each member, with its own block ``own``, once for each cell ``i, j`` that it is in."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    each = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    return lists.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("cell", F.explode(each)).withColumns({"i": F.col("cell.i"), "j": F.col("cell.j")}).drop("cell")
+
+
+def links_of_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], dense: int = 64, block: int = 512, pairs: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Links ``u, v`` that give all members of each list (``list``, ``id``) that are alike the same component.
 
     ``verify`` keeps the pairs (``u, v``) that are alike.  Lists of more than ``dense`` members are compared with two of
-    them first; what that links needs no further comparison.  The others are compared pair by pair, in blocks, so
-    nothing is left out, and a large group of near copies costs rows in proportion.
+    them first: one by chance, and the one that shares the most long lists with others, as the text does that copies
+    were made from.  What that links needs no further comparison.  The others are compared pair by pair, in blocks, so
+    nothing is left out, and a large group of near copies costs rows in proportion.  ``pairs`` makes the pairs (``u, v``)
+    of ``list, m, id, label`` (and what else ``lists`` has) that no label joins and that are worth verifying; all by default.
     """
     lists = materialize(lists.join(lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1"), "list"), "lists")
     links, todo = None, lists.withColumn("label", F.col("id"))
     crowd = lists.where(F.col("m") > dense)
     if not crowd.isEmpty():
-        turn = F.xxhash64("list", "id")
-        heads = crowd.groupBy("list").agg(F.array(F.min_by("id", turn), F.max_by("id", turn)).alias("heads"))
-        met = crowd.select("list", "id").join(heads, "list").select("id", F.explode("heads").alias("o")).where("id <> o")
+        # a text that many others were made from shares more long lists with them than they share with each other
+        weights = crowd.groupBy("id").agg(F.sum("m").alias("weight"))
+        weighed = materialize(crowd.join(weights, "id").select("list", "id", "weight"), "weighed")
+        heads = weighed.groupBy("list").agg(F.array(F.max_by("id", F.struct("weight", "id")), F.min_by("id", F.xxhash64("list", "id"))).alias("heads"))
+        met = weighed.select("list", "id").join(heads, "list").select("id", F.explode("heads").alias("o")).where("id <> o")
         links = materialize(verify(met.select(F.least("id", "o").alias("u"), F.greatest("id", "o").alias("v")).distinct()), "star_links")
         labels = components(links).withColumnRenamed("node", "id")
         todo = materialize(lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "todo")
         apart = todo.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("list")
         todo = todo.join(apart, "list", "left_semi")
-    found = verify(_blocks(todo, block))
+    found = verify((pairs or _blocks)(todo, block))
     return found if links is None else links.union(found)

@@ -15,11 +15,12 @@ is lost.
 
 ``similar_documents`` is the same index for a similarity of word shingles (0.8 by default).  At 0.8 about 10 of the 64
 SimHash bits differ, so two texts may share no byte at all and no minimum is guaranteed.  Its fingerprint therefore has
-64 positional bytes that agree each with a chance equal to the similarity (the smallest hash in each of 64 ranges, an
-empty range borrowing from another); lists are kept by 4 neighbouring positions, shared bytes are tallied per pair, and
-what has half of them is verified by the exact sets of shingles.  A pair at exactly 0.8 is missed with a chance of
-2 in 10,000, the more similar the less.  Long lists are compared with two of their members first; what that links needs
-no further comparison, and the rest is compared in blocks, so a large group of near copies costs rows in proportion.
+256 positional bytes that agree each with a chance equal to the similarity (of the smallest hash in each of 256 ranges,
+an empty range borrowing from another).  Lists are kept by 4 of the first 64 positions, all 256 are tallied for pairs that
+meet, and what has as many as a similar pair has but for three deviations is verified by the exact sets of shingles.  A
+pair at exactly 0.8 is missed with a chance of 2 in 1000, the more similar the less.  Long lists are compared with two of
+their members first; what that links needs no further comparison, and the rest is tallied block by block inside tasks,
+so only pairs that pass become rows.
 
 Null and wordless texts have fingerprint 0 (or the empty set) and are linked like any other.  Texts with fewer words
 than a shingle are one shingle.  Repeated rows share fingerprint and component.  A component without any id has a null
@@ -28,6 +29,7 @@ component id; an empty table has none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slickwake.llm.common import ASCII_LOWER, arrow_map, byte_column, materialize, read_table, spread
-from slickwake.llm.graph import components, links_of_lists
+from slickwake.llm.graph import cells, components, links_of_lists
 
 BITS, SHINGLE, SEED = 3, 3, 42
 #: A positional index of single bytes starts where its lists have about so many members.
@@ -195,18 +197,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, dense: int = 128) -
     return prints.join(per_print, "fp")
 
 
-# ------------------------------------------------------------------ the index of 64 bytes
+# ------------------------------------------------------------------ the index of 256 bytes
 
 
-PLACES, BAND = 64, 4
+PLACES, LISTED, BAND = 256, 64, 4
 #: Where an empty range looks for a hash.
-_BORROW = np.random.Generator(np.random.PCG64(5)).integers(0, PLACES, (PLACES, 256))
+_BORROW = np.random.Generator(np.random.PCG64(5)).integers(0, PLACES, (PLACES, 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def smallest_hashes(h: np.ndarray) -> np.ndarray:
-    """Of sorted hashes, the smallest in each of 64 ranges; a range without any borrows from one that has some."""
-    first = np.searchsorted(h >> np.uint64(58), np.arange(PLACES, dtype=np.uint64))
+    """Of sorted hashes, the smallest in each of 256 ranges; a range without any borrows from one that has some."""
+    first = np.searchsorted(h >> np.uint64(56), np.arange(PLACES, dtype=np.uint64))
     own = first < np.append(first[1:], len(h))
     low = h[np.minimum(first, len(h) - 1)]
     if not own.all():
@@ -223,7 +225,7 @@ def smallest_hashes(h: np.ndarray) -> np.ndarray:
 
 
 def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, text_key, sk, n, places, lists`` for each row: a digest and the size of the set of shingles, its 64
+    """``doc_id, text_key, sk, n, places, lists`` for each row: a digest and the size of the set of shingles, its 256
     positional bytes, and its lists of 4 places."""
 
     def run(batches):
@@ -232,9 +234,9 @@ def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
             sk = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             low = np.array([smallest_hashes(h) if len(h) else np.zeros(PLACES, np.uint64) for h in sets], np.uint64).reshape(-1, PLACES)
             with np.errstate(over="ignore"):
-                key = np.arange(PLACES // BAND, dtype=np.uint64)[None, :] * _MIX[1]
+                key = np.arange(LISTED // BAND, dtype=np.uint64)[None, :] * _MIX[1]
                 for k in range(BAND):
-                    key = (key ^ (key >> np.uint64(29))) * _MIX[0] + low[:, k::BAND] * _MIX[1]
+                    key = (key ^ (key >> np.uint64(29))) * _MIX[0] + low[:, k:LISTED:BAND] * _MIX[1]
                 key ^= key >> np.uint64(32)
             lists = [row if len(h) else row[:0] for row, h in zip(key.view(np.int64), sets, strict=True)]
             places = [row.tobytes() for row in (low & np.uint64(255)).astype(np.uint8)]
@@ -247,17 +249,72 @@ def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, text_key long, sk long, n int, places binary, lists array<long>")
 
 
-def _tallied(pairs: DataFrame, sets: DataFrame, near_size: Column, least: int) -> DataFrame:
-    """Pairs ``u, v`` of sets of near sizes that share ``least`` of the 64 positional bytes."""
+def _enough(shared: np.ndarray, n: np.ndarray, m: np.ndarray, p: float) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles that share so many places may have a similarity of ``p``: three deviations off."""
+    seen = np.maximum(np.minimum(np.minimum(n, m), PLACES), 1)
+    return shared >= PLACES * (p - 3 * np.sqrt(p * (1 - p) / seen))
+
+
+def _matrix(places: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(places), np.uint8).reshape(len(places), PLACES)
+
+
+def _tallied(pairs: DataFrame, sets: DataFrame, p: float) -> DataFrame:
+    """Pairs ``u, v`` of sets that share enough of the positional bytes."""
 
     def run(batches):
         for b in batches:
-            rows = b.num_rows
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(rows, PLACES) for c in ("x", "y"))
-            yield b.select(["u", "v"]).filter(pa.array((x == y).sum(axis=1) >= least))
+            x, y = (_matrix(b.column(c).to_pylist()) for c in ("x", "y"))
+            n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
+            yield b.select(["u", "v"]).filter(pa.array(_enough((x == y).sum(axis=1), n, m, p)))
 
     both = pairs.join(sets.select(F.col("sk").alias("u"), "n", F.col("places").alias("x")), "u").join(sets.select(F.col("sk").alias("v"), F.col("n").alias("m"), F.col("places").alias("y")), "v")
-    return arrow_map(both.where(near_size).select("u", "v", "x", "y"), run, "u long, v long")
+    return arrow_map(both.select("u", "v", "n", "m", "x", "y"), run, "u long, v long")
+
+
+def _met_in_blocks(sets: DataFrame, p: float) -> Callable[[DataFrame, int], DataFrame]:
+    """Pairs for ``links_of_lists``: cells of two blocks go through a task one by one, which tallies them as arrays."""
+
+    def run(batches):
+        now, held = None, []
+
+        def flush() -> list[tuple]:
+            if len(held) < 2:
+                return []
+            own, ids, labels, n = (np.array([x[k] for x in held], np.int64) for k in range(4))
+            places, band = _matrix([x[4] for x in held]), held[0][5]
+            a, out = np.flatnonzero(own == now[1]), []
+            b = np.flatnonzero(own == now[2])
+            for at in range(0, len(a), 64):
+                rows = a[at : at + 64]
+                same = places[rows, None, :] == places[None, b, :]
+                # a pair counts in the first list that it shares
+                first = same[:, :, :LISTED].reshape(len(rows), len(b), -1, BAND).all(axis=3).argmax(axis=2) == band
+                order = ids[rows, None] < ids[None, b] if now[1] == now[2] else np.ones(first.shape, bool)
+                hit = first & order & (labels[rows, None] != labels[None, b]) & _enough(same.sum(axis=2), n[rows, None], n[None, b], p)
+                out += [(min(x), max(x)) for x in ((ids[rows[i]], ids[b[j]]) for i, j in zip(*np.nonzero(hit), strict=True))]
+            return out
+
+        def pairs(rows: list[tuple]) -> pa.RecordBatch:
+            u, v = zip(*rows, strict=True) if rows else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            found: list[tuple] = []
+            for x in zip(*(batch.column(c).to_pylist() for c in ("list", "i", "j", "own", "id", "label", "n", "places", "band")), strict=True):
+                if x[:3] != now:
+                    found += flush()
+                    now, held = x[:3], []
+                held.append(x[3:])
+            yield pairs(found)
+        yield pairs(flush())
+
+    def met(todo: DataFrame, block: int) -> DataFrame:
+        rows = cells(todo.join(sets.select(F.col("sk").alias("id"), "n", "places"), "id"), block)
+        dealt = rows.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
+        return arrow_map(dealt.select("list", "i", "j", "own", "id", "label", "n", "places", "band"), run, "u long, v long").distinct()
+
+    return met
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -276,18 +333,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     return both.where(F.size(F.array_intersect("a", "b")) * (num + den) >= (F.size("a") + F.size("b")) * num).select("u", "v")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5), least_shared: int = PLACES // 2, dense: int = 64, block: int = 512) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5), dense: int = 64, block: int = 512) -> DataFrame:
     """``doc_id, text_key, sk, component_id``, one row per row of ``docs``; ``similarity`` is a fraction."""
     num, den = similarity
     rows = materialize(wide_prints(docs, shingle), "wide_prints")
     sets = rows.groupBy("sk").agg(F.min("doc_id").alias("lo"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("places").alias("places"), F.first("lists").alias("lists"))
     sets = materialize(sets, "sets")
-    near_size = F.least("n", "m") * den >= F.greatest("n", "m") * num
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return _verified(materialize(_tallied(pairs, sets, near_size, least_shared), "candidates"), docs, sets, shingle, num, den)
+        return _verified(materialize(_tallied(pairs, sets, num / den), "candidates"), docs, sets, shingle, num, den)
 
-    labels = components(links_of_lists(sets.select(F.col("sk").alias("id"), F.explode("lists").alias("list")), verify, dense, block))
+    lists = sets.select(F.col("sk").alias("id"), F.posexplode("lists").alias("band", "list"))
+    labels = components(links_of_lists(lists, verify, dense, block, _met_in_blocks(sets, num / den)))
     named = sets.select("sk", "lo").join(labels, sets["sk"] == labels["node"], "left").select("sk", "lo", F.coalesce("label", "sk").alias("label"))
     named = materialize(named, "named")
     least = named.groupBy("label").agg(F.min("lo").alias("component_id"))
