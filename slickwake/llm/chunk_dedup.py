@@ -3,7 +3,8 @@
 A gear hash rolls over the bytes: ``h = 2 * h + gear[byte]`` modulo 2^16, so it depends on the last 16 bytes only.
 Positions where its top bits are zero are boundary candidates; one that has no other candidate in the ``least`` bytes
 before it ends a chunk.  Both rules look at a bounded stretch of content, so an insertion moves boundaries around
-itself and nowhere else.  Stretches without a boundary are cut every ``most`` bytes.
+itself and nowhere else.  A stretch of more than ``most`` bytes without a boundary (text that repeats a few words, as a rule)
+is cut where the hash is smallest between ``least`` and ``most`` bytes, again and again, so its repeats get equal chunks.
 
 Chunks are deduplicated by a 128-bit digest.  Of the chunks with one digest the first (smallest id, then position) is
 the owner.  A run of neighbouring chunks that all occur more than once is a repeated passage if it has ``least_run``
@@ -43,9 +44,13 @@ def boundaries(data: np.ndarray, bits: int = 5, least: int = 24, most: int = 512
     ends = spots[np.diff(spots, prepend=-least) >= least]
     ends = np.unique(np.append(ends, n))
     starts = np.concatenate(([0], ends[:-1]))
-    if (ends - starts).max() > most:
-        ends = np.unique(np.concatenate([np.append(np.arange(a + most, b, most), b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]))
-    return ends
+    more = []
+    for k in np.flatnonzero(ends - starts > most).tolist():
+        a, b = int(starts[k]), int(ends[k])
+        while b - a > most:
+            a += least + int(h[a + least - 1 : a + most].argmin())
+            more.append(a)
+    return np.unique(np.append(ends, more)) if more else ends
 
 
 def chunks(docs: DataFrame, bits: int = 5, least: int = 24, most: int = 512) -> DataFrame:
