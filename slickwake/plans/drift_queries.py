@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slickwake.functions import geo
 from slickwake.operators import attribution, drift, field, fusion, twin
 from slickwake.plans import views
+from slickwake.sources.scratch import stored
 from slickwake.plans.reports_queries import _r, hav, rounded
 from slickwake.plans.views import DT_S, FIELD_SQL, HOURS, OBS, PATHS_SQL, STEPS, T_OBS_S, TOP_N, TRANSITS_SQL
 
@@ -132,7 +133,7 @@ def _twin_rows(top: DataFrame) -> DataFrame:
 
 
 def _fused(spark, sf_dir):
-    f = _funnel(spark, sf_dir)
+    f = stored(_funnel(spark, sf_dir), "funnel")
     return fusion.fuse(f, _twin_rows(attribution.top_candidates(f, TOP_N)))
 
 

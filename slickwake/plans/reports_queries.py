@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slickwake.functions.geo import epoch_s
 from slickwake.operators import ais, anomaly
 from slickwake.plans import views
+from slickwake.sources.scratch import stored
 from slickwake.plans.views import DIRTY_SQL, EVERY_MIN, FEWEST_FIXES, FOLDS, HISTORY, LONGEST_GAP_MIN, REACH, TOP_SPEED_KN
 
 
@@ -204,7 +205,7 @@ def behaviour_jumps(spark, sf_dir):
 
 
 def _points(spark, sf_dir):
-    f = _feat(spark, sf_dir)
+    f = stored(_feat(spark, sf_dir), "features")
     return anomaly.point_scores(f, anomaly.sequences(f, HISTORY).withColumnRenamed("cv_error_m", "pred_error_m"), FOLDS)
 
 
