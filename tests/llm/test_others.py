@@ -416,3 +416,51 @@ def test_pipeline_of_odd_rows(spark):
     near = corpus_pipeline.near_duplicate_removal(spark, docs, SF)
     assert near.select("doc_id").distinct().count() == near.count()
     assert set(corpus_pipeline.source_mixing(spark, docs, SF).columns) == {*docs.columns, "repetition", "words"}
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1), (None, None, None), (5, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "The tide of the north harbour was high in year 12")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_empty_tables_and_nulls_in_any_column(spark, odd_folder, name, stage):
+    empty = stage(spark, spark.createDataFrame([], SCHEMA), odd_folder)
+    assert empty.count() == 0 and empty.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, None), (3, "   \n\t ", "en", "a", 5), (4, "some words that stay here for good", None, None, None), (4, "some words that stay here for good", None, None, None), (5, "x" * 300_000, "de", None, 7)]
+    docs = frame(spark, rows).withColumn("label", F.lit(None).cast("string")).withColumn("words", F.lit("own"))
+    out = stage(spark, docs, odd_folder)
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns[:7] == docs.columns and {i for i, _ in kept} <= {None, 1, 2, 3, 4, 5}
+    if name in ("near_duplicates", "lines"):
+        assert sum(i == 4 for i, _ in kept) == 1
+    if name == "near_duplicates":  # the three texts without words are one group, of the document with the smallest id
+        assert sorted(i for i, _ in kept) == [1, 4, 5]
+
+
+def test_very_long_texts(spark):
+    """A text of over a megabyte, across the edges of what operators cut texts into."""
+    from slickwake.llm import exact_dedup, simhash, suffix_dedup
+    from tests.llm.test_dedup import brute_fingerprint, brute_repeats
+
+    rng = random.Random(33)
+    passage = sentence(rng, 45)
+    body = " ".join("%x" % rng.getrandbits(40) for _ in range(100_000))
+    edge = (1 << 20) - 120
+    long = body[:edge] + passage + body[edge:]
+    rows = [(1, long, "en", "a", 1), (2, "aa " + passage + " bb", "en", "b", 1), (3, long.encode().upper().decode(), "en", "a", 1), (4, body, "en", "a", 1)]
+    docs = frame(spark, rows)
+    got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(docs.where("doc_id <> 4")).collect()), key=str)
+    assert got == brute_repeats([r for r in rows if r[0] != 4], 200)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs).collect()} == {(1, 3, 2), (3, 3, 2), (2, 2, 1), (4, 4, 1)}
+    near = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    assert all(near[r[0]]["fp"] % (1 << 64) == brute_fingerprint(r[1]) for r in rows) and near[3]["component_id"] == 1
+    like = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert like == {1: 1, 2: 2, 3: 1, 4: 1}
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    hit = {r["doc_id"]: (r["n_words"], r["item_ids"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert hit == {r[0]: (len(plain_words(r[1])), ["7"] if r[0] != 4 else None) for r in rows}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {r[0]: len(r[1].split()) for r in rows}
