@@ -11,13 +11,13 @@ OPTIONS = {"hours": 24.0, "dt_min": 30.0, "n_particles": 120, "settings": {"dete
 T_OBS = 1554436320.0
 
 
-def test_planted_culprit_comes_first(spark, tmp_path):
+def test_vessel_at_the_release_comes_first(spark, tmp_path):
     r, truth = case.demo_case(spark, "case_A", 31.295, 32.283, 2.0, T_OBS, size=128, n_vessels=12, **OPTIONS)
     assert r.status == "OK"
     check = case.self_check(r, truth, T_OBS, 1800.0)
     assert check["rank"] == 1 and check["source_in_90"] and check["release_error_min"] <= 60 and check["release_error_km"] < 3
-    f = {x["mmsi"]: x for x in r.tables["funnel"].where("mmsi >= 999000000").collect()}
-    assert f[truth["dark_gap"]]["dark_gap_flag"] and f[truth["dark_gap"]]["passes_all"] and not f[999000003]["passes_all"]
+    f = {x["mmsi"]: x for x in r.tables["funnel"].where("mmsi < 1000").collect()}
+    assert f[truth["silent"]]["dark_gap_flag"] and f[truth["silent"]]["passes_all"] and not f[truth["elsewhere"]]["passes_all"]
     c = r.tables["conclusion"].first()
     assert c["level"] in ("AMBIGUOUS_SHORTLIST", "MODERATE_LEAD", "STRONG_LEAD") and "guilt" in c["text"]
     case.save_case(r, str(tmp_path), "r1")
