@@ -37,6 +37,12 @@ def _trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \r\t"))
 
 
+def _name(line: Column) -> Column:
+    """128 bits of a line.  Never null, so joins add no filter of their own to the shuffle of lines, and it is made once."""
+    digits = lambda h: F.lpad(F.hex(h), 16, "0")
+    return F.coalesce(F.unhex(F.concat(digits(F.xxhash64(line)), digits(F.xxhash64(F.lit(7), line)))), F.lit(bytearray()))
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether an edit distance is at most ``edits``, by an automaton over the ``2 * edits + 1`` diagonals of the band.
 
@@ -163,18 +169,16 @@ def line_links(lines: DataFrame, edits: int = 1, dense: int = 64, block: int = 5
 
 def duplicate_lines(docs: DataFrame, edits: int = 1, least_chars: int = 20) -> DataFrame:
     """``rid, doc_id, text_key, n_lines, dropped``: the positions (from 0) of lines that go, one row per row of ``docs``."""
-    digits = lambda h: F.lpad(F.hex(h), 16, "0")
-    named = lambda line: F.when(line != "", F.unhex(F.concat(digits(F.xxhash64(line)), digits(F.xxhash64(F.lit(7), line)))))
     split = F.split(F.col("text"), "\n", -1)
     base = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         F.col("doc_id").cast("long"),
         F.xxhash64("text").alias("text_key"),
-        F.transform(split, lambda x: named(_trimmed(x))).alias("names"),
+        F.transform(split, lambda x: F.when(_trimmed(x) != "", _name(_trimmed(x)))).alias("names"),
     )
     base = materialize(base, "lines")
     lines = docs.select(F.explode(split).alias("line")).select(_trimmed(F.col("line")).alias("line"))
-    lines = lines.where(F.char_length("line") >= least_chars).withColumn("name", named(F.col("line")))
+    lines = lines.where(F.char_length("line") >= least_chars).withColumn("name", _name(F.col("line")))
     distinct = lines.groupBy("name").agg(F.any_value("line").alias("line"))
     classes = components(line_links(distinct, edits)).withColumnRenamed("node", "name")
     classes = materialize(classes, "classes")
