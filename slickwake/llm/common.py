@@ -57,11 +57,11 @@ BLOOM_BITS = 1 << 27
 
 
 def bloom(keys: DataFrame, n: int, most_bits: int = BLOOM_BITS) -> tuple[dict[int, np.ndarray], int]:
-    """A bit map over the hashes ``h`` of each ``kind``, and its bits: some 16 for each of the ``n`` keys, up to ``most_bits``.
+    """A bit map over the hashes ``h`` of each ``kind``, and its bits: some 128 for each of the ``n`` keys, up to ``most_bits``.
 
     Tasks set the bits, which meet word by word; at most ``most_bits / 64`` words of a kind reach the driver.
     """
-    bits = min(most_bits, 1 << max(10, (16 * n).bit_length()))
+    bits = min(most_bits, 1 << max(10, (128 * n).bit_length()))
     at = keys.select("kind", F.pmod("h", F.lit(bits)).alias("at"))
     words = at.groupBy("kind", F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS INT))")).alias("bits")).toArrow()
     kind, word, found = (words[c].to_numpy() for c in ("kind", "word", "bits"))
