@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slickwake.llm import chunk_dedup, decontaminate, exact_dedup, line_dedup, mixing, ngram_quality, pii, simhash, suffix_dedup, warc
+from slickwake.llm import chunk_dedup, decontaminate, exact_dedup, line_dedup, manifest, mixing, ngram_quality, pii, resampling, simhash, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         chunk_dedup.op8_content_defined_chunk_dedup,
         ngram_quality.op9_kneser_ney_quality,
         decontaminate.op10_prefix_filtered_decontamination,
+        resampling.op11_importance_resampling,
+        toxicity.op12_nearest_toxicity,
+        manifest.op13_merkle_manifest,
     ]
     return {f.__name__: f for f in found}
 
@@ -33,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_capped_water_filling": mixing.OP5_SQL,
         "op6_segment_partition_line_dedup": line_dedup.OP6_SQL,
         "op10_prefix_filtered_decontamination": decontaminate.OP10_SQL,
+        "op11_importance_resampling": resampling.OP11_SQL,
+        "op13_merkle_manifest": manifest.OP13_SQL,
     }
