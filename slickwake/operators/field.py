@@ -5,9 +5,12 @@ A field is long: ``t, lat, lon, u, v`` (epoch seconds and degrees; null u or v:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import inf
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,34 +40,86 @@ def cube(field: DataFrame) -> DataFrame:
     return grid.join(field.select(*AXES, "u", "v"), list(AXES), "left")
 
 
+def nearest_along(near: list[int | None]) -> list[int | None]:
+    """For each place of a column the row of the nearest valid cell, by the lower envelope of parabolas.
+
+    ``near[r]`` is the distance from (r, this column) to the nearest valid cell of row r, None if the row has none.  Row r
+    offers ``(q - r)^2 + near[r]^2`` at place q; ties go to the smaller row.  Each row enters the envelope once and leaves it
+    once, and all arithmetic is on integers.
+    """
+    n, rows, starts = len(near), [], []
+    cost = [None if d is None else d * d for d in near]
+    for r, c in enumerate(cost):
+        if c is None:
+            continue
+        while rows and (starts[-1] - rows[-1]) ** 2 + cost[rows[-1]] > (starts[-1] - r) ** 2 + c:
+            rows.pop()
+            starts.pop()
+        # up to this place the row before is as near
+        begin = (r * r - rows[-1] ** 2 + c - cost[rows[-1]]) // (2 * (r - rows[-1])) + 1 if rows else 0
+        if begin < n:
+            rows.append(r)
+            starts.append(begin)
+    if not rows:
+        return [None] * n
+    return [r for r, begin, end in zip(rows, starts, [*starts[1:], n], strict=True) for _ in range(begin, end)]
+
+
 def nearest_fill(grid: DataFrame) -> DataFrame:
     """Missing cells of a cube take the nearest cell of their time slice that has values.
 
     Distance is squared, in steps of the index; ties go to the smaller row, then column.  A slice without any value
-    becomes 0.  Only rows that hold a value for a column's nearest row can win, so each missing cell is compared with
-    one candidate per grid row: first the nearest valid cell along each row, then the best of the rows.
+    becomes 0.  An exact distance transform in two passes: windows find the nearest valid cell along each row, then each
+    column (sorted, one after another in a task) is swept once.  The work for a cell doesn't depend on the grid's size.
     """
     row = Window.partitionBy("i_t", "i_lat").orderBy("i_lon")
     here = F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), F.struct("i_lon", "u", "v"))
     left = F.last(here, ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first(here, ignorenulls=True).over(row.rowsBetween(0, Window.unboundedFollowing))
-    df = grid.withColumn("_l", left).withColumn("_r", right)
-    far = F.lit(1 << 40)
-    dl, dr = F.coalesce(F.col("i_lon") - F.col("_l.i_lon"), far), F.coalesce(F.col("_r.i_lon") - F.col("i_lon"), far)
-    along = df.withColumn("_d", F.least(dl, dr)).withColumn("_b", F.when(dl <= dr, F.col("_l")).otherwise(F.col("_r")))
-    candidates = along.where("_b IS NOT NULL").select("i_t", "i_lon", F.col("i_lat").alias("_row"), "_d", "_b")
-    missing = grid.where("u IS NULL OR v IS NULL").select(*AXES, "i_t", "i_lat", "i_lon")
-    square = F.pow(F.col("_row") - F.col("i_lat"), 2) + F.pow(F.col("_d"), 2)
-    best = missing.join(candidates, ["i_t", "i_lon"]).groupBy("i_t", "i_lat", "i_lon").agg(F.min_by("_b", F.struct(square, F.col("_row"), F.col("_b.i_lon"))).alias("b"))
-    out = grid.join(best, ["i_t", "i_lat", "i_lon"], "left")
-    value = lambda c: F.when(F.col("u").isNull() | F.col("v").isNull(), F.coalesce(F.col(f"b.{c}"), F.lit(0.0))).otherwise(F.col(c)).alias(c)
-    return out.select(*AXES, "i_t", "i_lat", "i_lon", value("u"), value("v"))
+    dl, dr = F.col("i_lon") - F.col("_l.i_lon"), F.col("_r.i_lon") - F.col("i_lon")
+    nearer = F.when(dr.isNull() | (dl <= dr), F.struct(dl.cast("int").alias("d"), "_l.u", "_l.v")).otherwise(F.struct(dr.cast("int").alias("d"), "_r.u", "_r.v"))
+    along = grid.select(*AXES, "i_t", "i_lat", "i_lon", left.alias("_l"), right.alias("_r")).withColumn("b", nearer)
+    columns = along.select(*AXES, "i_t", "i_lat", "i_lon", F.col("b.d").alias("d"), F.col("b.u").alias("u"), F.col("b.v").alias("v"))
+    columns = columns.repartition("i_t", "i_lon").sortWithinPartitions("i_t", "i_lon", "i_lat")
+
+    def sweep(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole columns to their cells with values."""
+        slices, lons, near = (table.column(c).to_pylist() for c in ("i_t", "i_lon", "d"))
+        edges = [0, *(k for k in range(1, len(slices)) if slices[k] != slices[k - 1] or lons[k] != lons[k - 1]), len(slices)]
+        at: list[int | None] = []
+        for first, end in zip(edges, edges[1:], strict=False):
+            at += [None if r is None else first + r for r in nearest_along(near[first:end])]
+        place = pa.array(at, pa.int64())
+        values = [pc.fill_null(table.column(c).take(place), 0.0) for c in ("u", "v")]
+        names = [*AXES, "i_t", "i_lat", "i_lon"]
+        yield from pa.table([*(table.column(c) for c in names), *values], names=[*names, "u", "v"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # the last column of a batch may go on in the next
+            slices, lons = b.column("i_t").to_pylist(), b.column("i_lon").to_pylist()
+            cut = next((k for k in range(b.num_rows - 1, 0, -1) if slices[k] != slices[k - 1] or lons[k] != lons[k - 1]), 0)
+            if held and (held[-1].column("i_t")[-1].as_py(), held[-1].column("i_lon")[-1].as_py()) != (slices[0], lons[0]):
+                yield from sweep(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield from sweep(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from sweep(pa.Table.from_batches(held))
+
+    kinds = ", ".join(f"{c} {columns.schema[c].dataType.simpleString()}" for c in (*AXES, "i_t", "i_lat", "i_lon"))
+    return columns.mapInArrow(run, f"{kinds}, u double, v double")
 
 
 def interpolate(queries: DataFrame, grid: DataFrame, clamp_time: bool = False) -> DataFrame:
     """Bilinear in space, linear in time, at rows of ``qid, es, lat, lon``; space is clamped to the edge and counted.
 
-    A query's cell comes from array lookups in the three small axes; its eight corners are joined by their numbers and
+    A query's cell comes from the three small axes, searched by halves; its eight corners are joined by their numbers and
     added up with their weights.  A time outside the field by more than a second is an error, unless ``clamp_time``.
     """
     a = {x: grid.select(x, f"i_{x}").distinct() for x in AXES}
@@ -82,8 +137,10 @@ def interpolate(queries: DataFrame, grid: DataFrame, clamp_time: bool = False) -
     for x, c in at.items():
         ax = F.col(f"ax_{x}")
         q = q.withColumn(f"_p_{x}", F.least(F.element_at(ax, -1), F.greatest(ax[0], F.col(c))))
-        below = F.expr(f"size(filter(ax_{x}, a -> a <= _p_{x}))")
-        q = q.withColumn(f"_i_{x}", F.greatest(F.lit(0), F.least(below - 1, F.size(ax) - 2)))
+        # the last value that is not above: steps of 2^30 to 1 are taken where they don't go too far
+        steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+        last = F.aggregate(steps, F.lit(0), lambda i, s: F.when((s < F.size(ax) - i) & (F.get(ax, i + s) <= F.col(f"_p_{x}")), i + s).otherwise(i))  # noqa: B023
+        q = q.withColumn(f"_i_{x}", F.greatest(F.lit(0), F.least(last, F.size(ax) - 2)))
         lo, hi = F.get(ax, F.col(f"_i_{x}")), F.get(ax, F.col(f"_i_{x}") + 1)
         q = q.withColumn(f"_w_{x}", F.when(hi.isNull(), 0.0).otherwise((F.col(f"_p_{x}") - lo) / (hi - lo)))
     corner = lambda x, s: F.struct((F.col(f"_i_{x}") + s).alias("i"), (F.col(f"_w_{x}") if s else 1 - F.col(f"_w_{x}")).alias("w"))

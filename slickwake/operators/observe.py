@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slickwake.functions.geo import EARTH_RADIUS_M, pixel_to_lonlat
-from slickwake.operators import raster
+from slickwake.operators import graph, raster
 from slickwake.sources.scratch import stored
 
 
@@ -36,48 +35,51 @@ def observe(px: DataFrame, grid: dict, probability: str | None = None, **evidenc
     return obs, found, pixels
 
 
-def outline(pixels: DataFrame, grid: dict) -> DataFrame:
-    """The slick's largest component as rings of corners: ``scene_id, label, ring, n, lon, lat``; ring 0 is the outer one.
+def rings(pixels: DataFrame) -> DataFrame:
+    """Outlines of components (``scene_id, label, row, col``) as rings of corners: ``scene_id, label, ring, n, row, col``.
 
-    Sides that two pixels share cancel by aggregation; what is left is as long as the outline, and is chained in one group.
+    ``row, col`` count pixel edges.  Sides run clockwise around pixels; those that two pixels share cancel by aggregation.
+    Where two pixels touch by a corner only, the outline goes over to the other pixel (components are 8-connected).
+    Order along the outline is list ranking (``graph.ring_places``), so no task holds a ring.  Ring 0 is the largest, the
+    outer one; a ring begins at its smallest corner.
     """
+    key = ["scene_id", "label"]
+    r, c = F.col("row"), F.col("col")
+    side = lambda r0, c0, dr, dc: F.struct(r0.cast("long").alias("r0"), c0.cast("long").alias("c0"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc"))
+    sides = F.explode(F.array(side(r, c, 0, 1), side(r, c + 1, 1, 0), side(r + 1, c + 1, 0, -1), side(r + 1, c, -1, 0)))
+    each = pixels.select(*key, sides.alias("s")).select(*key, "s.*").withColumn("r1", F.col("r0") + F.col("dr")).withColumn("c1", F.col("c0") + F.col("dc"))
+    ends = [F.least(F.col(f"{x}0"), F.col(f"{x}1")).alias(f"_{x}") for x in "rc"]
+    lone = each.groupBy(*key, *ends, F.abs("dr").alias("_up")).agg(F.count("*").alias("_k"), *(F.first(x).alias(x) for x in ("r0", "c0", "r1", "c1", "dr", "dc"))).where("_k = 1")
+    # in the order of starts, then of directions
+    place = F.struct("r0", "c0", "dr", "dc")
+    lone = stored(lone.select(F.struct(*key, place.alias("at")).alias("id"), *key, "r0", "c0", "r1", "c1", "dr", "dc"), "sides")
+    after = lone.select(F.col("id").alias("next"), *(F.col(k).alias(f"_{k}") for k in key), F.col("r0").alias("_r0"), F.col("c0").alias("_c0"), F.col("dr").alias("_dr"), F.col("dc").alias("_dc"))
+    met = lone.join(after, [lone[k] == after[f"_{k}"] for k in key] + [lone["r1"] == after["_r0"], lone["c1"] == after["_c0"]])
+    # of two ways on, the left turn
+    left = (F.col("_dr") == -F.col("dc")) & (F.col("_dc") == F.col("dr"))
+    turns = (F.col("_dr") != F.col("dr")) | (F.col("_dc") != F.col("dc"))
+    onward = met.groupBy("id").agg(F.max_by(F.struct("next", turns.alias("turns")), F.when(left, 2).otherwise(F.when(~turns, 1).otherwise(0))).alias("n"))
+    onward = stored(onward.select("id", F.col("n.next").alias("next"), F.col("n.turns").alias("turns")), "onward")
+    corner = onward.select(F.col("next").alias("id"), F.col("turns").alias("corner"))
+    nodes = stored(onward.join(corner, "id").select("id", "next", "corner"), "nodes")
+    placed = graph.ring_places(nodes, F.col("corner")).join(nodes.select("id", "corner"), "id")
+    x0, y0 = F.col("id.at.c0"), F.col("id.at.r0")
+    area = F.abs(F.sum(x0 * (y0 + F.col("id.at.dr")) - (x0 + F.col("id.at.dc")) * y0))
+    sizes = placed.groupBy("ring").agg((F.max("ahead") + 1).alias("corners"), area.alias("area"))
+    # one row for each ring
+    order = Window.partitionBy("ring.scene_id", "ring.label").orderBy(F.desc("area"), "ring")
+    numbered = sizes.withColumn("number", F.row_number().over(order) - 1)
+    out = placed.where("corner").join(numbered, "ring")
+    n = F.when(F.col("id") == F.col("ring"), 0).otherwise(F.col("corners") - F.col("ahead")).cast("int")
+    return out.select(*(F.col(f"id.{k}").alias(k) for k in key), F.col("number").alias("ring"), n.alias("n"), y0.cast("int").alias("row"), x0.cast("int").alias("col"))
+
+
+def outline(pixels: DataFrame, grid: dict) -> DataFrame:
+    """The slick's largest component as rings of corners: ``scene_id, label, ring, n, lon, lat``; ring 0 is the outer one."""
     size = pixels.groupBy("scene_id", "label").agg(F.count("*").alias("size"))
     big = size.groupBy("scene_id").agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("label"))
-    r, c = F.col("row"), F.col("col")
-    side = lambda r0, c0, r1, c1: F.struct(r0.alias("r0"), c0.alias("c0"), r1.alias("r1"), c1.alias("c1"))
-    sides = F.explode(F.array(side(r, c, r, c + 1), side(r, c + 1, r + 1, c + 1), side(r + 1, c + 1, r + 1, c), side(r + 1, c, r, c)))
-    each = pixels.join(big, ["scene_id", "label"], "left_semi").select("scene_id", "label", sides.alias("s")).select("scene_id", "label", "s.*")
-    place = lambda x, y: F.struct(F.col(x).alias("r"), F.col(y).alias("c"))
-    lone = each.groupBy("scene_id", "label", F.least(place("r0", "c0"), place("r1", "c1")).alias("a"), F.greatest(place("r0", "c0"), place("r1", "c1")).alias("b")).agg(
-        F.count("*").alias("k"), *(F.first(x).alias(x) for x in ("r0", "c0", "r1", "c1")))
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        onward: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r0, c0, r1, c1 in pdf[["r0", "c0", "r1", "c1"]].sort_values(["r0", "c0", "r1", "c1"]).itertuples(index=False):
-            onward.setdefault((r0, c0), []).append((r1, c1))
-        rings = []
-        while onward:
-            at = next(iter(onward))
-            ring = []
-            while at in onward:
-                ring.append(at)
-                ends = onward[at]
-                nxt = ends.pop()
-                if not ends:
-                    del onward[at]
-                at = nxt
-            # corners only
-            turn = [p for p, before, after in zip(ring, ring[-1:] + ring[:-1], ring[1:] + ring[:1], strict=True) if (p[0] - before[0], p[1] - before[1]) != (after[0] - p[0], after[1] - p[1])]
-            area = abs(sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(turn, turn[1:] + turn[:1], strict=True)))
-            rings.append((area, turn))
-        rings.sort(key=lambda x: -x[0])
-        rows = [(k, n, *p) for k, (_, ring) in enumerate(rings) for n, p in enumerate(ring)]
-        return pd.DataFrame(rows, columns=["ring", "n", "row", "col"]).assign(scene_id=pdf["scene_id"].iloc[0], label=pdf["label"].iloc[0])
-
-    kind = pixels.schema["scene_id"].dataType.simpleString()
-    rings = lone.where("k = 1").groupBy("scene_id", "label").applyInPandas(chain, f"ring int, n int, row int, col int, scene_id {kind}, label long")
     lon, lat = pixel_to_lonlat(F.col("row") - 0.5, F.col("col") - 0.5, grid["west"], grid["north"], grid["pixel_deg"])
-    return rings.select("scene_id", "label", "ring", "n", lon.alias("lon"), lat.alias("lat"))
+    return rings(pixels.join(big, ["scene_id", "label"], "left_semi")).select("scene_id", "label", "ring", "n", lon.alias("lon"), lat.alias("lat"))
 
 
 def sample_particles(pixels: DataFrame, n: int, grid: dict, seed: int, weight: str | None = None) -> DataFrame:

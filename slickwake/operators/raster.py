@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from slickwake.functions.geo import EARTH_RADIUS_M, local_km
 from slickwake.functions.stats import decibel
+from slickwake.operators import graph
 from slickwake.operators.quantiles import exact_percentiles
 from slickwake.sources.scratch import stored
 
@@ -109,8 +110,11 @@ def despeckle(px: DataFrame, kind: str = "median", size: int = 5, value: str = "
 
     ``median``; ``lee``: the window's mean, plus as much of the pixel's difference from it as the window's variance has of
     that and the scene's; ``frost``: between the pixel and a Gaussian by how rough the window is, relative to the
-    roughest of the scene.  The scene's figures are aggregations made before blocks are.
+    roughest of the scene; ``nlm``: non-local means (see ``non_local_means``).  The scene's figures are aggregations made
+    before blocks are.
     """
+    if kind == "nlm":
+        return non_local_means(px, value=value)
     if kind == "median":
         def median(img, there):
             views = np.lib.stride_tricks.sliding_window_view(np.pad(img, size // 2, "edge"), (size, size))
@@ -144,7 +148,44 @@ def despeckle(px: DataFrame, kind: str = "median", size: int = 5, value: str = "
         blend = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_rough") / (F.col("_most") + 1e-8)))
         out = both.join(most, "scene_id").withColumn("despeckled", blend * F.col(value) + (1 - blend) * F.col("_blur"))
         return out.select(*px.columns, "despeckled")
-    raise ValueError(f"no speckle filter {kind!r}; there are median, lee and frost")
+    raise ValueError(f"no speckle filter {kind!r}; there are median, lee, frost and nlm")
+
+
+def patch_means(img: np.ndarray, h: float, template: int, search: int) -> np.ndarray:
+    """Non-local means of the inner part of ``img``, which has ``template // 2 + search // 2`` pixels around it.
+
+    For each shift inside the search window the squared differences of the image and the shifted image are summed over
+    templates by an integral image, so a pixel costs the same for templates of any size.
+    """
+    t, s = template // 2, search // 2
+    inner = img[s : img.shape[0] - s, s : img.shape[1] - s]  # with room for templates
+    total, weights = np.zeros((inner.shape[0] - 2 * t, inner.shape[1] - 2 * t)), np.zeros((inner.shape[0] - 2 * t, inner.shape[1] - 2 * t))
+    for dy in range(-s, s + 1):
+        for dx in range(-s, s + 1):
+            other = img[s + dy : img.shape[0] - s + dy, s + dx : img.shape[1] - s + dx]
+            c = np.pad(((inner - other) ** 2).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+            apart = (c[template:, template:] - c[:-template, template:] - c[template:, :-template] + c[:-template, :-template]) / template**2
+            w = np.exp(-np.maximum(apart, 0) / h**2)
+            total += w * other[t : other.shape[0] - t, t : other.shape[1] - t]
+            weights += w
+    return total / weights
+
+
+def non_local_means(px: DataFrame, h: float = 10.0, template: int = 7, search: int = 21, value: str = "value", block: int = 256) -> DataFrame:
+    """``despeckled``: each pixel as a mean of those around it, by how alike their surroundings are, in whole grey levels.
+
+    Values are scaled to grey levels 0..255 between the scene's extremes first (an aggregation).  Blocks have a halo of half
+    a search window and half a template, so they don't matter.
+    """
+    ends = px.groupBy("scene_id").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    grey = F.coalesce(F.floor(F.try_divide((F.col(value) - F.col("_lo")) * 255, F.col("_hi") - F.col("_lo"))), F.lit(0)).cast("double")
+    levels = px.join(ends, "scene_id").withColumn("_grey", grey).drop("_lo", "_hi")
+    halo = search // 2 + template // 2
+
+    def kernel(img: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.pad(np.rint(patch_means(img, h, template, search)), halo)
+
+    return by_blocks(levels, kernel, halo, "_grey", "despeckled", block).drop("_grey")
 
 
 def normalised(px: DataFrame, mean: float = 64.0, deviation: float = 32.0, value: str = "value") -> DataFrame:
@@ -262,39 +303,26 @@ def open_close(px: DataFrame, flag: str = "mask") -> DataFrame:
     return erode(dilate(dilate(erode(px, flag), flag), flag), flag)
 
 
-def components(px: DataFrame, flag: str = "mask", connectivity: int = 8, max_rounds: int = 200) -> DataFrame:
+def components(px: DataFrame, flag: str = "mask", connectivity: int = 8) -> DataFrame:
     """``scene_id, row, col, label`` of set pixels; a label is its component's smallest ``row * 2^20 + col``.
 
-    Runs along rows are joined first (a window), so rounds pass labels between runs of neighbouring rows only.  A round
-    takes the least label of all runs that touch and then follows labels to the run that bears them.  Rounds are cut by
-    tables in the shared folder.
+    Runs along rows are joined first (a window), so rounds pass labels between runs of neighbouring rows only; components
+    of the runs' links are found in star steps (``graph.components``), all scenes at once.
     """
     row = Window.partitionBy("scene_id", "row").orderBy("col")
     on = px.where(flag).select(*PIXEL)
     on = on.withColumn("_run", F.col("col") - F.row_number().over(row))
     runs = on.groupBy("scene_id", "row", "_run").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    runs = stored(runs.withColumn("id", F.col("row").cast("long") * (1 << 20) + F.col("c0")), "runs")
+    runs = stored(runs.withColumn("id", F.struct("scene_id", (F.col("row").cast("long") * (1 << 20) + F.col("c0")).alias("at"))), "runs")
     reach = 1 if connectivity == 8 else 0
     # runs of neighbouring rows that touch; blocks of 64 columns make it an equality join
     block = lambda a, b: F.explode(F.sequence(F.floor(a / 64), F.floor(b / 64)))
     upper = runs.select("scene_id", (F.col("row") + 1).alias("row"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("id").alias("u"), block(F.col("c0") - reach, F.col("c1") + reach).alias("blk"))
     lower = runs.select("scene_id", "row", "c0", "c1", F.col("id").alias("v"), block(F.col("c0"), F.col("c1")).alias("blk"))
-    touch = upper.join(lower, ["scene_id", "row", "blk"]).where((F.col("a0") - reach <= F.col("c1")) & (F.col("c0") <= F.col("a1") + reach)).select("scene_id", "u", "v").distinct()
-    links = stored(touch.union(touch.select("scene_id", "v", "u")), "touching")
-    labels = runs.select("scene_id", "id", F.col("id").alias("label"))
-    for _ in range(max_rounds):
-        other = labels.select("scene_id", F.col("id").alias("v"), F.col("label").alias("_l"))
-        least = links.join(other, ["scene_id", "v"]).groupBy("scene_id", F.col("u").alias("id")).agg(F.min("_l").alias("_l"))
-        step = labels.join(least, ["scene_id", "id"], "left").withColumn("label", F.least("label", F.coalesce("_l", "label"))).drop("_l")
-        jump = step.select("scene_id", F.col("id").alias("label"), F.col("label").alias("_j"))
-        new = stored(step.join(jump, ["scene_id", "label"]).select("scene_id", "id", F.least("label", "_j").alias("label")), "labels")
-        changed = new.join(labels.withColumnRenamed("label", "_old"), ["scene_id", "id"]).where("label <> _old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"labels still change after {max_rounds} rounds")
-    return on.join(runs.select("scene_id", "row", "_run", "id"), ["scene_id", "row", "_run"]).join(labels, ["scene_id", "id"]).select(*PIXEL, "label")
+    touch = upper.join(lower, ["scene_id", "row", "blk"]).where((F.col("a0") - reach <= F.col("c1")) & (F.col("c0") <= F.col("a1") + reach)).select("u", "v")
+    labels = graph.components(touch).select(F.col("node").alias("id"), F.col("label.at").alias("label"))
+    named = runs.join(labels, "id", "left").select("scene_id", "row", "_run", F.coalesce("label", "id.at").alias("label"))
+    return on.join(named, ["scene_id", "row", "_run"]).select(*PIXEL, "label")
 
 
 def seg_metrics(px: DataFrame, pred: str = "pred", truth: str = "gt", by: list[str] | None = None, eps: float = 1e-9) -> DataFrame:

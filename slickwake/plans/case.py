@@ -86,21 +86,25 @@ def run_case(spark: SparkSession, case_id: str, scene: DataFrame, grid: dict, t_
 
 
 def run_files(spark: SparkSession, case_id: str, scene: DataFrame, grid: dict, acquired_s: float | None, reports_path: str, currents_path: str | None = None, wind: DataFrame | None = None, *,
-              hours: float = 72.0, pad_deg: float = 1.0, history_hours: float = 24.0, column_map: dict[str, str] | None = None, **options) -> CaseResult:
-    """A case from files: reports and currents as CSV, winds as a table ``t, lat, lon, u, v``.
+              hours: float = 72.0, pad_deg: float = 1.0, history_hours: float = 24.0, column_map: dict[str, str] | None = None, verified_surface: bool = False,
+              export_to: str | None = None, **options) -> CaseResult:
+    """A case from files: reports as CSV, currents as CSV or a table, winds as a table ``t, lat, lon, u, v``.
 
     A scene without a time is refused, since nothing can be traced back from it.  Fields must cover the scene (with
     ``pad_deg`` around it) from the start of the run to the observation, or ``ForcingCoverageError`` says what is missing.
-    Only reports of that box and time (and ``history_hours`` before it) are read.
+    Only reports of that box and time (and ``history_hours`` before it) are read.  With ``export_to``, the fields are also
+    written there as the case's tables.
     """
     if acquired_s is None:
         raise ValueError(f"{case_id}: the scene has no acquisition time; give one")
     west, north, side = grid["west"], grid["north"], grid["pixel_deg"]
     bbox = (west - pad_deg, north - grid["height"] * side - pad_deg, west + grid["width"] * side + pad_deg, north + pad_deg)
     begin = acquired_s - hours * 3600
-    current = currents.read_current_csv(spark, currents_path, bbox=bbox) if currents_path else None
+    current = currents.read_current(spark, currents_path, bbox=bbox, verified_surface=verified_surface) if currents_path else None
     covered = {name: fields.assert_coverage(f, bbox, begin, acquired_s, name) for name, f in (("wind", wind), ("current", current)) if f is not None}
     forcing = currents.build_forcing(spark, "tables" if covered else "uniform", wind, current)
+    if export_to:
+        currents.export_forcing(spark, forcing, bbox, begin, acquired_s, export_to, case_id)
     when = spark.range(1).select(*(from_epoch_s(F.lit(t)).cast("string") for t in (begin - history_hours * 3600, acquired_s))).first()
     seen = reports.read_reports(spark, reports_path, column_map, bbox, tuple(when))
     told = {"scene": "table", "reports": reports_path, "currents": currents_path, "wind": "table" if wind is not None else "uniform", "coverage": covered}
@@ -190,4 +194,4 @@ def save_case(result: CaseResult, folder: str, run_id: str) -> None:
     sinks.write_metadata(spark, folder, f"metadata/case_id={result.case_id}", json.dumps(told, default=str))
     kinds = "case_id string, status string, area_km2 double, level string, top_mmsi long, top_confidence double, n_candidates long"
     names = [k.split()[0] for k in kinds.split(", ")]
-    sinks.append_summary(spark.createDataFrame([tuple(row.get(n) for n in names)], kinds), folder, run_id)
+    sinks.write_summary(spark.createDataFrame([tuple(row.get(n) for n in names)], kinds), folder, run_id)

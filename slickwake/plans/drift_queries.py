@@ -173,7 +173,7 @@ N_MEMBERS = 200
 
 def current_cube(spark, sf_dir):
     """Long values with repeated keys (the first counts) to a dense cube with axis numbers."""
-    f = views.current_field(spark).where("u IS NOT NULL")
+    f = views.current_field(spark, sf_dir)
     rep = f.withColumn("ord", F.lit(0)).union(f.where("lat > 32").withColumn("u", F.col("u") + 1).withColumn("ord", F.lit(1)))
     from pyspark.sql import Window
 
@@ -182,17 +182,18 @@ def current_cube(spark, sf_dir):
 
 
 def nearest_fill(spark, sf_dir):
-    return rounded(field.nearest_fill(field.cube(views.current_field(spark))).select("i_t", "i_lat", "i_lon", "u", "v"), 9)
+    return rounded(field.nearest_fill(field.cube(views.current_field(spark, sf_dir))).select("i_t", "i_lat", "i_lon", "u", "v"), 9)
 
 
 def field_interp(spark, sf_dir):
-    q = views.transits(spark, sf_dir).select(F.col("ord").alias("qid"), geo.epoch_s("ts").alias("es"), "lat", "lon").where(f"es BETWEEN 1705190400 AND 1705708800")
-    grid = field.nearest_fill(field.cube(views.current_field(spark)))
-    return rounded(field.interpolate(q, grid), 8)
+    """The field at every report; reports later than its last slice count as at that time."""
+    q = views.transits(spark, sf_dir).select(F.col("ord").alias("qid"), geo.epoch_s("ts").alias("es"), "lat", "lon")
+    grid = stored(field.nearest_fill(field.cube(views.current_field(spark, sf_dir))), "filled")
+    return rounded(field.interpolate(q, grid, clamp_time=True), 8)
 
 
 def coverage_report(spark, sf_dir):
-    return rounded(field.coverage(views.current_field(spark)))
+    return rounded(field.coverage(views.current_field(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -279,9 +280,10 @@ SQL = {
     "current_cube": f"WITH {FIELD_SQL} SELECT i_t, i_lat, i_lon, {_r('t lat lon u v', 9)} FROM fld",
     "nearest_fill": f"WITH {FIELD_SQL} SELECT i_t, i_lat, i_lon, {_r('u v', 9)} FROM filled",
     "field_interp": f"""WITH {FIELD_SQL}, {TRANSITS_SQL.replace("fixes AS", "fx AS").replace("200000000 + user_id AS mmsi", "event_id AS qid")},
-      q AS (SELECT qid, lat < 30 OR lat > 34 OR lon < 31 OR lon > 36 AS out_of_domain, es, least(34, greatest(30, lat)) AS la, least(36, greatest(31, lon)) AS lo FROM fx WHERE es BETWEEN 1705190400 AND 1705708800),
-      c AS (SELECT *, least(3, floor((es - 1705190400) / 129600)) AS a, least(7, floor((la - 30) / 0.5)) AS b, least(9, floor((lo - 31) / 0.5)) AS c FROM q),
-      w AS (SELECT *, (es - 1705190400 - a * 129600) / 129600 AS wa, (la - 30 - b * 0.5) / 0.5 AS wb, (lo - 31 - c * 0.5) / 0.5 AS wc FROM c)
+      ax AS (SELECT (SELECT list(t ORDER BY t) FROM ts) AS ats, (SELECT list(lat ORDER BY lat) FROM las) AS ala, (SELECT list(lon ORDER BY lon) FROM los) AS alo),
+      q AS (SELECT qid, lat < ala[1] OR lat > ala[-1] OR lon < alo[1] OR lon > alo[-1] AS out_of_domain, least(ats[-1], greatest(ats[1], es)) AS es, least(ala[-1], greatest(ala[1], lat)) AS la, least(alo[-1], greatest(alo[1], lon)) AS lo, ats, ala, alo FROM fx, ax),
+      c AS (SELECT *, greatest(0, least(len(ats) - 2, len(list_filter(ats, lambda x: x <= es)) - 1)) AS a, greatest(0, least(len(ala) - 2, len(list_filter(ala, lambda x: x <= la)) - 1)) AS b, greatest(0, least(len(alo) - 2, len(list_filter(alo, lambda x: x <= lo)) - 1)) AS c FROM q),
+      w AS (SELECT *, (es - ats[a + 1]) / (ats[a + 2] - ats[a + 1]) AS wa, (la - ala[b + 1]) / (ala[b + 2] - ala[b + 1]) AS wb, (lo - alo[c + 1]) / (alo[c + 2] - alo[c + 1]) AS wc FROM c)
       SELECT qid, out_of_domain, round(sum(x * u), 8) AS u, round(sum(x * v), 8) AS v FROM (
         SELECT w.qid, w.out_of_domain, (CASE WHEN f.i_t = a THEN 1 - wa ELSE wa END) * (CASE WHEN f.i_lat = b THEN 1 - wb ELSE wb END) * (CASE WHEN f.i_lon = c THEN 1 - wc ELSE wc END) AS x, f.u, f.v
         FROM w JOIN filled f ON f.i_t BETWEEN a AND a + 1 AND f.i_lat BETWEEN b AND b + 1 AND f.i_lon BETWEEN c AND c + 1) GROUP BY 1, 2""",

@@ -130,25 +130,31 @@ BLOBS_SQL = PIXELS_SQL + """, bl AS (
 )"""
 
 
-def current_field(spark: SparkSession) -> DataFrame:
-    """A 5 x 9 x 11 cube with an island of missing values that moves with time."""
-    t, la, lo = (spark.range(n).withColumnRenamed("id", c) for n, c in ((5, "a"), (9, "b"), (11, "c")))
-    g = t.crossJoin(la).crossJoin(lo)
-    land = "(b - 4) * (b - 4) + (c - 3 - a) * (c - 3 - a) <= 4"
-    return g.selectExpr(
-        "1705190400D + a * 129600D AS t", "30D + 0.5D * b AS lat", "31D + 0.5D * c AS lon",
-        f"CASE WHEN {land} THEN NULL ELSE 0.1D + 0.01D * b - 0.02D * a + 0.003D * c END AS u",
-        f"CASE WHEN {land} THEN NULL ELSE -0.05D + 0.004D * c * b + 0.01D * a END AS v",
+#: Cells of the field: 36 hours by 0.2 degrees, numbered by arithmetic; land around a place that moves with time.
+FIELD_T0, FIELD_DT = 1_704_067_200, 129_600
+_SEA = "(b - 11) * (b - 11) + (c - 9 - a % 10) * (c - 9 - a % 10) > 16"
+
+
+def current_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of events by cell as a field ``t, lat, lon, u, v``; cells of land, and those that no event fell into, are missing."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "value", f"CAST(floor({_HOURS} / 36) AS BIGINT) AS a", "(user_id * 3 + event_id) % 23 AS b", "(event_id * 5 + user_id) % 29 AS c")
+    return e.where(_SEA).groupBy("a", "b", "c").agg(F.avg("value").alias("x"), F.avg(F.expr("CAST((event_id * 37) % 360 AS DOUBLE)")).alias("y")).selectExpr(
+        f"CAST({FIELD_T0} + a * {FIELD_DT} AS DOUBLE) AS t", "30D + 0.2D * b AS lat", "31D + 0.2D * c AS lon", "x / 400D - 0.1D AS u", "y / 720D - 0.25D AS v"
     )
 
 
-FIELD_SQL = """fld AS (
-  SELECT a AS i_t, b AS i_lat, c AS i_lon, 1705190400.0::DOUBLE + a * 129600.0::DOUBLE AS t, 30.0::DOUBLE + 0.5::DOUBLE * b AS lat, 31.0::DOUBLE + 0.5::DOUBLE * c AS lon,
-    CASE WHEN (b - 4) * (b - 4) + (c - 3 - a) * (c - 3 - a) <= 4 THEN NULL ELSE 0.1::DOUBLE + 0.01::DOUBLE * b - 0.02::DOUBLE * a + 0.003::DOUBLE * c END AS u,
-    CASE WHEN (b - 4) * (b - 4) + (c - 3 - a) * (c - 3 - a) <= 4 THEN NULL ELSE -0.05::DOUBLE + 0.004::DOUBLE * c * b + 0.01::DOUBLE * a END AS v
-  FROM (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 9)) AS b), (SELECT unnest(range(0, 11)) AS c)
+FIELD_SQL = f"""known AS (
+  SELECT CAST({FIELD_T0} + a * {FIELD_DT} AS DOUBLE) AS t, 30.0::DOUBLE + 0.2::DOUBLE * b AS lat, 31.0::DOUBLE + 0.2::DOUBLE * c AS lon, avg(value) / 400 - 0.1::DOUBLE AS u,
+    avg(CAST((event_id * 37) % 360 AS DOUBLE)) / 720 - 0.25::DOUBLE AS v
+  FROM (SELECT event_id, value, CAST(floor((epoch_us(ts) - 1704067200000000) / 3.6e9::DOUBLE / 36) AS BIGINT) AS a, (user_id * 3 + event_id) % 23 AS b, (event_id * 5 + user_id) % 29 AS c FROM events)
+  WHERE {_SEA} GROUP BY a, b, c
+), ts AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i_t FROM (SELECT DISTINCT t FROM known)
+), las AS (SELECT lat, row_number() OVER (ORDER BY lat) - 1 AS i_lat FROM (SELECT DISTINCT lat FROM known)
+), los AS (SELECT lon, row_number() OVER (ORDER BY lon) - 1 AS i_lon FROM (SELECT DISTINCT lon FROM known)
+), fld AS (
+  SELECT i_t, i_lat, i_lon, t, lat, lon, u, v FROM (SELECT * FROM ts, las, los) LEFT JOIN known USING (t, lat, lon)
 ), filled AS (
-  SELECT m.i_t, m.i_lat, m.i_lon, m.t, m.lat, m.lon, coalesce(m.u, n.u) AS u, coalesce(m.v, n.v) AS v
+  SELECT m.i_t, m.i_lat, m.i_lon, m.t, m.lat, m.lon, coalesce(m.u, n.u, 0) AS u, coalesce(m.v, n.v, 0) AS v
   FROM fld m LEFT JOIN (
     SELECT x.i_t, x.i_lat, x.i_lon, y.u, y.v, row_number() OVER (PARTITION BY x.i_t, x.i_lat, x.i_lon ORDER BY (x.i_lat - y.i_lat) ** 2 + (x.i_lon - y.i_lon) ** 2, y.i_lat, y.i_lon) AS r
     FROM fld x JOIN fld y ON x.i_t = y.i_t AND x.u IS NULL AND y.u IS NOT NULL

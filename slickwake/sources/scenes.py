@@ -16,6 +16,8 @@ from slickwake.functions.geo import KM_PER_DEG, local_km, pixel_to_lonlat, utc_t
 
 # fixed values: tags that may hold an acquisition time, in order of preference
 TIME_TAGS = ("ACQUISITION_START_TIME", "ACQUISITION_TIME", "SENSING_TIME", "SENSING_START", "PRODUCT_START_TIME", "TIFFTAG_DATETIME", "start_time", "acquisition_time", "datetime")
+# fixed values: members of a product's JSON document that may hold its time, in order of preference
+SIDECAR_KEYS = ("acquisition_time", "acquisition_start", "sensing_time", "datetime")
 # fixed values: words in a path that mark a mask
 MASK_WORDS = ("mask", "label", "/gt", "annot", "ground")
 # fixed values: the four demonstration cases (case, date, centre latitude, centre longitude, km2); the pass is assumed at 03:52
@@ -50,8 +52,9 @@ def labelled_pairs(spark: SparkSession, root: str, limit: int = 30) -> DataFrame
     return pairs.crossJoin(F.broadcast(some)).where("preferred OR NOT _any").drop("_any").orderBy("image_path").limit(limit)  # one row
 
 
-def acquisition_time(override: str, tags: str) -> tuple[Column, Column]:
-    """(time, where it comes from): an override, else the first tag by preference that parses, else nulls.  Never invented."""
+def acquisition_time(override: str, tags: str, sidecar: str | None = None) -> tuple[Column, Column]:
+    """(time, where it comes from): an override, else the first tag by preference that parses, else the time that the product's
+    sidecar has (``sidecar``: a struct of ``time`` and ``name``), else nulls.  Never invented."""
     low = F.transform_keys(F.col(tags), lambda k, v: F.lower(k))
     # 2019:04:05 03:52:00 is how cameras write dates
     plain = lambda v: F.regexp_replace(v, r"^(\d{4}):(\d\d):", "$1-$2-")
@@ -59,14 +62,37 @@ def acquisition_time(override: str, tags: str) -> tuple[Column, Column]:
     tag = lambda t: F.element_at(low, t.lower())
     found = F.coalesce(*(F.when(parsed(tag(t)).isNotNull(), F.struct(parsed(tag(t)).alias("t"), F.lit(f"raster_tag:{t.lower()}").alias("s"))) for t in TIME_TAGS))
     given = F.when(F.col(override).isNotNull(), F.struct(parsed(F.col(override)).alias("t"), F.lit("user_supplied").alias("s")))
-    both = F.coalesce(given, found)
+    beside = [F.when(F.col(f"{sidecar}.time").isNotNull(), F.struct(parsed(F.col(f"{sidecar}.time")).alias("t"), F.concat(F.lit("sidecar:"), F.col(f"{sidecar}.name")).alias("s")))] if sidecar else []
+    both = F.coalesce(given, found, *beside)
     return both["t"], both["s"]
 
 
-def sidecar_tags(spark: SparkSession, folder: str) -> DataFrame:
-    """``stem, tags`` of the JSON documents beside products: a flat object's members as text."""
-    files = spark.read.text(f"{folder.rstrip('/')}/*.json", wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
-    return files.select(F.regexp_replace("name", r"\.json$", "").alias("stem"), F.from_json("value", "map<string,string>").alias("tags"))
+def sidecar_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``folder, name, tags`` of the JSON documents below a folder: an object's members as text."""
+    files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return files.select(*_folder_and_name("path"), F.from_json("value", "map<string,string>").alias("tags"))
+
+
+def _folder_and_name(path: str) -> tuple[Column, Column]:
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    return F.regexp_extract(plain, r"^(.*?)[^/\\]*$", 1).alias("folder"), F.regexp_extract(plain, r"([^/\\]+)$", 1).alias("name")
+
+
+def with_sidecar(products: DataFrame, documents: DataFrame, path: str = "path") -> DataFrame:
+    """``products`` with ``sidecar``, the time that a document beside a product has, and the document's name.
+
+    The document of ``x.tif`` is ``x.tif.json``, else ``x.json``, else ``x_metadata.json``, in its folder; one that has
+    none of the known members isn't taken.
+    """
+    folder, name = _folder_and_name(path)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    forms = F.array(*(F.struct(F.lit(k).alias("form"), F.concat(x, F.lit(end)).alias("document")) for k, (x, end) in enumerate(((name, ".json"), (stem, ".json"), (stem, "_metadata.json")))))
+    wanted = products.select(F.col(path).alias("_product"), folder.alias("_folder"), F.explode(forms).alias("_f")).distinct()
+    time = F.coalesce(*(F.element_at("tags", k) for k in SIDECAR_KEYS))
+    known = documents.select(F.col("folder").alias("_folder"), F.col("name").alias("_name"), time.alias("_time")).where("_time IS NOT NULL")
+    hit = wanted.join(known, (wanted["_folder"] == known["_folder"]) & (F.col("_f.document") == F.col("_name")))
+    best = hit.groupBy("_product").agg(F.min_by(F.struct(F.col("_time").alias("time"), F.col("_name").alias("name")), "_f.form").alias("sidecar"))
+    return products.join(best, F.col(path) == F.col("_product"), "left").drop("_product")
 
 
 def infer_units(px: DataFrame) -> DataFrame:

@@ -32,8 +32,12 @@ def write_metadata(spark: SparkSession, folder: str, name: str, text: str) -> st
     return path
 
 
-def append_summary(df: DataFrame, folder: str, run_id: str) -> str:
-    """Rows of a run beside those of earlier runs."""
+def write_summary(df: DataFrame, folder: str, run_id: str) -> str:
+    """Rows of cases (``case_id`` and others) beside those of other runs and cases.
+
+    A case that is written again under the same run replaces its own rows and no others.
+    """
     path = f"{folder.rstrip('/')}/summary"
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    rows = df.withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "case_id").parquet(path)
     return path
