@@ -87,6 +87,18 @@ def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b or b"" for b in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def stretches(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts with about ``most`` bytes together, one text at least."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield first, k
+            first, size = k, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

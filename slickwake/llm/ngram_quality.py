@@ -9,10 +9,11 @@ more) to get its discounted share, and with the probability of its suffix, from
 what contexts leave to lower orders become one table of keys, sorted over range partitions in the folder that the
 cluster shares.  It never passes through the driver.
 
-Scoring is a join with that table by distinct n-gram.  A task reads its texts in stretches, makes the sorted distinct
-n-grams of a stretch (and their contexts and suffixes), and merges them with the sorted shards, one batch of rows at a
-time.  What it holds is bounded by the stretch, not by the model.  Moving n-grams to the shards instead would shuffle
-a row for almost every byte of text, since a document repeats few of its n-grams.
+Scoring is a join with that table by distinct n-gram.  A task holds its texts, gathers their distinct n-grams (and their
+contexts and suffixes), and merges them with the sorted shards, one batch of rows at a time: each shard is read once for
+``GROUP`` bytes of text or ``MOST_GRAMS`` distinct n-grams, which for input splits of usual size is once for each task.
+What it holds is bounded by these two, not by the model.  Moving n-grams to the shards instead would shuffle a row for
+almost every byte of text, since a document repeats few of its n-grams.
 
 Thresholds are set by documents that a model hasn't seen: trusted documents are dealt into two halves by a hash of
 their id, each half is scored by a model of the other, and everything is judged by the model of both.  All models are
@@ -25,8 +26,12 @@ fewer than ``least`` trusted documents (and the null language, if so) use the qu
 
 Fluent text can still be toxic.  A further model is trained on the texts labelled toxic (and not trusted), and each text
 is read word by word in windows of one word and the space after it: the ``heat`` of a text is the largest sum of log
-likelihood ratios, toxic against trusted, that a window has.  Texts hotter than the ``quantile`` of trusted documents,
-which neither model has seen, are rejected.  Without toxic labels there is no heat and nothing is rejected by it.
+likelihood ratios, toxic against trusted, that a window has.  The most heat that is kept is fitted to both classes, each
+scored by models of the half that it isn't in: of the cuts that leave at most 1 - ``quantile`` of the trusted texts above
+them (or ``FEW`` texts, if that is more), that with the least ``caution`` times the share of trusted texts above plus the
+share of toxic texts below, in the middle between the texts on its two sides.  So a few odd trusted texts can't switch
+the decision off, and a cut that costs more than it catches isn't made.  Without toxic labels there is no heat and nothing
+is rejected by it.
 
 Null and empty texts have no tokens, no perplexity, and are rejected.  Labels repeat without effect; contradicting
 labels don't make a document trusted unless one of them does.  Without any trusted text nothing is rejected but
@@ -36,20 +41,25 @@ empty texts.  A text exactly at a threshold is kept.  Repeated rows are each jud
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slickwake.llm.common import arrow_map, bloom, byte_column, file_store, in_bloom, materialize, read_table, scratch
+from slickwake.llm.common import arrow_map, bloom, byte_column, file_store, in_bloom, materialize, read_table, scratch, stretches
 
 ORDER, SYMBOLS = 5, 256
 START = b"\xff" * (ORDER - 1)
-#: Columns of the tables: the model of all trusted text, of either half, and of toxic text.
-MODELS = ("w", "a", "b", "t")
-#: Bytes of text that are scored together.
-STRETCH = 4 << 20
+#: Columns of the tables: the models of all trusted text and of either half, and the same of toxic text.
+MODELS = ("w", "a", "b", "t", "ta", "tb")
+#: The pairs of models (by place) whose ratio is a heat: all, and each half of either class unseen.
+HEATS = ((3, 0), (3, 1), (3, 2), (4, 0), (5, 0))
+#: Bytes of text that are worked on at a time, and bytes and distinct n-grams that share one reading of the model.
+STRETCH, GROUP, MOST_GRAMS = 4 << 20, 64 << 20, 1 << 20
+#: Trusted texts that may be hotter than the cut, however few there are.
+FEW = 10
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\f\v"))
 
 
@@ -75,15 +85,15 @@ def gram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_counts(texts: DataFrame) -> DataFrame:
     """``code`` and its counts in each model, of n-grams of the highest order; ``texts`` has ``text`` and ``part`` (0 and 1
-    for the halves of trusted text, 2 for toxic text)."""
+    for the halves of trusted text, 2 and 3 for those of toxic text)."""
 
     def count(batches):
-        part: list[list[bytes]] = [[], [], []]
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 3
+        part: list[list[bytes]] = [[], [], [], []]
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 4
         size = 0
 
         def fold() -> None:
-            for k in range(3):
+            for k in range(4):
                 if part[k]:
                     codes, n = np.unique(gram_codes(part[k])[0], return_counts=True)
                     codes, at = np.unique(np.concatenate((held[k][0], codes)), return_inverse=True)
@@ -105,7 +115,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
     found = arrow_map(texts.select("part", "text"), count, "part int, code long, n long")
     of = lambda *parts: F.sum(F.when(F.col("part").isin(*parts), F.col("n")).otherwise(0))
-    return found.groupBy("code").agg(of(0, 1).alias("w"), of(0).alias("a"), of(1).alias("b"), of(2).alias("t"))
+    return found.groupBy("code").agg(of(0, 1).alias("w"), of(0).alias("a"), of(1).alias("b"), of(2, 3).alias("t"), of(2).alias("ta"), of(3).alias("tb"))
 
 
 def _discounts(counts: DataFrame) -> dict[str, list[float]]:
@@ -200,37 +210,56 @@ def log_probabilities(path: str, codes: np.ndarray) -> np.ndarray:
     return np.log(p)
 
 
-def cross_entropies(docs: DataFrame, path: str, with_heat: bool) -> DataFrame:
+def distinct_grams(texts: list[bytes]) -> np.ndarray:
+    return np.sort(pd.unique(gram_codes(texts)[0]))
+
+
+def text_scores(texts: list[bytes], grams: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the nats in the models of trusted text, and its heats (NaN without tokens); ``logs`` are those of ``grams``."""
+    nats, heat = np.zeros((len(texts), 3)), np.full((len(texts), len(HEATS)), np.nan)
+    codes, ends = gram_codes(texts)
+    if len(codes):
+        place, own = pd.factorize(codes)
+        found = logs[np.searchsorted(grams, own)]
+        has = np.flatnonzero(np.diff(ends, prepend=0))
+        starts = np.concatenate(([0], ends[:-1]))[has]
+        words = np.unique(np.concatenate((starts, 1 + np.flatnonzero(_SPACE[codes[:-1] & 255]))))
+        of_word = np.searchsorted(words, starts)
+        for m in range(3):
+            nats[has, m] = -np.add.reduceat(found[place, m], starts, dtype=np.float64)
+        for k, (toxic, trusted) in enumerate(HEATS):
+            ratio = found[:, toxic] - found[:, trusted]
+            heat[has, k] = np.maximum.reduceat(np.add.reduceat(ratio[place], words, dtype=np.float64), of_word)
+    return nats, heat
+
+
+def cross_entropies(docs: DataFrame, path: str, with_heat: bool, group: int = GROUP, most_grams: int = MOST_GRAMS) -> DataFrame:
     """``doc_id, text_key, lang, n_tokens, nats, heat`` for each row; ``nats`` has a sum for the model of all trusted text and
-    of either half, ``heat`` the ratios to each of them (null for empty texts and without a model of toxic text)."""
+    of either half, ``heat`` the ratios of ``HEATS`` (null for empty texts and without a model of toxic text)."""
 
     def score(batches):
+        held: list[tuple[pa.RecordBatch, list[bytes]]] = []
+        grams, size = np.zeros(0, np.int64), 0
+
+        def told():
+            logs = log_probabilities(path, grams) if len(grams) else np.zeros((0, len(MODELS)), np.float32)
+            for rows, texts in held:
+                nats, heat = text_scores(texts, grams, logs)
+                hot = [None if not with_heat or np.isnan(h[0]) else h for h in heat]
+                own = [rows.column(c) for c in ("doc_id", "text_key", "lang")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(t) for t in texts], pa.int64()), pa.array(list(nats), pa.list_(pa.float64())), pa.array(hot, pa.list_(pa.float64()))], names=["doc_id", "text_key", "lang", "n_tokens", "nats", "heat"])
+
         for batch in batches:
-            texts = byte_column(batch, "text")
-            nats, heat = np.zeros((len(texts), 3)), np.full((len(texts), 3), np.nan)
-            at = 0
-            while at < len(texts):
-                first, size = at, 0
-                while at < len(texts) and (at == first or size + len(texts[at]) <= STRETCH):
-                    size, at = size + len(texts[at]), at + 1
-                codes, ends = gram_codes(texts[first:at])
-                if not len(codes):
-                    continue
-                codes, place = np.unique(codes, return_inverse=True)
-                logs = log_probabilities(path, codes)
-                ratio = logs[:, 3:] - logs[:, :3]
-                has = np.flatnonzero(np.diff(ends, prepend=0))
-                starts = np.concatenate(([0], ends[:-1]))[has]
-                words = np.unique(np.concatenate((starts, 1 + np.flatnonzero(_SPACE[codes[place[:-1]] & 255]))))
-                of_word = np.searchsorted(words, starts)
-                for m in range(3):
-                    nats[first + has, m] = -np.add.reduceat(logs[place, m], starts, dtype=np.float64)
-                    heat[first + has, m] = np.maximum.reduceat(np.add.reduceat(ratio[place, m], words, dtype=np.float64), of_word)
-            hot = [None if not with_heat or np.isnan(h[0]) else h for h in heat]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "text_key", "lang")] + [pa.array([len(t) for t in texts], pa.int64()), pa.array(list(nats), pa.list_(pa.float64())), pa.array(hot, pa.list_(pa.float64()))],
-                names=["doc_id", "text_key", "lang", "n_tokens", "nats", "heat"],
-            )
+            all_texts, rows = byte_column(batch, "text"), batch.select(["doc_id", "text_key", "lang"])
+            for first, end in stretches(all_texts, STRETCH):
+                texts = all_texts[first:end]
+                grams = np.union1d(grams, distinct_grams(texts))
+                held.append((rows.slice(first, end - first), texts))
+                size += sum(map(len, texts))
+                if size > group or len(grams) > most_grams:
+                    yield from told()
+                    held, grams, size = [], np.zeros(0, np.int64), 0
+        yield from told()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("lang").cast("string"), "text")
     return arrow_map(rows, score, "doc_id long, text_key long, lang string, n_tokens long, nats array<double>, heat array<double>")
@@ -268,13 +297,28 @@ def _taught_texts(docs: DataFrame, taught: DataFrame) -> DataFrame:
     return near.join(taught.hint("merge"), F.col("doc_id") == F.col("taught_id"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, prior: float = 50.0, least: int = 100) -> DataFrame:
+def heat_cut(clean: DataFrame, toxic: DataFrame, caution: float, quantile: float) -> float:
+    """The most heat that is kept, in the middle between two occupied bins of 1/1000; infinite if no cut is worth what it costs."""
+    binned = lambda df, name: df.where("heat IS NOT NULL").groupBy(F.floor(F.col("heat") * 1000).alias("bin")).agg(F.count("*").alias(name))
+    bins = binned(clean, "clean").join(binned(toxic, "toxic"), "bin", "full").na.fill(0, ["clean", "toxic"])
+    # as many rows as there are heats, in thousandths
+    up, all_ = Window.orderBy("bin"), Window.partitionBy()
+    total = F.sum("clean").over(all_)
+    above = total - F.sum("clean").over(up)
+    under = F.try_divide(F.sum("toxic").over(up), F.sum("toxic").over(all_))
+    costs = bins.select("bin", F.lead("bin").over(up).alias("next"), (caution * F.try_divide(above, total) + under).alias("cost"), (above <= F.greatest(F.lit(FEW), total * (1 - quantile))).alias("fits"))
+    costs = costs.where("next IS NOT NULL AND cost < 1 AND fits")
+    best = costs.orderBy("cost", F.desc("bin")).first()
+    return (best["bin"] + 1 + best["next"]) / 2000 if best else float("inf")
+
+
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, prior: float = 50.0, least: int = 100, caution: float = 5.0) -> DataFrame:
     """``doc_id, text_key, lang, n_tokens, perplexity, threshold, heat, kept``, one row per row of ``docs``."""
     trusted = materialize(trusted_ids(labels), "trusted")
     half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int")
     toxic = toxic_ids(labels).join(trusted, F.col("toxic_id") == F.col("trusted_id"), "left_anti")
     taught = materialize(trusted.select(F.col("trusted_id").alias("taught_id"), F.lit(False).alias("is_toxic")).union(toxic.select("toxic_id", F.lit(True))), "taught")
-    texts = _taught_texts(docs, taught).select("text", F.when(F.col("is_toxic"), 2).otherwise(half).alias("part"))
+    texts = _taught_texts(docs, taught).select("text", F.when(F.col("is_toxic"), half + 2).otherwise(half).alias("part"))
     model = kneser_ney(gram_counts(texts), scratch(docs.sparkSession, "model"))
     scored = materialize(cross_entropies(docs, model, not taught.where("is_toxic").isEmpty()), "scores")
 
@@ -282,14 +326,14 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, prior: fl
     is_trusted = F.col("doc_id") == F.col("trusted_id")
     unseen = lambda c: F.when(half == 0, F.col(c)[2]).otherwise(F.col(c)[1])
     of_trusted = scored.join(trusted, is_trusted, "left_semi").where("n_tokens > 0").withColumn("nats", unseen("nats")).withColumn("heat", unseen("heat"))
+    of_toxic = scored.join(taught.where("is_toxic"), F.col("doc_id") == F.col("taught_id"), "left_semi").withColumn("heat", F.when(half == 0, F.col("heat")[4]).otherwise(F.col("heat")[3]))
     scored = scored.withColumn("nats", F.col("nats")[0]).withColumn("heat", F.col("heat")[0])
     mean = of_trusted.agg((F.sum("nats") / F.sum("n_tokens")).alias("m")).first()["m"] or 0.0
     entropy = (F.col("nats") + F.lit(prior * mean)) / (F.col("n_tokens") + F.lit(prior))
     language = F.coalesce("lang", F.lit("\0"))
-    binned = lambda value: of_trusted.groupBy(language.alias("language"), F.floor(value * 1000).alias("bin")).agg(F.count("*").alias("n"))
-    grid = binned(entropy)
+    grid = of_trusted.groupBy(language.alias("language"), F.floor(entropy * 1000).alias("bin")).agg(F.count("*").alias("n"))
 
-    def cut(by: list[str], grid: DataFrame = grid) -> DataFrame:
+    def cut(by: list[str]) -> DataFrame:
         """The smallest grid point with ``quantile`` of the trusted documents below it, and how many there are."""
         run = Window.partitionBy(*by).orderBy("bin")
         bins = grid.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
@@ -298,8 +342,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, prior: fl
 
     pooled = cut([]).first()
     general = float(pooled["cut"]) if pooled and pooled["cut"] is not None else float("inf")
-    hottest = cut([], binned(F.col("heat")).where("bin IS NOT NULL")).first()
-    most_heat = float(hottest["cut"]) if hottest and hottest["cut"] is not None else float("inf")
+    most_heat = heat_cut(of_trusted, of_toxic, caution, quantile)
     own = cut(["language"]).where(F.col("n") >= least).select(F.col("language").alias("l"), "cut")
     limit = F.coalesce("cut", F.lit(general))
     return scored.join(own, language == F.col("l"), "left").select(

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slickwake.llm.common import arrow_map, byte_column, materialize, read_table
+from slickwake.llm.common import arrow_map, byte_column, materialize, read_table, stretches
 from slickwake.llm.decontaminate import words_of
 
 BUCKETS, SIZES = 10_000, 3
@@ -41,18 +41,6 @@ BUCKETS, SIZES = 10_000, 3
 STRETCH = 4 << 20
 
 
-def stretches(texts: list[bytes], most: int = STRETCH) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts with about ``most`` bytes together, one text at least."""
-    first, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield first, k
-            first, size = k, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
-
-
 class Numbers(dict):
     """A dictionary that numbers what it hasn't seen."""
 
@@ -95,7 +83,7 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         total = np.zeros(buckets, np.int64)
         for b in batches:
             own = byte_column(b, "text")
-            for first, end in stretches(own):
+            for first, end in stretches(own, STRETCH):
                 for bins, tuples, _, _ in feature_buckets(own[first:end], buckets):
                     # counts of distinct tuples meet their bins
                     np.add.at(total, bins, np.bincount(tuples, minlength=len(bins)))
@@ -124,7 +112,7 @@ def weights(docs: DataFrame, gain: np.ndarray, buckets: int = BUCKETS) -> DataFr
         for b in batches:
             texts = byte_column(b, "text")
             n_words, n_features, weight = (np.zeros(len(texts), np.int64) for _ in range(3))
-            for first, end in stretches(texts):
+            for first, end in stretches(texts, STRETCH):
                 for bins, tuples, text, n in feature_buckets(texts[first:end], buckets):
                     n_words[first:end] = n
                     n_features[first:end] += np.bincount(text, minlength=end - first)

@@ -277,11 +277,11 @@ class PlainModel:
 
 def test_model_is_a_distribution_and_matches_plain_counts(spark):
     texts = [b"abracadabra abra", "cad \u00e9abra brac".encode(), b"bad cab", b""]
-    parts = [0, 1, 2, 0]
+    parts = [0, 1, 2, 3]
     df = spark.createDataFrame([(t.decode(), p) for t, p in zip(texts, parts, strict=True)] + [(None, 1)], "text string, part int")
     path = ngram_quality.kneser_ney(ngram_quality.gram_counts(df), scratch(spark, "model"))
     number = lambda g: int.from_bytes(g, "big")
-    for m, own in enumerate(({0, 1}, {0}, {1}, {2})):
+    for m, own in enumerate(({0, 1}, {0}, {1}, {2, 3}, {2}, {3})):
         plain = PlainModel([t for t, p in zip(texts, parts, strict=True) if p in own])
         grams = sorted({g for t in texts for g in plain_grams(t)} | {b"zzzzz", b"abrzz", b"\xff\xff\xff\xffz"})
         got = ngram_quality.log_probabilities(path, np.array([number(g) for g in grams]))[:, m]
@@ -300,10 +300,10 @@ def test_judge_is_that_of_plain_python(spark, stretch, monkeypatch):
     rows += [(200 + i, "%x" % rng.getrandbits(400), "en", "a", 1) for i in range(6)] + [(300 + i, f"you {w} of the sea", "en", "a", 1) for i, w in enumerate(["idiotic", "idiotic", "trashy", "trashy", "idiotic"])]
     rows += [(400, None, "en", "a", 1), (401, "", "en", "a", 1), (402, rows[3][1], "en", "a", 1), (None, rows[4][1], "de", "a", 1), (5, rows[5][1], rows[5][2], "a", 1)]
     labels = [(i, 1, 0) for i in range(70)] + [(i, 1, 1) for i in range(300, 304)] + [(3, 1, 0), (None, 1, 1), (85, 0, 1), (300, 1, 0), (86, None, None)]
-    quantile, prior, least = 0.9, 50.0, 20
+    quantile, prior, least, caution = 0.9, 50.0, 20, 2.0
     docs, lab = with_clashes(frame(spark, rows)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {(r["doc_id"], r["text_key"]): r for r in ngram_quality.judge(docs, lab, quantile, prior, least).collect()}
-    assert sum(1 for _ in rows) == ngram_quality.judge(docs, lab, quantile, prior, least).count()
+    got = {(r["doc_id"], r["text_key"]): r for r in ngram_quality.judge(docs, lab, quantile, prior, least, caution).collect()}
+    assert sum(1 for _ in rows) == ngram_quality.judge(docs, lab, quantile, prior, least, caution).count()
 
     key = {(r["doc_id"], r["text"]): (r["h"], r["k"]) for r in frame(spark, rows).select("doc_id", "text", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).alias("h"), F.xxhash64("text").alias("k")).collect()}
     trusted = {d for d, q, t in labels if q == 1 and not t and d is not None}
@@ -311,10 +311,10 @@ def test_judge_is_that_of_plain_python(spark, stretch, monkeypatch):
     body = lambda r: (r[1] or "").encode()
     half = {r[0]: key[r[0], r[1]][0] for r in rows}
     of = lambda ids: PlainModel([body(r) for r in rows if r[0] in ids])
-    models = [of(trusted), of({d for d in trusted if d in half and half[d] == 0}), of({d for d in trusted if d in half and half[d] == 1}), of(toxic)]
+    models = [of({d for d in x if d in half and half[d] in h}) for x in (trusted, toxic) for h in ((0, 1), (0,), (1,))]
 
-    def score(r, m):
-        logs = [[math.log(x.prob(g)) for g in plain_grams(body(r))] for x in (models[m], models[3])]
+    def score(r, m, t=3):
+        logs = [[math.log(x.prob(g)) for g in plain_grams(body(r))] for x in (models[m], models[t])]
         words = re.findall(rb"[^ \t\n\r\f\v]*[ \t\n\r\f\v]|[^ \t\n\r\f\v]+", body(r))
         at, heat = 0, []
         for w in words:
@@ -331,7 +331,13 @@ def test_judge_is_that_of_plain_python(spark, stretch, monkeypatch):
         return (next(b for k, b in enumerate(bins) if bisect.bisect_right(bins, b) >= len(bins) * quantile) + 1) / 1000
 
     used = [r for r in rows if id(r) in unseen]
-    general, hottest = cut([entropy(unseen[id(r)][0], r) for r in used]), cut([unseen[id(r)][1] for r in used])
+    general = cut([entropy(unseen[id(r)][0], r) for r in used])
+    mild = [math.floor(1000 * unseen[id(r)][1]) for r in used]
+    hot = [math.floor(1000 * score(r, 0, 5 if half[r[0]] == 0 else 4)[1]) for r in rows if r[0] in toxic and r[1]]
+    edges = sorted({*mild, *hot})
+    costs = [(caution * sum(x > a for x in mild) / len(mild) + sum(x <= a for x in hot) / len(hot), -a, (a + 1 + b) / 2000) for a, b in zip(edges, edges[1:]) if sum(x > a for x in mild) <= max(ngram_quality.FEW, len(mild) * (1 - quantile))]
+    assert min(costs)[0] < 1
+    hottest = min(costs)[2]
     own = {lang: [entropy(unseen[id(r)][0], r) for r in used if r[2] == lang] for lang in ("en", "de", None)}
     verdicts = set()
     for r in rows:
@@ -349,6 +355,25 @@ def test_judge_is_that_of_plain_python(spark, stretch, monkeypatch):
     assert verdicts == {(True, True), (False, True), (False, False)}
 
 
+def test_groups_of_text_do_not_change_scores(spark):
+    rows = corpus(3, 40)
+    df = frame(spark, rows).coalesce(1)
+    texts = df.select("text", (F.coalesce("doc_id", F.lit(0)) % 4).cast("int").alias("part"))
+    path = ngram_quality.kneser_ney(ngram_quality.gram_counts(texts), scratch(spark, "model"))
+    score = lambda **limits: sorted((str(r["doc_id"]), r["text_key"], r["n_tokens"], *np.round(r["nats"] + (r["heat"] or []), 6)) for r in ngram_quality.cross_entropies(df, path, True, **limits).collect())
+    assert score() == score(group=400) == score(most_grams=100)
+
+
+def test_one_odd_trusted_text_does_not_set_the_cut(spark):
+    frame_of = lambda heats: spark.createDataFrame([(float(h),) for h in heats], "heat double")
+    clean, toxic = [5 + k / 50 for k in range(200)], [27.0, 30.0, 33.0, 28.0]
+    assert 9 < ngram_quality.heat_cut(frame_of([*clean, 38.8]), frame_of(toxic), 5.0, 0.998) < 27
+    assert ngram_quality.heat_cut(frame_of(clean), frame_of([]), 5.0, 0.998) == float("inf")
+    assert ngram_quality.heat_cut(frame_of(clean), frame_of(clean), 5.0, 0.998) == float("inf")  # nothing tells them apart
+    # more than a few, and more than the quantile leaves: the cut goes above them
+    assert ngram_quality.heat_cut(frame_of([*clean, *[28.2] * 11]), frame_of(toxic), 1.0, 0.998) > 28.2
+
+
 def test_junk_goes_and_clean_text_stays(spark):
     rows = [r for r in corpus(13, 150)]
     junk = [(5000 + i, "".join(chr(33 + (i * 7 + k * k) % 60) for k in range(300)), "en", "a", 300) for i in range(10)]

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slickwake.llm import manifest, resampling, toxicity
+from slickwake.llm.common import stretches
 from tests.llm.helpers import SCHEMA, corpus, frame, sentence, with_clashes
 
 EMPTY = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, None), (4, "Same words twice", "en", "a", 1), (4, "Same words twice", "en", "a", 1)]
@@ -75,10 +76,10 @@ def test_stretches_do_not_change_features():
     for bins, tuples, _, _ in resampling.feature_buckets(texts):
         whole.update(bins[tuples].tolist())
     parts = collections.Counter()
-    for a, b in resampling.stretches(texts, 500):
+    for a, b in stretches(texts, 500):
         for bins, tuples, _, _ in resampling.feature_buckets(texts[a:b]):
             parts.update(bins[tuples].tolist())
-    assert whole == parts and [x for a, b in resampling.stretches(texts, 500) for x in range(a, b)] == list(range(len(texts)))
+    assert whole == parts and [x for a, b in stretches(texts, 500) for x in range(a, b)] == list(range(len(texts)))
 
 
 # ------------------------------------------------------------------ manifest
