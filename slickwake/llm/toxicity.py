@@ -106,13 +106,12 @@ def held_out(doc_id: Column) -> Column:
 def taught_examples(docs: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
     """``doc_id, text, toxic`` of at most ``examples`` distinct labelled texts."""
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("taught_id")).agg(F.max("toxic").cast("double").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("text <> ''")
-    named = rows.join(told, F.col("doc_id") == F.col("taught_id")).withColumn("h", F.xxhash64("text"))
-    # the hash decides which texts, before they are gathered
-    chosen = named.groupBy("h").agg(F.avg("toxic").alias("label"), F.min("doc_id").alias("first")).orderBy("h").limit(examples)
-    return named.join(chosen.withColumnRenamed("h", "chosen"), (F.col("h") == F.col("chosen")) & (F.col("doc_id") == F.col("first"))).groupBy("h").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("label").alias("toxic")
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''").withColumn("h", F.xxhash64("text"))
+    # ids and hashes decide which texts are examples; texts move only once they are chosen
+    named = rows.select("doc_id", "h").join(told, F.col("doc_id") == F.col("taught_id"))
+    chosen = named.groupBy("h").agg(F.avg("toxic").alias("toxic"), F.min("doc_id").alias("first")).orderBy("h").limit(examples).withColumnRenamed("h", "chosen")
+    of = rows.join(F.broadcast(chosen), (F.col("h") == F.col("chosen")) & (F.col("doc_id") == F.col("first")))  # ``examples`` rows at most
+    return of.groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def vocabulary_of(taught: DataFrame, terms: int, background: int) -> list[bytes]:
