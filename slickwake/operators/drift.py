@@ -77,10 +77,15 @@ def ensemble(spark: SparkSession, n: int, seed: int, *, windage: tuple[float, fl
 
     Drawn from hashes of (seed, particle), so members don't depend on how particles are dealt to tasks.
     """
+    return perturbed(spark.range(n).select(F.col("id").alias("particle")), seed, windage=windage, wind_sigma=wind_sigma, current_sigma=current_sigma)
+
+
+def perturbed(particles: DataFrame, seed: int, *, windage: tuple[float, float] = (0.01, 0.04), wind_sigma: tuple[float, float] = (0.15, 15.0), current_sigma: tuple[float, float] = (0.20, 15.0)) -> DataFrame:
+    """The perturbations of an ensemble for the numbers of a table (``particle``)."""
     uniform = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "particle"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     normal = lambda k: F.sqrt(-2 * F.log(uniform(k))) * F.cos(2 * np.pi * uniform(k + 100))
     lo, hi = windage
-    return spark.range(n).select(F.col("id").alias("particle")).select(
+    return particles.select(
         "particle",
         (lo + (hi - lo) * uniform(1)).alias("windage"),
         F.greatest(F.lit(0.2), 1 + wind_sigma[0] * normal(2)).alias("wind_scale"),

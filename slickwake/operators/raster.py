@@ -412,19 +412,20 @@ def detect_dark(px: DataFrame, mode: str = "tiled", *, window: int = 96, gate_db
     return px.join(kept, PIXEL, "left").withColumn("mask", F.coalesce("_k", F.lit(False))).drop("_k")
 
 
-def select_detector(summary: DataFrame, mode: str = "auto", network_available: bool = True, *, margin: float = 0.02, when_tied: str = "deeplab") -> DataFrame:
-    """One row ``detector, reason`` from mean Dice values of ``otsu`` and ``deeplab`` (``summary``: ``detector, dice``)."""
+def select_detector(summary: DataFrame, mode: str = "auto", network_available: bool = True, *, margin: float = 0.02, when_tied: str = "deeplab", by: tuple[str, ...] = ()) -> DataFrame:
+    """``*by, detector, reason`` from mean Dice values of ``otsu`` and ``deeplab`` (``summary``: ``*by, detector, dice``); one row, or
+    one for each group."""
     dice = lambda name: F.max(F.when(F.col("detector") == name, F.col("dice")))
-    d = summary.agg(dice("deeplab").alias("n"), dice("otsu").alias("o"))
+    d = summary.groupBy(*by).agg(dice("deeplab").alias("n"), dice("otsu").alias("o"))
     if mode in ("otsu", "deeplab"):
         name = mode if mode == "otsu" or network_available else "otsu"
-        return d.select(F.lit(name).alias("detector"), F.lit("forced" if name == mode else "forced_but_unavailable").alias("reason"))
+        return d.select(*by, F.lit(name).alias("detector"), F.lit("forced" if name == mode else "forced_but_unavailable").alias("reason"))
     if not network_available:
-        return d.select(F.lit("otsu").alias("detector"), F.lit("network_unavailable").alias("reason"))
+        return d.select(*by, F.lit("otsu").alias("detector"), F.lit("network_unavailable").alias("reason"))
     gap = F.col("n") - F.col("o")
     pick = F.when(F.col("n").isNull(), F.struct(F.lit("deeplab").alias("d"), F.lit("not_benchmarked").alias("r")))
     pick = pick.when(F.col("o").isNull(), F.struct(F.lit("deeplab").alias("d"), F.lit("otsu_not_benchmarked").alias("r")))
     pick = pick.when(gap > margin, F.struct(F.lit("deeplab").alias("d"), F.lit("better").alias("r")))
     pick = pick.when(-gap > margin, F.struct(F.lit("otsu").alias("d"), F.lit("better").alias("r")))
     pick = pick.otherwise(F.struct(F.lit(when_tied).alias("d"), F.lit("within_margin").alias("r")))
-    return d.select(pick.alias("p")).select(F.col("p.d").alias("detector"), F.col("p.r").alias("reason"))
+    return d.select(*by, pick.alias("p")).select(*by, F.col("p.d").alias("detector"), F.col("p.r").alias("reason"))

@@ -14,11 +14,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slickwake.functions.geo import epoch_s, from_epoch_s, haversine_km
+from slickwake.functions.geo import from_epoch_s
 from slickwake.operators import ais, anomaly, attribution, drift, fusion, models, observe, raster, twin
 from slickwake.operators import field as fields
 from slickwake.sources import currents, reports, sinks
-from slickwake.sources.scenes import demo_scene
 from slickwake.sources.scratch import stored
 
 #: Operators that take settings of a case.
@@ -144,42 +143,6 @@ def save_benchmark(per_scene: DataFrame, means: DataFrame, folder: str) -> None:
         df.write.mode("overwrite").option("header", "true").csv(f"{folder.rstrip('/')}/{name}")
 
 
-def demo_case(spark: SparkSession, case_id: str, lat0: float, lon0: float, area_km2: float, t_obs_s: float, *, size: int = 256, n_vessels: int = 30, release_h: float = 12.0,
-              hours: float = 72.0, dt_min: float = 15.0, seed: int = 20190405, fit_models: bool = False, **options) -> tuple[CaseResult, dict]:
-    """A rendered slick, synthetic traffic and planted vessels; for self-checks.
-
-    The planted release lies on the very forcing that the ranking uses, so success shows consistency, not skill.
-    """
-    pixel = 0.0009
-    grid = {"west": lon0 - size * pixel / 2, "north": lat0 + size * pixel / 2, "pixel_deg": pixel, "height": size, "width": size}
-    scene = demo_scene(spark, case_id, lat0, lon0, area_km2, size)
-    one = spark.createDataFrame([(0, lon0, lat0, 0.03)], "particle long, lon0 double, lat0 double, windage double")
-    back = drift.uniform_paths(one, t_obs_s, release_h, dt_min=dt_min).orderBy(F.col("k").desc()).first()
-    release, km = t_obs_s - release_h * 3600, 1 / 111.2
-    lon, lat = back["lon"], back["lat"]
-    # one at the release, one there at another time, one elsewhere at that time, and one silent near it
-    passes = [(901, "AT_RELEASE", lon, lat + 0.3 * km, release, 70.0, 0.0), (902, "EARLIER", lon, lat + 0.3 * km, release - 32_400.0, 250.0, 0.0),
-              (903, "ELSEWHERE", lon, lat + 22.0 * km, release, 70.0, 0.0), (904, "SILENT", lon, lat - 5.0 * km, release + 3600.0, 160.0, 90.0)]
-    planted = reports.passing_vessels(spark, passes)
-    truth = {"vessel": 901, "silent": 904, "elsewhere": 903, "release_s": release, "lon": lon, "lat": lat}
-    traffic = reports.synthetic_traffic(spark, lon0, lat0, t_obs_s, hours, n_vessels, seed)
-    all_reports = stored(traffic.unionByName(planted), "reports")
-    told = {"scene": "rendered", "reports": "synthetic, with planted vessels", "forcing": "uniform"}
-    out = run_case(spark, case_id, scene, grid, t_obs_s, all_reports, drift.uniform_fields(), hours=hours, dt_min=dt_min, seed=seed, fit_models=fit_models, provenance=told, **options)
-    return out, truth
-
-
-def self_check(result: CaseResult, truth: dict, t_obs_s: float, dt_s: float) -> dict:
-    """How the vessel at the release fared: its rank, errors of the release, and whether the source lies in the cloud's 90 %."""
-    row = result.tables["suspects"].where(F.col("mmsi") == truth["vessel"]).select("rank", epoch_s("est_release_time").alias("es"), haversine_km("est_release_lat", "est_release_lon", F.lit(truth["lat"]), F.lit(truth["lon"])).alias("km")).first()
-    k = round((t_obs_s - truth["release_s"]) / dt_s)
-    cloud = result.tables["paths"].where(F.col("k") == k)
-    c = cloud.agg(F.avg("lon").alias("x"), F.avg("lat").alias("y")).first()
-    radius = cloud.select(F.percentile(F.hypot((F.col("lon") - c["x"]) * 95.0, (F.col("lat") - c["y"]) * 111.0), 0.9)).first()[0]
-    off = ((truth["lon"] - c["x"]) * 95.0) ** 2 + ((truth["lat"] - c["y"]) * 111.0) ** 2
-    return {"rank": row and row["rank"], "release_error_min": row and abs(row["es"] - truth["release_s"]) / 60, "release_error_km": row and row["km"], "source_in_90": off**0.5 <= radius}
-
-
 def save_case(result: CaseResult, folder: str, run_id: str) -> None:
     """Tables, one report document, what the run was made of, and a row of the summary."""
     spark = SparkSession.active()

@@ -162,15 +162,13 @@ def footprint_iou(spark, sf_dir):
 
 def drift_ensemble(spark, sf_dir):
     """Perturbed backward run by Heun steps with a random walk, to its mean path."""
-    members = drift.ensemble(spark, N_MEMBERS, 7).join(views.particles(spark, sf_dir).select("particle", "lon0", "lat0"), "particle")
+    parts = views.particles(spark, sf_dir)
+    members = drift.perturbed(parts, 7).join(parts.select("particle", "lon0", "lat0"), "particle")
     start = members.withColumn("run_id", F.lit("demo")).withColumn("es0", F.lit(T_OBS_S)).withColumn("steps", F.lit(STEPS))
-    paths = drift.simulate(start.repartition(8, "particle"), *drift.uniform_fields(), 7, dt_min=DT_S / 60)
+    paths = drift.simulate(start, *drift.uniform_fields(), 7, dt_min=DT_S / 60)
     return rounded(drift.mean_path(paths, ("run_id",)))
 
 
-N_MEMBERS = 200
-
-
 def current_cube(spark, sf_dir):
     """Long values with repeated keys (the first counts) to a dense cube with axis numbers."""
     f = views.current_field(spark, sf_dir)

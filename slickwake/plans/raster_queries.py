@@ -10,6 +10,7 @@ from slickwake.operators import raster
 from slickwake.plans import views
 from slickwake.plans.reports_queries import _r, rounded
 from slickwake.plans.views import BLOBS_SQL, PIXELS_SQL
+from slickwake.sources.scratch import stored
 
 PX = raster.PIXEL
 
@@ -123,13 +124,10 @@ def detector_benchmark(spark, sf_dir):
 
 
 def detector_select(spark, sf_dir):
-    """The decision table over ten pairs of scores."""
-    out = None
-    for i, (n, o) in enumerate([(0.9, 0.8), (0.8, 0.9), (0.85, 0.84), (0.84, 0.85), (None, 0.8), (0.8, None), (0.82, 0.80), (0.80, 0.83), (0.5, 0.5), (0.7, 0.679)]):
-        rows = spark.createDataFrame([("deeplab", n), ("otsu", o)], "detector string, dice double")
-        row = raster.select_detector(rows).withColumn("case_no", F.lit(i))
-        out = row if out is None else out.union(row)
-    return out
+    """The detector that wins in each scene: sources of documents, the English ones as one detector's results, others as the other's."""
+    d = views.table(spark, sf_dir, "documents")
+    scores = d.groupBy(F.col("source").alias("scene"), F.when(F.col("lang") == "en", "deeplab").otherwise("otsu").alias("detector")).agg((F.avg("n_chars") / 10_000).alias("dice"))
+    return raster.select_detector(scores, by=("scene",))
 
 
 def image_mask_pairs(spark, sf_dir):
@@ -171,12 +169,13 @@ def case_summary(spark, sf_dir):
 
 
 def otsu_tiled(spark, sf_dir):
-    """Dark objects of a rendered scene against its truth (no SQL counterpart; the tests hold thresholds)."""
-    from slickwake.sources.scenes import demo_scene
-
-    px = demo_scene(spark, "bench", 31.3, 32.3, 1.2, 128, 60.0, 5)
-    found = raster.detect_dark(px, window=64)
-    return rounded(raster.seg_metrics(found.withColumnRenamed("mask", "pred")), 3)
+    """Dark objects of two scenes in decibels, in which patches are 8 dB darker: their number and size, and how well they match
+    (no SQL counterpart; the tests hold thresholds, components and filters)."""
+    px = views.pixels(spark, sf_dir).withColumn("gt", F.expr("pmod(row - 6 * scene_id, 32) < 12 AND pmod(col + row DIV 32 * 9, 40) < 14"))
+    px = px.select(*PX, (10 * F.log10("value") - F.when(F.col("gt"), 8.0).otherwise(0.0)).alias("value"), "gt")
+    found = stored(raster.detect_dark(px, window=48).withColumnRenamed("mask", "pred"), "found")
+    objects = raster.components(found, "pred", connectivity=4).groupBy("scene_id").agg(F.countDistinct("label").alias("n_objects"), F.count("*").alias("n_pixels"))
+    return rounded(raster.seg_metrics(found).join(objects, "scene_id", "left"), 3)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -242,8 +241,10 @@ SQL = {
     "mask_agreement": f"WITH {PIXELS_SQL} SELECT scene_id, count(*) FILTER (WHERE pred AND gt) AS n_both, count(*) FILTER (WHERE pred OR gt) AS n_either, round(count(*) FILTER (WHERE pred AND gt) / greatest(count(*) FILTER (WHERE pred OR gt), 1), 6) AS iou FROM px GROUP BY 1",
     "mask_set_operations": f"WITH {PIXELS_SQL} SELECT scene_id, count(*) FILTER (WHERE pred AND gt) AS n, 'and' AS op FROM px GROUP BY 1 UNION ALL SELECT scene_id, count(*) FILTER (WHERE pred OR gt), 'or' FROM px GROUP BY 1 UNION ALL SELECT scene_id, count(*) FILTER (WHERE pred AND NOT gt), 'minus' FROM px GROUP BY 1",
     "detector_benchmark": "WITH b AS (SELECT source, lang AS detector, avg(n_chars) / 10000 AS dice, min(n_chars) AS low FROM documents GROUP BY 1, 2) SELECT detector, round(avg(dice), 6) AS dice, round(avg(low), 6) AS low, count(*) AS scenes FROM b GROUP BY 1",
-    "detector_select": """SELECT * FROM (VALUES (0, 'deeplab', 'better'), (1, 'otsu', 'better'), (2, 'deeplab', 'within_margin'), (3, 'deeplab', 'within_margin'), (4, 'deeplab', 'not_benchmarked'), (5, 'deeplab', 'otsu_not_benchmarked'),
-      (6, CASE WHEN 0.82::DOUBLE - 0.80::DOUBLE > 0.02 THEN 'deeplab' ELSE 'deeplab' END, CASE WHEN 0.82::DOUBLE - 0.80::DOUBLE > 0.02::DOUBLE THEN 'better' ELSE 'within_margin' END), (7, 'otsu', 'better'), (8, 'deeplab', 'within_margin'), (9, 'deeplab', 'better')) t(case_no, detector, reason)""",
+    "detector_select": """WITH b AS (SELECT source AS scene, lang = 'en' AS net, avg(n_chars) / 10000 AS dice FROM documents GROUP BY ALL),
+      p AS (SELECT scene, max(dice) FILTER (coalesce(net, FALSE)) AS n, max(dice) FILTER (NOT coalesce(net, FALSE)) AS o FROM b GROUP BY 1)
+      SELECT scene, CASE WHEN o - n > 0.02 THEN 'otsu' ELSE 'deeplab' END AS detector,
+        CASE WHEN n IS NULL THEN 'not_benchmarked' WHEN o IS NULL THEN 'otsu_not_benchmarked' WHEN abs(n - o) > 0.02 THEN 'better' ELSE 'within_margin' END AS reason FROM p""",
     "image_mask_pairs": """WITH p AS (SELECT page_id AS ord, '/data/' || CASE WHEN page_id % 3 = 0 THEN 'masks' WHEN page_id % 5 = 0 THEN 'Test' ELSE 'img' END || '/s' || (page_id % 40) || CASE WHEN page_id % 2 = 0 THEN '.png' ELSE '.tif' END AS path FROM pages),
       k AS (SELECT *, regexp_extract(path, '([^/]+)\\.[^.]+$', 1) AS stem, path LIKE '%mask%' AS is_mask FROM p), m AS (SELECT stem, arg_max(path, ord) AS mask_path FROM k WHERE is_mask GROUP BY 1)
       SELECT k.stem, k.path AS image_path, m.mask_path, k.path LIKE '%Test%' AS preferred FROM k JOIN m ON k.stem = m.stem WHERE NOT is_mask""",

@@ -92,11 +92,3 @@ def test_csv_with_other_names(spark, tmp_path):
         reports.read_reports(spark, str(tmp_path / "a.csv"), bbox=(0.0, 0.0, 1.0, 1.0))
     with pytest.raises(KeyError):
         reports.resolve_columns(["MMSI", "LAT", "LON"])
-
-
-def test_passing_vessels(spark):
-    df = reports.passing_vessels(spark, [(1, "A", 32.0, 31.0, 1.55e9, 70.0, 0.0), (2, "B", 32.0, 31.0, 1.55e9, 160.0, 90.0)])
-    gaps = ais.segments(ais.clean(df), longest_gap_min=1e9).groupBy("mmsi").agg(F.max("gap_min").alias("g"))
-    assert {r["mmsi"]: round(r["g"]) for r in gaps.collect()} == {1: 6, 2: 180}
-    near = df.where("mmsi = 1").withColumn("d", F.abs(epoch_s("ts") - 1.55e9)).orderBy("d").select(haversine_km("lat", "lon", F.lit(31.0), F.lit(32.0)).alias("km")).first()
-    assert near["km"] < 3

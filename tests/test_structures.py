@@ -160,3 +160,14 @@ def test_non_local_means(spark, block):
     got = raster.non_local_means(px, 10.0, 3, 7, block=block).collect()
     assert all(r["despeckled"] == (want[r["row"], r["col"]] if r["scene_id"] == "s" else 0.0) for r in got) and len(got) == img.size + 9
     assert set(raster.despeckle(px.where("scene_id = 'flat'"), "nlm").columns) == {*px.columns, "despeckled"}
+
+
+def test_choice_of_a_detector(spark):
+    pairs = [(0.9, 0.8), (0.8, 0.9), (0.85, 0.84), (0.84, 0.85), (None, 0.8), (0.8, None), (0.80, 0.83), (0.5, 0.5), (0.7, 0.679), (None, None)]
+    rows = spark.createDataFrame([(k, name, dice) for k, p in enumerate(pairs) for name, dice in zip(("deeplab", "otsu"), p, strict=True)], "case_no int, detector string, dice double")
+    got = {r["case_no"]: (r["detector"], r["reason"]) for r in raster.select_detector(rows, by=("case_no",)).collect()}
+    better, close = "better", "within_margin"
+    assert [got[k] for k in range(10)] == [("deeplab", better), ("otsu", better), ("deeplab", close), ("deeplab", close), ("deeplab", "not_benchmarked"), ("deeplab", "otsu_not_benchmarked"), ("otsu", better), ("deeplab", close), ("deeplab", better), ("deeplab", "not_benchmarked")]
+    one = rows.where("case_no = 1")
+    assert raster.select_detector(one).first()[:] == ("otsu", better) and raster.select_detector(one, "deeplab", False).first()[:] == ("otsu", "forced_but_unavailable")
+    assert raster.select_detector(one, network_available=False).first()[:] == ("otsu", "network_unavailable")
