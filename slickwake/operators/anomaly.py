@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slickwake.functions.stats import angle_between, sigmoid
-from slickwake.operators.quantiles import exact_percentiles
+from slickwake.operators.quantiles import exact_quantiles
 from slickwake.sources.scratch import stored
 
 SEGMENT = ["mmsi", "segment_id"]
@@ -61,22 +61,24 @@ def robust_z(df: DataFrame, columns: list[str], n_folds: int, seed: int = 5) ->
     Deviations that vanish fall back to the population deviation, or 1.
     """
     df = stored(df, "scored")
-    rows = df.join(vessel_folds(df, n_folds, seed), "mmsi")
-    # each row trains the folds it isn't in: at most n_folds - 1 copies of a few numbers
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col("fold")))
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns)))
-    train = rows.select(others.alias("for_fold"), *columns).select("for_fold", pairs.alias("v")).select("for_fold", "v.*")
-    # copies of rows meet as partial sums and sketches; only values near the medians are shuffled
-    spreads = train.groupBy("for_fold", "name").agg(F.stddev_pop("x").alias("s"))
-    medians = stored(exact_percentiles(train, ["for_fold", "name"], F.col("x"), (0.5,)).select("for_fold", "name", F.col("p")[0].alias("m")), "medians")
-    off = F.abs(F.col("x") - F.col("m"))
-    deviations = exact_percentiles(train.join(medians, ["for_fold", "name"]), ["for_fold", "name"], off, (0.5,)).select("for_fold", "name", F.col("p")[0].alias("d"))
-    each = medians.join(deviations, ["for_fold", "name"]).join(spreads, ["for_fold", "name"])
-    of = lambda c, k: F.max(F.when(F.col("name") == c, F.col(k))).alias(f"{k}_{c}")
-    stats = each.groupBy(F.col("for_fold").alias("fold")).agg(*(of(c, k) for c in columns for k in "msd"))
-    scale = lambda c: F.when(F.col(f"d_{c}") > 1e-9, F.col(f"d_{c}") * 1.4826).when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
-    out = rows.join(F.broadcast(stats), "fold", "left")  # n_folds rows
-    return out.select(*df.columns, "fold", *(((F.col(c) - F.col(f"m_{c}")) / scale(c)).alias(f"z_{c}") for c in columns))
+    rows = stored(df.join(vessel_folds(df, n_folds, seed), "mmsi"), "folds")
+    # each fold's figures are over the rows of others: conditions inside aggregations, so no row is copied
+    pairs = [(f, c) for f in range(n_folds) for c in columns]
+    train = {f"{f}:{c}": F.when(F.col("fold") != f, F.col(c).cast("double")) for f, c in pairs}
+    spread = rows.agg(*(F.stddev_pop(x).alias(k) for k, x in train.items())).first()
+    median = exact_quantiles(rows, train, 0.5)
+    deviation = exact_quantiles(rows, {k: F.abs(x - F.lit(median[k])) for k, x in train.items() if median[k] is not None}, 0.5)
+
+    def z(c: str) -> Column:
+        out = F.lit(None).cast("double")
+        for f in range(n_folds):
+            k = f"{f}:{c}"
+            if median[k] is not None:
+                scale = deviation[k] * 1.4826 if deviation[k] > 1e-9 else spread[k] or 1.0
+                out = F.when(F.col("fold") == f, (F.col(c) - median[k]) / scale).otherwise(out)
+        return out
+
+    return rows.select(*df.columns, "fold", *(z(c).alias(f"z_{c}") for c in columns))
 
 
 def point_scores(feat: DataFrame, pred_error: DataFrame | None, n_folds: int = 4, behaviour: float = 0.7) -> DataFrame:

@@ -7,6 +7,9 @@ group) are counted and ordered.  The result is that of ``percentile``: linear be
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ from slickwake.sources.scratch import stored
 def exact_percentiles(df: DataFrame, by: list[str], value: Column, fractions: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
     """``*by, p``: an array with the value at each of ``fractions``; null and NaN values don't count, groups without any are left out."""
     rows = df.select(*by, value.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    if rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > accuracy).isEmpty():
+        # tasks can hold groups of this size whole
+        return rows.groupBy(*by).agg(F.percentile("_v", list(fractions)).alias("p")).where("p IS NOT NULL")
     margin = 2 / accuracy  # the sketch is off by 1 / accuracy at most
     ends = [x for f in fractions for x in (max(0.0, f - margin), min(1.0, f + margin))]
     sketch = rows.groupBy(*by).agg(F.percentile_approx("_v", ends, accuracy).alias("_e"), F.count("*").alias("_all"))
@@ -35,6 +41,87 @@ def exact_percentiles(df: DataFrame, by: list[str], value: Column, fractions: tu
     return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("p"))
 
 
+@dataclass
+class _Sought:
+    """The values at two neighbouring ranks (from 0), between two that are known not to be them."""
+
+    value: Column
+    lo: float | None = None
+    hi: float | None = None
+    below: int = 0
+    inside: int = 0
+    ranks: tuple[int, int] = (0, 0)
+    share: float = 0.0
+    found: dict[int, float] = field(default_factory=dict)
+
+    def within(self) -> Column:
+        return self.value if self.lo is None else F.when((self.value > self.lo) & (self.value < self.hi), self.value)
+
+    def open_ranks(self) -> list[int]:
+        return [r for r in self.ranks if r not in self.found]
+
+    def result(self) -> float | None:
+        if not self.inside and not self.found:
+            return None
+        a, b = (self.found[r] for r in self.ranks)
+        return (1 - self.share) * a + self.share * b
+
+
+def exact_quantiles(rows: DataFrame, values: dict[str, Column], fraction: float, accuracy: int = 10_000, most: int = 10_000) -> dict[str, float | None]:
+    """The exact quantile of each of a few expressions over all rows, as ``percentile`` gives it; nulls and NaN don't count, and
+    without a value it is None.
+
+    After a pass that counts, a round is two passes for all expressions together: one makes sketches, which bracket what is
+    sought, and one counts what lies below, at and between the ends.  Nothing is copied, and a bracket holds some
+    ten-thousandths of the one before, without its ends, so ties don't stay.  Brackets with at most ``most`` values are
+    gathered; only these values, ends and counts reach the driver.
+    """
+    sought = {k: _Sought(F.when(~F.isnan(v.cast("double")), v.cast("double"))) for k, v in values.items()}
+    margin = 2 / accuracy  # a sketch is off by 1 / accuracy at most
+
+    def one_row(aggregates: dict[str, Column]):
+        return rows.agg(*(a.alias(name) for name, a in aggregates.items())).first()
+
+    total = one_row({f"n{i}": F.count(s.value) for i, s in enumerate(sought.values())})
+    for i, s in enumerate(sought.values()):
+        s.inside = total[f"n{i}"]
+        at = (s.inside - 1) * fraction
+        s.ranks, s.share = (floor(at), ceil(at)), at - floor(at)
+
+    def ends_of(s: _Sought) -> list[float]:
+        ranks = s.open_ranks()
+        return [max(0.0, (min(ranks) - s.below - 1) / s.inside - margin), min(1.0, (max(ranks) - s.below + 2) / s.inside + margin)]
+
+    while todo := [k for k, s in sought.items() if s.inside > most and s.open_ranks()]:
+        sketch = one_row({f"e{i}": F.percentile_approx(sought[k].within(), ends_of(sought[k]), accuracy) for i, k in enumerate(todo)})
+        ends = {k: sketch[f"e{i}"] for i, k in enumerate(todo)}
+        parts = {}
+        for i, k in enumerate(todo):
+            x, (lo, hi) = sought[k].value, ends[k]
+            parts |= {f"b{i}": F.count_if(x < lo), f"l{i}": F.count_if(x == lo), f"m{i}": F.count_if((x > lo) & (x < hi)), f"h{i}": F.count_if(x == hi)}
+        counts = one_row(parts)
+        for i, k in enumerate(todo):
+            s, (lo, hi) = sought[k], ends[k]
+            below, at_lo, between, at_hi = (counts[f"{x}{i}"] for x in "blmh")
+            for r in s.open_ranks():
+                if below <= r < below + at_lo:
+                    s.found[r] = lo
+                elif below + at_lo + between <= r < below + at_lo + between + at_hi:
+                    s.found[r] = hi
+                elif not below <= r < below + at_lo + between:
+                    raise RuntimeError(f"the sketch of {k} is off by more than 1 / {accuracy}")
+            s.lo, s.hi, s.below, s.inside = lo, hi, below + at_lo, between
+    if gathered := [k for k, s in sought.items() if s.inside > 0 and s.open_ranks()]:
+        each = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), sought[k].within().alias("x")) for k in gathered)), lambda v: v["x"].isNotNull())).alias("v")
+        found = rows.select(each).groupBy("v").agg(F.count("*").alias("n")).select("v.k", "v.x", "n").collect()  # ``most`` for each expression at most
+        for k in gathered:
+            s, up = sought[k], sought[k].below
+            for x, n in sorted((r["x"], r["n"]) for r in found if r["k"] == k):
+                s.found |= {r: x for r in s.open_ranks() if up <= r < up + n}
+                up += n
+    return {k: s.result() for k, s in sought.items()}
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """``df`` with each row's place (from 1) in ``order``: a range sort, then places inside each range."""
     ranges = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")

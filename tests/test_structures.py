@@ -171,3 +171,18 @@ def test_choice_of_a_detector(spark):
     one = rows.where("case_no = 1")
     assert raster.select_detector(one).first()[:] == ("otsu", better) and raster.select_detector(one, "deeplab", False).first()[:] == ("otsu", "forced_but_unavailable")
     assert raster.select_detector(one, network_available=False).first()[:] == ("otsu", "network_unavailable")
+
+
+@pytest.mark.parametrize("accuracy, most", [(10_000, 10_000), (20, 3), (100, 40)])
+def test_exact_quantiles(spark, accuracy, most):
+    from slickwake.operators.quantiles import exact_quantiles
+
+    rng = random.Random(accuracy)
+    rows = [(rng.choice([0.0, 0.0, 0.0, 1.0, rng.gauss(0, 5)]), rng.gauss(0, 1), rng.choice([None, float("nan"), 2.0, rng.random()]), None, float(k)) for k in range(1501)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(3)
+    values = {c: F.col(c) for c in "abcde"} | {"odd": F.when(F.col("e") % 2 == 1, F.col("b")), "one": F.when(F.col("e") == 7, F.col("b"))}
+    for fraction in (0.5, 0.95, 0.0, 1.0):
+        want = df.where("c IS NULL OR NOT isnan(c)").select(F.percentile("c", fraction)).first()[0], *df.select(*(F.percentile(values[k], fraction) for k in ("a", "b", "e", "odd", "one"))).first()
+        got = exact_quantiles(df, values, fraction, accuracy, most)
+        assert [got[k] for k in ("c", "a", "b", "e", "odd", "one")] == [pytest.approx(w, abs=1e-12) for w in want] and got["d"] is None
+    assert exact_quantiles(df.where("false"), values, 0.5) == dict.fromkeys(values)
