@@ -291,25 +291,11 @@ def test_model_is_a_distribution_and_matches_plain_counts(spark):
             assert abs(np.exp(ngram_quality.log_probabilities(path, every)[:, m].astype(float)).sum() - 1) < 1e-3
 
 
-@pytest.mark.parametrize("stretch", [4 << 20, 700])
-def test_judge_is_that_of_plain_python(spark, stretch, monkeypatch):
-    """Perplexity, heat, thresholds and verdicts of the query's operator, with ties at the threshold and a language of its own."""
-    monkeypatch.setattr(ngram_quality, "STRETCH", stretch)
-    rng = random.Random(5)
-    rows = [(i, sentence(rng, rng.randint(3, 40)), rng.choice(["en", "en", "de", None]), "a", 1) for i in range(90)]
-    rows += [(200 + i, "%x" % rng.getrandbits(400), "en", "a", 1) for i in range(6)] + [(300 + i, f"you {w} of the sea", "en", "a", 1) for i, w in enumerate(["idiotic", "idiotic", "trashy", "trashy", "idiotic"])]
-    rows += [(400, None, "en", "a", 1), (401, "", "en", "a", 1), (402, rows[3][1], "en", "a", 1), (None, rows[4][1], "de", "a", 1), (5, rows[5][1], rows[5][2], "a", 1)]
-    labels = [(i, 1, 0) for i in range(70)] + [(i, 1, 1) for i in range(300, 304)] + [(3, 1, 0), (None, 1, 1), (85, 0, 1), (300, 1, 0), (86, None, None)]
-    quantile, prior, least, caution = 0.9, 50.0, 20, 2.0
-    docs, lab = with_clashes(frame(spark, rows)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {(r["doc_id"], r["text_key"]): r for r in ngram_quality.judge(docs, lab, quantile, prior, least, caution).collect()}
-    assert sum(1 for _ in rows) == ngram_quality.judge(docs, lab, quantile, prior, least, caution).count()
-
-    key = {(r["doc_id"], r["text"]): (r["h"], r["k"]) for r in frame(spark, rows).select("doc_id", "text", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).alias("h"), F.xxhash64("text").alias("k")).collect()}
+def plain_judgement(rows, labels, half, quantile, prior, least, caution):
+    """Of each row (nats, heat, entropy, limit of the entropy, most heat); ``half`` has the half of each id."""
     trusted = {d for d, q, t in labels if q == 1 and not t and d is not None}
     toxic = {d for d, q, t in labels if t == 1 and d is not None} - trusted
     body = lambda r: (r[1] or "").encode()
-    half = {r[0]: key[r[0], r[1]][0] for r in rows}
     of = lambda ids: PlainModel([body(r) for r in rows if r[0] in ids])
     models = [of({d for d in x if d in half and half[d] in h}) for x in (trusted, toxic) for h in ((0, 1), (0,), (1,))]
 
@@ -338,20 +324,44 @@ def test_judge_is_that_of_plain_python(spark, stretch, monkeypatch):
     costs = [(caution * sum(x > a for x in mild) / len(mild) + sum(x <= a for x in hot) / len(hot), -a, (a + 1 + b) / 2000) for a, b in zip(edges, edges[1:]) if sum(x > a for x in mild) <= max(ngram_quality.FEW, len(mild) * (1 - quantile))]
     assert min(costs)[0] < 1
     hottest = min(costs)[2]
-    own = {lang: [entropy(unseen[id(r)][0], r) for r in used if r[2] == lang] for lang in ("en", "de", None)}
-    verdicts = set()
+    own = {lang: [entropy(unseen[id(r)][0], r) for r in used if r[2] == lang] for lang in {r[2] for r in rows}}
+    limits = {lang: cut(values) if len(values) >= least else general for lang, values in own.items()}
+    out = []
     for r in rows:
+        nats, heat = score(r, 0) if r[1] else (None, None)
+        out.append((nats, heat, entropy(nats, r) if r[1] else None, limits[r[2]], hottest))
+    return out
+
+
+@pytest.mark.parametrize("stretch", [4 << 20, 700])
+def test_judge_is_that_of_plain_python(spark, stretch, monkeypatch):
+    """Perplexity, heat, thresholds and verdicts of the query's operator, with ties at the threshold and a language of its own."""
+    monkeypatch.setattr(ngram_quality, "STRETCH", stretch)
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, rng.randint(3, 40)), rng.choice(["en", "en", "de", None]), "a", 1) for i in range(90)]
+    rows += [(200 + i, "%x" % rng.getrandbits(400), "en", "a", 1) for i in range(6)] + [(300 + i, f"you {w} of the sea", "en", "a", 1) for i, w in enumerate(["idiotic", "idiotic", "trashy", "trashy", "idiotic"])]
+    rows += [(400, None, "en", "a", 1), (401, "", "en", "a", 1), (402, rows[3][1], "en", "a", 1), (None, rows[4][1], "de", "a", 1), (5, rows[5][1], rows[5][2], "a", 1)]
+    labels = [(i, 1, 0) for i in range(70)] + [(i, 1, 1) for i in range(300, 304)] + [(3, 1, 0), (None, 1, 1), (85, 0, 1), (300, 1, 0), (86, None, None)]
+    quantile, prior, least, caution = 0.9, 50.0, 20, 2.0
+    docs, lab = with_clashes(frame(spark, rows)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {(r["doc_id"], r["text_key"]): r for r in ngram_quality.judge(docs, lab, quantile, prior, least, caution).collect()}
+    assert sum(1 for _ in rows) == ngram_quality.judge(docs, lab, quantile, prior, least, caution).count()
+
+    key = {(r["doc_id"], r["text"]): (r["h"], r["k"]) for r in frame(spark, rows).select("doc_id", "text", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).alias("h"), F.xxhash64("text").alias("k")).collect()}
+    half = {r[0]: key[r[0], r[1]][0] for r in rows}
+    plain = plain_judgement(rows, labels, half, quantile, prior, least, caution)
+    verdicts = set()
+    for r, (nats, heat, entropy, limit, hottest) in zip(rows, plain, strict=True):
         g = got[r[0], key[r[0], r[1]][1]]
-        limit = cut(own[r[2]]) if len(own[r[2]]) >= least else general
-        assert g["threshold"] == pytest.approx(math.exp(limit), rel=1e-3) and g["n_tokens"] == len(body(r))
+        n_tokens = len((r[1] or "").encode())
+        assert g["threshold"] == pytest.approx(math.exp(limit), rel=1e-3) and g["n_tokens"] == n_tokens
         if not r[1]:
             assert not g["kept"] and g["perplexity"] is None and g["heat"] is None
             continue
-        nats, heat = score(r, 0)
-        assert g["perplexity"] == pytest.approx(math.exp(nats / len(body(r))), rel=1e-3) and g["heat"] == pytest.approx(heat, abs=1e-2)
-        if abs(entropy(nats, r) - limit) > 2e-3 and abs(heat - hottest) > 2e-2:
-            assert g["kept"] == (entropy(nats, r) <= limit and heat <= hottest)
-            verdicts.add((g["kept"], entropy(nats, r) <= limit))
+        assert g["perplexity"] == pytest.approx(math.exp(nats / n_tokens), rel=1e-3) and g["heat"] == pytest.approx(heat, abs=1e-2)
+        if abs(entropy - limit) > 2e-3 and abs(heat - hottest) > 2e-2:
+            assert g["kept"] == (entropy <= limit and heat <= hottest)
+            verdicts.add((g["kept"], entropy <= limit))
     assert verdicts == {(True, True), (False, True), (False, False)}
 
 
