@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slickwake.functions.stats import angle_between, sigmoid
 from slickwake.operators.quantiles import exact_quantiles
+from slickwake.operators.traffic import recent
 from slickwake.sources.scratch import stored
 
 SEGMENT = ["mmsi", "segment_id"]
@@ -81,16 +82,24 @@ def robust_z(df: DataFrame, columns: list[str], n_folds: int, seed: int = 5) ->
     return rows.select(*df.columns, "fold", *(z(c).alias(f"z_{c}") for c in columns))
 
 
-def point_scores(feat: DataFrame, pred_error: DataFrame | None, n_folds: int = 4, behaviour: float = 0.7) -> DataFrame:
-    """Anomaly of each bin: weighted positive parts of the behaviour and the report-quality scores."""
+def point_scores(feat: DataFrame, pred_error: DataFrame | None, n_folds: int = 4, behaviour: float = 0.7, recent_hours: float | None = None) -> DataFrame:
+    """Anomaly of each bin: weighted positive parts of the behaviour and the report-quality scores.
+
+    With ``recent_hours`` the share of silence in the hours before a bin, by a frame over time across the vessel's segments,
+    counts for quality as the gaps inside segments do.
+    """
     df = jumps(feat)
+    quality_of = ["internal_gap_min"]
+    if recent_hours is not None:
+        df = recent(df, recent_hours).drop("recent_n", "recent_sog", "recent_sog_range", "recent_gap_min")
+        quality_of.append("recent_silence")
     if pred_error is None:
         df = df.withColumn("pred_error_m", F.lit(0.0))
     else:
         df = df.join(pred_error.select(*SEGMENT, "es", "pred_error_m"), [*SEGMENT, "es"], "left").withColumn("pred_error_m", F.coalesce("pred_error_m", F.lit(0.0)))
-    df = robust_z(df, ["internal_gap_min", "speed_jump", "course_jump", "pred_error_m"], n_folds)
+    df = robust_z(df, [*quality_of, "speed_jump", "course_jump", "pred_error_m"], n_folds)
     zero = F.lit(0.0)
-    quality = F.greatest(F.col("z_internal_gap_min"), zero)
+    quality = F.greatest(*(F.col(f"z_{c}") for c in quality_of), zero)
     moved = F.greatest(0.4 * F.col("z_speed_jump") + 0.3 * F.col("z_course_jump") + 0.3 * F.col("z_pred_error_m"), zero)
     return df.withColumn("ais_quality_z", quality).withColumn("behavior_z", moved).withColumn("final_point_score", behaviour * F.col("behavior_z") + (1 - behaviour) * F.col("ais_quality_z"))
 

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from slickwake.functions import tables
-from slickwake.operators import intervals, raster, traffic
+from slickwake.operators import anomaly, intervals, raster, traffic
 from slickwake.sources.scratch import stored
 
 T0 = dt.datetime(2024, 1, 1)
@@ -109,3 +109,17 @@ def test_groups_of_sketches(spark):
     _, df = reports(spark, random.Random(1), 500)
     by = traffic.united(traffic.vessel_sketches(df), F.lit(1).alias("one")).first()
     assert abs(by["n_vessels"] - df.select("mmsi").distinct().count()) <= 8
+
+
+def test_silence_counts_for_quality(spark):
+    """Of vessels that move alike, the one with silences between its segments gets the higher scores of quality."""
+    rng = random.Random(12)
+    rows = []
+    for m in range(12):
+        hours = [h for h in range(100) if m != 5 or h % 20 < 8]
+        rows += [(m, h // 20, h * 3600.0, 10 + rng.random(), 90 + rng.random(), 0.0) for h in hours]
+    feat = spark.createDataFrame(rows, "mmsi long, segment_id long, es double, sog double, cog double, internal_gap_min double")
+    mean = lambda df: {r["mmsi"]: r["q"] for r in df.groupBy("mmsi").agg(F.avg("ais_quality_z").alias("q")).collect()}
+    with_silence, without = mean(anomaly.point_scores(feat, None, recent_hours=24.0)), mean(anomaly.point_scores(feat, None))
+    assert max(with_silence, key=with_silence.get) == 5 and with_silence[5] > 2 * max(v for m, v in with_silence.items() if m != 5)
+    assert set(without.values()) == {0.0}
