@@ -227,3 +227,31 @@ def test_op12_on_held_out_rows(spark):
     rate = lambda rows: sum(r["predicted"] for r in rows) / len(rows)
     assert rate([r for r in held if r["toxic"] and r["insults"]]) > 0.9 and rate([r for r in held if not r["toxic"]]) < 0.03
     assert {e for r in got.collect() for e in r["evidence"]}.isdisjoint(r["doc_id"] for r in held)
+
+
+# ------------------------------------------------------------------ very long texts
+
+
+def test_long_texts_in_chunks_and_models(spark):
+    """A passage and insults deep inside texts of a megabyte are found, and nothing else of them is."""
+    from slickwake.llm import chunk_dedup, ngram_quality
+
+    rng = random.Random(31)
+    passage = sentence(rng, 90)
+    body = [" ".join("%x" % rng.getrandbits(40) for _ in range(60_000)) for _ in range(2)]
+    at = (1 << 19) - 100
+    rows = [(k, b[:at] + passage + b[at:], "en", "a", 1) for k, b in enumerate(body)] + [(2, body[0][-700_000:][:300], "en", "a", 1)]
+    got = {r["doc_id"]: r for r in chunk_dedup.chunk_dedup(frame(spark, rows)).collect()}
+    size = len(passage.encode())
+    for k in range(2):
+        inside = [p for p in got[k]["passages"] if p["start"] >= at - 16 and p["stop"] <= at + size + 16]
+        assert sum(p["stop"] - p["start"] for p in inside) > 0.6 * size
+    assert not [p for p in got[1]["passages"] if p not in [q for q in got[1]["passages"] if at - 16 <= q["start"] and q["stop"] <= at + size + 16]]
+
+    clean = [(i, sentence(rng, 60), "en", "a", 1) for i in range(80)]
+    words = sentence(rng, 120_000).split()
+    long = [(900, " ".join(words), "en", "a", 1), (901, " ".join([*words[:70_000], "blorkiest", *words[70_000:]]), "en", "a", 1)]
+    toxic = [(200 + i, f"{sentence(rng, 20)} {w} {sentence(rng, 20)}", "en", "a", 1) for i, w in enumerate(["blorkiest", "blorkiest", "blorkish", "blorky", "blorkiest", "blorkiest"])]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)] + [(200 + i, 1, 1) for i in range(6)], LABELS)
+    kept = {r["doc_id"]: (r["kept"], r["n_tokens"]) for r in ngram_quality.judge(frame(spark, clean + long + toxic), labels).collect()}
+    assert kept[900] == (True, len(long[0][1].encode())) and kept[901] == (False, len(long[1][1].encode()))
