@@ -50,5 +50,6 @@ def position_sigma_km(gap_min, sog0, sog1, base_km: float = 0.2) -> Column:
 
 
 def decibel(value, units) -> Column:
-    """10 log10 of linear values (floored at 1e-6); dB and 8-bit values as they are."""
-    return F.when(col(units) == "linear", 10 * F.log10(F.greatest(col(value), F.lit(1e-6)))).otherwise(col(value))
+    """10 log10 of linear values (floored at 1e-6); dB and 8-bit values as they are, and missing ones stay missing."""
+    linear = (col(units) == "linear") & col(value).isNotNull()
+    return F.when(linear, 10 * F.log10(F.greatest(col(value), F.lit(1e-6)))).otherwise(col(value))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from slickwake.operators.quantiles import exact_percentiles
 from slickwake.functions.geo import KM_PER_DEG, local_km, pixel_to_lonlat, utc_time
+from slickwake.functions.stats import decibel
+from slickwake.sources.scratch import stored
 
 # fixed values: tags that may hold an acquisition time, in order of preference
 TIME_TAGS = ("ACQUISITION_START_TIME", "ACQUISITION_TIME", "SENSING_TIME", "SENSING_START", "PRODUCT_START_TIME", "TIFFTAG_DATETIME", "start_time", "acquisition_time", "datetime")
@@ -103,6 +105,29 @@ def infer_units(px: DataFrame) -> DataFrame:
     return s.select("scene_id", units.alias("units"))
 
 
+def real_scenes(px: DataFrame, products: DataFrame, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scenes, pixels) of products that can be traced back from: ``scene_id, path, acquired, time_source, units``, and
+    ``scene_id, row, col, value`` in decibels.
+
+    ``px``: ``scene_id, row, col, value`` as read; ``products``: ``scene_id, path, crs, nodata, dtype, given_time, given_units, tags``;
+    ``documents``: those beside the products (``sidecar_documents``).  Values equal to ``nodata`` are missing.  Units are those
+    given, else inferred from type and range.  A product without a reference system lies nowhere, and one without a time
+    can't be traced: both are errors that name the products, since neither is ever invented.
+    """
+    beside = with_sidecar(products, documents) if documents is not None else products.withColumn("sidecar", F.lit(None).cast("struct<time:string,name:string>"))
+    time, source = acquisition_time("given_time", "tags", "sidecar")
+    told = stored(beside.select("scene_id", "path", "crs", F.col("nodata").cast("double").alias("nodata"), "dtype", "given_units", time.alias("acquired"), source.alias("time_source")), "products")
+    for missing, why in (("crs", "no reference system"), ("acquired", "no acquisition time: give one, in its tags or in a document beside it")):
+        if some := told.where(F.col(missing).isNull()).select("path").limit(5).collect():
+            raise ValueError(f"{', '.join(str(r['path']) for r in some)}: {why}")
+    value = F.col("value").cast("double")
+    known = px.join(told.select("scene_id", "dtype", "nodata"), "scene_id").withColumn("value", F.when(~F.isnan(value) & ~value.eqNullSafe(F.col("nodata")), value)).drop("nodata")
+    units = told.join(infer_units(known), "scene_id", "left").withColumn("units", F.coalesce("given_units", "units"))
+    scenes = stored(units.select("scene_id", "path", "acquired", "time_source", "units"), "scenes")
+    pixels = known.join(scenes.select("scene_id", "units"), "scene_id").select("scene_id", "row", "col", decibel("value", F.col("units")).alias("value"))
+    return scenes, pixels
+
+
 def pixel_table(spark: SparkSession, scenes: Iterable[tuple[str, np.ndarray]]) -> DataFrame:
     """Arrays to ``scene_id, row, col, value``; NaN to null."""
     out = None

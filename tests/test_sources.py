@@ -120,3 +120,21 @@ def test_a_summary_written_again_replaces_its_own_case(spark, tmp_path):
     for case, n, run in (("a", 1, "r"), ("b", 2, "r"), ("a", 3, "r"), ("a", 4, "s")):
         sinks.write_summary(one(case, n), str(tmp_path), run)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "summary")).select("run_id", "case_id", "n").collect()) == [("r", "a", 3), ("r", "b", 2), ("s", "a", 4)]
+
+
+def test_scenes_that_can_be_traced(spark, tmp_path):
+    (tmp_path / "b_metadata.json").write_text(json.dumps({"sensing_time": "2019-04-05T03:52:00Z"}))
+    kind = "scene_id string, path string, crs string, nodata double, dtype string, given_time string, given_units string, tags map<string,string>"
+    rows = [("a", f"{tmp_path}/a.tif", "EPSG:4326", -99.0, "float32", None, None, {"ACQUISITION_TIME": "2019:04:06 03:52:00"}), ("b", f"{tmp_path}/b.tif", "EPSG:4326", None, "float32", None, None, {}), ("c", f"{tmp_path}/c.tif", "EPSG:32636", 0.0, "uint8", "2020-01-01 00:00:00", "db", {})]
+    px = spark.createDataFrame([("a", 0, 0, 0.01), ("a", 0, 1, -99.0), ("a", 1, 0, 1.0), ("b", 0, 0, -20.0), ("b", 0, 1, float("nan")), ("b", 1, 1, 3.0), ("c", 0, 0, 0.0), ("c", 0, 1, 200.0)], "scene_id string, row int, col int, value double")
+    documents = scenes.sidecar_documents(spark, str(tmp_path))
+    found, pixels = scenes.real_scenes(px, spark.createDataFrame(rows, kind), documents)
+    assert {r["scene_id"]: (str(r["acquired"]), r["time_source"], r["units"]) for r in found.collect()} == {
+        "a": ("2019-04-06 03:52:00", "raster_tag:acquisition_time", "linear"), "b": ("2019-04-05 03:52:00", "sidecar:b_metadata.json", "db"), "c": ("2020-01-01 00:00:00", "user_supplied", "db"),
+    }
+    got = {(r["scene_id"], r["row"], r["col"]): r["value"] for r in pixels.collect()}
+    assert got["a", 0, 0] == pytest.approx(-20.0) and got["a", 1, 0] == pytest.approx(0.0) and got["a", 0, 1] is None and got["b", 0, 0] == -20.0 and got["b", 0, 1] is None and got["c", 0, 0] is None and got["c", 0, 1] == 200.0
+    with pytest.raises(ValueError, match="b.tif: no acquisition time"):
+        scenes.real_scenes(px, spark.createDataFrame(rows, kind))
+    with pytest.raises(ValueError, match="a.tif: no reference system"):
+        scenes.real_scenes(px, spark.createDataFrame(rows, kind).withColumn("crs", F.when(F.col("scene_id") != "a", F.col("crs"))), documents)
