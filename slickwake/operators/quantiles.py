@@ -67,20 +67,23 @@ class _Sought:
         return (1 - self.share) * a + self.share * b
 
 
-def exact_quantiles(rows: DataFrame, values: dict[str, Column], fraction: float, accuracy: int = 10_000, most: int = 10_000) -> dict[str, float | None]:
+def exact_quantiles(rows: DataFrame, values: dict[str, Column], fraction: float, accuracy: int = 1000, most: int = 10_000) -> dict[str, float | None]:
     """The exact quantile of each of a few expressions over all rows, as ``percentile`` gives it; nulls and NaN don't count, and
     without a value it is None.
 
     After a pass that counts, a round is two passes for all expressions together: one makes sketches, which bracket what is
     sought, and one counts what lies below, at and between the ends.  Nothing is copied, and a bracket holds some
-    ten-thousandths of the one before, without its ends, so ties don't stay.  Brackets with at most ``most`` values are
+    thousandths of the one before, without its ends, so ties don't stay.  Brackets with at most ``most`` values are
     gathered; only these values, ends and counts reach the driver.
     """
-    sought = {k: _Sought(F.when(~F.isnan(v.cast("double")), v.cast("double"))) for k, v in values.items()}
+    # plain columns: aggregates over the expressions themselves would be too long to compile
+    each = rows.select(*(v.cast("double").alias(f"_y{i}") for i, v in enumerate(values.values())))
+    plain = each.select(*(F.when(~F.isnan(c), F.col(c)).alias(c.replace("y", "x")) for c in each.columns))
+    sought = {k: _Sought(F.col(f"_x{i}")) for i, k in enumerate(values)}
     margin = 2 / accuracy  # a sketch is off by 1 / accuracy at most
 
     def one_row(aggregates: dict[str, Column]):
-        return rows.agg(*(a.alias(name) for name, a in aggregates.items())).first()
+        return plain.agg(*(a.alias(name) for name, a in aggregates.items())).first()
 
     total = one_row({f"n{i}": F.count(s.value) for i, s in enumerate(sought.values())})
     for i, s in enumerate(sought.values()):
@@ -112,13 +115,10 @@ def exact_quantiles(rows: DataFrame, values: dict[str, Column], fraction: float,
                     raise RuntimeError(f"the sketch of {k} is off by more than 1 / {accuracy}")
             s.lo, s.hi, s.below, s.inside = lo, hi, below + at_lo, between
     if gathered := [k for k, s in sought.items() if s.inside > 0 and s.open_ranks()]:
-        each = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), sought[k].within().alias("x")) for k in gathered)), lambda v: v["x"].isNotNull())).alias("v")
-        found = rows.select(each).groupBy("v").agg(F.count("*").alias("n")).select("v.k", "v.x", "n").collect()  # ``most`` for each expression at most
-        for k in gathered:
-            s, up = sought[k], sought[k].below
-            for x, n in sorted((r["x"], r["n"]) for r in found if r["k"] == k):
-                s.found |= {r: x for r in s.open_ranks() if up <= r < up + n}
-                up += n
+        lists = one_row({f"v{i}": F.collect_list(sought[k].within()) for i, k in enumerate(gathered)})  # ``most`` values each at most
+        for i, k in enumerate(gathered):
+            s, ordered = sought[k], sorted(lists[f"v{i}"])
+            s.found |= {r: ordered[r - s.below] for r in s.open_ranks()}
     return {k: s.result() for k, s in sought.items()}
 
 
