@@ -1,5 +1,6 @@
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,16 @@ def test_csv_with_other_names(spark, tmp_path):
         reports.read_reports(spark, str(tmp_path / "a.csv"), bbox=(0.0, 0.0, 1.0, 1.0))
     with pytest.raises(KeyError):
         reports.resolve_columns(["MMSI", "LAT", "LON"])
+
+
+def _two_opposite(spark):
+    """Two opposite courses in the second bin, of which SQL's mean is what its sines leave."""
+    rows = [(1, 0, 31.0, 32.0, 5.0, 10.0), (1, 10, 31.0, 32.01, 5.0, 117.0), (1, 11, 31.0, 32.01, 5.0, 297.0), (1, 20, 31.0, 32.02, 5.0, 20.0), (1, 30, 31.0, 32.03, 5.0, 30.0)]
+    return ais.resample(ais.segments(ais.clean(frame(spark, rows))), every_min=10)
+
+
+def test_mean_of_opposite_courses_is_that_of_sql(spark):
+    got = [r["cog"] for r in _two_opposite(spark).orderBy("bin_no").collect()]
+    mean = "avg(sin(radians(c))), avg(cos(radians(c)))"
+    want = duckdb.sql(f"SELECT (degrees(atan2({mean})) % 360 + 360) % 360 FROM (VALUES (117.0::DOUBLE), (297.0::DOUBLE)) t(c)").fetchall()[0][0]
+    assert got == pytest.approx([10.0, want, 20.0, 30.0], abs=1e-9)
