@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slickwake.functions.geo import epoch_s, haversine_km
 from slickwake.operators import ais, anomaly, attribution
+from slickwake.plans.reports_queries import rounded
 from slickwake.sources import reports
 
 T0 = dt.datetime(2019, 4, 5)
@@ -106,3 +107,12 @@ def test_mean_of_opposite_courses_is_that_of_sql(spark):
     mean = "avg(sin(radians(c))), avg(cos(radians(c)))"
     want = duckdb.sql(f"SELECT (degrees(atan2({mean})) % 360 + 360) % 360 FROM (VALUES (117.0::DOUBLE), (297.0::DOUBLE)) t(c)").fetchall()[0][0]
     assert got == pytest.approx([10.0, want, 20.0, 30.0], abs=1e-9)
+
+
+def test_queries_round_as_their_sql(spark):
+    # the product with a power of ten falls on a half that the shortest decimal form is not on, or the other way round
+    values = [32.4996727565, 31.8422181625 + 4e-15, 1.0000000005, 2.0000000015, 31.0000000025, -31.0000000025, 0.0, -0.25e-9, 1.7e9 + 0.5, 1e300]
+    values += [31 + (2 * i + 1) * 5e-10 for i in range(500)]
+    got = {r["i"]: r["x"] for r in rounded(spark.createDataFrame(list(enumerate(values)), "i long, x double"), 9).collect()}
+    want = duckdb.sql(f"SELECT i, round(x, 9) FROM (SELECT unnest(range({len(values)})) AS i, unnest({values!r}::DOUBLE[]) AS x)").fetchall()
+    assert got == dict(want)
