@@ -116,3 +116,11 @@ def test_queries_round_as_their_sql(spark):
     got = {r["i"]: r["x"] for r in rounded(spark.createDataFrame(list(enumerate(values)), "i long, x double"), 9).collect()}
     want = duckdb.sql(f"SELECT i, round(x, 9) FROM (SELECT unnest(range({len(values)})) AS i, unnest({values!r}::DOUBLE[]) AS x)").fetchall()
     assert got == dict(want)
+
+
+def test_features_of_opposite_courses(spark):
+    """Course features are those of SQL's mean, not of the opposite of any noise."""
+    df = ais.features(ais.fill_gaps(_two_opposite(spark), every_min=10, fewest_bins=3)).orderBy("es")
+    mean = "atan2(avg(sin(radians(c))), avg(cos(radians(c))))"
+    want = duckdb.sql(f"SELECT sin({mean}), cos({mean}) FROM (VALUES (117.0::DOUBLE), (297.0::DOUBLE)) t(c)").fetchall()[0]
+    assert [(r["cog_sin"], r["cog_cos"]) for r in df.collect()][1] == pytest.approx(want, abs=1e-9)
