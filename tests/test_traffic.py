@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slickwake.functions import tables
 from slickwake.operators import anomaly, intervals, raster, traffic
+from slickwake.plans import traffic_queries
 from slickwake.sources.scratch import stored
 
 T0 = dt.datetime(2024, 1, 1)
@@ -123,3 +124,25 @@ def test_silence_counts_for_quality(spark):
     with_silence, without = mean(anomaly.point_scores(feat, None, recent_hours=24.0)), mean(anomaly.point_scores(feat, None))
     assert max(with_silence, key=with_silence.get) == 5 and with_silence[5] > 2 * max(v for m, v in with_silence.items() if m != 5)
     assert set(without.values()) == {0.0}
+
+
+def test_encounters_are_those_of_all_pairs(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("ab"), who, float(s), float(s + rnd.randrange(30))) for who in range(20) for s in (rnd.randrange(200) for _ in range(4))]
+    rows += [(None, 1, 0.0, 9.0), ("a", 2, 9.0, 0.0)]
+    want = {}
+    for k, w, s, e in rows:
+        for k2, w2, s2, e2 in rows:
+            if k is not None and k == k2 and w < w2 and s <= e and s2 <= e2 and s <= e2 and s2 <= e:
+                n, t = want.get((k, w, w2), (0, 0.0))
+                want[k, w, w2] = n + 1, t + min(e, e2) - max(s, s2)
+    df = spark.createDataFrame(rows, "kind string, mmsi long, start double, end double")
+    for each in (3, 100):
+        got = intervals.encounters(df, "kind", "mmsi", each).collect()
+        assert len(got) == len(want) and {(r["kind"], r["mmsi"], r["mmsi2"]): (r["n_pairs"], r["shared"]) for r in got} == want
+
+
+def test_pairs_of_segment_encounters_are_not_moved(spark):
+    """Only rows are shuffled: from the join of segments on, there is no exchange."""
+    plan = traffic_queries.segment_encounters(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Join")[0]
