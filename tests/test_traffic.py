@@ -146,3 +146,12 @@ def test_pairs_of_segment_encounters_are_not_moved(spark):
     """Only rows are shuffled: from the join of segments on, there is no exchange."""
     plan = traffic_queries.segment_encounters(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("Join")[0]
+
+
+def test_overlap_join_in_parts(spark):
+    """A bin dealt into parts gives the same pairs, each once."""
+    rng = random.Random(8)
+    left, right = ([p for p in some_intervals(rng, n)] for n in (120, 60))
+    a, b = spark.createDataFrame(left, "i long, k string, start double, end double").drop("k"), spark.createDataFrame(right, "j long, k string, start2 double, end2 double").drop("k")
+    pairs = lambda **kw: sorted((r["i"], r["j"]) for r in intervals.overlap_join(a, b, [], 10.0, **kw).collect())
+    assert pairs(parts=7) == pairs() and len(pairs()) > 1000
