@@ -51,3 +51,27 @@ def test_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_rows(spark, name):
     assert registry.queries()[name](spark, SF).count() >= 0
+
+
+def _opposite_courses(folder) -> duckdb.DuckDBPyConnection:
+    """Vessels near the slick, each with one bin of two opposite courses (117 and 297 degrees), as tables in ``folder``."""
+    c = duckdb.connect()
+    c.execute("set timezone='UTC'")
+    c.execute("""create table events as select * exclude (n), (n * 7) % 200 / 10.0::DOUBLE AS value, '{}' AS props from (
+      select u * 144000 + b * 720 + (case when b = 9 then 261 else b * b * 7 + 1 end) AS event_id, TIMESTAMP '2024-01-16 00:10:00' + INTERVAL (6 * b) HOUR AS ts, u AS user_id, 'view' AS event_type, u * 16 + b * b AS n
+      from (select unnest([7, 8, 207, 208, 407, 408]::BIGINT[]) AS u), (select unnest(range(17)) AS b)
+      union all select u * 144000 + 9 * 720 + 441, TIMESTAMP '2024-01-18 06:40:00', u, 'view', u from (select unnest([7, 8, 207, 208, 407, 408]::BIGINT[]) AS u))""")
+    c.execute(f"create table part as select * from '{SF}/part.parquet'")
+    for t in ("events", "part"):
+        c.execute(f"copy {t} to '{folder}/{t}.parquet' (format parquet)")
+    return c
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["vessel_anomaly"])
+def test_scores_after_opposite_courses(spark, tmp_path, name):
+    """The mean of two opposite courses is the error of their sines; scores follow it through the jumps of course."""
+    c = _opposite_courses(tmp_path)
+    want = c.execute(registry.oracle_sql()[name]).df()
+    assert len(want)
+    same(registry.queries()[name](spark, str(tmp_path)).toPandas(), want)
