@@ -68,7 +68,7 @@ def _opposite_courses(folder) -> duckdb.DuckDBPyConnection:
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["vessel_anomaly"])
+@pytest.mark.parametrize("name", ["vessel_anomaly", "fuse_scored"])
 def test_scores_after_opposite_courses(spark, tmp_path, name):
     """The mean of two opposite courses is the error of their sines; scores follow it through the jumps of course."""
     c = _opposite_courses(tmp_path)
