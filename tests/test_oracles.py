@@ -75,3 +75,17 @@ def test_scores_after_opposite_courses(spark, tmp_path, name):
     want = c.execute(registry.oracle_sql()[name]).df()
     assert len(want)
     same(registry.queries()[name](spark, str(tmp_path)).toPandas(), want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["vessel_anomaly", "fuse_scored"])
+def test_scores_after_three_courses_that_cancel(spark, tmp_path, name):
+    """The same with 57, 177 and 297 degrees in the bin; with one thread, SQL sums them in order of time."""
+    c = _opposite_courses(tmp_path)
+    c.execute("update events set event_id = event_id - event_id % 720 + (case event_id % 720 when 261 then 201 else 321 end) where event_id % 720 in (261, 441)")
+    c.execute("insert into events select event_id + 120, ts + INTERVAL 10 MINUTE, user_id, event_type, value, props from events where event_id % 720 = 321")
+    c.execute(f"copy (select * from events order by event_id) to '{tmp_path}/events.parquet' (format parquet)")
+    c.execute("set threads = 1")
+    want = c.execute(registry.oracle_sql()[name]).df()
+    assert len(want)
+    same(registry.queries()[name](spark, str(tmp_path)).toPandas(), want)

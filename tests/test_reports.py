@@ -124,3 +124,14 @@ def test_features_of_opposite_courses(spark):
     mean = "atan2(avg(sin(radians(c))), avg(cos(radians(c))))"
     want = duckdb.sql(f"SELECT sin({mean}), cos({mean}) FROM (VALUES (117.0::DOUBLE), (297.0::DOUBLE)) t(c)").fetchall()[0]
     assert [(r["cog_sin"], r["cog_cos"]) for r in df.collect()][1] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("courses", [(57.0, 177.0, 297.0), (297.0, 57.0, 177.0), (303.0, 63.0, 183.0), (317.0, 77.0, 197.0), (117.0, 297.0, 59.0, 239.0)])
+def test_mean_of_courses_that_cancel_is_that_of_sql(spark, courses):
+    """Three courses at 120 degrees and two opposite pairs: SQL's mean is what its sines leave, summed in order of time."""
+    rows = [(1, 0, 31.0, 32.0, 5.0, 10.0), *((1, 10 + i, 31.0, 32.01, 5.0, c) for i, c in enumerate(courses)), (1, 20, 31.0, 32.02, 5.0, 20.0)]
+    df = frame(spark, rows).repartition(3, "cog")
+    got = [r["cog"] for r in ais.resample(ais.segments(ais.clean(df)), every_min=10).orderBy("bin_no").collect()]
+    mean = "avg(sin(radians(c))), avg(cos(radians(c)))"
+    want = duckdb.sql(f"SELECT (degrees(atan2({mean})) % 360 + 360) % 360 FROM (SELECT unnest({list(courses)!r}::DOUBLE[]) AS c)").fetchall()[0][0]
+    assert got == pytest.approx([10.0, want, 20.0], abs=1e-9)
