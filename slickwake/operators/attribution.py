@@ -9,6 +9,11 @@ from slickwake.functions.geo import epoch_s, from_epoch_s, haversine_km
 from slickwake.functions.stats import gaussian_score, position_sigma_km
 
 
+def _in_time(tracks: DataFrame) -> list[str]:
+    """Order of a vessel's reports: time, and ingest where times are equal (tracks of ``ais.clean`` have one report a time)."""
+    return ["es", "ord"] if "ord" in tracks.columns else ["es"]
+
+
 def positions_on_grid(tracks: DataFrame, t_obs_s: float, dt_s: float, steps: int, sigma_km: float = 0.2) -> DataFrame:
     """Interpolated positions at ``t_obs - k * dt`` for k = 1..steps, where the track covers that time.
 
@@ -16,7 +21,7 @@ def positions_on_grid(tracks: DataFrame, t_obs_s: float, dt_s: float, steps: int
     no report is compared with a time that it doesn't bracket.  Intervals are closed at the start; a track's last one at
     both ends.
     """
-    order = Window.partitionBy("mmsi").orderBy("es")
+    order = Window.partitionBy("mmsi").orderBy(*_in_time(tracks))
     nxt = F.lead(F.struct("es", "lat", "lon", "sog")).over(order)
     is_last = F.lead("es", 2).over(order).isNull()
     iv = tracks.withColumn("es", epoch_s("ts")).withColumn("_n", nxt).withColumn("_last", is_last).where("_n IS NOT NULL")

@@ -135,3 +135,13 @@ def test_mean_of_courses_that_cancel_is_that_of_sql(spark, courses):
     mean = "avg(sin(radians(c))), avg(cos(radians(c)))"
     want = duckdb.sql(f"SELECT (degrees(atan2({mean})) % 360 + 360) % 360 FROM (SELECT unnest({list(courses)!r}::DOUBLE[]) AS c)").fetchall()[0][0]
     assert got == pytest.approx([10.0, want, 20.0], abs=1e-9)
+
+
+def test_positions_of_equal_times_follow_ingest(spark):
+    """Reports of one time are taken in the order of ingest, whatever order they come in: the last one before a time, the first one after."""
+    rows = [(m, t, 31.0 + i / 100 + t / 1000, 32.0, 5.0, 0.0) for m in (1, 2) for t in (0, 60) for i in range(8)]
+    end = (T0 - dt.datetime(1970, 1, 1)).total_seconds() + 3600.0
+    for order in ("ord", "-ord"):
+        df = frame(spark, rows).repartition(1).sortWithinPartitions(F.expr(order))
+        got = attribution.positions_on_grid(df, end, 1200.0, 1).orderBy("mmsi").collect()
+        assert [r["lat"] for r in got] == pytest.approx([(31.07 + 2 * 31.06) / 3] * 2, abs=1e-9)
