@@ -155,3 +155,12 @@ def test_overlap_join_in_parts(spark):
     a, b = spark.createDataFrame(left, "i long, k string, start double, end double").drop("k"), spark.createDataFrame(right, "j long, k string, start2 double, end2 double").drop("k")
     pairs = lambda **kw: sorted((r["i"], r["j"]) for r in intervals.overlap_join(a, b, [], 10.0, **kw).collect())
     assert pairs(parts=7) == pairs() and len(pairs()) > 1000
+
+
+def test_copies_of_a_small_side_are_not_broadcast(spark):
+    """The copies for parts aren't in the estimates of size, so a broadcast would bring all of them through the driver."""
+    a = stored(spark.range(5000).selectExpr("id AS i", "id * 60D AS start", "id * 60D + 50 AS end"), "left")
+    b = stored(spark.range(50).selectExpr("id AS j", "id * 6000D AS start2", "id * 6000D + 500 AS end2"), "right")
+    met = intervals.overlap_join(a, b, [], 60.0, parts=300)
+    assert met.count() == 50 * 9 and "_part" not in met.columns
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
