@@ -1,6 +1,7 @@
 """Interval joins, sketches, frames over time and table functions, against plain Python."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -164,3 +165,14 @@ def test_copies_of_a_small_side_are_not_broadcast(spark):
     met = intervals.overlap_join(a, b, [], 60.0, parts=300)
     assert met.count() == 50 * 9 and "_part" not in met.columns
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_encounters_shuffle_few_copies_of_each_interval(spark):
+    """Of 20000 vessels, each with one interval, blocks are shuffled a few times, not each interval once for every 800 vessels."""
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    written = lambda: {f: os.path.getsize(f) for top in local for d, _, names in os.walk(top) for n in names if n.endswith(".data") for f in [os.path.join(d, n)]}
+    df = stored(spark.range(20_000).selectExpr("'a' AS kind", "id AS mmsi", "1.7e9 + 1000D * (id * 7919 % 20000) + rand(3) AS start").withColumn("end", F.expr("start + 1500 + rand(4)")), "segments")
+    before = written()
+    assert intervals.encounters(df, "kind", "mmsi").count() == 19_999
+    after = written()
+    assert sum(n for f, n in after.items() if f not in before) < 6 * 20_000 * 24
